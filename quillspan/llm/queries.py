@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import fingerprints, ngram_join, packing, token_files, toxicity, url_filters
+from quillspan.llm import embedding_dedup, fingerprints, ngram_join, packing, token_files, toxicity, url_filters
 from quillspan.llm.tokens import vocabulary_path
 
 #: The rules that op1 judges by.
@@ -43,6 +43,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_token_files": op8_token_files,
     "op10_toxicity": op10_toxicity,
