@@ -90,6 +90,21 @@ def still_open(fill: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def _merge(level: int, capacity: int):
+    """Packs the open bins of one group of one round: where each goes and what its bin then holds."""
+
+    def merge(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["fill", "now"], ignore_index=True)
+        fills, part = x["fill"].to_numpy(dtype=np.int64), int(x["part"].iloc[0])
+        bins, offsets = best_fit(fills, capacity)
+        total = np.bincount(bins, weights=fills).astype(np.int64)
+        now = x["now"].to_numpy(dtype=np.int64)
+        after = np.where(np.bincount(bins)[bins] > 1, (np.int64(level) << 56) + (np.int64(part) << 32) + bins, now)
+        return pd.DataFrame({"before": now, "after": after, "more": offsets, "total": np.where(still_open(total, capacity), total, 0)[bins], "place": np.int32(part)})
+
+    return merge
+
+
 def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """``pieces`` with sequence_id and offset: every piece in one sequence, gapless from 0.
 
@@ -126,16 +141,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
         groups, level = -(-groups // FAN_IN), level + 1
         items = where.where("fill > 0").groupBy("now").agg(F.first("fill").alias("fill"), F.floor(F.first("part") / FAN_IN).cast("int").alias("part"))
 
-        def merge(x: pd.DataFrame, level: int = level) -> pd.DataFrame:
-            x = x.sort_values(["fill", "now"], ignore_index=True)
-            fills, part = x["fill"].to_numpy(dtype=np.int64), int(x["part"].iloc[0])
-            bins, offsets = best_fit(fills, capacity)
-            total = np.bincount(bins, weights=fills).astype(np.int64)
-            now = x["now"].to_numpy(dtype=np.int64)
-            after = np.where(np.bincount(bins)[bins] > 1, (np.int64(level) << 56) + (np.int64(part) << 32) + bins, now)
-            return pd.DataFrame({"before": now, "after": after, "more": offsets, "total": np.where(still_open(total, capacity), total, 0)[bins], "place": np.int32(part)})
-
-        moves = items.groupBy("part").applyInPandas(merge, "before long, after long, more long, total long, place int")
+        moves = items.groupBy("part").applyInPandas(_merge(level, capacity), "before long, after long, more long, total long, place int")
         moved = where.join(moves, where["now"] == moves["before"], "left")
         where = written(moved.select("origin", F.coalesce("after", "now").alias("now"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"), F.coalesce("total", F.lit(0)).alias("fill"), F.coalesce("place", "part").alias("part")), "packed-open")
     return (
