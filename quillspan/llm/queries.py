@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import embedding_dedup, fingerprints, ngram_join, packing, suffix_dedup, token_files, toxicity, url_filters
+from quillspan.llm import embedding_dedup, fingerprints, line_dedup, ngram_join, packing, suffix_dedup, token_files, toxicity, url_filters
 from quillspan.llm.tokens import vocabulary_path
 
 #: The rules that op1 judges by.
@@ -60,6 +60,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_token_files(token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", F.coalesce(toxicity.fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_token_files": op8_token_files,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -94,4 +100,32 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict
         FROM parts LEFT JOIN best USING (host, path)
     """,
+    "op9_line_dedup": r"""
+        WITH raw AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+        lines AS (
+            SELECT doc_id, i - 1 AS line_no, trim(lower(parts[i]), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS bare
+            FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM raw)),
+        worded AS (SELECT * FROM lines WHERE bare <> ''),
+        firsts AS (SELECT bare, min({'d': doc_id, 'l': line_no}) AS pos FROM worded GROUP BY bare),
+        words AS (SELECT pos, string_split_regex(bare, '[\x20\x09-\x0D]+') AS w FROM firsts),
+        sets AS (
+            SELECT pos, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM words),
+        tokens AS (SELECT pos, len(s) AS n, unnest(s) AS t FROM sets),
+        later AS (
+            SELECT DISTINCT y.pos AS pos
+            FROM (SELECT x.pos AS xa, y.pos AS ya, any_value(x.n) AS xn, any_value(y.n) AS yn, count(*) AS c
+                  FROM tokens x JOIN tokens y ON x.t = y.t AND x.pos < y.pos GROUP BY 1, 2) p
+            JOIN (SELECT pos FROM sets) y ON y.pos = p.ya
+            WHERE 100 * c >= 80 * (xn + yn - c)),
+        gone AS (
+            SELECT doc_id, line_no FROM worded JOIN firsts USING (bare)
+            WHERE {'d': doc_id, 'l': line_no} <> pos OR pos IN (SELECT pos FROM later)),
+        gone_by AS (SELECT doc_id, list(line_no) AS g FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(parts) AS n_lines, coalesce(len(g), 0) AS n_removed,
+               sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(coalesce(g, []), i - 1)), lambda i: parts[i]), chr(10)), '')) AS kept_sha256
+        FROM raw LEFT JOIN gone_by USING (doc_id)
+    """,
 }
