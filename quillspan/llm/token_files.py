@@ -28,8 +28,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import fresh_path, written
-from quillspan.llm.ordered import in_ranges, key_of
+from quillspan.llm.common import fresh_path, partitions, written
+from quillspan.llm.ordered import NULL_KEY
 from quillspan.llm.tokens import crc32, encoder, with_end
 
 # Fixed values of the formats.
@@ -46,7 +46,7 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 class Writer:
     """Writes one file under a temporary name and renames it when it is whole."""
 
-    def __init__(self, uri: str, level: int = 3):
+    def __init__(self, uri: str, level: int = 1):
         self.uri = uri
         self.store, self.path = filesystem(uri)
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
@@ -131,35 +131,28 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
     """Write (doc_id, text) rows as token-id files in ascending doc_id order; the manifest as a written table.
 
     Every document's ids end with id 0; null texts are that id alone. Nulls sort first, rows of
-    one doc_id by a digest of their text. Ranges of doc_ids become files, so that files too are
-    in order; a retried task replaces its file by an equal one. The manifest has file, place
-    (the range), documents and ids, one row for each file. An empty table has no files.
+    one doc_id by a digest of their text. Sampled ranges of doc_ids become files, so that files
+    too are in order; a retried task replaces its file by an equal one. The manifest has file,
+    place (the range), documents and ids, one row for each file. An empty table has no files.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-files")
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
-    ranges, _ = in_ranges(docs.select("doc_id", "text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"), "text", F.xxhash64("text").alias("h"))
+    ranges = rows.repartitionByRange(partitions(spark), "k").sortWithinPartitions("k", "h", "text").select("k", "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, unpack = encoder(vocabulary), zstandard.ZstdDecompressor()
-        writer, place, done = None, None, []
-
-        def finish() -> None:
-            writer.close()
-            done.append((writer.uri, place, len(writer.index), sum(x[2] for x in writer.index)))
+        from pyspark import TaskContext
 
+        encode, place, writer = encoder(vocabulary), TaskContext.get().partitionId(), None
         for x in batches:
-            texts = [unpack.decompress(z).decode() for z in x["z"]]
-            for b, k, ids in zip(x["b"].tolist(), x["k"].tolist(), encode.encode(texts), strict=True):
-                if b != place:
-                    if writer:
-                        finish()
-                    place, writer = b, Writer(f"{folder}/{b:08d}.ids.zst")
-                writer.add(key_of(k), with_end(ids))
+            for k, ids in zip(x["k"].tolist(), encode.encode(x["text"].tolist()), strict=True):
+                writer = writer or Writer(f"{folder}/{place:08d}.ids.zst")
+                writer.add(None if k == NULL_KEY else k, with_end(ids))
         if writer:
-            finish()
-        yield pd.DataFrame(done, columns=["file", "place", "documents", "ids"])
+            writer.close()
+            yield pd.DataFrame([(writer.uri, place, len(writer.index), sum(x[2] for x in writer.index))], columns=["file", "place", "documents", "ids"])
 
     return written(ranges.mapInPandas(write, "file string, place int, documents long, ids long"), "token-manifest")
 

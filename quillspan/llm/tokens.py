@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-import regex
 
-#: Where a pre-token ends; with the Unicode property for white space, as the library has it.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-# Texts with other characters go to the library whole, so that Unicode versions can't differ.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-ɏ]*")
-#: Words that one worker remembers.
-REMEMBERED = 300_000
+# The letters and numbers among the characters of ordinary texts.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+#: Where a pre-token ends, in texts of those characters.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_NUMBERS}{_LETTERS}]+|\s+(?!\S)|\s+")
+# Texts with any other character go to the library whole, so that Unicode tables can't differ.
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7E\xA1-\xAC\xAE-ɏ]")
+#: Words in each of the two generations that one worker remembers.
+REMEMBERED = 250_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,11 +26,19 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where printable."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of texts, as the tokenizers library gives them without special tokens.
 
-    A pre-token alone has the same ids as in its text, so ordinary texts are cut into
-    pre-tokens and only those not met before go to the library.
+    A pre-token has the same ids alone as in its text, so ordinary texts are cut into
+    pre-tokens and only those not met lately go through the library's model. Memory is bounded:
+    words of the older generation are forgotten when the younger is full.
     """
 
     def __init__(self, path: str):
@@ -38,24 +47,34 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.model = self.library.model
+        self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            found = array("I", [t.id for t in tokens]).tobytes()
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of unsigned 32-bit ids for each text; null counts as empty."""
-        cut = [_PIECES.findall(t) if t and len(t) < 2_000_000 and _PLAIN.fullmatch(t) else t for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for x in cut if isinstance(x, list) for w in x if w not in known})
-        for word, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[word] = tuple(found.ids)
         out = []
-        for x in cut:
-            if isinstance(x, list):
-                ids = array("I", chain.from_iterable(map(known.__getitem__, x)))
+        for text in texts:
+            if not text:
+                out.append(np.zeros(0, dtype=np.uint32))
+            elif _OTHER.search(text):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
             else:
-                ids = array("I", self.library.encode(x, add_special_tokens=False).ids if x else ())
-            out.append(np.frombuffer(ids, dtype=np.uint32) if ids else np.zeros(0, dtype=np.uint32))
+                if len(self.known) > REMEMBERED:
+                    self.known, self.older = {}, self.known
+                words, known = _PIECES.findall(text), self.known
+                for word in words:
+                    if word not in known:
+                        known[word] = self._word(word)
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.uint32))
         return out
 
 
