@@ -112,10 +112,10 @@ def _key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, kept: bool = True) -> DataFrame:
+def _texts_of(docs: DataFrame, ids: DataFrame, kept: bool = True, also: list[str] | None = None) -> DataFrame:
     """Documents whose key is in ``ids`` (or is not); the ids are broadcast only while they are few."""
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select(_key(), "text").join(few.select(F.col("doc").alias("k")), "k", "left_semi" if kept else "left_anti")
+    return docs.select(_key(), "text", *(also or [])).join(few.select(F.col("doc").alias("k")), "k", "left_semi" if kept else "left_anti")
 
 
 def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataFrame:
@@ -266,50 +266,54 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[first], reach[np.append(first[1:], len(starts)) - 1]
 
 
-def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of ``docs`` (doc_id, text).
+def cut_repeats(docs: DataFrame, length: int = 400, as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, other columns) of every row of ``docs`` (doc_id, text, ...).
 
     Texts are bytes in UTF-8, null counts as empty. Every byte covered by a string of ``length``
     bytes that also starts anywhere else, in the same text or another row's, is removed; matches
     never cross texts, and are judged on the input. n_spans counts maximal removed runs, kept
-    is what is left. Texts shorter than ``length`` stay whole. Repeated rows keep their rows and
-    count as documents of their own, and so do rows with a null doc_id.
+    is what is left: bytes, or with ``as_text`` a string without the characters that were cut in
+    two. Texts shorter than ``length`` stay whole. Repeated rows keep their rows and count as
+    documents of their own, and so do rows with a null doc_id. Columns with the result's names
+    are replaced.
     """
     spans = repeated_spans(docs, length)
-    ids = spans.select("doc").distinct()
-    few = _texts_of(docs, ids)
-    rest = _texts_of(docs, ids, kept=False)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    ids = written(spans.select("doc").distinct(), "span-documents")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    carried = [f for f in docs.schema if f.name not in ("text", *names)]
+    also = [f.name for f in carried]
+    tail = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
+    few, rest = (_texts_of(docs, ids, kept, also) for kept in (True, False))
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{tail}"
+    finish = (lambda raw: raw.decode(errors="ignore")) if as_text else (lambda raw: raw)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1)
         for x in batches:
             raw = [_raw(t) for t in x["text"]]
-            yield pd.DataFrame({"doc": x["k"], "tid": [_digest(r) for r in raw], "z": [pack.compress(r) for r in raw]})
+            yield x[["k", *also]].rename(columns={"k": "_doc"}).assign(_tid=[_digest(r) for r in raw], _z=[pack.compress(r) for r in raw])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for x in batches:
             out = []
-            for k, z, found in zip(x["doc"].tolist(), x["z"], x["spans"], strict=True):
+            for k, z, found in zip(x["_doc"].tolist(), x["_z"], x["_spans"], strict=True):
                 raw = unpack.decompress(z)
                 if found is None or not len(found):
-                    out.append((k, len(raw), 0, 0, raw))
+                    out.append((k, len(raw), 0, 0, finish(raw)))
                     continue
                 start, end = _merged(np.array([s["start"] for s in found]), np.array([s["end"] for s in found]))
                 edges = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
-                out.append((k, len(raw), len(raw) - len(kept), len(start), kept))
-            yield pd.DataFrame(out, columns=names)
+                out.append((k, len(raw), len(raw) - len(kept), len(start), finish(kept)))
+            yield pd.DataFrame(out, columns=names).assign(**{c: x[c].to_numpy() for c in also})
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             raw = [_raw(t) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["k"], "n_bytes": [len(r) for r in raw], "n_removed": 0, "n_spans": 0, "kept": raw})
+            yield pd.DataFrame({"doc_id": x["k"].to_numpy(), "n_bytes": [len(r) for r in raw], "n_removed": 0, "n_spans": 0, "kept": [finish(r) for r in raw]}).assign(**{c: x[c].to_numpy() for c in also})
 
-    moved = few.mapInPandas(packed, "doc long, tid long, z binary").join(spans, ["doc", "tid"], "left").select("doc", "z", "spans")
+    named = spans.select(F.col("doc").alias("_doc"), F.col("tid").alias("_tid"), F.col("spans").alias("_spans"))
+    moved = few.mapInPandas(packed, f"_doc long{tail}, _tid long, _z binary").join(named, ["_doc", "_tid"], "left")
     both = moved.mapInPandas(cut, schema).unionByName(rest.mapInPandas(whole, schema))
     return both.withColumn("doc_id", F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")))
-
-
