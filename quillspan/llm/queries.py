@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import embedding_dedup, fingerprints, line_dedup, ngram_join, packing, suffix_dedup, token_files, toxicity, url_filters
+from quillspan.llm import embedding_dedup, fingerprints, line_dedup, ngram_join, packing, piece_encoding, suffix_dedup, token_files, toxicity, url_filters
 from quillspan.llm.tokens import vocabulary_path
 
 #: The rules that op1 judges by.
@@ -48,6 +48,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.digest_documents(table(spark, sf_dir, "documents"), piece_encoding.model_path())
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_piece_encoding": op5_piece_encoding,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_token_files": op8_token_files,
