@@ -60,11 +60,11 @@ def itin_valid(value: Column) -> Column:
 def sin_valid(value: Column) -> Column:
     """Luhn, and no number that starts with 0 or 8."""
     digits = F.regexp_replace(value, r"[ \-]", "")
-    return F.coalesce(digits.rlike(r"^[1-79]\d{8}$") & F.luhn_check(digits), F.lit(False))
+    return F.coalesce(digits.rlike(r"^[1-79]\d{8}$") & F.call_function("luhn_check", digits), F.lit(False))
 
 
 def bn_valid(value: Column) -> Column:
-    return F.coalesce(F.luhn_check(F.substring(F.regexp_replace(value, r"\s", ""), 1, 9)), F.lit(False))
+    return F.coalesce(F.call_function("luhn_check", F.substring(F.regexp_replace(value, r"\s", ""), 1, 9)), F.lit(False))
 
 
 def mrz_check(text: Column, weights: tuple[int, int, int] = (7, 3, 1)) -> Column:
