@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
-    The table survives the loss of any executor.
+    The table survives the loss of any executor. It is compressed by zstandard, whose buffers
+    are freed with each page; Snappy's direct buffers wait for a collection of the heap.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,29 +58,62 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges of one partition as stars: every node with the least node that it reaches inside the partition.
+
+    Works through a bounded number of edges at a time.
+    """
+    group: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while group.setdefault(k, k) != k:
+            group[k] = group[group[k]]
+            k = group[k]
+        return k
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame([(k, r) for k in group if (r := root(k)) != k], columns=["a", "b"])
+
+    for x in batches:
+        for a, b in zip(x["a"].tolist(), x["b"].tolist(), strict=True):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                group[max(ra, rb)] = min(ra, rb)
+        if len(group) > 500_000:
+            yield out()
+            group.clear()
+    if group:
+        yield out()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges (a, b).
 
-    Only nodes with an edge are returned. Every round takes the least label among a node's
-    neighbours (an aggregate with map-side combine) and then jumps to that label's own label,
-    so the number of rounds is logarithmic for the usual shapes. Each round is a written table.
-    No edges give no rows; loops, repeated edges and nulls are ignored.
+    Only nodes with an edge are returned. Partitions first make stars of their own edges. Then
+    every round gives each node's label, and the label's label, the least grandparent label of
+    its neighbours, and jumps to grandparents (hooking and shortcutting as in FastSV), which
+    needs a logarithmic number of rounds. Minima combine before each shuffle, each round is a
+    written table, and nothing is collected. No edges give no rows; loops, repeated edges and
+    nulls are ignored.
     """
     spark = edges.sparkSession
-    clean = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = written(clean.unionByName(clean.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), f"{name}-labels")
+    clean = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    stars = written(clean.mapInPandas(_stars, "a long, b long").distinct(), f"{name}-edges")
+    both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("f")), f"{name}-labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        step = labels.join(near, "node").select("node", "component", F.least("component", "seen").alias("least"))
-        jump = labels.select(F.col("node").alias("least"), F.col("component").alias("far"))
-        after = written(step.join(jump, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("component"), (F.least("least", F.coalesce("far", "least")) != F.col("component")).alias("moved")), f"{name}-labels")
-        moved = after.where("moved").limit(1).count()
-        forget(spark, labels)
-        labels = after.select("node", "component")
+        up = labels.select(F.col("node").alias("f"), F.col("f").alias("g"))
+        grand = written(labels.join(up, "f").select("node", "f", "g"), f"{name}-grand")
+        near = both.join(grand.select(F.col("node").alias("b"), "g"), "b").groupBy(F.col("a").alias("node")).agg(F.min("g").alias("m"))
+        told = written(grand.join(near, "node"), f"{name}-told")
+        offers = told.select(F.col("f").alias("node"), "m").unionByName(told.select("node", F.least("m", "g", "f").alias("m")))
+        after = written(offers.groupBy("node").agg(F.min("m").alias("f")), f"{name}-labels")
+        moved = after.join(labels.withColumnRenamed("f", "was"), "node").where("f <> was").limit(1).count()
+        forget(spark, labels, grand, told)
+        labels = after
         if not moved:
-            forget(spark, both)
-            return labels
+            forget(spark, stars)
+            return labels.select("node", F.col("f").alias("component"))
 
 
 # --- numpy helpers for batches of texts ---------------------------------------------------------
