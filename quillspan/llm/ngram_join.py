@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +14,10 @@ from quillspan.llm.common import components, forget, partitions, shingle_set, wr
 
 #: Common shingles that the order knows; any order gives the same links, so this bounds only its memory.
 ORDERED_COMMON = 200_000
-#: Shingles that one worker counts at a time, and bytes of sets that one verifying task holds.
-COUNTED_AT_ONCE, CELL_BYTES = 4_000_000, 48 << 20
+#: Bits of a set's sketch.
+SKETCH_BITS = 2048
+#: Shingles that one worker counts at a time, and partners of a set that are verified in one group.
+COUNTED_AT_ONCE, PARTNERS = 4_000_000, 256
 #: Sets whose ids may be broadcast to keep other texts from being shuffled; beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -73,8 +74,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Of each of SKETCH_BITS classes of elements, whether the set has an odd number."""
+    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def shingle_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, same, prefix) of every row: the size of its set, a 128-bit digest of it, its leading shingles."""
+    """(doc_id, n, same, prefix, sketch) of every row: the size of its set, a 128-bit digest of it, its leading shingles."""
     common = common_shingles(docs, words)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,99 +90,133 @@ def shingle_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for k, text in zip(x["doc_id"].astype(object).tolist(), x["text"].tolist(), strict=True):
                 s = shingle_set((text or "").encode(), words)
                 lead = in_order(s, common)[: prefix_length(len(s), percent)]
-                out.append((None if k is None or k != k else int(k), len(s), xxhash.xxh3_128_digest(s.tobytes()), lead.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "same", "prefix"]).astype({"doc_id": "Int64"})
+                out.append((None if k is None or k != k else int(k), len(s), xxhash.xxh3_128_digest(s.tobytes()), lead.view(np.int64), sketch(s)))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "same", "prefix", "sketch"]).astype({"doc_id": "Int64"})
+
+    return written(docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, same binary, prefix array<long>, sketch binary"), "shingles")
+
+
+def _lists(classes: DataFrame, *also: str) -> DataFrame:
+    """Index entries (g, rep, n, i, before, others): each leading shingle with its place and the one before it."""
+    steps = F.transform("prefix", lambda g, i: F.struct(g.alias("g"), i.alias("i"), F.when(i > 0, F.get("prefix", i - 1)).alias("before")))
+    return classes.where("n > 0").select("rep", "n", *also, F.explode(steps).alias("s")).select("rep", "n", *also, "s.g", "s.i", "s.before")
+
 
-    return written(docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, same binary, prefix array<long>"), "shingles")
+def _sizes_fit(x: str, y: str, percent: int):
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of class representatives that share a leading shingle and may be similar enough.
+def leader_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): in every index list the set with the earliest place, a, with each other of a size that may link.
 
-    The index lists are joined on the shingle. Within a list a pair is skipped if the sizes
-    are too far apart, if what is left behind the two positions can't reach the overlap, or if
-    the elements just before are equal: then the pair meets in that list as well. At the first
-    shingle that two linked sets share none of these holds, so no link is lost.
+    Rare elements come first, so the earliest place is that of the set with the fewest elements
+    of its own: of a group of edited copies the one most like the rest. The pairs are as many as
+    index entries at most.
     """
-    steps = F.transform("prefix", lambda g, i: F.struct(g.alias("g"), i.alias("i"), F.when(i > 0, F.get("prefix", i - 1)).alias("before")))
-    lists = classes.where("n > 0").select("rep", "n", F.explode(steps).alias("s")).select("rep", "n", "s.g", "s.i", "s.before")
-    x, y = (lists.select("g", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "i", "before")]) for side in "xy")
-    left = 1 + F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y")) - 1
+    lists = _lists(classes).select("g", "rep", "n", "i")
+    leaders = lists.groupBy("g").agg(F.min_by("rep", "i").alias("a"), F.min_by("n", "i").alias("n_a"), F.count("*").alias("entries")).where("entries > 1").drop("entries")
+    return lists.join(leaders, "g").where((F.col("rep") != F.col("a")) & _sizes_fit("n", "n_a", percent)).select("a", F.col("rep").alias("b")).distinct()
+
+
+def other_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of different groups so far (``near``) that share a leading shingle and may be similar enough.
+
+    Within an index list a pair is skipped if it is in one group already, so that its answer
+    follows from another's; if the sizes are too far apart; if what is left behind the two
+    places can't reach the overlap; or if the elements just before are equal, as the pair then
+    meets in their list as well. At the first shingle that two linked sets of different groups
+    share none of these holds, so no link that would join groups is lost.
+    """
+    lists = _lists(classes, "near")
+    x, y = (lists.select("g", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "i", "before", "near")]) for side in "xy")
+    reach = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
     close = (
         (F.col("rep_x") < F.col("rep_y"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & ((100 + percent) * left >= percent * (F.col("n_x") + F.col("n_y")))
+        & (F.col("near_x") != F.col("near_y"))
+        & _sizes_fit("n_x", "n_y", percent)
+        & ((100 + percent) * reach >= percent * (F.col("n_x") + F.col("n_y")))
         & ~F.coalesce(F.col("before_x") == F.col("before_y"), F.lit(False))
     )
     return x.join(y, [x["g"] == y["g"], close]).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, far): the pairs whose sketches don't rule out a link.
+
+    Sets whose sketches differ in ``far`` bits differ in at least as many elements, and linked
+    sets differ in (size + size) * (100 - percent) / (100 + percent) at most.
+    """
+
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        bits = [np.frombuffer(b"".join(c), dtype=np.uint64).reshape(len(c), -1) for c in (x, y)]
+        return pd.Series(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int32))
+
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    far = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("far", distance("s_a", "s_b"))
+    return far.where((100 + percent) * F.col("far") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "far")
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return bool(len(a)) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links among the pairs, as many as connect what the pairs' links connect.
+def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets.
 
-    Representatives are hashed into blocks and a pair goes to the cell of its two blocks, so a
-    set travels once for each block that has partners of it, however many they are. A cell
-    verifies its pairs on whole sets, but skips a pair whose answer follows from links it has
-    found: both ends are then in one group already.
+    The sets of all b travel to their a, PARTNERS of them to a task's group at most, so a set
+    with very many partners is dealt over many groups; a group is streamed and holds one set.
     """
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = ends.count()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    sizes = written(
-        texts.join(F.broadcast(ends) if wanted <= BROADCAST_IDS else ends, "rep", "left_semi").distinct().mapInPandas(_sets(words), "rep long, s binary"),
-        "shingle-sets",
+    pairs = written(pairs, "pairs")
+    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("groups"))
+    placed = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
+    visits = placed.select(F.col("b").alias("rep"), F.struct("a", "salt", F.lit(1).alias("kind")).alias("v")).unionByName(
+        placed.select(F.col("a").alias("rep"), F.struct("a", "salt", F.lit(0).alias("kind")).alias("v")).distinct()
     )
-    total = sizes.agg(F.sum(F.length("s"))).first()[0] or 0
-    n = partitions(spark)
-    blocks = max(2, math.ceil(2 * total / CELL_BYTES), math.ceil(math.sqrt(6 * n)))
-    block = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(blocks))
-    cell = F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))
-    placed = pairs.withColumn("cell", cell)
-    needs = placed.select("cell", F.col("a").alias("rep")).unionByName(placed.select("cell", F.col("b").alias("rep"))).distinct()
-    travelling = needs.join(sizes, "rep").select("cell", F.lit(0).alias("kind"), F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "s")
-    asked = placed.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("s"))
+    ends = written(visits.groupBy("rep").agg(F.collect_list("v").alias("v")).select("rep", *[F.col(f"v.{c}").alias(c) for c in ("a", "salt", "kind")]), "ends")
+    few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(few, "rep")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, sets, group = None, {}, {}
-
-        def root(k: int) -> int:
-            while group.setdefault(k, k) != k:
-                group[k] = group[group[k]]
-                k = group[k]
-            return k
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for rep, text, a, salt, kind in zip(x["rep"].tolist(), x["text"], x["a"], x["salt"], x["kind"], strict=True):
+                s = _short(shingle_set((text or "").encode(), words))
+                out.extend((*v, rep, s) for v in zip(a, salt, kind, strict=True))
+            yield pd.DataFrame(out, columns=["a", "salt", "kind", "b", "s"])
 
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own = None, []
         for x in batches:
             out = []
-            for c, kind, a, b, s in zip(x["cell"].tolist(), x["kind"].tolist(), x["a"].tolist(), x["b"].tolist(), x["s"].tolist(), strict=True):
-                if c != now:
-                    now, sets, group = c, {}, {}
+            for a, salt, kind, b, s in zip(x["a"].tolist(), x["salt"].tolist(), x["kind"].tolist(), x["b"].tolist(), x["s"], strict=True):
+                if (a, salt) != now:
+                    now, own = (a, salt), []
                 if kind == 0:
-                    sets.setdefault(a, []).append(np.frombuffer(s, dtype=np.uint64))
-                    continue
-                b = int(b)
-                ra, rb = root(a), root(b)
-                if ra != rb and any(similar(p, q, percent) for p in sets[a] for q in sets[b]):
-                    group[max(ra, rb)] = min(ra, rb)
+                    own.append(_long(s))
+                elif any(similar(p, q, percent) for q in (_long(s),) for p in own):
                     out.append((a, b))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    both = travelling.unionByName(asked).repartition(n, "cell").sortWithinPartitions("cell", "kind", "a", "b")
-    return written(both.mapInPandas(verify, "a long, b long"), "links")
+    travelling = texts.mapInPandas(sets, "a long, salt int, kind int, b long, s binary")
+    sorted_groups = travelling.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
+    found = written(sorted_groups.mapInPandas(verify, "a long, b long"), "links")
+    forget(spark, pairs, ends)
+    return found
 
 
-def _sets(words: int):
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"rep": x["rep"], "s": [shingle_set((t or "").encode(), words).tobytes() for t in x["text"]]})
+def _short(s: np.ndarray) -> bytes:
+    """A set for travelling: the upper 48 bits of its hashes, in order."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
 
-    return sets
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return np.unique(out.view(">u8").ravel().astype(np.uint64))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -188,14 +229,24 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     class, and only classes are joined, so any number of copies costs one set. Rows with a null
     doc_id get a null component and take no part; rows of one doc_id each keep their row, and
     different texts of one doc_id count as one document that links if any of them does.
+
+    Sets are joined in two rounds over an index of leading shingles. In the first each list is
+    compared with one set of it only, which gathers groups of highly similar sets at once; in
+    the second what those answers decide is skipped, and only pairs that may join two groups are
+    verified. So a group of many near copies costs about one comparison for each copy.
     """
     rows = shingle_rows(docs, words, percent)
     members = rows.where("doc_id is not null and n > 0")
-    classes = members.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    pairs = written(candidates(classes.select("rep", "n", "prefix"), percent), "pairs")
-    found = links(docs, pairs, words, percent)
-    groups = components(found)
-    forget(docs.sparkSession, pairs)
+    classes = members.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    classes = written(classes, "classes")
+    # Of its lists' leaders each set is compared with the one that seems closest.
+    closest = plausible(leader_pairs(classes, percent), classes, percent).groupBy("b").agg(F.min_by("a", "far").alias("a")).select("a", "b")
+    first = verified(docs, closest, words, percent)
+    near = components(first, "near")
+    grouped = classes.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("near", F.coalesce("component", "rep"))
+    second = verified(docs, plausible(other_pairs(grouped, percent), classes, percent).select("a", "b"), words, percent)
+    groups = components(first.unionByName(second))
+    forget(docs.sparkSession, classes, first, second)
     reps = members.groupBy("same").agg(F.min("doc_id").alias("rep"))
     named = reps.join(groups, reps["rep"] == groups["node"], "left").select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("_component"))
     return rows.join(named, (rows["same"] == named["_same"]) & (rows["n"] > 0) & rows["doc_id"].isNotNull(), "left").select(
