@@ -32,6 +32,10 @@ from quillspan.llm.ordered import NULL_KEY
 BROADCAST_IDS = 1_000_000
 #: Bytes whose anchors are found at a time, and records that the splitters are taken from.
 BLOCK, SAMPLED = 4 << 20, 40_000
+#: Runs of repeated starts that a bucket hands on in one row.
+RUNS_IN_ROW = 8192
+#: Records that a task deals out at a time.
+RECORDS_AT_ONCE = 400_000
 _GRAM_1, _GRAM_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _VALUE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -118,6 +122,19 @@ def _texts_of(docs: DataFrame, ids: DataFrame, kept: bool = True, also: list[str
     return docs.select(_key(), "text", *(also or [])).join(few.select(F.col("doc").alias("k")), "k", "left_semi" if kept else "left_anti")
 
 
+def _joined(runs):
+    """Runs (low, high) of one context with those that touch made one; a context has at most a window of starts."""
+    none = F.array().cast("array<struct<low:int,high:int>>")
+
+    def add(acc, run):
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["low"].alias("low"), F.greatest(last["high"], run["high"]).alias("high"))
+        touches = (F.size(acc) > 0) & (run["low"] <= last["high"] + 1)
+        return F.when(touches, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(run)))
+
+    return F.aggregate(F.array_sort(runs), none, add)
+
+
 def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataFrame:
     """(f, c, runs): for contexts that repeat in part, the distances from the anchor (from, to) of repeated starts."""
     spark = docs.sparkSession
@@ -173,22 +190,33 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
-        for x in batches:
-            got = [records(z, np.asarray(at), unpack) for z, at in zip(x["z"], x["at"], strict=True)]
-            if not got:
-                continue
+        docs, got, waiting = [], [], 0
+
+        def out() -> pd.DataFrame:
             size = np.array([len(g[0]) for g in got])
             number, distance, lead, key = (np.concatenate(c) for c in zip(*got, strict=True))
+            doc, tid = np.array(docs, dtype=np.int64).T
             row = np.repeat(np.arange(len(got)), size)
             bucket = bucket_of(lead, key)
             order = np.argsort(bucket, kind="stable")
             cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
-            doc, tid, out = x["doc"].to_numpy(), x["tid"].to_numpy(), []
+            rows = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 o = order[a:b]
                 r, times = np.unique(row[o], return_counts=True)
-                out.append((int(bucket[o[0]]), doc[r], tid[r], times.astype(np.int32), number[o], distance[o], key[o].view(np.int64)))
-            yield pd.DataFrame(out, columns=["bucket", "doc", "tid", "times", "number", "distance", "key"])
+                rows.append((int(bucket[o[0]]), doc[r], tid[r], times.astype(np.int32), number[o], distance[o], key[o].view(np.int64)))
+            return pd.DataFrame(rows, columns=["bucket", "doc", "tid", "times", "number", "distance", "key"])
+
+        for x in batches:
+            for k, t, z, at in zip(x["doc"].tolist(), x["tid"].tolist(), x["z"], x["at"], strict=True):
+                docs.append((k, t))
+                got.append(records(z, np.asarray(at), unpack))
+                waiting += len(got[-1][0])
+                if waiting > RECORDS_AT_ONCE:
+                    yield out()
+                    docs, got, waiting = [], [], 0
+        if got:
+            yield out()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
@@ -201,20 +229,18 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
             again[order[1:][same]] = True
             again[order[:-1][same]] = True
             times = np.concatenate([h[2] for h in held])
-            doc, tid = (np.repeat(np.concatenate([h[i] for h in held]), times) for i in (0, 1))
-            number, distance = (np.concatenate([h[i] for h in held]) for i in (3, 4))
-            kept = pd.DataFrame({"doc": doc[again], "tid": tid[again], "number": number[again], "distance": distance[again]})
+            doc, tid = (np.repeat(np.concatenate([h[i] for h in held]), times)[again] for i in (0, 1))
+            number, distance = (np.concatenate([h[i] for h in held])[again] for i in (3, 4))
             # Neighbours in one context become runs; runs of other buckets join theirs later.
-            kept = kept.sort_values(["doc", "tid", "number", "distance"], ignore_index=True)
-            d = kept["distance"].to_numpy()
-            new = np.ones(len(kept), dtype=bool)
-            if len(kept):
-                new[1:] = (np.diff(d) != 1) | (np.diff(kept["doc"]) != 0) | (np.diff(kept["tid"]) != 0) | (np.diff(kept["number"]) != 0)
+            order = np.lexsort((distance, number, tid, doc))
+            doc, tid, number, distance = (c[order] for c in (doc, tid, number, distance.astype(np.int32)))
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (np.diff(distance) != 1) | (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1]) | (number[1:] != number[:-1])
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(kept)) - 1 if len(first) else first
-            runs = kept.iloc[first][["doc", "tid", "number"]].reset_index(drop=True)
-            runs["low"], runs["high"] = d[first].astype(np.int32), d[last].astype(np.int32)
-            return runs.groupby(["doc", "tid"], as_index=False, sort=False).agg(number=("number", list), low=("low", list), high=("high", list))
+            last = np.append(first[1:], len(doc))[: len(first)] - 1
+            runs = (doc[first], tid[first], number[first], distance[first], distance[last])
+            cuts = range(0, len(first), RUNS_IN_ROW)
+            return pd.DataFrame([[c[i : i + RUNS_IN_ROW] for c in runs] for i in cuts], columns=["doc", "tid", "number", "low", "high"])
 
         for x in batches:
             for r in zip(x["bucket"].tolist(), x["doc"], x["tid"], x["times"], x["number"], x["distance"], x["key"], strict=True):
@@ -228,17 +254,17 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
 
     dealt = texts.select("doc", "tid", "at", "z").mapInPandas(deal, "bucket int, doc array<long>, tid array<long>, times array<int>, number array<int>, distance array<short>, key array<long>")
     sorted_buckets = dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = sorted_buckets.mapInPandas(compare, "doc long, tid long, number array<int>, low array<int>, high array<int>")
-    runs = found.select("doc", "tid", F.explode(F.arrays_zip("number", "low", "high")).alias("r")).select("doc", "tid", "r.*")
+    found = sorted_buckets.mapInPandas(compare, "doc array<long>, tid array<long>, number array<int>, low array<int>, high array<int>")
+    runs = found.select(F.explode(F.arrays_zip("doc", "tid", "number", "low", "high")).alias("r")).select("r.*")
     named = lists.select("doc", "tid", F.posexplode(F.arrays_zip("f", "c", "n")).alias("number", "x")).select("doc", "tid", "number", "x.f", "x.c", "x.n")
-    partly = runs.groupBy("doc", "tid", "number").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    partly = runs.groupBy("doc", "tid", "number").agg(_joined(F.collect_list(F.struct("low", "high"))).alias("runs"))
     out = written(named.join(partly, ["doc", "tid", "number"], "left").where("n > 1 or runs is not null").select("f", "c", F.when(F.col("n") == 1, F.col("runs")).alias("runs")), "repeated-starts")
     forget(spark, texts, lists, kinds)
     return out
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc, tid, spans): byte ranges (start, end), sorted, of repeated starts' strings, by document key and text digest."""
+    """(doc, tid, starts, ends): sorted byte ranges of repeated starts' strings, by document key and text digest."""
     spark = docs.sparkSession
     scheme = Scheme(length)
     anchors = written(_anchor_rows(docs, scheme), "anchors")
@@ -252,7 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     other = flagged.where("mixed").join(partly, ["f", "c"]).select("doc", "tid", "at", F.coalesce("runs", whole).alias("runs"))
     spans = plain.unionByName(other).select("doc", "tid", anchor.alias("p"), F.explode("runs").alias("r"))
     spans = spans.select("doc", "tid", F.struct((F.col("p") - F.col("r.high")).alias("start"), (F.col("p") - F.col("r.low") + length).alias("end")).alias("s"))
-    out = written(spans.groupBy("doc", "tid").agg(F.array_sort(F.collect_set("s")).alias("spans")), "spans")
+    out = written(spans.groupBy("doc", "tid").agg(F.array_sort(F.collect_set("s")).alias("s")).select("doc", "tid", F.col("s.start").alias("starts"), F.col("s.end").alias("ends")), "spans")
     forget(spark, flagged, partly)
     return out
 
@@ -297,12 +323,12 @@ def cut_repeats(docs: DataFrame, length: int = 400, as_text: bool = False) -> Da
         unpack = zstandard.ZstdDecompressor()
         for x in batches:
             out = []
-            for k, z, found in zip(x["_doc"].tolist(), x["_z"], x["_spans"], strict=True):
+            for k, z, starts, ends in zip(x["_doc"].tolist(), x["_z"], x["_starts"], x["_ends"], strict=True):
                 raw = unpack.decompress(z)
-                if found is None or not len(found):
+                if starts is None or not len(starts):
                     out.append((k, len(raw), 0, 0, finish(raw)))
                     continue
-                start, end = _merged(np.array([s["start"] for s in found]), np.array([s["end"] for s in found]))
+                start, end = _merged(np.asarray(starts), np.asarray(ends))
                 edges = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
                 out.append((k, len(raw), len(raw) - len(kept), len(start), finish(kept)))
@@ -313,7 +339,7 @@ def cut_repeats(docs: DataFrame, length: int = 400, as_text: bool = False) -> Da
             raw = [_raw(t) for t in x["text"]]
             yield pd.DataFrame({"doc_id": x["k"].to_numpy(), "n_bytes": [len(r) for r in raw], "n_removed": 0, "n_spans": 0, "kept": [finish(r) for r in raw]}).assign(**{c: x[c].to_numpy() for c in also})
 
-    named = spans.select(F.col("doc").alias("_doc"), F.col("tid").alias("_tid"), F.col("spans").alias("_spans"))
+    named = spans.select(F.col("doc").alias("_doc"), F.col("tid").alias("_tid"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
     moved = few.mapInPandas(packed, f"_doc long{tail}, _tid long, _z binary").join(named, ["_doc", "_tid"], "left")
     both = moved.mapInPandas(cut, schema).unionByName(rest.mapInPandas(whole, schema))
     return both.withColumn("doc_id", F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")))
