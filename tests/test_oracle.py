@@ -12,7 +12,7 @@ SQL = registry.oracle_sql()
 
 
 def shown(value) -> str:
-    if value is None or value != value or str(value) in ("NaT", "<NA>"):
+    if value is None or str(value) in ("NaT", "<NA>") or value != value:
         return "null"
     if isinstance(value, float):
         return str(int(value)) if value == int(value) else str(round(value, 6))
