@@ -133,4 +133,29 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(coalesce(g, []), i - 1)), lambda i: parts[i]), chr(10)), '')) AS kept_sha256
         FROM raw LEFT JOIN gone_by USING (doc_id)
     """,
+    "op4_ngram_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+            FROM words),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+        SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sets LEFT JOIN least_of ON doc_id = a
+    """,
+    "op6_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+        FROM v LEFT JOIN least_of ON vec_id = least_of.a LEFT JOIN counts ON vec_id = counts.a
+    """,
 }
