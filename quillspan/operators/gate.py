@@ -44,24 +44,26 @@ def add_language(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_s")
 
 
-def _hit(haystack: Column, anchor: str) -> Column:
-    return F.contains(haystack, F.lit(anchor.lower()))
-
-
-def class_scores(haystack: Column) -> Column:
-    """For each class: (confidence, signals, order in an English sweep, in a Spanish sweep, code), null without a hit."""
-    out = []
-    for at, (code, _, _, en, es) in enumerate(ontology.DOCUMENT_TYPES):
-        terms = [(lang, a) for lang, group in (("en", en), ("es", es)) for a in group]
-        score = sum((F.when(_hit(haystack, a), ontology.specificity(a)).otherwise(0.0) for _, a in terms), F.lit(0.0))
-        signals = sum((_hit(haystack, a).cast("int") for a in dict.fromkeys(a for _, a in terms)), F.lit(0))
-        of = {lang: F.lit(False) for lang in ("en", "es")}
-        for lang, a in terms:
-            of[lang] = of[lang] | _hit(haystack, a)
-        confidence = F.round(F.least(F.lit(CEILING), 1 - F.pow(F.lit(0.5), score)), 4)
-        order = {lang: F.when(of[lang], at).otherwise(100 + at) for lang in of}
-        out.append(F.when(signals > 0, F.struct(confidence.alias("confidence"), signals.alias("signals"), (-order["en"]).alias("en"), (-order["es"]).alias("es"), of["es"].alias("spanish"), F.lit(code).alias("code"))))
-    return F.array_compact(F.array(*out))
+def class_scores(text: Column) -> Column:
+    """For each class: (confidence, signals, order in an English sweep, in a Spanish sweep, code), null without a hit.
+
+    The text is lowered once and every anchor sought in it once.
+    """
+    anchors = list(dict.fromkeys(a for _, _, _, en, es in ontology.DOCUMENT_TYPES for a in (*en, *es)))
+    place = {a: i for i, a in enumerate(anchors)}
+
+    def classes(hit: Column) -> Column:
+        found = lambda group: F.exists(F.array(*[F.get(hit, F.lit(place[a])) for a in group]), lambda x: x) if group else F.lit(False)
+        out = []
+        for at, (code, _, _, en, es) in enumerate(ontology.DOCUMENT_TYPES):
+            score = sum((F.when(F.get(hit, F.lit(place[a])), ontology.specificity(a)).otherwise(0.0) for a in (*en, *es)), F.lit(0.0))
+            signals = sum((F.get(hit, F.lit(place[a])).cast("int") for a in dict.fromkeys((*en, *es))), F.lit(0))
+            confidence = F.round(F.least(F.lit(CEILING), 1 - F.pow(F.lit(0.5), score)), 4)
+            order = [(-F.when(found(group), at).otherwise(100 + at)).alias(lang) for lang, group in (("en", en), ("es", es))]
+            out.append(F.when(found((*en, *es)), F.struct(confidence.alias("confidence"), signals.alias("signals"), *order, found(es).alias("spanish"), F.lit(code).alias("code"))))
+        return F.array_compact(F.array(*out))
+
+    return once(F.lower(text), lambda low: once(F.array(*[F.contains(low, F.lit(a.lower())) for a in anchors]), classes))
 
 
 def add_class(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -70,7 +72,7 @@ def add_class(docs: DataFrame, text: str = "text") -> DataFrame:
     Anchors count as case-insensitive substrings, in both languages. Ties go to more signals,
     then to the class met first when the document's own language is swept first.
     """
-    ranked = once(class_scores(F.lower(F.col(text))), lambda all_: F.array_max(F.transform(all_, lambda c: F.struct(c["confidence"], c["signals"], F.when(F.col("lang") == "es", c["es"]).otherwise(c["en"]).alias("order"), c["spanish"], c["code"]))))
+    ranked = once(class_scores(F.col(text)), lambda all_: F.array_max(F.transform(all_, lambda c: F.struct(c["confidence"], c["signals"], F.when(F.col("lang") == "es", c["es"]).otherwise(c["en"]).alias("order"), c["spanish"], c["code"]))))
     nations = F.create_map(*[F.lit(x) for code, _, where, _, _ in ontology.DOCUMENT_TYPES for x in (code, where[0])])
     several = [code for code, _, where, _, _ in ontology.DOCUMENT_TYPES if len(where) > 1 and "MX" in where]
     return docs.withColumn("_best", ranked).withColumns({
@@ -82,7 +84,7 @@ def add_class(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def anchor_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, doc_type, rnk, confidence, n_signals): all classes of a document in their order."""
-    ordered = docs.withColumn("_all", F.array_sort(F.transform(class_scores(F.lower(F.col(text))), lambda c: F.struct((-c["confidence"]).alias("c"), (-c["signals"]).alias("n"), (-F.when(F.col("lang") == "es", c["es"]).otherwise(c["en"])).alias("o"), c["code"].alias("code")))))
+    ordered = docs.withColumn("_all", F.array_sort(F.transform(class_scores(F.col(text)), lambda c: F.struct((-c["confidence"]).alias("c"), (-c["signals"]).alias("n"), (-F.when(F.col("lang") == "es", c["es"]).otherwise(c["en"])).alias("o"), c["code"].alias("code")))))
     return ordered.select("doc_id", F.posexplode("_all").alias("at", "x")).select("doc_id", F.col("x.code").alias("doc_type"), (F.col("at") + 1).cast("long").alias("rnk"), (-F.col("x.c")).alias("confidence"), (-F.col("x.n")).cast("long").alias("n_signals"))
 
 
