@@ -94,7 +94,10 @@ def _digest(raw: bytes) -> int:
 
 
 def _anchor_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc, tid, f, c, at): digests of what follows each anchor and of its context; at packs the anchor and its run."""
+    """(doc, tid, f, c, ats): digests of what follows an anchor and of its context; each of ats packs an anchor and its run.
+
+    Anchors of one text with equal contexts, as in a text that repeats itself, are one row.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -103,13 +106,14 @@ def _anchor_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 raw = _raw(text)
                 if len(raw) < scheme.length:
                     continue
-                tid = _digest(raw)
+                tid, kinds = _digest(raw), {}
                 for p, a, b in scheme.anchors(raw).tolist():
-                    out.append((k, tid, _digest(raw[p : p + scheme.core]), _digest(raw[a : b + scheme.length]), p << 24 | p - a << 12 | p - b))
+                    kinds.setdefault((_digest(raw[p : p + scheme.core]), _digest(raw[a : b + scheme.length])), []).append(p << 24 | p - a << 12 | p - b)
+                out.extend((k, tid, f, c, ats) for (f, c), ats in kinds.items())
             if out:
-                yield pd.DataFrame(out, columns=["doc", "tid", "f", "c", "at"])
+                yield pd.DataFrame(out, columns=["doc", "tid", "f", "c", "ats"])
 
-    return docs.select(_key(), "text").mapInPandas(rows, "doc long, tid long, f long, c long, at long")
+    return docs.select(_key(), "text").mapInPandas(rows, "doc long, tid long, f long, c long, ats array<long>")
 
 
 def _key():
@@ -139,7 +143,7 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
     """(f, c, runs): for contexts that repeat in part, the distances from the anchor (from, to) of repeated starts."""
     spark = docs.sparkSession
     n = partitions(spark)
-    kinds = mixed.groupBy("f", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tid", "at")).alias("rep"))
+    kinds = mixed.groupBy("f", "c").agg(F.sum(F.size("ats")).alias("n"), F.min(F.struct("doc", "tid", F.get("ats", F.lit(0)).alias("at"))).alias("rep"))
     kinds = written(kinds.select("f", "c", "n", "rep.*"), "contexts")
     lists = kinds.groupBy("doc", "tid").agg(F.array_sort(F.collect_list(F.struct("at", "f", "c", "n"))).alias("contexts"))
     lists = written(lists.select("doc", "tid", *[F.col(f"contexts.{c}").alias(c) for c in ("at", "f", "c", "n")]), "context-lists")
@@ -268,14 +272,14 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     spark = docs.sparkSession
     scheme = Scheme(length)
     anchors = written(_anchor_rows(docs, scheme), "anchors")
-    seen = anchors.groupBy("f").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("f", (F.col("c1") != F.col("c2")).alias("mixed"))
+    seen = anchors.groupBy("f").agg(F.sum(F.size("ats")).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("f", (F.col("c1") != F.col("c2")).alias("mixed"))
     flagged = written(anchors.join(seen, "f"), "repeated-anchors")
     forget(spark, anchors)
     partly = _repeated_starts(docs, flagged.where("mixed"), scheme)
     anchor = F.shiftright("at", 24)
     whole = F.array(F.struct(F.shiftright("at", 0).bitwiseAND(4095).cast("int").alias("low"), F.shiftright("at", 12).bitwiseAND(4095).cast("int").alias("high")))
-    plain = flagged.where("not mixed").select("doc", "tid", "at", whole.alias("runs"))
-    other = flagged.where("mixed").join(partly, ["f", "c"]).select("doc", "tid", "at", F.coalesce("runs", whole).alias("runs"))
+    plain = flagged.where("not mixed").select("doc", "tid", F.explode("ats").alias("at")).select("doc", "tid", "at", whole.alias("runs"))
+    other = flagged.where("mixed").join(partly, ["f", "c"]).select("doc", "tid", F.explode("ats").alias("at"), "runs").select("doc", "tid", "at", F.coalesce("runs", whole).alias("runs"))
     spans = plain.unionByName(other).select("doc", "tid", anchor.alias("p"), F.explode("runs").alias("r"))
     spans = spans.select("doc", "tid", F.struct((F.col("p") - F.col("r.high")).alias("start"), (F.col("p") - F.col("r.low") + length).alias("end")).alias("s"))
     out = written(spans.groupBy("doc", "tid").agg(F.array_sort(F.collect_set("s")).alias("s")).select("doc", "tid", F.col("s.start").alias("starts"), F.col("s.end").alias("ends")), "spans")
