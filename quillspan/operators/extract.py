@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from quillspan.functions import ids
 from quillspan.functions.text import once
 
+# The patterns that identifiers and machine-readable lines have in texts.
+SSN = r"(?<!\d)(\d{3}-\d{2}-\d{4})(?!\d)"
+EIN = r"(?<!\d)(\d{2}-\d{7})(?!\d)"
+SIN = r"\b(\d{3}[ \-]?\d{3}[ \-]?\d{3})\b"
+BUSINESS_NUMBER = r"\b(\d{9}\s?(?:RC|RM|RP|RT)\s?\d{4}|\d{9})\b"
+CURP = r"\b([A-Z]{4}\d{6}[HMX][A-Z]{5}[0-9A-Z]\d)\b"
+RFC = r"\b([A-ZÑ&]{3,4}\d{6}[0-9A-Z]{2,3})\b"
+ELECTORAL_KEY = r"\b([A-Z]{6}\d{8}[HM]\d{3})\b"
+ZONE_LINE, ZONE_FIRST = "^[A-Z0-9<]{44}$", "^P[A-Z<][A-Z<]{3}"
+
 
 def _found(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
@@ -20,8 +30,8 @@ def _fact(key, value: Column, confidence, ok: Column, sensitivity: str) -> Colum
 
 def us_ids(text: Column) -> Column:
     """EIN, SSN and ITIN with valid parts, between characters that are no digits."""
-    ssn = F.filter(_found(text, r"(?<!\d)(\d{3}-\d{2}-\d{4})(?!\d)"), lambda v: ids.ssn_valid(v) | ids.itin_valid(v))
-    ein = _found(text, r"(?<!\d)(\d{2}-\d{7})(?!\d)")
+    ssn = F.filter(_found(text, SSN), lambda v: ids.ssn_valid(v) | ids.itin_valid(v))
+    ein = _found(text, EIN)
     people = F.transform(ssn, lambda v: _fact(F.when(ids.ssn_valid(v), "id.ssn").otherwise("id.itin"), v, 0.95, F.lit(True), "CRITICAL"))
     return F.concat(F.transform(ein, lambda v: _fact("id.ein", v, 0.95, F.lit(True), "HIGH")), people)
 
@@ -30,8 +40,8 @@ def canada_ids(text: Column) -> Column:
     """SIN as ddd-ddd-ddd and business numbers, both by their check digits; others are dropped."""
     digits = lambda v: F.regexp_replace(v, r"[ \-]", "")
     dashed = lambda v: F.concat_ws("-", F.substring(digits(v), 1, 3), F.substring(digits(v), 4, 3), F.substring(digits(v), 7, 3))
-    sins = F.filter(_found(text, r"\b(\d{3}[ \-]?\d{3}[ \-]?\d{3})\b"), ids.sin_valid)
-    bns = F.filter(_found(text, r"\b(\d{9}\s?(?:RC|RM|RP|RT)\s?\d{4}|\d{9})\b"), ids.bn_valid)
+    sins = F.filter(_found(text, SIN), ids.sin_valid)
+    bns = F.filter(_found(text, BUSINESS_NUMBER), ids.bn_valid)
     return F.concat(
         F.array_distinct(F.transform(sins, lambda v: _fact("id.sin", dashed(v), 0.95, F.lit(True), "CRITICAL"))),
         F.transform(bns, lambda v: _fact("id.business_number", F.regexp_replace(v, r"\s", ""), 0.95, F.lit(True), "HIGH")),
@@ -40,12 +50,12 @@ def canada_ids(text: Column) -> Column:
 
 def mexico_ids(text: Column) -> Column:
     """CURP with its date of birth and sex, RFC graded by its check digit, and electoral keys, unverified."""
-    curps = F.filter(_found(text, r"\b([A-Z]{4}\d{6}[HMX][A-Z]{5}[0-9A-Z]\d)\b"), ids.curp_valid)
-    rfcs = F.filter(_found(text, r"\b([A-ZÑ&]{3,4}\d{6}[0-9A-Z]{2,3})\b"), ids.rfc_structure)
+    curps = F.filter(_found(text, CURP), ids.curp_valid)
+    rfcs = F.filter(_found(text, RFC), ids.rfc_structure)
     sex = lambda v: F.translate(F.substring(v, 11, 1), "HM", "MF")
     of_curp = lambda v: F.array(_fact("id.curp", v, 0.97, F.lit(True), "CRITICAL"), _fact("identity.date_of_birth", ids.curp_birth(v).cast("string"), 0.95, F.lit(True), "HIGH"), _fact("identity.sex", sex(v), 0.95, F.lit(True), "LOW"))
     graded = F.transform(rfcs, lambda v: _fact("id.rfc", v, F.when(ids.rfc_check(v), 0.95).otherwise(0.6), ids.rfc_check(v), "CRITICAL"))
-    keys = F.transform(_found(text, r"\b([A-Z]{6}\d{8}[HM]\d{3})\b"), lambda v: _fact("id.ine_clave_elector", v, 0.8, F.lit(None).cast("boolean"), "CRITICAL"))
+    keys = F.transform(_found(text, ELECTORAL_KEY), lambda v: _fact("id.ine_clave_elector", v, 0.8, F.lit(None).cast("boolean"), "CRITICAL"))
     return F.concat(F.flatten(F.transform(curps, of_curp)), graded, keys)
 
 
@@ -59,8 +69,8 @@ def passport_zone(docs: DataFrame) -> DataFrame:
 
     Confidence is .99 if number, birth, expiry and the whole line check, else .40.
     """
-    lines = F.filter(F.transform(F.split("text", r"\n"), lambda x: F.upper(F.regexp_replace(x, r"\s", ""))), lambda x: x.rlike("^[A-Z0-9<]{44}$"))
-    start = F.filter(F.sequence(F.lit(0), F.size("l") - 2), lambda i: F.get(F.col("l"), i).rlike("^P[A-Z<][A-Z<]{3}"))
+    lines = F.filter(F.transform(F.split("text", r"\n"), lambda x: F.upper(F.regexp_replace(x, r"\s", ""))), lambda x: x.rlike(ZONE_LINE))
+    start = F.filter(F.sequence(F.lit(0), F.size("l") - 2), lambda i: F.get(F.col("l"), i).rlike(ZONE_FIRST))
     zones = docs.select("doc_id", lines.alias("l")).where("size(l) >= 2").select("doc_id", "l", F.get(start, F.lit(0)).alias("at")).where("at is not null")
     pair = zones.select("doc_id", F.get("l", F.col("at")).alias("a"), F.get("l", F.col("at") + 1).alias("b"))
     part = lambda start, n: F.substring("b", start, n)

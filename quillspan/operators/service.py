@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the pattern of a currency amount.
+AMOUNT = r"(?<![\w.])(?:CAD\s*)?\$?\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?|\d+(?:\.\d{2})?)"
+
 
 def active(keys: DataFrame, now: Column) -> DataFrame:
     return keys.where(F.col("disabled_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
@@ -100,7 +103,7 @@ def anchor_tails(lines: DataFrame, anchors: list[str]) -> DataFrame:
 
 def amounts(text: Column) -> Column:
     """All currency amounts as numbers; without groups an amount ends after three digits, as its pattern has it."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.])(?:CAD\s*)?\$?\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?|\d+(?:\.\d{2})?)"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(1))
     return F.transform(found, lambda v: F.regexp_replace(v, "[$,]", "").try_cast("double"))
 
 
