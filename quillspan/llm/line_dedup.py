@@ -9,7 +9,7 @@ from quillspan.llm.common import forget, written
 
 #: Shingle buckets counted for rarity, and the commonest of them that the order knows. Any order
 #: gives the same matches; these bound only what the order has to remember.
-COUNTED_BUCKETS, COMMON = 1 << 20, (256, 4096)
+COUNTED_BUCKETS, COMMON = 1 << 18, 4096
 #: Lines whose places may be broadcast to look up their texts; beyond it both sides are shuffled.
 BROADCAST_LINES = 1_000_000
 NULL_KEY = -(2**63)
@@ -21,10 +21,27 @@ def _bare(line: Column) -> Column:
     return F.trim(F.lower(line), F.lit(_SPACES))
 
 
-def _shingles(words: Column, size: int, digest) -> Column:
-    """Distinct digests of the shingles of so many words; fewer words are one shingle."""
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: digest(*[F.get(words, i + k) for k in range(size)]))
-    return F.when(F.size(words) >= size, F.array_distinct(many)).otherwise(F.array(digest(F.array_join(words, " "))))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _words(bare: Column) -> Column:
+    """The words between white space; the usual line, with single blanks only, needs no pattern."""
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(bare, F.lit(gap))
+    return F.when(odd, F.split(bare, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(bare, " ", -1))
+
+
+def _shingles(bare: Column, size: int, digest) -> Column:
+    """Distinct digests, made of the words' own, of the shingles of so many words; fewer words are one shingle."""
+
+    def of(words: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: digest(*[F.get(words, i + k) for k in range(size)]))
+        return F.when(F.size(words) >= size, F.array_distinct(many)).otherwise(F.array(digest(words)))
+
+    return _once(F.transform(_words(bare), lambda w: digest(w)), of)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -33,59 +50,127 @@ def _lines(docs: DataFrame) -> DataFrame:
     return parts.select("doc", "line_no", _bare(F.col("line")).alias("bare")).where("bare <> ''")
 
 
-def _words(bare: Column) -> Column:
-    return F.split(bare, r"[\x20\x09-\x0D]+", -1)
-
-
 def _prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100).cast("int") + 1
 
 
+_PLACE = ["doc", "line_no"]
+
+
+def _sides(lists: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(lists.select("t", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "xy")
+
+
+def _candidates(firsts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of an earlier and a later ``open`` line that share a leading token and may be similar enough.
+
+    A pair is skipped if the lengths are too far apart, if what is left behind the two places
+    can't reach the overlap, or if the tokens just before are equal: then the pair meets there too.
+    """
+    # The place and whether the line is open share a number, so that both sides are one shuffle's rows.
+    steps = F.transform("lead", lambda t, i: F.struct(t.alias("t"), (2 * i + F.col("open").cast("int")).alias("i"), F.when(i > 0, F.get("lead", i - 1)).alias("before")))
+    lists = firsts.select(*_PLACE, "n", F.explode(steps).alias("s")).select(*_PLACE, "n", "s.*")
+    x, y = _sides(lists, *_PLACE, "n", "i", "before")
+    place = lambda c: F.shiftright(c, 1)
+    reach = F.least(F.col("n_x") - place("i_x"), F.col("n_y") - place("i_y"))
+    close = (
+        # With a number of the other side, so that it isn't pushed below the shared shuffle.
+        (F.col("i_y").bitwiseAND(1) * F.col("n_x") > 0)
+        & (F.struct("doc_x", "line_no_x") < F.struct("doc_y", "line_no_y"))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & ((100 + percent) * reach >= percent * (F.col("n_x") + F.col("n_y")))
+        & ~F.coalesce(F.col("before_x") == F.col("before_y"), F.lit(False))
+    )
+    return x.join(y, [x["t"] == y["t"], close]).select("doc_x", "line_no_x", "doc_y", "line_no_y").distinct()
+
+
+def _leaders(firsts: DataFrame, percent: int) -> DataFrame:
+    """Each line with common leading tokens, and of their lists' leaders the one with the earliest place.
+
+    A leader has the fewest rare tokens of its list. Pairs are as many as such lines, at most.
+    """
+    steps = F.filter(F.transform("lead", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda s: s["t"] >= 1 << 32)
+    lists = firsts.select(*_PLACE, "n", F.explode(steps).alias("s")).select(*_PLACE, "n", "s.*")
+    leaders = lists.groupBy("t").agg(F.min(F.struct("i", *_PLACE, "n")).alias("l"), F.count("*").alias("lines")).where("lines > 1")
+    fits = 100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")
+    met = lists.join(leaders, "t").where(fits & ((F.col("doc") != F.col("l.doc")) | (F.col("line_no") != F.col("l.line_no"))))
+    one = met.groupBy(*_PLACE).agg(F.min("l").alias("l")).select(F.struct(*_PLACE).alias("a"), F.struct("l.doc", "l.line_no").alias("b"))
+    ordered = one.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return ordered.select(F.col("x.doc").alias("doc_x"), F.col("x.line_no").alias("line_no_x"), F.col("y.doc").alias("doc_y"), F.col("y.line_no").alias("line_no_y")).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    x, y = (pairs.select(*[F.col(f"{c}_{side}").alias(c) for c in _PLACE]) for side in "xy")
+    return written(x.unionByName(y).distinct(), "line-ends")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets (doc, line_no, s) are similar enough."""
+    side = lambda c: sets.select(F.col("doc").alias(f"doc_{c}"), F.col("line_no").alias(f"line_no_{c}"), F.col("s").alias(f"s_{c}"))
+    both = pairs.join(side("x"), ["doc_x", "line_no_x"]).join(side("y"), ["doc_y", "line_no_y"])
+    shared = F.size(F.array_intersect("s_x", "s_y"))
+    return both.where(100 * shared >= percent * (F.size("s_x") + F.size("s_y") - shared)).select("doc_x", "line_no_x", "doc_y", "line_no_y")
+
+
+def _later(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("doc_y").alias("doc"), F.col("line_no_y").alias("line_no")).distinct()
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LINES else rows
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that hold on 64-bit shingles, made anew from the texts of their lines alone."""
+    ends = _ends(pairs)
+    by_doc = ends.groupBy("doc").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers"))
+    some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc"), "text").join(_few(by_doc), "doc")
+    lines = some.select("doc", F.explode(_once(F.split("text", "\n", -1), lambda all_: F.transform("numbers", lambda i: F.struct(i.alias("line_no"), F.get(all_, i).alias("line"))))).alias("l"))
+    sets = written(lines.select("doc", "l.line_no", _shingles(_bare(F.col("l.line")), size, F.xxhash64).alias("s")).dropDuplicates(_PLACE), "line-sets")
+    out = written(_similar(pairs, sets, percent), "line-links")
+    forget(docs.sparkSession, ends, sets)
+    return out
+
+
 def matches(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc, line_no, same, first) of every line with words, and (doc, line_no) of first lines that match an earlier one.
 
     ``same`` tells lines of equal bare text; ``first`` marks the earliest of them by (doc, line_no).
     """
     spark = docs.sparkSession
-    lines = _lines(docs).select("doc", "line_no", F.xxhash64("bare").alias("same"), _shingles(_words(F.col("bare")), size, F.hash).alias("tokens"))
+    lines = _lines(docs).select(*_PLACE, F.xxhash64("bare").alias("same"), _shingles(F.col("bare"), size, F.hash).alias("tokens"))
     lines = written(lines, "lines")
     # Rarity: buckets of tokens by how often they occur in all lines.
     buckets = lines.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(COUNTED_BUCKETS)).alias("bucket")).count()
     counted = written(buckets, "token-buckets")
     mean = counted.agg(F.avg("count")).first()[0] or 0
-    top = [r["bucket"] for r in counted.where(F.col("count") > 2 * mean + 8).orderBy(F.desc("count"), "bucket").limit(max(COMMON)).collect()]
-    bucket = lambda t: F.pmod(t, F.lit(COUNTED_BUCKETS))
-    level = lambda t: F.when(bucket(t).isin(top[: COMMON[0]]), 2).when(bucket(t).isin(top), 1).otherwise(0) if top else F.lit(0)
-    ranked = F.transform("tokens", lambda t: F.shiftleft(level(t).cast("long"), 32) + F.pmod(t.cast("long"), F.lit(1 << 32)))
+    top = [r["bucket"] for r in counted.where(F.col("count") > 2 * mean + 8).orderBy(F.desc("count"), "bucket").limit(COMMON).collect()]
+    common = f"pmod(t, {COUNTED_BUCKETS}) in ({', '.join(map(str, top))})" if top else "false"
+    ranked = F.expr(f"transform(tokens, t -> if({common}, {1 << 32}, 0L) + pmod(cast(t as bigint), {1 << 32}))")
     n = F.size("tokens")
-    leads = lines.select("same", F.struct("doc", "line_no", n.alias("n"), F.slice(F.sort_array(ranked), F.lit(1), _prefix_length(n, percent)).alias("lead")).alias("line"))
+    leads = lines.select("same", F.struct(*_PLACE, n.alias("n"), F.slice(F.sort_array(ranked), F.lit(1), _prefix_length(n, percent)).alias("lead")).alias("line"))
     # Of equal lines the earliest; the aggregate combines before the shuffle, however common a line is.
     firsts = written(leads.groupBy("same").agg(F.min("line").alias("line")).select("same", "line.*"), "first-lines")
-    steps = F.transform("lead", lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.when(i > 0, F.get("lead", i - 1)).alias("before")))
-    lists = firsts.select("doc", "line_no", "n", F.explode(steps).alias("s")).select("doc", "line_no", "n", "s.*")
-    x, y = (lists.select("t", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "line_no", "n", "i", "before")]) for side in "xy")
-    reach = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
-    close = (
-        (F.struct("doc_x", "line_no_x") < F.struct("doc_y", "line_no_y"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & ((100 + percent) * reach >= percent * (F.col("n_x") + F.col("n_y")))
-        & ~F.coalesce(F.col("before_x") == F.col("before_y"), F.lit(False))
-    )
-    pairs = x.join(y, [x["t"] == y["t"], close]).select("doc_x", "line_no_x", "doc_y", "line_no_y").distinct()
-    pairs = written(pairs, "line-pairs")
-    ends = pairs.select(F.col("doc_x").alias("doc"), F.col("line_no_x").alias("line_no")).unionByName(pairs.select(F.col("doc_y").alias("doc"), F.col("line_no_y").alias("line_no"))).distinct()
-    ends = written(ends, "line-ends")
-    few = F.broadcast(ends) if ends.count() <= BROADCAST_LINES else ends
-    sets = _lines(docs).join(few, ["doc", "line_no"]).select("doc", "line_no", _shingles(_words(F.col("bare")), size, F.xxhash64).alias("s")).dropDuplicates(["doc", "line_no"])
-    sets = written(sets, "line-sets")
-    side = lambda c: sets.select(F.col("doc").alias(f"doc_{c}"), F.col("line_no").alias(f"line_no_{c}"), F.col("s").alias(f"s_{c}"))
-    both = pairs.join(side("x"), ["doc_x", "line_no_x"]).join(side("y"), ["doc_y", "line_no_y"])
-    shared = F.size(F.array_intersect("s_x", "s_y"))
-    later = both.where(100 * shared >= percent * (F.size("s_x") + F.size("s_y") - shared)).select(F.col("doc_y").alias("doc"), F.col("line_no_y").alias("line_no")).distinct()
+    # Lines that seem to match their lists' leaders are decided by that pair and need no others.
+    led = written(_leaders(firsts, percent), "leader-pairs")
+    tokens = lines.join(_few(_ends(led)), _PLACE).select(*_PLACE, F.col("tokens").alias("s")).dropDuplicates(_PLACE)
+    decided = written(_similar(led, written(tokens, "leader-tokens"), percent), "leader-links")
+    # The tokens have done their work; what marks the lines is kept.
+    places = written(lines.select(*_PLACE, "same"), "line-places")
+    forget(spark, lines, counted)
+    closed = written(_later(decided).withColumn("open", F.lit(False)), "closed-lines")
+    marked = firsts.join(closed, _PLACE, "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    links = _verified(docs, written(_candidates(marked, percent).unionByName(decided), "line-pairs"), size, percent)
+    later = _later(links)
+    # The index has 32 bits of a shingle: a line whose deciding pair fails on 64 bits is compared with all others.
+    failed = written(closed.join(later, _PLACE, "left_anti"), "failed-lines")
+    if failed.limit(1).count():
+        again = firsts.join(failed.select(*_PLACE, F.lit(True).alias("_again")), _PLACE, "left").withColumn("open", F.coalesce("_again", F.lit(False))).drop("_again")
+        later = later.unionByName(_later(_verified(docs, written(_candidates(again, percent), "line-pairs"), size, percent))).distinct()
     later = written(later, "later-lines")
-    marks = lines.select("doc", "line_no", "same").join(firsts.select(F.col("same").alias("_s"), F.col("doc").alias("_d"), F.col("line_no").alias("_l")), F.col("same") == F.col("_s"))
-    marks = written(marks.select("doc", "line_no", "same", ((F.col("doc") == F.col("_d")) & (F.col("line_no") == F.col("_l"))).alias("first")), "line-marks")
-    forget(spark, lines, counted, firsts, pairs, ends, sets)
+    marks = places.join(firsts.select(F.col("same").alias("_s"), F.col("doc").alias("_d"), F.col("line_no").alias("_l")), F.col("same") == F.col("_s"))
+    marks = written(marks.select(*_PLACE, "same", ((F.col("doc") == F.col("_d")) & (F.col("line_no") == F.col("_l"))).alias("first")), "line-marks")
+    forget(spark, places, firsts, led, decided, closed, links, failed)
     return marks, later
 
 
