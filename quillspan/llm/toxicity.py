@@ -24,6 +24,9 @@ BOUNDARY, OTHER, SYMBOLS = 26, 27, 28
 #: kept, those dropped but for one or two, and a pair made one.
 KEEP, SUBSTITUTE, REPEAT_KEPT, REPEAT_DROPPED, PAIR_DROPPED = 0.0, -1.0, -1.5, -0.7, -5.0
 
+#: Words, and disguised tokens, that one worker remembers.
+REMEMBERED = 100_000
+
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET_CLASS = re.escape("".join(LEET))
 # A token that mixes letters with stand-ins, with a letter or stand-in at both ends; at most 24 characters.
@@ -141,7 +144,7 @@ class Restorer:
         out = set(_WORD.findall(lower))
         for token in disguised(lower):
             if token not in self.seen:
-                if len(self.seen) > 100_000:
+                if len(self.seen) > REMEMBERED:
                     self.seen.clear()
                 self.seen[token] = restore(token, self.model)
             out.add(self.seen[token])
@@ -168,7 +171,7 @@ class Classifier:
         found: set[str] = set()
         for word in words:
             if (fs := known.get(word)) is None:
-                if len(known) > 400_000:
+                if len(known) > REMEMBERED:
                     known.clear()
                 fs = known[word] = tuple(f for f in features(word) if f in self.weights)
             if fs:
