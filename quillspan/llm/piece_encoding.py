@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -25,14 +25,14 @@ from quillspan.llm.common import forget, fresh_path, partitions, written
 from quillspan.llm.token_files import filesystem
 
 SPACE = "▁"
-# Runs of blanks begin a word, line feeds stand alone.
-_WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Longer words are encoded by the library in the task that meets them: the mask of a path is one long.
 LONGEST = 62
-#: The commonest words, whose paths every task reads; the others' paths go to the splits that have them.
+#: Words of the most splits, whose paths every task reads; the others' paths go to the splits that have them.
 COMMON = 150_000
-#: Words that a task counts before it passes them on.
-COUNTED_AT_ONCE = 400_000
+#: Different words that a task gathers before it passes them on, and words whose ids a task remembers.
+COUNTED_AT_ONCE, REMEMBERED = 400_000, 300_000
+#: Words of all splits, repeats included, that one partition gathers edges of.
+WORDS_IN_PART = 100_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -53,18 +53,44 @@ class Pieces:
         self.ids = {piece: i for piece, i, _ in self.rows}
         self.byte = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(len(piece) for piece, _, _ in self.rows)
-        if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("a piece crosses words")
+        self.pattern = re.compile(self._words())
         self.strings = {i: piece.replace(SPACE, " ").encode() for piece, i, _ in self.rows} | {i: bytes([b]) for b, i in enumerate(self.byte)}
 
+    def _words(self) -> str:
+        """A pattern of words that no piece crosses.
+
+        Blanks begin a word, line feeds stand alone, and a letter is cut from a mark behind it,
+        for those marks that no piece has behind a letter.
+        """
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        if any("\n" in x or (x[1] == SPACE and x[0] != SPACE) for x in pairs):
+            raise ValueError("a piece crosses words")
+        letter = "A-Za-zÀ-ÖØ-öø-ɏ"
+        bound = {x[1] for x in pairs if re.match(f"[{letter}]", x)}
+        marks = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in bound)
+        plain, whole = f"{SPACE}*[{letter}]+", f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+        if not marks:
+            return whole
+        return f"{plain}(?=[{marks}{SPACE}\n])|{SPACE}*[^{SPACE}\n]*?[{letter}](?=[{marks}])|{whole}"
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text behind the blank that encoding puts before it; none for the empty text."""
+        return self.pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
     def word(self, word: str, mask: int) -> bytes:
         """Ids of a word whose symbols begin at the bits of ``mask``, as little-endian 32-bit integers."""
-        cuts = [i for i in range(len(word) + 1) if mask >> i & 1]
-        out: list[int] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            found = self.ids.get(word[a:b])
-            out.extend([found] if found is not None else [self.byte[x] for x in word[a:b].encode()])
-        return np.array(out, dtype="<u4").tobytes()
+        out, start, rest = array("I"), 0, mask & ~1
+        while rest:
+            low = rest & -rest
+            stop = low.bit_length() - 1
+            piece = word[start:stop]
+            found = self.ids.get(piece)
+            if found is None:
+                out.extend(self.byte[x] for x in piece.encode())
+            else:
+                out.append(found)
+            start, rest = stop, rest ^ low
+        return out.tobytes()
 
     def long_word(self, word: str) -> bytes:
         """The library's ids; the blank that it puts before a text is the word's own, or is cut off again behind a line feed."""
@@ -75,29 +101,37 @@ class Pieces:
         return np.array(ids[len(lead) :], dtype="<u4").tobytes()
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text behind the blank that encoding puts before it; none for the empty text."""
-    return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def paths(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, mask) for rows (word, n) already grouped by word: bits where the symbols of its path begin and end.
+    """(word, n, mask) for rows (word, n) dealt by word: bits where the symbols of its path begin and end.
 
-    The edges of a word are gathered where the word is, without another shuffle.
+    An edge travels as one number: its piece's rank by score (equal scores share one), its start
+    and its length. The edges of a word are gathered where the word is, without another shuffle.
     """
     spark = words.sparkSession
-    table = spark.createDataFrame([(p, score) for p, _, score in pieces.rows if len(p) > 1], "piece string, score double")
-    at = lambda i: F.sequence(F.lit(2), F.least(F.lit(pieces.longest), F.length("word") - i))
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.length("word") - 2), lambda i: F.transform(at(i), lambda n: F.struct(i.alias("i"), n.alias("n"), F.substring("word", i + 1, n).alias("piece")))))
-    some = F.when(F.length("word") > 1, parts)
-    edges = words.select("word", "n", F.explode_outer(some).alias("s")).select("word", F.col("n").alias("count"), "s.i", "s.n", "s.piece")
+    order = {score: rank for rank, score in enumerate(sorted({score for p, _, score in pieces.rows if len(p) > 1}, reverse=True))}
+    table = spark.createDataFrame([(p, order[score]) for p, _, score in pieces.rows if len(p) > 1], "piece string, rank int")
+    # A substring is made only where a piece begins with its first three, and then four characters.
+    begin = {k: ", ".join(_quoted(x) for x in sorted({p[:k] for p, _, _ in pieces.rows if len(p) >= k})) for k in (3, 4)}
+    most = f"least({pieces.longest}, length(word) - i)"
+    longest = f"case when substring(word, i + 1, 3) not in ({begin[3]}) then 2 when substring(word, i + 1, 4) not in ({begin[4]}) then 3 else {pieces.longest} end"
+    parts = F.expr(f"flatten(transform(sequence(0, length(word) - 2), i -> transform(sequence(2, least({most}, {longest})), n -> named_struct('at', i * 64 + n, 'piece', substring(word, i + 1, n)))))")
+    edges = words.select("word", "n", F.explode_outer(F.when(F.length("word") > 1, parts)).alias("s")).select("word", "n", "s.at", "s.piece")
+    # The vocabulary is bounded, so its table is broadcast. One row without a piece stays for each word.
+    hit = edges.join(F.broadcast(table), "piece", "left").where("rank is not null or at is null or at = 2")
+    number = F.when(F.col("rank").isNotNull(), F.col("rank").cast("long") * 4096 + F.col("at"))
+    grouped = hit.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(number)).alias("edges"))
     one = F.lit(1).cast("long")
     bit = lambda i: F.call_function("shiftleft", one, i)
-    # The vocabulary is bounded, so its table is broadcast.
-    hit = edges.join(F.broadcast(table), "piece", "left")
-    last = F.col("i") + F.col("n")
-    edge = F.struct((-F.col("score")).alias("rank"), F.col("i").alias("i"), bit(F.col("i")).bitwiseOR(bit(last)).alias("ends"), (bit(last) - bit(F.col("i") + 1)).alias("inside"))
-    grouped = hit.groupBy("word").agg(F.first("count").alias("n"), F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), edge))).alias("edges"))
+
+    def ends(edge):
+        start, stop = F.shiftright(edge, 6).bitwiseAND(63).cast("int"), (F.shiftright(edge, 6).bitwiseAND(63) + edge.bitwiseAND(63)).cast("int")
+        return F.struct(bit(start).bitwiseOR(bit(stop)).alias("ends"), (bit(stop) - bit(start + 1)).alias("inside"))
+
+    ready = grouped.select("word", "n", F.transform("edges", ends).alias("edges"))
 
     def merge(mask, _):
         fits = F.filter("edges", lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inside"])) == 1))
@@ -106,7 +140,7 @@ def paths(words: DataFrame, pieces: Pieces) -> DataFrame:
 
     every = bit(F.length("word") + 1) - 1
     steps = F.when((F.size("edges") > 0) & (F.length("word") > 1), F.sequence(F.lit(1), F.length("word") - 1)).otherwise(F.array().cast("array<int>"))
-    return grouped.select("word", "n", F.aggregate(steps, every, merge).alias("mask"))
+    return ready.select("word", "n", F.aggregate(steps, every, merge).alias("mask"))
 
 
 def _split() -> F.Column:
@@ -122,25 +156,31 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
     pieces = Pieces(path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, seen = None, Counter()
-        out = lambda: pd.DataFrame({"g": now, "word": list(seen), "n": list(seen.values())})
+        own, now, seen = Pieces(path), None, set()
+        out = lambda: pd.DataFrame({"word": [w for w in seen if len(w) <= LONGEST]}).assign(g=now)[["g", "word"]]
         for x in batches:
             for g, texts in x.groupby("g", sort=False)["text"]:
                 if seen and (g != now or len(seen) > COUNTED_AT_ONCE):
                     yield out()
-                    seen = Counter()
+                    seen = set()
                 now = g
                 for text in texts:
-                    seen.update(w for w in words_of(text) if len(w) <= LONGEST)
+                    seen.update(own.words(text))
         if seen:
             yield out()
 
-    found = written(source.mapInPandas(count, "g long, word string, n long"), "split-words")
-    known = written(paths(found.groupBy("word").agg(F.sum("n").alias("n")), pieces), "word-paths")
+    found = written(source.mapInPandas(count, "g long, word string"), "split-words")
+    # So few words for each partition that their edges are gathered in memory, by hash.
+    parts = max(partitions(spark), -(-found.count() // WORDS_IN_PART))
+    known = found.repartition(parts, "word").groupBy("word").agg(F.count("*").alias("n"))
+    setting, before = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
+    spark.conf.set(setting, str(2 * WORDS_IN_PART))
+    known = written(paths(known, pieces), "word-paths")
+    spark.conf.set(setting, before)
     common = written(known.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "mask"), "common-paths")
     rare = found.select("g", "word").distinct().join(F.broadcast(common.select("word")), "word", "left_anti").join(known.select("word", "mask"), "word")
     folder = fresh_path(spark, "split-paths")
-    rare.select("g", "word", "mask").repartition(partitions(spark), "g").write.partitionBy("g").parquet(folder)
+    rare.select("g", "word", "mask").repartition(partitions(spark), "g").write.option("compression", "zstd").partitionBy("g").parquet(folder)
     forget(spark, found, known)
     files = sorted({f.rsplit("/", 1)[0] for f in common.inputFiles()})
 
@@ -160,30 +200,29 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
                     out.update(zip(t["word"].to_pylist(), t["mask"].to_pylist(), strict=True))
             return out
 
-        everywhere: dict[str, int | bytes] = {}
+        class Known(dict):
+            """Ids of words met, made from their masks at the first time."""
+
+            def __missing__(self, word: str) -> bytes:
+                mask = here.get(word, everywhere.get(word))
+                if mask is None and len(word) <= LONGEST:
+                    raise KeyError(f"no path for a word of split {now}")
+                if len(self) > REMEMBERED:
+                    self.clear()
+                done = self[word] = own.long_word(word) if mask is None else own.word(word, mask)
+                return done
+
+        everywhere: dict[str, int] = {}
         for place in files:
             everywhere.update(load(place))
-        now, here = None, {}
-
-        def ids(word: str) -> bytes:
-            """The ids of a word; its mask gives way to them when it is met."""
-            table = everywhere if word in everywhere else here
-            value = table.get(word)
-            if isinstance(value, bytes):
-                return value
-            if value is None:
-                if len(word) <= LONGEST:
-                    raise KeyError(f"no path for a word of split {now}")
-                return own.long_word(word)
-            table[word] = done = own.word(word, value)
-            return done
+        now, here, known = None, {}, Known()
 
         for x in batches:
             out = []
             for k, text, g in zip(x["doc_id"].astype(object).tolist(), x["text"].tolist(), x["g"].tolist(), strict=True):
                 if g != now:
                     now, here = g, load(f"{folder}/g={g}")
-                encoded = np.frombuffer(b"".join(map(ids, words_of(text))), dtype="<u4")
+                encoded = np.frombuffer(b"".join(map(known.__getitem__, own.words(text))), dtype="<u4")
                 out.append(rows(None if k is None or k != k else int(k), encoded, own))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 
