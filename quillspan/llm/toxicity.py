@@ -23,17 +23,25 @@ BOUNDARY, OTHER, SYMBOLS = 26, 27, 28
 #: Natural-log costs of the channel: a letter as itself, a substitution, three or more of a letter
 #: kept, those dropped but for one or two, and a pair made one.
 KEEP, SUBSTITUTE, REPEAT_KEPT, REPEAT_DROPPED, PAIR_DROPPED = 0.0, -1.0, -1.5, -0.7, -5.0
+#: Words of spaced letters count if a path through them costs at most so much more than the best one.
+MARGIN = 12.0
 
 #: Words, and disguised tokens, that one worker remembers.
 REMEMBERED = 100_000
+#: Characters of a token that is remembered; longer ones are restored anew.
+REMEMBERED_LENGTH = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET_CLASS = re.escape("".join(LEET))
-# A token that mixes letters with stand-ins, with a letter or stand-in at both ends; at most 24 characters.
-_MIXED = re.compile(rf"(?<![\w@$|+€£])(?=[a-z{_LEET_CLASS}]*[a-z])(?=[a-z]*[{_LEET_CLASS}])[a-z{_LEET_CLASS}]{{3,24}}(?![\w@$|+€£])")
-# Letters one by one with the same kind of gap between them.
-_SPACED = re.compile(rf"(?<!\w)[a-z{_LEET_CLASS}](?:([ .\-_*~])[a-z{_LEET_CLASS}])(?:\1[a-z{_LEET_CLASS}]){{2,15}}(?!\w)")
-_REPEATED = re.compile(r"(?<!\w)[a-z]{0,20}([a-z])\1\1[a-z]{0,20}(?!\w)")
+# A whole run of letters and stand-ins that has a stand-in, of any length.
+_RUN = re.compile(rf"(?<![a-z{_LEET_CLASS}])[a-z]*+[{_LEET_CLASS}][a-z{_LEET_CLASS}]*+")
+# Letters one by one with the same kind of gap between them, however many.
+_SPACED = re.compile(rf"(?<!\w)[a-z{_LEET_CLASS}]([ .\-_*~])[a-z{_LEET_CLASS}](?:\1[a-z{_LEET_CLASS}])*(?!\w)")
+_REPEATED = re.compile(r"(?<!\w)(?=[a-z]*?([a-z])\1\1)[a-z]++(?!\w)")
+_GAPS = frozenset(" .-_*~")
+_LETTER = re.compile("[a-z]")
+#: Stand-ins that may also be marks beside a word.
+MARKS = "!|+($"
 _STAND_INS = frozenset("".join(LEET))
 
 
@@ -80,53 +88,141 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def lattice(observed: str) -> list[list[tuple[int, float, int]]]:
-    """For each position: (symbol or -1 for none, cost, characters used); gaps are dropped, long repeats shortened."""
+    """For each position: (symbol, cost, characters used); long repeats are shortened."""
     out: list[list[tuple[int, float, int]]] = []
-    for i, c in enumerate(observed):
-        if "a" <= c <= "z":
-            edges = [(ord(c) - 97, KEEP, 1)]
-            run = 1
-            while i + run < len(observed) and observed[i + run] == c:
-                run += 1
-            if run > 2:
-                edges = [(ord(c) - 97, REPEAT_KEPT, 1), (ord(c) - 97, REPEAT_DROPPED, run - 1), (ord(c) - 97, REPEAT_DROPPED, run)]
-            elif run == 2:
-                edges.append((ord(c) - 97, PAIR_DROPPED, 2))
-        elif c in LEET:
-            edges = [(ord(x) - 97, SUBSTITUTE, 1) for x in LEET[c]]
+    run = 0
+    for i in range(len(observed) - 1, -1, -1):
+        c = observed[i]
+        run = run + 1 if observed[i + 1 : i + 2] == c else 1
+        letters = [(ord(x) - 97, SUBSTITUTE) for x in LEET[c]] if c in LEET else [(ord(c) - 97, KEEP)]
+        if run > 2:
+            out.append([e for x, cost in letters for e in ((x, cost + REPEAT_KEPT, 1), (x, cost + REPEAT_DROPPED, run - 1), (x, cost + REPEAT_DROPPED, run))])
+        elif run == 2 and c not in LEET:
+            out.append([(letters[0][0], KEEP, 1), (letters[0][0], PAIR_DROPPED, 2)])
         else:
-            edges = [(-1, 0.0, 1)]
-        out.append(edges)
-    return out
+            out.append([(x, cost, 1) for x, cost in letters])
+    return out[::-1]
+
+
+def _spelled(link: tuple | None) -> str:
+    """The letters of a path from its last to its first link."""
+    out = []
+    while link is not None:
+        link, symbol = link
+        out.append(chr(97 + symbol))
+    return "".join(reversed(out))
 
 
-def restore(observed: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a disguised word: Viterbi over the lattice, two symbols of history."""
+def restore(observed: str, model: np.ndarray | list, ends: set[int] | None = None) -> set[str]:
+    """The likeliest letters behind the characters up to each of ``ends`` (all characters if None).
+
+    Viterbi over the lattice, two symbols of history.
+    """
+    ends = {len(observed)} if ends is None else ends
+    out = set()
+    best: list[dict] = [{} for _ in range(len(observed) + 1)]
+    best[0] = {(BOUNDARY, BOUNDARY): (0.0, None)}
     edges = lattice(observed)
-    best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(observed) + 1)]
-    best[0] = {(BOUNDARY, BOUNDARY): (0.0, "")}
-    for i, choices in enumerate(edges):
-        for (a, b), (score, letters) in best[i].items():
-            for symbol, cost, used in choices:
-                if symbol < 0:
-                    state, value, out = (a, b), score + cost, letters
-                else:
-                    state, value, out = (b, symbol), score + cost + float(model[a, b, symbol]), letters + chr(97 + symbol)
-                if state not in best[i + used] or best[i + used][state][0] < value:
-                    best[i + used][state] = (value, out)
-    ends = [(score + float(model[a, b, BOUNDARY]), letters) for (a, b), (score, letters) in best[-1].items()]
-    return max(ends)[1] if ends else ""
+    for i, states in enumerate(best):
+        if i in ends and states:
+            out.add(max((score + float(model[a][b][BOUNDARY]), _spelled(link)) for (a, b), (score, link) in states.items())[1])
+        if i == len(observed):
+            break
+        for (a, b), (score, link) in states.items():
+            row = model[a][b]
+            for symbol, cost, used in edges[i]:
+                state, value = (b, symbol), score + cost + float(row[symbol])
+                there = best[i + used]
+                if state not in there or there[state][0] < value:
+                    there[state] = (value, (link, symbol))
+        best[i] = {}
+    return out
+
+
+def parted(letters: str, model: np.ndarray | list) -> set[str]:
+    """The words on the likeliest paths over a lattice in which each gap may be the boundary of two words.
+
+    A word counts if the best path through its two boundaries is within MARGIN of the best of all:
+    trigrams alone are too poor to trust the best one. Equal letters in a row may belong to two
+    words, so keeping them is free. At worst the time grows with the square of the letters.
+    """
+    n, edges = len(letters), lattice(letters)
+    for at, c in enumerate(letters):
+        if letters[at + 1 : at + 2] == c:
+            edges[at] += [(ord(x) - 97, SUBSTITUTE if c in LEET else KEEP, 1) for x in LEET.get(c, c)]
+    known: dict[tuple[int, int, int], list] = {}
+
+    def steps(at: int, a: int, b: int) -> list[tuple[int, tuple[int, int], float]]:
+        if (found := known.get((at, a, b))) is None:
+            found = [(at + used, (b, symbol), cost + float(model[a][b][symbol])) for symbol, cost, used in edges[at]] if at < n else []
+            if b != BOUNDARY:
+                found.append((at, (b, BOUNDARY), float(model[a][b][BOUNDARY])))
+            known[at, a, b] = found
+        return found
+
+    # The best score from the start to each state and from it to the end; a boundary is a step at its place.
+    ahead: list[dict] = [{} for _ in range(n + 1)]
+    ahead[0][BOUNDARY, BOUNDARY] = 0.0
+    for at in range(n + 1):
+        for ends in (False, True):
+            for state in [x for x in ahead[at] if (x[1] == BOUNDARY) == ends]:
+                for to, then, cost in steps(at, *state):
+                    ahead[to][then] = max(ahead[to].get(then, -math.inf), ahead[at][state] + cost)
+    rest: list[dict] = [{} for _ in range(n + 1)]
+    for at in range(n, -1, -1):
+        for state in sorted(ahead[at], key=lambda x: x[1] != BOUNDARY):
+            end = 0.0 if at == n and state[1] == BOUNDARY else -math.inf
+            rest[at][state] = max((cost + rest[to][then] for to, then, cost in steps(at, *state)), default=end)
+    least, out = rest[0][BOUNDARY, BOUNDARY] - MARGIN, set()
+    for first in range(n):
+        starts = {x: (y, None) for x, y in ahead[first].items() if x[1] == BOUNDARY and y + rest[first][x] >= least}
+        reached, at = {first: starts} if starts else {}, first
+        while reached:
+            for state, (score, link) in reached.pop(at, {}).items():
+                for to, then, cost in steps(at, *state):
+                    if (value := score + cost) + rest[to][then] < least:
+                        continue
+                    if then[1] == BOUNDARY:
+                        out.add(_spelled(link))
+                    elif value > reached.setdefault(to, {}).get(then, (-math.inf,))[0]:
+                        reached[to][then] = (value, (link, then[1]))
+            at += 1
+    return out
+
+
+def readings(token: str, model: np.ndarray | list) -> set[str]:
+    """The words that a disguised token may hide.
+
+    Spaced letters are read as one word and as several. Marks at either end of another token are
+    read as letters and as marks: at the end each number of them (of equal ones in a row one, two
+    or all), at the start all, the last or none as letters.
+    """
+    if token[1] in _GAPS:
+        return restore(token[::2], model) | parted(token[::2], model)
+    lead, body = len(token) - len(token.lstrip(MARKS)), len(token.rstrip(MARKS))
+    ends, run = {body, len(token)}, 0
+    for at in range(body, len(token)):
+        run = run + 1 if at > body and token[at - 1] == token[at] else 1
+        if run <= 2 or token[at + 1 : at + 2] != token[at]:
+            ends.add(at + 1)
+    return {w for start in {0, max(lead - 1, 0), lead} for w in restore(token[start:], model, {e - start for e in ends})}
 
 
 def disguised(lower: str) -> Iterator[str]:
     """Tokens of a lower-cased text that may hide a word: stand-ins among letters, spaced letters, long repeats."""
     if not _STAND_INS.isdisjoint(lower):
-        for m in _MIXED.finditer(lower):
-            token = m.group().rstrip("!|+($").lstrip("!|+(")
-            if len(token) >= 3 and 2 * sum(not "a" <= c <= "z" for c in token) <= len(token) + 1 and not token.isalpha():
+        for m in _RUN.finditer(lower):
+            token, before, after = m.group(), lower[m.start() - 1 : m.start()], lower[m.end() : m.end() + 1]
+            # Beside another character of a word the token ends at its mark next to it.
+            if before.isalnum() or before == "_":
+                token = token[min((token.find(x) % (len(token) + 1) for x in "!("), default=0) + 1 :]
+            if after.isalnum() or after == "_":
+                token = token[: max(token.rfind("!"), token.rfind("("), 0)]
+            if len(token) > 1 and _LETTER.search(token) and not token.isalpha():
                 yield token
     for m in _SPACED.finditer(lower):
-        yield m.group()
+        if _LETTER.search(m.group()):
+            yield m.group()
     for m in _REPEATED.finditer(lower):
         yield m.group()
 
@@ -136,18 +232,24 @@ class Restorer:
     """Restores tokens under a model and remembers a bounded number of them."""
 
     model: np.ndarray
-    seen: dict[str, str] = field(default_factory=dict)
+    seen: dict[str, set[str]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.rows = self.model.tolist()
 
     def words(self, text: str) -> set[str]:
         """The distinct words of a text as it stands and of its restored tokens."""
         lower = text.lower()
         out = set(_WORD.findall(lower))
         for token in disguised(lower):
-            if token not in self.seen:
-                if len(self.seen) > REMEMBERED:
-                    self.seen.clear()
-                self.seen[token] = restore(token, self.model)
-            out.add(self.seen[token])
+            found = self.seen.get(token)
+            if found is None:
+                found = readings(token, self.rows)
+                if len(token) <= REMEMBERED_LENGTH:
+                    if len(self.seen) > REMEMBERED:
+                        self.seen.clear()
+                    self.seen[token] = found
+            out |= found
         return out
 
 

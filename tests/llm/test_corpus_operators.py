@@ -315,6 +315,21 @@ def test_disguised_words_are_restored():
         assert word in toxicity.Restorer(model).words(f"You {token} there"), token
 
 
+def test_disguised_words_of_any_length_are_restored():
+    rng = random.Random(1)
+    plain = "idiot idiots moron stupid worthless asshole shit ass loser a an the and of thing with".split()
+    counts = toxicity.trigram_counts(" ".join(rng.choice(plain) for _ in range(50)) for _ in range(200)).reshape((toxicity.SYMBOLS,) * 3) + 0.5
+    restorer = toxicity.Restorer(np.log(counts / counts.sum(axis=2, keepdims=True)))
+    cases = {"1d107": "idiot", "1d1075": "idiots", "@55h0l3": "asshole", "$h!7": "shit", "a$$": "ass", "a$$!!": "ass", "!d10t": "idiot", "(1d10t": "idiot", "i d 1 o t !": "idiot"}
+    cases |= {"idi" + "o" * 44 + "t": "idiot", "1d1" + "0" * 26 + "t": "idiot", "a l o s e r": "loser", "a.s.s": "ass"}
+    cases |= {" ".join("worthlessstupididiots"): "worthless stupid idiots", "-".join("theloser" * 20): "the loser"}
+    for token, words in cases.items():
+        assert set(words.split()) <= restorer.words(f"You {token} there"), token
+    assert not list(toxicity.disguised("1 2 3 4 2024 10,000 plain words only"))
+    for text in ("!" * 20000 + "a é", "a" * 20000 + "é", "1d10" * 5000, "a " * 5000):
+        assert restorer.words(text)
+
+
 def test_toxicity_on_held_out_rows(spark, nothing):
     rng = random.Random(6)
     words = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8))) for _ in range(400)]
