@@ -16,8 +16,8 @@ from quillspan.llm.tokens import vocabulary_path
 
 #: Words of a shingle and least Jaccard similarity, in percent, of near copies.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-#: Bytes of a string that repeats: less than any passage of over 50 words has.
-REPEATED_BYTES = 250
+#: Bytes of a string that repeats: the fewest a passage of over 50 words can have, 51 letters and 50 gaps.
+REPEATED_BYTES = 101
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

@@ -373,3 +373,17 @@ def test_pipeline_stages(spark, sf):
         assert cut.text[r.doc_id] == bytes(np.frombuffer(raw, dtype=np.uint8)[~covered]).decode(errors="ignore")
         assert cut.n_chars[r.doc_id] == len(cut.text[r.doc_id])
     assert isinstance(pipeline.run(spark, sf).toPandas(), pd.DataFrame)
+
+
+def test_every_repeated_passage_of_over_50_words_is_cut(spark, sf):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(3)
+    rows = []
+    for length in (1, 2, 3):
+        passage = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(length)) for _ in range(51))
+        rows += [(10 * length + i, f"{chr(65 + i) * 40} {passage} {chr(75 + i) * 40}", "en", "x", 1) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r.doc_id: r.text for r in pipeline.cut_passages(spark, docs, sf).collect()}
+    # The blanks around a passage repeat as well.
+    assert cut == {10 * length + i: chr(65 + i) * 40 + chr(75 + i) * 40 for length in (1, 2, 3) for i in range(2)}
