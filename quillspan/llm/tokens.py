@@ -34,7 +34,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts, as the tokenizers library gives them without special tokens.
+    """Ids of texts, as the tokenizers library gives them without adding special tokens; those in a text are one id.
 
     A pre-token has the same ids alone as in its text, so ordinary texts are cut into
     pre-tokens and only those not met lately go through the library's model. Memory is bounded:
@@ -46,8 +46,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Texts with an added token go to the library whole, too.
+        self.whole = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]))
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -65,7 +67,7 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(np.zeros(0, dtype=np.uint32))
-            elif _OTHER.search(text):
+            elif self.whole.search(text):
                 out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
             else:
                 if len(self.known) > REMEMBERED:

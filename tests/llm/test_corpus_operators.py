@@ -102,6 +102,17 @@ def library_ids(text):
     return np.array([*(t.encode(text or "", add_special_tokens=False).ids), 0], dtype="<u4")
 
 
+def test_an_added_token_in_a_text_is_one_id():
+    from tokenizers import Tokenizer
+
+    from quillspan.llm.tokens import Encoder
+
+    library = Tokenizer.from_file(vocabulary_path())
+    texts = ["x<|endoftext|>y", "<|endoftext|>", "x <|endoftext|> é\n", "日<|endoftext|>", "<|endoftext", "plain"]
+    got = [x.tolist() for x in Encoder(vocabulary_path()).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [87, 50256, 88]
+
+
 def test_packing(spark, documents, nothing):
     got = packing.pack(packing.token_pieces(documents, vocabulary_path(), 256), 256).toPandas()
     whole = {r.doc_id: library_ids(r.text) for r in documents.collect() if r.doc_id is not None}
