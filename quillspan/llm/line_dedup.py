@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import forget, written
 
-#: Shingle buckets counted for rarity, and the commonest of them that the order knows. Any order
-#: gives the same matches; these bound only what the order has to remember.
-COUNTED_BUCKETS, COMMON = 1 << 18, 4096
-#: Lines whose places may be broadcast to look up their texts; beyond it both sides are shuffled.
-BROADCAST_LINES = 1_000_000
+#: Shingle buckets counted for rarity (a power of two, so many that the first aggregate keeps them in
+#: its fast map), and the commonest of them that the order knows. Any order gives the same matches.
+COUNTED_BUCKETS, COMMON = 1 << 16, 4096
+#: Index lists longer than this are first compared with their leaders, of which each has so many.
+LED, LEADERS = 16, 8
+#: Entries of an index list that one task joins; longer lists are salted.
+IN_ONE_LIST = 4096
+#: Candidates of a line that are verified first, the closest ones; the rest only if none of them matches.
+CLOSEST = 16
 NULL_KEY = -(2**63)
 _SPACES = " \t\n\x0b\x0c\r"
+_PLACE = ["doc", "line_no"]
+_PAIR = ["doc_x", "line_no_x", "doc_y", "line_no_y"]
 
 
 def _bare(line: Column) -> Column:
-    """A line in lower case without white space at its ends."""
-    return F.trim(F.lower(line), F.lit(_SPACES))
+    """A line in lower case without white space at its ends; most lines have none and aren't searched for it."""
+    ends = F.lit(False)
+    for c in _SPACES:
+        ends = ends | F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c))
+    return F.lower(F.when(ends, F.trim(line, F.lit(_SPACES))).otherwise(line))
 
 
 def _once(value: Column, use) -> Column:
@@ -34,69 +43,131 @@ def _words(bare: Column) -> Column:
     return F.when(odd, F.split(bare, r"[\x20\x09-\x0D]+", -1)).otherwise(F.split(bare, " ", -1))
 
 
-def _shingles(bare: Column, size: int, digest) -> Column:
-    """Distinct digests, made of the words' own, of the shingles of so many words; fewer words are one shingle."""
+def _shingles(words: Column, size: int, digest) -> Column:
+    """Distinct digests of the shingles of so many words, made of the words' own; fewer words are one shingle."""
+    many = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: digest(*[F.get(words, i + k) for k in range(size)]))
+    return F.when(F.size(words) >= size, F.array_distinct(many)).otherwise(F.array(digest(words)))
+
+
+def _word_digests(bare: Column) -> Column:
+    return F.transform(_words(bare), lambda w: F.xxhash64(w))
+
+
+def _tokens(bare: Column, size: int) -> Column:
+    """(n, tokens, sketch) of a line: the size of its set, 32 bits of each shingle, and the parity of the tokens in 64 classes.
+
+    ``n`` counts 64-bit digests, so shingles of one line that share a token are still counted apart.
+    """
 
     def of(words: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: digest(*[F.get(words, i + k) for k in range(size)]))
-        return F.when(F.size(words) >= size, F.array_distinct(many)).otherwise(F.array(digest(words)))
+        places = F.greatest(F.size(words) - size + 1, F.lit(1))
+        exact = lambda t: F.when(F.size(t) == places, places).otherwise(F.size(_shingles(words, size, F.xxhash64)))
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        parity = lambda t: F.aggregate(t, none, lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x)))
+        return _once(_shingles(words, size, F.hash), lambda t: F.struct(exact(t).alias("n"), t.alias("tokens"), parity(t).alias("sketch")))
+
+    return _once(_word_digests(bare), of)
 
-    return _once(F.transform(_words(bare), lambda w: digest(w)), of)
 
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line_no, bare) of every line that has a word; lines end at line feeds."""
-    parts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return parts.select("doc", "line_no", _bare(F.col("line")).alias("bare")).where("bare <> ''")
+
+def _lines(docs: DataFrame, size: int) -> DataFrame:
+    """(doc, line_no, s1, s2, n, tokens, sketch) of every line that has a word; s1 and s2 are 128 bits of its bare text."""
+    parts = docs.select(_key().alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    some = parts.where(F.ltrim("line", F.lit(_SPACES)) != "")
+    row = _once(_bare(F.col("line")), lambda b: F.struct(F.xxhash64(b).alias("s1"), F.xxhash64(F.lit(1), b).alias("s2"), _tokens(b, size).alias("t")))
+    return written(some.select(*_PLACE, row.alias("r")).select(*_PLACE, "r.s1", "r.s2", "r.t.n", "r.t.tokens", "r.t.sketch"), "lines", dictionary=False)
 
 
 def _prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100).cast("int") + 1
 
 
-_PLACE = ["doc", "line_no"]
+def _sizes_fit(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _far(x: str, y: str) -> Column:
+    """Classes that one of two sketches has odd and the other even: no more than the elements in which the sets differ."""
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
 
-def _sides(lists: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(lists.select("t", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "xy")
+def _near_enough(far: Column, n_x: str, n_y: str, percent: int) -> Column:
+    return (100 + percent) * far <= (100 - percent) * (F.col(n_x) + F.col(n_y))
+
+
+def _first_lines(lines: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2, doc, line_no, n, sketch, lead, lines): of equal lines the earliest, its leading tokens, and how many there are."""
+    # Rarity: buckets of tokens by how often they occur in all lines.
+    buckets = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(COUNTED_BUCKETS - 1).alias("bucket")).count()
+    counted = written(buckets, "token-buckets")
+    mean = counted.agg(F.avg("count")).first()[0] or 0
+    # Buckets that hold more than chance puts into one.
+    top = [r["bucket"] for r in counted.where(F.col("count") > mean + 6 * mean**0.5 + 8).orderBy(F.desc("count"), "bucket").limit(COMMON).collect()]
+    common = f"t & {COUNTED_BUCKETS - 1} in ({', '.join(map(str, top))})" if top else "false"
+    ranked = F.expr(f"transform(tokens, t -> if({common}, {1 << 32}, 0L) + pmod(cast(t as bigint), {1 << 32}))")
+    lead = F.slice(F.sort_array(ranked), F.lit(1), _prefix_length(F.col("n"), percent))
+    leads = lines.select("s1", "s2", F.struct(*_PLACE, "n", "sketch", lead.alias("lead")).alias("line"))
+    # The aggregate combines before the shuffle, however common a line is.
+    firsts = written(leads.groupBy("s1", "s2").agg(F.min("line").alias("line"), F.count("*").alias("lines")).select("s1", "s2", "line.*", "lines"), "first-lines")
+    forget(lines.sparkSession, counted)
+    return firsts
+
 
+def _index(firsts: DataFrame) -> DataFrame:
+    """(t, m, doc, line_no, n, i, before, sketch): entries of the lists of m > 1 leading tokens t, the place and the token before it.
 
-def _candidates(firsts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of an earlier and a later ``open`` line that share a leading token and may be similar enough.
+    Numbers travel packed in pairs. Lists of one entry, which are most, end at this shuffle.
+    """
+    low = (1 << 32) - 1
+    steps = firsts.select(*_PLACE, "n", "sketch", "lead", F.posexplode("lead").alias("i", "t"))
+    before = F.when(F.col("i") > 0, F.get("lead", F.col("i") - 1)).otherwise(0).bitwiseAND(low)
+    packed = steps.select("t", "doc", (F.col("line_no").cast("long") * (1 << 32) + before).alias("p"), (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("q"), "sketch")
+    lists = packed.withColumn("m", F.count("*").over(Window.partitionBy("t"))).where("m > 1")
+    high = lambda c: F.shiftright(c, 32).cast("int")
+    part = lambda c: F.col(c).bitwiseAND(low)
+    return written(lists.select("t", "m", "doc", high("p").alias("line_no"), high("q").alias("n"), part("q").cast("int").alias("i"), part("p").alias("before"), "sketch"), "line-lists")
+
+
+def _led(lists: DataFrame, percent: int) -> DataFrame:
+    """Each line of a long list with the earlier leader that seems closest; a list has LEADERS of them, the earliest of each share."""
+    long = lists.where(F.col("m") > LED)
+    share = F.pmod(F.xxhash64(*_PLACE), F.lit(LEADERS))
+    leaders = long.groupBy("t", share.alias("share")).agg(F.min(F.struct(*_PLACE, "n", "sketch")).alias("l"))
+    leaders = leaders.groupBy("t").agg(F.collect_list("l").alias("leaders"))
+    met = long.select("t", *_PLACE, "n", "sketch").join(leaders, "t").select(*_PLACE, "n", "sketch", F.explode("leaders").alias("l"))
+    met = met.select(F.col("l.doc").alias("doc_x"), F.col("l.line_no").alias("line_no_x"), F.col("doc").alias("doc_y"), F.col("line_no").alias("line_no_y"), F.col("n").alias("n_y"), F.col("l.n").alias("n_x"), _far("sketch", "l.sketch").alias("far"))
+    near = met.where((F.struct("doc_x", "line_no_x") < F.struct("doc_y", "line_no_y")) & _sizes_fit("n_x", "n_y", percent) & _near_enough(F.col("far"), "n_x", "n_y", percent))
+    best = near.groupBy("doc_y", "line_no_y").agg(F.min(F.struct("far", "doc_x", "line_no_x")).alias("l"))
+    return written(best.select("l.doc_x", "l.line_no_x", "doc_y", "line_no_y"), "leader-pairs")
+
+
+def _candidates(lists: DataFrame, open_lines: DataFrame, percent: int) -> DataFrame:
+    """Earlier lines that share a leading token with an open one and may be similar enough: (pair, far, nth).
 
     A pair is skipped if the lengths are too far apart, if what is left behind the two places
-    can't reach the overlap, or if the tokens just before are equal: then the pair meets there too.
+    can't reach the overlap, if the tokens just before are equal, as the pair then meets there
+    too, or if the sketches differ too much. Long lists are dealt over salts. ``nth`` numbers an
+    open line's candidates, the closest first.
     """
-    # The place and whether the line is open share a number, so that both sides are one shuffle's rows.
-    steps = F.transform("lead", lambda t, i: F.struct(t.alias("t"), (2 * i + F.col("open").cast("int")).alias("i"), F.when(i > 0, F.get("lead", i - 1)).alias("before")))
-    lists = firsts.select(*_PLACE, "n", F.explode(steps).alias("s")).select(*_PLACE, "n", "s.*")
-    x, y = _sides(lists, *_PLACE, "n", "i", "before")
-    place = lambda c: F.shiftright(c, 1)
-    reach = F.least(F.col("n_x") - place("i_x"), F.col("n_y") - place("i_y"))
+    fan = F.ceil(F.col("m") / IN_ONE_LIST).cast("int")
+    side = lambda rows, salt, c: rows.select("t", salt.alias("salt"), *[F.col(x).alias(f"{x}_{c}") for x in (*_PLACE, "n", "i", "before", "sketch")])
+    x = side(lists, F.pmod(F.xxhash64(*_PLACE), fan).cast("int"), "x")
+    y = side(lists.join(open_lines, _PLACE, "left_semi"), F.explode(F.sequence(F.lit(0), fan - 1)), "y")
+    reach = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    far = _far("sketch_x", "sketch_y")
     close = (
-        # With a number of the other side, so that it isn't pushed below the shared shuffle.
-        (F.col("i_y").bitwiseAND(1) * F.col("n_x") > 0)
-        & (F.struct("doc_x", "line_no_x") < F.struct("doc_y", "line_no_y"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        (F.struct("doc_x", "line_no_x") < F.struct("doc_y", "line_no_y"))
+        & _sizes_fit("n_x", "n_y", percent)
         & ((100 + percent) * reach >= percent * (F.col("n_x") + F.col("n_y")))
-        & ~F.coalesce(F.col("before_x") == F.col("before_y"), F.lit(False))
+        & ~((F.col("i_x") > 0) & (F.col("i_y") > 0) & (F.col("before_x") == F.col("before_y")))
+        & _near_enough(far, "n_x", "n_y", percent)
     )
-    return x.join(y, [x["t"] == y["t"], close]).select("doc_x", "line_no_x", "doc_y", "line_no_y").distinct()
-
-
-def _leaders(firsts: DataFrame, percent: int) -> DataFrame:
-    """Each line with common leading tokens, and of their lists' leaders the one with the earliest place.
-
-    A leader has the fewest rare tokens of its list. Pairs are as many as such lines, at most.
-    """
-    steps = F.filter(F.transform("lead", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda s: s["t"] >= 1 << 32)
-    lists = firsts.select(*_PLACE, "n", F.explode(steps).alias("s")).select(*_PLACE, "n", "s.*")
-    leaders = lists.groupBy("t").agg(F.min(F.struct("i", *_PLACE, "n")).alias("l"), F.count("*").alias("lines")).where("lines > 1")
-    fits = 100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")
-    met = lists.join(leaders, "t").where(fits & ((F.col("doc") != F.col("l.doc")) | (F.col("line_no") != F.col("l.line_no"))))
-    one = met.groupBy(*_PLACE).agg(F.min("l").alias("l")).select(F.struct(*_PLACE).alias("a"), F.struct("l.doc", "l.line_no").alias("b"))
-    ordered = one.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    return ordered.select(F.col("x.doc").alias("doc_x"), F.col("x.line_no").alias("line_no_x"), F.col("y.doc").alias("doc_y"), F.col("y.line_no").alias("line_no_y")).distinct()
+    pairs = x.join(y, [x["t"] == y["t"], x["salt"] == y["salt"], close]).select(*_PAIR, far.alias("far")).distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_y", "line_no_y").orderBy("far", "doc_x", "line_no_x"))
+    return written(pairs.withColumn("nth", nth), "line-pairs")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -105,73 +176,67 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets (doc, line_no, s) are similar enough."""
-    side = lambda c: sets.select(F.col("doc").alias(f"doc_{c}"), F.col("line_no").alias(f"line_no_{c}"), F.col("s").alias(f"s_{c}"))
-    both = pairs.join(side("x"), ["doc_x", "line_no_x"]).join(side("y"), ["doc_y", "line_no_y"])
-    shared = F.size(F.array_intersect("s_x", "s_y"))
-    return both.where(100 * shared >= percent * (F.size("s_x") + F.size("s_y") - shared)).select("doc_x", "line_no_x", "doc_y", "line_no_y")
+    """The pairs whose sets (doc, line_no, n, s) are similar enough, were all elements that share a token with another equal."""
+    side = lambda c: sets.select(*[F.col(x).alias(f"{x}_{c}") for x in (*_PLACE, "n", "s")])
+    both = pairs.select(*_PAIR).join(side("x"), ["doc_x", "line_no_x"]).join(side("y"), ["doc_y", "line_no_y"])
+    hidden = F.least(F.col("n_x") - F.size("s_x"), F.col("n_y") - F.size("s_y"))
+    shared = F.size(F.array_intersect("s_x", "s_y")) + hidden
+    return both.where(100 * shared >= percent * (F.col("n_x") + F.col("n_y") - shared)).select(*_PAIR)
 
 
 def _later(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("doc_y").alias("doc"), F.col("line_no_y").alias("line_no")).distinct()
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_LINES else rows
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that hold on 64-bit shingles, made anew from the texts of their lines alone."""
+    """The later lines of pairs that hold on 64-bit shingles, made anew from the texts of their lines alone."""
     ends = _ends(pairs)
     by_doc = ends.groupBy("doc").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers"))
-    some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc"), "text").join(_few(by_doc), "doc")
+    some = docs.select(_key().alias("doc"), "text").join(by_doc, "doc")
     lines = some.select("doc", F.explode(_once(F.split("text", "\n", -1), lambda all_: F.transform("numbers", lambda i: F.struct(i.alias("line_no"), F.get(all_, i).alias("line"))))).alias("l"))
-    sets = written(lines.select("doc", "l.line_no", _shingles(_bare(F.col("l.line")), size, F.xxhash64).alias("s")).dropDuplicates(_PLACE), "line-sets")
-    out = written(_similar(pairs, sets, percent), "line-links")
+    sets = lines.select("doc", "l.line_no", _once(_word_digests(_bare(F.col("l.line"))), lambda w: _shingles(w, size, F.xxhash64)).alias("s"))
+    sets = written(sets.select(*_PLACE, F.size("s").alias("n"), "s").dropDuplicates(_PLACE), "line-sets")
+    out = written(_later(_similar(pairs, sets, percent)), "later-lines")
     forget(docs.sparkSession, ends, sets)
     return out
 
 
-def matches(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc, line_no, same, first) of every line with words, and (doc, line_no) of first lines that match an earlier one.
+def _matched(docs: DataFrame, lists: DataFrame, open_lines: DataFrame, also: DataFrame | None, size: int, percent: int) -> DataFrame:
+    """Open lines that an earlier line is similar to, and later lines of the pairs ``also`` that hold."""
+    pairs = _candidates(lists, open_lines, percent)
+    closest = pairs.where(F.col("nth") <= CLOSEST).select(*_PAIR)
+    found = _verified(docs, closest if also is None else closest.unionByName(also), size, percent)
+    rest = pairs.where(F.col("nth") > CLOSEST).join(found.toDF("doc_y", "line_no_y"), ["doc_y", "line_no_y"], "left_anti")
+    if rest.limit(1).count():
+        found = found.unionByName(_verified(docs, written(rest.select(*_PAIR), "line-pairs"), size, percent))
+    return found
+
+
+def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc, line_no) of every line that equals an earlier one or whose first copy is similar to an earlier one.
 
-    ``same`` tells lines of equal bare text; ``first`` marks the earliest of them by (doc, line_no).
+    A line whose first copy goes goes anyway, as its first copy is earlier.
     """
     spark = docs.sparkSession
-    lines = _lines(docs).select(*_PLACE, F.xxhash64("bare").alias("same"), _shingles(F.col("bare"), size, F.hash).alias("tokens"))
-    lines = written(lines, "lines")
-    # Rarity: buckets of tokens by how often they occur in all lines.
-    buckets = lines.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(COUNTED_BUCKETS)).alias("bucket")).count()
-    counted = written(buckets, "token-buckets")
-    mean = counted.agg(F.avg("count")).first()[0] or 0
-    top = [r["bucket"] for r in counted.where(F.col("count") > 2 * mean + 8).orderBy(F.desc("count"), "bucket").limit(COMMON).collect()]
-    common = f"pmod(t, {COUNTED_BUCKETS}) in ({', '.join(map(str, top))})" if top else "false"
-    ranked = F.expr(f"transform(tokens, t -> if({common}, {1 << 32}, 0L) + pmod(cast(t as bigint), {1 << 32}))")
-    n = F.size("tokens")
-    leads = lines.select("same", F.struct(*_PLACE, n.alias("n"), F.slice(F.sort_array(ranked), F.lit(1), _prefix_length(n, percent)).alias("lead")).alias("line"))
-    # Of equal lines the earliest; the aggregate combines before the shuffle, however common a line is.
-    firsts = written(leads.groupBy("same").agg(F.min("line").alias("line")).select("same", "line.*"), "first-lines")
-    # Lines that seem to match their lists' leaders are decided by that pair and need no others.
-    led = written(_leaders(firsts, percent), "leader-pairs")
-    tokens = lines.join(_few(_ends(led)), _PLACE).select(*_PLACE, F.col("tokens").alias("s")).dropDuplicates(_PLACE)
+    lines = _lines(docs, size)
+    firsts = _first_lines(lines, percent)
+    repeated = firsts.where("lines > 1").select("s1", "s2", F.col("doc").alias("_d"), F.col("line_no").alias("_l"))
+    equal = written(lines.select(*_PLACE, "s1", "s2").join(repeated, ["s1", "s2"]).where("doc <> _d or line_no <> _l").select(*_PLACE), "equal-lines")
+    lists = _index(firsts)
+    # A line that a leader closes is decided by that pair and needs no others.
+    led = _led(lists, percent)
+    tokens = lines.join(_ends(led), _PLACE).select(*_PLACE, "n", F.col("tokens").alias("s")).dropDuplicates(_PLACE)
     decided = written(_similar(led, written(tokens, "leader-tokens"), percent), "leader-links")
-    # The tokens have done their work; what marks the lines is kept.
-    places = written(lines.select(*_PLACE, "same"), "line-places")
-    forget(spark, lines, counted)
-    closed = written(_later(decided).withColumn("open", F.lit(False)), "closed-lines")
-    marked = firsts.join(closed, _PLACE, "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    links = _verified(docs, written(_candidates(marked, percent).unionByName(decided), "line-pairs"), size, percent)
-    later = _later(links)
-    # The index has 32 bits of a shingle: a line whose deciding pair fails on 64 bits is compared with all others.
+    closed = written(_later(decided), "closed-lines")
+    forget(spark, lines)
+    open_lines = written(lists.select(*_PLACE).distinct().join(closed, _PLACE, "left_anti"), "open-lines")
+    later = _matched(docs, lists, open_lines, decided, size, percent)
+    # The index has 32 bits of a shingle: a line whose leader fails on 64 bits is compared with all others.
     failed = written(closed.join(later, _PLACE, "left_anti"), "failed-lines")
     if failed.limit(1).count():
-        again = firsts.join(failed.select(*_PLACE, F.lit(True).alias("_again")), _PLACE, "left").withColumn("open", F.coalesce("_again", F.lit(False))).drop("_again")
-        later = later.unionByName(_later(_verified(docs, written(_candidates(again, percent), "line-pairs"), size, percent))).distinct()
-    later = written(later, "later-lines")
-    marks = places.join(firsts.select(F.col("same").alias("_s"), F.col("doc").alias("_d"), F.col("line_no").alias("_l")), F.col("same") == F.col("_s"))
-    marks = written(marks.select(*_PLACE, "same", ((F.col("doc") == F.col("_d")) & (F.col("line_no") == F.col("_l"))).alias("first")), "line-marks")
-    forget(spark, places, firsts, led, decided, closed, links, failed)
-    return marks, later
+        later = later.unionByName(_matched(docs, lists, failed, None, size, percent))
+    forget(spark, firsts, led, decided, closed, open_lines, failed)
+    return equal.unionByName(later)
 
 
 def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -186,19 +251,18 @@ def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     doc_id are read as one document, so repeated rows lose the same lines; a null doc_id sorts
     first. An empty table gives no rows. Other columns pass through, n_lines and n_removed are replaced.
 
-    Equal lines are joined once. Tokens are ordered by rarity: the commonest buckets of them
-    last, the rest by hash. Leading tokens are indexed; index entries meet on the token and are
-    filtered by length and position; candidates are verified on whole sets of 64-bit shingles.
-    (The index has 32 bits of a shingle; two of one line agree on them with a chance of some 1e-7.)
+    Equal lines (by 128 bits) are joined once. Tokens are ordered by rarity: the commonest buckets
+    of them last, the rest by hash. Leading tokens are indexed; index entries meet on the token
+    and are filtered by length, position and sketch; candidates are verified on whole sets of
+    64-bit shingles. The index has 32 bits of a shingle, but lengths count 64-bit shingles, so
+    two shingles of a line that agree on 32 bits lose no match.
     """
-    marks, later = matches(docs, size, percent)
-    gone = marks.where("not first").select("doc", "line_no").unionByName(later)
+    gone = removed_lines(docs, size, percent)
     by_doc = gone.groupBy("doc").agg(F.collect_set("line_no").alias("_gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
     all_lines = F.split("text", "\n", -1)
     kept = F.filter(all_lines, lambda line, i: ~F.array_contains("_gone", i))
-    joined = docs.select(*own, key.alias("_key")).join(by_doc.withColumnRenamed("doc", "_key"), "_key", "left")
+    joined = docs.select(*own, _key().alias("_key")).join(by_doc.withColumnRenamed("doc", "_key"), "_key", "left")
     n = F.coalesce(F.size(all_lines), F.lit(0))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(

@@ -310,6 +310,30 @@ def test_near_lines_go_in_crowded_lists(spark):
     assert got == {i: int(any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(i))) for i in range(150)}
 
 
+def test_lines_of_many_words_and_crowded_lists(spark):
+    """A line of 20,000 words beside an edit of it, and some 300 variants around one line, many just below the threshold."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(4000)]
+    long = [rng.choice(words) for _ in range(20_000)]
+    edited = list(long)
+    for i in range(0, 20_000, 60):
+        edited[i] = "edited"
+    far = list(long)
+    for i in range(0, 20_000, 20):
+        far[i] = "far"
+    rows = [(0, " ".join(long)), (1, " ".join(edited)), (2, " ".join(far))]
+    base = [rng.choice(words) for _ in range(50)]
+    for i in range(3, 300):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 3])):
+            copy[rng.randrange(50)] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for _, t in rows]
+    assert got == {i: int(any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(i))) for i in range(len(rows))}
+    assert (got[1], got[2]) == (1, 0)
+
+
 def test_line_dedup_is_native(documents):
     assert "Python" not in line_dedup.dedup_lines(documents)._jdf.queryExecution().executedPlan().toString()
 
