@@ -15,7 +15,7 @@ LED, LEADERS = 16, 8
 #: Entries of an index list that one task joins; longer lists are salted.
 IN_ONE_LIST = 4096
 #: Candidates of a line that are verified first, the closest ones; the rest only if none of them matches.
-CLOSEST = 16
+CLOSEST = 4
 NULL_KEY = -(2**63)
 _SPACES = " \t\n\x0b\x0c\r"
 _PLACE = ["doc", "line_no"]
@@ -107,7 +107,8 @@ def _first_lines(lines: DataFrame, percent: int) -> DataFrame:
     # Buckets that hold more than chance puts into one.
     top = [r["bucket"] for r in counted.where(F.col("count") > mean + 6 * mean**0.5 + 8).orderBy(F.desc("count"), "bucket").limit(COMMON).collect()]
     common = f"t & {COUNTED_BUCKETS - 1} in ({', '.join(map(str, top))})" if top else "false"
-    ranked = F.expr(f"transform(tokens, t -> if({common}, {1 << 32}, 0L) + pmod(cast(t as bigint), {1 << 32}))")
+    # Elements that can't be null are sorted as numbers.
+    ranked = F.expr(f"transform(tokens, t -> coalesce(if({common}, {1 << 32}, 0L) + (cast(t as bigint) & {(1 << 32) - 1}L), 0L))")
     lead = F.slice(F.sort_array(ranked), F.lit(1), _prefix_length(F.col("n"), percent))
     leads = lines.select("s1", "s2", F.struct(*_PLACE, "n", "sketch", lead.alias("lead")).alias("line"))
     # The aggregate combines before the shuffle, however common a line is.

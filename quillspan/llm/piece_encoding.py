@@ -10,11 +10,12 @@ unigram model the same edges would be folded by Viterbi.) Symbols without a piec
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import pandas as pd
@@ -25,16 +26,21 @@ from quillspan.llm.common import forget, fresh_path, partitions, written
 from quillspan.llm.token_files import filesystem
 
 SPACE = "▁"
-#: Longer words are encoded by the library in the task that meets them: the mask of a path is one long.
+#: The path of a word up to so long is the bits of one long; that of a longer one is a list of its symbols' starts.
 LONGEST = 62
+#: Substrings of long words that a task hands on at a time, and bytes of a row group of paths.
+SPANS_AT_ONCE, ROW_GROUP = 50_000, 4 << 20
 #: Words of the most splits, whose paths every task reads; the others' paths go to the splits that have them.
 COMMON = 150_000
-#: Different words that a task gathers before it passes them on, and words whose ids a task remembers.
+#: Different chunks of text that a task gathers before it passes their words on, and chunks whose ids a task remembers.
 COUNTED_AT_ONCE, REMEMBERED = 400_000, 300_000
 #: Words of all splits, repeats included, that one partition gathers edges of.
 WORDS_IN_PART = 100_000
 
 
+_CHUNK = re.compile(" +[^ ]*")
+
+
 def model_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -53,6 +59,7 @@ class Pieces:
         self.ids = {piece: i for piece, i, _ in self.rows}
         self.byte = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(len(piece) for piece, _, _ in self.rows)
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.pattern = re.compile(self._words())
         self.strings = {i: piece.replace(SPACE, " ").encode() for piece, i, _ in self.rows} | {i: bytes([b]) for b, i in enumerate(self.byte)}
 
@@ -62,7 +69,7 @@ class Pieces:
         Blanks begin a word, line feeds stand alone, and a letter is cut from a mark behind it,
         for those marks that no piece has behind a letter.
         """
-        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        pairs = self.pairs
         if any("\n" in x or (x[1] == SPACE and x[0] != SPACE) for x in pairs):
             raise ValueError("a piece crosses words")
         letter = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -73,57 +80,136 @@ class Pieces:
             return whole
         return f"{plain}(?=[{marks}{SPACE}\n])|{SPACE}*[^{SPACE}\n]*?[{letter}](?=[{marks}])|{whole}"
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text behind the blank that encoding puts before it; none for the empty text."""
-        return self.pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """A text, with a blank before it, cut before every run of blanks; one blank of each run is left out. No word crosses them."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " ":
+            return [x[1:] for x in _CHUNK.findall(" " + text)]
+        return text.split(" ")
+
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk behind its blank. Long ones are cut wherever no piece has the two characters together."""
+        found = self.pattern.findall(SPACE + chunk.replace(" ", SPACE))
+        if all(len(w) <= LONGEST for w in found):
+            return found
+        return [part for w in found for part in (self._parts(w) if len(w) > LONGEST else (w,))]
+
+    def _parts(self, word: str) -> Iterator[str]:
+        start = 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.pairs:
+                yield word[start:i]
+                start = i
+        yield word[start:]
 
     def word(self, word: str, mask: int) -> bytes:
         """Ids of a word whose symbols begin at the bits of ``mask``, as little-endian 32-bit integers."""
-        out, start, rest = array("I"), 0, mask & ~1
+        cuts, rest = [], mask & ~1
         while rest:
             low = rest & -rest
-            stop = low.bit_length() - 1
+            cuts.append(low.bit_length() - 1)
+            rest ^= low
+        return self.symbols(word, cuts)
+
+    def symbols(self, word: str, stops: list[int]) -> bytes:
+        """Ids of a word whose symbols end at ``stops``; a symbol without a piece becomes bytes."""
+        out, start = array("I"), 0
+        for stop in stops:
             piece = word[start:stop]
             found = self.ids.get(piece)
             if found is None:
                 out.extend(self.byte[x] for x in piece.encode())
             else:
                 out.append(found)
-            start, rest = stop, rest ^ low
+            start = stop
         return out.tobytes()
 
-    def long_word(self, word: str) -> bytes:
-        """The library's ids; the blank that it puts before a text is the word's own, or is cut off again behind a line feed."""
-        if word.startswith(SPACE):
-            return np.array(self.library.encode(word[1:].replace(SPACE, " ")), dtype="<u4").tobytes()
-        ids = self.library.encode("\n" + word)
-        lead = self.library.encode("\n")
-        return np.array(ids[len(lead) :], dtype="<u4").tobytes()
-
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _ranks(pieces: Pieces) -> list[tuple[str, int]]:
+    order = {score: rank for rank, score in enumerate(sorted({score for p, _, score in pieces.rows if len(p) > 1}, reverse=True))}
+    return [(p, order[score]) for p, _, score in pieces.rows if len(p) > 1]
+
+
+def fold_long(edges: np.ndarray) -> list[int]:
+    """Where the symbols of a long word end behind which edges begin: the same fold as for short words, with a heap.
+
+    ``edges`` are sorted numbers of rank, start and length as ``long_paths`` packs them.
+    """
+    rank = {(e >> 6 & 0xFFFFFFFF, (e >> 6 & 0xFFFFFFFF) + (e & 63)): e >> 38 for e in edges.tolist()}
+    size = max(stop for _, stop in rank)
+    after, before = list(range(1, size + 2)), list(range(-1, size + 1))
+    whole = bytearray([1]) * (size + 1)
+    heap = [(r, a, b) for (a, b), r in rank.items() if b - a == 2]
+    heapq.heapify(heap)
+    while heap:
+        _, a, b = heapq.heappop(heap)
+        if not whole[a] or after[a] >= b or after[after[a]] != b:
+            continue
+        whole[after[a]] = 0
+        after[a], before[b] = b, a
+        for x, y in ((before[a], b), (a, after[b])):
+            if x >= 0 and y <= size and (x, y) in rank:
+                heapq.heappush(heap, (rank[x, y], x, y))
+    return [i for i in range(1, size + 1) if whole[i]]
+
+
+def long_paths(words: DataFrame, pieces: Pieces, path: str) -> DataFrame:
+    """(word, cuts) for words over LONGEST: where the symbols of its path end, by the same join; beyond the last each stands alone.
+
+    A word's substrings are handed on one after the other, and its edges gathered under its digest.
+    """
+    table = words.sparkSession.createDataFrame(_ranks(pieces), "piece string, rank int")
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Pieces(path)
+        begin = {p[:k] for p in own.ids for k in range(2, len(p) + 1)}
+        out: list[tuple] = []
+        for x in batches:
+            for word in x["word"]:
+                key = md5(word.encode()).hexdigest()
+                for i in range(len(word) - 1):
+                    for n in range(2, min(own.longest, len(word) - i) + 1):
+                        if (piece := word[i : i + n]) not in begin:
+                            break
+                        out.append((key, i << 6 | n, piece))
+                    if len(out) >= SPANS_AT_ONCE:
+                        yield pd.DataFrame(out, columns=["key", "at", "piece"])
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=["key", "at", "piece"])
+
+    @F.pandas_udf("array<int>")
+    def folded(edges: pd.Series) -> pd.Series:
+        return pd.Series([fold_long(np.asarray(e)) for e in edges])
+
+    edges = words.select("word").mapInPandas(spans, "key string, at long, piece string").join(F.broadcast(table), "piece")
+    grouped = edges.groupBy("key").agg(F.sort_array(F.collect_list(F.col("rank").cast("long") * (1 << 38) + F.col("at"))).alias("edges"))
+    return words.select("word", F.md5("word").alias("key")).join(grouped, "key").select("word", folded("edges").alias("cuts"))
+
+
 def paths(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, mask) for rows (word, n) dealt by word: bits where the symbols of its path begin and end.
+    """(word, n, mask) for words (word, n) dealt by word: bits where the symbols of its path begin and end; words without an edge are left out.
 
     An edge travels as one number: its piece's rank by score (equal scores share one), its start
     and its length. The edges of a word are gathered where the word is, without another shuffle.
     """
     spark = words.sparkSession
-    order = {score: rank for rank, score in enumerate(sorted({score for p, _, score in pieces.rows if len(p) > 1}, reverse=True))}
-    table = spark.createDataFrame([(p, order[score]) for p, _, score in pieces.rows if len(p) > 1], "piece string, rank int")
+    table = spark.createDataFrame(_ranks(pieces), "piece string, rank int")
     # A substring is made only where a piece begins with its first three, and then four characters.
     begin = {k: ", ".join(_quoted(x) for x in sorted({p[:k] for p, _, _ in pieces.rows if len(p) >= k})) for k in (3, 4)}
-    most = f"least({pieces.longest}, length(word) - i)"
     longest = f"case when substring(word, i + 1, 3) not in ({begin[3]}) then 2 when substring(word, i + 1, 4) not in ({begin[4]}) then 3 else {pieces.longest} end"
-    parts = F.expr(f"flatten(transform(sequence(0, length(word) - 2), i -> transform(sequence(2, least({most}, {longest})), n -> named_struct('at', i * 64 + n, 'piece', substring(word, i + 1, n)))))")
-    edges = words.select("word", "n", F.explode_outer(F.when(F.length("word") > 1, parts)).alias("s")).select("word", "n", "s.at", "s.piece")
-    # The vocabulary is bounded, so its table is broadcast. One row without a piece stays for each word.
-    hit = edges.join(F.broadcast(table), "piece", "left").where("rank is not null or at is null or at = 2")
-    number = F.when(F.col("rank").isNotNull(), F.col("rank").cast("long") * 4096 + F.col("at"))
-    grouped = hit.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(number)).alias("edges"))
+    starts = words.where(F.length("word") > 1).select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 2)).alias("i"))
+    spans = starts.select("word", "n", "i", F.explode(F.expr(f"sequence(2, least(length(word) - i, {longest}))")).alias("size"))
+    edges = spans.select("word", "n", (F.col("i") * 64 + F.col("size")).alias("at"), F.substring("word", F.col("i") + 1, F.col("size")).alias("piece"))
+    # The vocabulary is bounded, so its table is broadcast.
+    hit = edges.join(F.broadcast(table), "piece").select("word", "n", (F.col("rank").cast("long") * 4096 + F.col("at")).alias("edge"))
+    grouped = hit.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
     one = F.lit(1).cast("long")
     bit = lambda i: F.call_function("shiftleft", one, i)
 
@@ -131,16 +217,19 @@ def paths(words: DataFrame, pieces: Pieces) -> DataFrame:
         start, stop = F.shiftright(edge, 6).bitwiseAND(63).cast("int"), (F.shiftright(edge, 6).bitwiseAND(63) + edge.bitwiseAND(63)).cast("int")
         return F.struct(bit(start).bitwiseOR(bit(stop)).alias("ends"), (bit(stop) - bit(start + 1)).alias("inside"))
 
-    ready = grouped.select("word", "n", F.transform("edges", ends).alias("edges"))
+    def merge(path, _):
+        """Drop the edges one of whose ends is no boundary any more, then merge the first edge with one boundary inside."""
 
-    def merge(mask, _):
-        fits = F.filter("edges", lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inside"])) == 1))
-        inside = F.get(fits, F.lit(0))["inside"]
-        return F.when(inside.isNotNull(), mask.bitwiseAND(F.bitwise_not(inside))).otherwise(mask)
+        def first(alive):
+            inside = F.get(F.filter(alive, lambda e: F.bit_count(path["mask"].bitwiseAND(e["inside"])) == 1), F.lit(0))["inside"]
+            return F.struct(path["mask"].bitwiseAND(F.bitwise_not(F.coalesce(inside, F.lit(0).cast("long")))).alias("mask"), alive.alias("edges"))
+
+        alive = F.filter(path["edges"], lambda e: path["mask"].bitwiseAND(e["ends"]) == e["ends"])
+        return F.get(F.transform(F.array(alive), first), F.lit(0))
 
     every = bit(F.length("word") + 1) - 1
-    steps = F.when((F.size("edges") > 0) & (F.length("word") > 1), F.sequence(F.lit(1), F.length("word") - 1)).otherwise(F.array().cast("array<int>"))
-    return ready.select("word", "n", F.aggregate(steps, every, merge).alias("mask"))
+    begun = F.struct(every.alias("mask"), F.transform("edges", ends).alias("edges"))
+    return grouped.select("word", "n", F.aggregate(F.sequence(F.lit(1), F.length("word") - 1), begun, merge)["mask"].alias("mask"))
 
 
 def _split() -> F.Column:
@@ -153,11 +242,16 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
     if not docs.inputFiles():
         docs = written(docs, "piece-docs")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), _split().alias("g"))
+    folders = partitions(spark)
     pieces = Pieces(path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, now, seen = Pieces(path), None, set()
-        out = lambda: pd.DataFrame({"word": [w for w in seen if len(w) <= LONGEST]}).assign(g=now)[["g", "word"]]
+
+        def out() -> pd.DataFrame:
+            words = {w for chunk in seen for w in own.words(chunk)}
+            return pd.DataFrame({"word": list(words)}).assign(g=now)[["g", "word"]]
+
         for x in batches:
             for g, texts in x.groupby("g", sort=False)["text"]:
                 if seen and (g != now or len(seen) > COUNTED_AT_ONCE):
@@ -165,23 +259,29 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
                     seen = set()
                 now = g
                 for text in texts:
-                    seen.update(own.words(text))
+                    seen.update(own.chunks(text))
         if seen:
             yield out()
 
-    found = written(source.mapInPandas(count, "g long, word string"), "split-words")
+    found = written(source.select("g", "text").mapInPandas(count, "g long, word string"), "split-words")
     # So few words for each partition that their edges are gathered in memory, by hash.
     parts = max(partitions(spark), -(-found.count() // WORDS_IN_PART))
     known = found.repartition(parts, "word").groupBy("word").agg(F.count("*").alias("n"))
-    setting, before = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting)
     spark.conf.set(setting, str(2 * WORDS_IN_PART))
-    known = written(paths(known, pieces), "word-paths")
-    spark.conf.set(setting, before)
-    common = written(known.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "mask"), "common-paths")
-    rare = found.select("g", "word").distinct().join(F.broadcast(common.select("word")), "word", "left_anti").join(known.select("word", "mask"), "word")
+    try:
+        short = written(paths(known.where(F.length("word") <= LONGEST), pieces), "word-paths")
+    finally:
+        spark.conf.set(setting, before)
+    long = written(long_paths(found.where(F.length("word") > LONGEST).select("word").distinct(), pieces, path), "long-paths")
+    masked = short.select("word", "mask", F.lit(None).cast("array<int>").alias("cuts")).unionByName(long.select("word", F.lit(None).cast("long").alias("mask"), "cuts"))
+    common = written(short.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "mask"), "common-paths")
     folder = fresh_path(spark, "split-paths")
-    rare.select("g", "word", "mask").repartition(partitions(spark), "g").write.option("compression", "zstd").partitionBy("g").parquet(folder)
-    forget(spark, found, known)
+    rare = found.join(F.broadcast(common.select("word")), "word", "left_anti").join(masked, "word").select("g", F.pmod("g", F.lit(folders)).cast("int").alias("p"), "word", "mask", "cuts")
+    # A task finds a split's paths in one folder of a few by its row groups.
+    rare.distinct().repartition(folders, "p").sortWithinPartitions("p", "g").write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("p").parquet(folder)
+    forget(spark, found, short, long)
     files = sorted({f.rsplit("/", 1)[0] for f in common.inputFiles()})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,26 +290,36 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
 
         own = Pieces(path)
 
-        def load(place: str) -> dict[str, int]:
+        def load(place: str, split: int | None = None) -> dict:
             store, inner = filesystem(place)
             listed = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-            out: dict[str, int] = {}
+            out: dict = {}
             for f in listed:
                 if f.path.endswith(".parquet"):
-                    t = pq.read_table(store.open_input_file(f.path), columns=["word", "mask"])
-                    out.update(zip(t["word"].to_pylist(), t["mask"].to_pylist(), strict=True))
+                    with store.open_input_file(f.path) as opened:
+                        if split is None:
+                            t = pq.read_table(opened, columns=["word", "mask"])
+                            out.update(zip(t["word"].to_pylist(), t["mask"].to_pylist(), strict=True))
+                        else:
+                            t = pq.read_table(opened, columns=["g", "word", "mask", "cuts"], filters=[("g", "==", split)])
+                            out.update((w, m if c is None else c) for w, m, c in zip(t["word"].to_pylist(), t["mask"].to_pylist(), t["cuts"].to_pylist(), strict=True))
             return out
 
+        def ids_of(word: str) -> bytes:
+            """Without an edge each symbol stands alone."""
+            way = here.get(word) or everywhere.get(word)
+            if isinstance(way, int):
+                return own.word(word, way)
+            way = way or []
+            return own.symbols(word, [*way, *range((way[-1] if way else 0) + 1, len(word) + 1)])
+
         class Known(dict):
-            """Ids of words met, made from their masks at the first time."""
+            """Ids of chunks met, made from their words' paths at the first time."""
 
-            def __missing__(self, word: str) -> bytes:
-                mask = here.get(word, everywhere.get(word))
-                if mask is None and len(word) <= LONGEST:
-                    raise KeyError(f"no path for a word of split {now}")
+            def __missing__(self, chunk: str) -> bytes:
                 if len(self) > REMEMBERED:
                     self.clear()
-                done = self[word] = own.long_word(word) if mask is None else own.word(word, mask)
+                done = self[chunk] = b"".join(map(ids_of, own.words(chunk)))
                 return done
 
         everywhere: dict[str, int] = {}
@@ -221,12 +331,13 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
             out = []
             for k, text, g in zip(x["doc_id"].astype(object).tolist(), x["text"].tolist(), x["g"].tolist(), strict=True):
                 if g != now:
-                    now, here = g, load(f"{folder}/g={g}")
-                encoded = np.frombuffer(b"".join(map(known.__getitem__, own.words(text))), dtype="<u4")
+                    now, here = g, load(f"{folder}/p={g % folders}", g)
+                    known.clear()
+                encoded = np.frombuffer(b"".join(map(known.__getitem__, own.chunks(text))), dtype="<u4")
                 out.append(rows(None if k is None or k != k else int(k), encoded, own))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 
-    return source.mapInPandas(encode, schema)
+    return source.select("doc_id", "text", "g").mapInPandas(encode, schema)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

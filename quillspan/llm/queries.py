@@ -20,9 +20,13 @@ URL_RULES = [
 ]
 
 
+#: Bytes of a batch of rows that Python workers get.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; texts are handed to Python in batches of a few MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    """A table of the folder; rows are handed to Python in batches of so many bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

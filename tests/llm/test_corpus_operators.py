@@ -200,6 +200,18 @@ def test_pieces_as_the_library_has_them(documents, nothing):
     assert piece_encoding.encode_documents(nothing, piece_encoding.model_path()).count() == 0
 
 
+def test_long_words_go_through_the_lattice(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_encoding.model_path())
+    rng = random.Random(13)
+    letters = "etaoinshrdlucmfwypvbgkqjxz"
+    texts = ["".join(rng.choice(letters[:k]) for _ in range(n)) for k, n in ((4, 500), (12, 3000), (26, 20_000), (2, 700))]
+    texts += ["a" * 4000, "the" * 900, "日本語のテキスト" * 400, "aGVsbG8gd29ybGQ" * 300 + " tail", "x" * 63, "x" * 62, "  " + "internationalization" * 20 + "\n" + "e" * 99, " " * 500, "ab " * 3000]
+    got = {r.doc_id: r.ids for r in piece_encoding.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), piece_encoding.model_path()).collect()}
+    assert got == {k: library.encode(t) for k, t in enumerate(texts)}
+
+
 # --- 6
 
 
@@ -222,6 +234,20 @@ def test_near_vectors(spark):
     per_row += Counter((k, 0, k, k is not None) for k, v in rows if not any(k == u for u, _ in usable))
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == per_row
     assert len(links) > 300
+    assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("axes", [1, 2, 3])
+def test_near_vectors_on_grids_of_more_axes(spark, monkeypatch, axes):
+    monkeypatch.setattr(embedding_dedup, "grid_axes", lambda n: axes)
+    rng = np.random.default_rng(axes)
+    base = rng.normal(size=(40, 16))
+    v = np.vstack([base[i % 40] + rng.normal(size=16) * rng.choice([1e-9, 0.1, 0.3, 3.0]) for i in range(600)])
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), 0.95).collect()
+    u = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    want = smallest_reachable(range(600), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(near[i].sum()), want[i]) for i in range(600)}
 
 
 # --- 7
