@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import components, partitions, written
 
 #: Axes of a block, and vectors of a cell that one unit of work holds.
-BLOCK_AXES, CHUNK = 8, 2048
+BLOCK_AXES, CHUNK = 8, 4096
 #: Distances compared at a time, and what single precision may add to one of unit vectors.
 AT_ONCE, ROUNDING = 1 << 20, 1e-5
 
 
 def grid_axes(vectors: int) -> int:
     """Axes of a block that the grid is laid on: another one for each 64-fold of vectors, so that cells stay small."""
-    return int(min(BLOCK_AXES, 1 + max(0, np.ceil(np.log(max(1, vectors) / (16 * CHUNK)) / np.log(64)))))
+    return int(min(BLOCK_AXES, 1 + max(0, np.ceil(np.log(max(1, vectors) / (2 * CHUNK)) / np.log(64)))))
 
 
 def _vectors(raw: list[bytes], dim: int) -> np.ndarray:

@@ -33,7 +33,7 @@ SPANS_AT_ONCE, ROW_GROUP = 50_000, 4 << 20
 #: Words of the most splits, whose paths every task reads; the others' paths go to the splits that have them.
 COMMON = 150_000
 #: Different chunks of text that a task gathers before it passes their words on, and chunks whose ids a task remembers.
-COUNTED_AT_ONCE, REMEMBERED = 400_000, 300_000
+COUNTED_AT_ONCE, REMEMBERED = 800_000, 800_000
 #: Words of all splits, repeats included, that one partition gathers edges of.
 WORDS_IN_PART = 100_000
 
@@ -74,7 +74,8 @@ class Pieces:
             raise ValueError("a piece crosses words")
         letter = "A-Za-zÀ-ÖØ-öø-ɏ"
         bound = {x[1] for x in pairs if re.match(f"[{letter}]", x)}
-        marks = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in bound)
+        self.marks = frozenset(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in bound)
+        marks = "".join(map(re.escape, sorted(self.marks)))
         plain, whole = f"{SPACE}*[{letter}]+", f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
         if not marks:
             return whole
@@ -91,8 +92,14 @@ class Pieces:
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk behind its blank. Long ones are cut wherever no piece has the two characters together."""
+        if len(chunk) < LONGEST:
+            # What the pattern gives for letters, with or without one mark behind them.
+            if chunk.isalpha():
+                return [SPACE + chunk]
+            if chunk[-1:] in self.marks and chunk[:-1].isascii() and chunk[:-1].isalpha():
+                return [SPACE + chunk[:-1], chunk[-1]]
         found = self.pattern.findall(SPACE + chunk.replace(" ", SPACE))
-        if all(len(w) <= LONGEST for w in found):
+        if len(chunk) < LONGEST:
             return found
         return [part for w in found for part in (self._parts(w) if len(w) > LONGEST else (w,))]
 
@@ -106,6 +113,8 @@ class Pieces:
 
     def word(self, word: str, mask: int) -> bytes:
         """Ids of a word whose symbols begin at the bits of ``mask``, as little-endian 32-bit integers."""
+        if mask == 1 | 1 << len(word):
+            return self.ids[word].to_bytes(4, "little")
         cuts, rest = [], mask & ~1
         while rest:
             low = rest & -rest
