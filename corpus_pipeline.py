@@ -1,7 +1,10 @@
 """A training-corpus pipeline over ``documents``: five stages, each one operator of quillspan.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read back as the next one's docs. All but the last return the columns of ``documents``.
+read back as the next one's docs. All but the last return the columns of ``documents``; other
+columns of the input are left out. An empty table passes through all stages as an empty table.
+Null, empty and blank texts are kept by the four filtering stages, as nothing speaks against
+them, and are packed as an end token alone.
 """
 
 from __future__ import annotations
@@ -22,38 +25,54 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go. Each row is judged by its own text, repeated rows alike."""
     labels = table(spark, sf_dir, "labels")
     return toxicity.score_toxicity(docs, labels).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies and near copies of lines go; every document stays."""
-    kept = line_dedup.dedup_lines(docs.select(*COLUMNS), SHINGLE_WORDS, SIMILAR_PERCENT)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Later copies and near copies of lines go; every document stays.
+
+    A document that would keep no line with a word is a copy as a whole and not by its lines: it
+    is left whole to the next stage, which decides on documents. Rows of one doc_id lose the
+    same lines; a null doc_id sorts first; null texts stay null.
+    """
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS, F.col("text").alias("_whole")), SHINGLE_WORDS, SIMILAR_PERCENT)
+    text = F.when(F.ltrim("text", F.lit(" \t\n\x0b\x0c\r")) == "", F.col("_whole")).otherwise(F.col("text"))
+    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays: the one with the smallest doc_id."""
+    """One document of each group of copies and near copies stays: the one with the smallest doc_id.
+
+    Rows with a null doc_id belong to no group and stay. Of rows with one doc_id and one text the
+    one with the least (lang, source, n_chars), nulls first, stays; different texts of a doc_id
+    that stays all stay.
+    """
     table(spark, sf_dir, "documents")
     joined = ngram_join.similar_documents(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     gone = written(joined.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if again:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    again = written(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "repeated-ids")
+    if not again.limit(1).count():
+        return kept
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_row")).select("doc_id", "text", "_row.*")
+    return kept.join(again, "doc_id", "left_anti").unionByName(one.select(*COLUMNS))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once are cut from every document that has them."""
+    """Passages that occur more than once are cut from every document that has them; every document stays.
+
+    Characters that a cut would split go as a whole. Repeated rows count as documents of their own.
+    """
     table(spark, sf_dir, "documents")
     cut = suffix_dedup.cut_repeats(docs.select(*COLUMNS), REPEATED_BYTES, as_text=True)
     return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of packed sequences."""
+    """All documents as pieces of packed sequences; those longer than a sequence are cut, repeated rows are packed each."""
     table(spark, sf_dir, "documents")
     return packing.pack(packing.token_pieces(docs, vocabulary_path(), SEQUENCE), SEQUENCE)
 
