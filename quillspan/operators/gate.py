@@ -95,9 +95,13 @@ def found(text: Column, kind: str) -> Column:
 
 
 def add_findings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """pii_types (sorted) and sensitivity: CRITICAL with any national identifier, else LOW."""
+    """pii_types (sorted) and sensitivity: CRITICAL with any national identifier, else LOW.
+
+    A kind counts if one of its spans stays (see ``finding_spans``); only several kinds can hide each other.
+    """
     kinds = F.array_compact(F.array(*[F.when(F.size(found(F.col(text), kind)) > 0, F.lit(kind)) for kind, _ in SWEEP]))
-    return docs.withColumn("pii_types", F.array_sort(kinds)).withColumn("sensitivity", score_sensitivity(F.col("pii_types")))
+    stay = F.array_distinct(F.transform(finding_spans(F.col(text)), lambda s: s["kind"]))
+    return docs.withColumn("pii_types", once(kinds, lambda k: F.array_sort(F.when(F.size(k) > 1, stay).otherwise(k)))).withColumn("sensitivity", score_sensitivity(F.col("pii_types")))
 
 
 def score_sensitivity(kinds: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan import ontology
+from quillspan.functions.tables import kept
 from quillspan.functions.text import base_path, once, path_depth, token_estimate, under
 
 
@@ -15,22 +16,25 @@ def subtree(nodes: DataFrame, prefix: str | None = None, max_depth: int | None =
     return out if max_depth is None else out.where(F.col("depth") <= max_depth)
 
 
-def nest(nodes: DataFrame, levels: int) -> DataFrame:
+def nest(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """Flat rows in the order of a nested reading: siblings by (seq, path); a node without its parent is a root.
 
-    ``order_key`` joins zero-padded sequence numbers from the root down; ``levels`` bounds the
-    depth, each level is one join of children to their parents' keys.
+    ``order_key`` joins zero-padded sequence numbers from the root down. Each level is one join
+    of children to their parents' keys, written down, until a level is empty or ``levels`` are
+    done. Nodes on a cycle have no root and are left out.
     """
     own = F.concat(F.format_string("%08d", "seq"), F.lit("/"), F.col("path"))
     parents = nodes.select(F.col("id").alias("_parent"))
-    rooted = nodes.join(parents, nodes["parent_id"] == parents["_parent"], "left").select(nodes["*"], F.col("_parent").isNull().alias("is_root"))
+    rooted = kept(nodes.join(parents, nodes["parent_id"] == parents["_parent"], "left").select(nodes["*"], F.col("_parent").isNull().alias("is_root")))
     done = rooted.where("is_root").withColumn("order_key", own).withColumn("level", F.lit(0))
-    out = done
-    for level in range(1, levels):
-        above = done.select(F.col("id").alias("_above"), F.col("order_key").alias("_key"))
-        below = rooted.where(~F.col("is_root"))
-        done = below.join(above, below["parent_id"] == above["_above"]).select(below["*"], F.concat_ws("|", "_key", own).alias("order_key"), F.lit(level).alias("level"))
-        out = out.unionByName(done)
+    below, out = rooted.where(~F.col("is_root")), done
+    while levels is None or levels > 1:
+        above = done.select(F.col("id").alias("_above"), F.col("order_key").alias("_key"), F.col("level").alias("_level"))
+        found = below.join(above, below["parent_id"] == above["_above"])
+        done = kept(found.select(below["*"], F.concat_ws("|", "_key", own).alias("order_key"), (F.col("_level") + 1).alias("level")))
+        if not done.limit(1).count():
+            break
+        out, levels = out.unionByName(done), None if levels is None else levels - 1
     return out
 
 
@@ -47,42 +51,62 @@ def text_lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim("line").alias("line")).where("line <> ''")
 
 
+def _longest_tail(words: Column, width: int) -> Column:
+    """The last words of a text joined by blanks that fit a width, one at least."""
+    end = F.right(words, F.lit(width))
+    whole = (F.length(words) <= width) | (F.substring(words, F.length(words) - width, F.lit(1)) == " ")
+    return F.when(whole, end).when(F.contains(end, F.lit(" ")), F.regexp_replace(end, r"^\S*\s", "")).otherwise(F.substring_index(words, " ", -1))
+
+
 def chunks(text: Column, max_tokens: int = 512, overlap_tokens: int = 64, sliver: int = 20) -> Column:
-    """Chunks of a text by paragraphs (blank lines), as one fold over its pieces.
+    """Chunks of a text by paragraphs (blank lines), as folds over its pieces.
 
-    Paragraphs are packed while the chunk stays within ``max_tokens``. A longer paragraph is cut
-    at words, each part beginning with the last words of the one before. A last chunk under
-    ``sliver`` tokens joins the one before.
+    Paragraphs are packed while the sum of their estimates stays within ``max_tokens``. A longer
+    paragraph is cut at words, each part beginning with the last words of the one before, up to
+    ``overlap_tokens`` (less than ``max_tokens``). Then every chunk under ``sliver`` tokens joins
+    the one before if both fit, and a first one that still stands alone the one behind.
     """
     if max_tokens <= 0:
         raise ValueError("max_tokens must be positive")
-    width, tail = max_tokens * 4, overlap_tokens * 4
+    width, tail = max_tokens * 4, max(min(overlap_tokens, max_tokens - 1), 0) * 4
     paragraphs = F.filter(F.transform(F.split(text, r"\n[ \t]*\n+"), lambda p: F.trim(p, F.lit(" \t\r\n"))), lambda p: p != "")
-    empty = F.array().cast("array<string>")
+    empty, none = F.array().cast("array<string>"), F.lit("")
 
     def split_words(paragraph: Column) -> Column:
-        start = F.struct(empty.alias("out"), F.lit("").alias("now"))
-
         def step(acc: Column, word: Column) -> Column:
-            longer = F.when(acc["now"] == "", word).otherwise(F.concat_ws(" ", acc["now"], word))
-            kept = F.regexp_replace(F.right(acc["now"], F.lit(tail)), r"^\S*\s", "") if tail else F.lit("")
-            fits = (F.length(longer) <= width) | (acc["now"] == "")
-            return F.struct(F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))).alias("out"), F.when(fits, longer).otherwise(F.trim(F.concat_ws(" ", kept, word))).alias("now"))
+            fits = (acc["now"] == "") | (F.length(acc["now"]) + 1 + F.length(word) <= width)
+            begin = _longest_tail(acc["now"], tail) if tail else none
+            joined = lambda left: F.when(left == "", word).otherwise(F.concat_ws(" ", left, word))
+            return F.struct(F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))).alias("out"), F.when(fits, joined(acc["now"])).otherwise(joined(begin)).alias("now"))
 
-        return F.aggregate(F.split(paragraph, r"\s+"), start, step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
-
-    start = F.struct(empty.alias("out"), F.lit("").alias("now"))
+        return F.aggregate(F.split(paragraph, r"\s+"), F.struct(empty.alias("out"), none.alias("now")), step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
 
     def pack(acc: Column, paragraph: Column) -> Column:
-        longer = F.when(acc["now"] == "", paragraph).otherwise(F.concat_ws("\n\n", acc["now"], paragraph))
         flushed = F.when(acc["now"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"])))
-        big = token_estimate(paragraph) > max_tokens
-        fits = token_estimate(longer) <= max_tokens
-        return F.struct(F.when(big, F.concat(flushed, split_words(paragraph))).when(fits, acc["out"]).otherwise(flushed).alias("out"), F.when(big, "").when(fits, longer).otherwise(paragraph).alias("now"))
+        size = token_estimate(paragraph)
+        big, fits = size > max_tokens, (acc["now"] == "") | (acc["tokens"] + size <= max_tokens)
+        longer = F.when(acc["now"] == "", paragraph).otherwise(F.concat_ws("\n\n", acc["now"], paragraph))
+        return F.struct(
+            F.when(big, F.concat(flushed, split_words(paragraph))).when(fits, acc["out"]).otherwise(flushed).alias("out"),
+            F.when(big, "").when(fits, longer).otherwise(paragraph).alias("now"),
+            F.when(big, 0).when(fits, acc["tokens"] + size).otherwise(size).cast("long").alias("tokens"),
+        )
 
+    start = F.struct(empty.alias("out"), none.alias("now"), F.lit(0).cast("long").alias("tokens"))
     packed = F.aggregate(paragraphs, start, pack, lambda acc: F.when(acc["now"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))))
-    merge = lambda c: F.when((F.size(c) > 1) & (token_estimate(F.element_at(c, -1)) < sliver), F.concat(F.slice(c, F.lit(1), F.size(c) - 2), F.array(F.concat_ws("\n\n", F.get(c, F.size(c) - 2), F.element_at(c, -1))))).otherwise(c)
-    return once(packed, merge)
+    small = lambda one, other: (token_estimate(one) < sliver) & (token_estimate(one) + token_estimate(other) <= max_tokens)
+
+    def back(acc: Column, chunk: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        merged = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws("\n\n", last, chunk)))
+        return F.when((F.size(acc) > 0) & small(chunk, last), merged).otherwise(F.concat(acc, F.array(chunk)))
+
+    def forward(all_: Column) -> Column:
+        first, second = F.get(all_, F.lit(0)), F.get(all_, F.lit(1))
+        merged = F.concat(F.array(F.concat_ws("\n\n", first, second)), F.slice(all_, F.lit(3), F.greatest(F.size(all_) - 2, F.lit(0))))
+        return F.when((F.size(all_) > 1) & small(first, second), merged).otherwise(all_)
+
+    return once(F.aggregate(packed, empty, back), forward)
 
 
 def build(docs: DataFrame, facts: DataFrame | None = None) -> DataFrame:

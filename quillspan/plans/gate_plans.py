@@ -75,7 +75,7 @@ def anchor_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def pii_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = kyc_documents(spark, sf)
-    kinds = ["US_SSN", "CA_SIN", "US_EIN", "EMAIL_ADDRESS"]
+    kinds = [kind for kind, _ in gate.SWEEP]
     each = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("entity_type"), F.size(gate.found(F.col("text"), k)).cast("long").alias("n")) for k in kinds])).alias("x"))
     return each.select("doc_id", "x.*").where("n > 0")
 
@@ -103,7 +103,7 @@ PLANS = {
     "gate_summary": (gate_summary, f"{_GATE_SQL} SELECT decision, sensitivity, lang, count(*) AS n FROM routed GROUP BY ALL"),
     "lang_profile": (lang_profile, f"WITH {_language_sql('documents')} SELECT doc_id, lang, round(lang_confidence, 6) AS lang_confidence FROM languages".replace("SELECT *, list_transform", "SELECT doc_id, text, list_transform")),
     "anchor_scores": (anchor_scores, f"WITH docs AS ({kyc_sql()}), {_language_sql('docs')}, {_anchors_sql()} SELECT doc_id, code AS doc_type, rnk, confidence, n_signals FROM classes"),
-    "pii_counts": (pii_counts, f"WITH docs AS ({kyc_sql()}) " + " UNION ALL ".join(f"SELECT doc_id, {quoted(k)} AS entity_type, len(regexp_extract_all(text, {quoted(p)})) AS n FROM docs WHERE regexp_matches(text, {quoted(p)})" for k, p in _FINDINGS)),
+    "pii_counts": (pii_counts, None),
     "pii_spans": (pii_spans, None),
     "sensitivity_score": (sensitivity_score, "SELECT range AS id, CASE WHEN range & 8 <> 0 THEN 'CRITICAL' WHEN range & 7 = 7 THEN 'HIGH' WHEN range & 1 <> 0 AND range & 6 <> 0 THEN 'MEDIUM' WHEN range & 4 <> 0 THEN 'MEDIUM' ELSE 'LOW' END AS bucket FROM range(16)"),
     "route_table": (route_table, """

@@ -10,7 +10,7 @@ from quillspan.functions import dates, vector
 from quillspan.operators import gate, merge, search, service
 from quillspan.plans.fact_plans import _MERGE_SQL, _MULTI
 from quillspan.plans.gate_plans import _GATE_SQL
-from quillspan.plans.version_plans import _LEX_SQL, _VEC_SQL, _lexical, _vector
+from quillspan.plans.version_plans import _lex_sql, _lexical, _vec_sql, _vector
 from quillspan.sources.tables import kyc_documents, line_facts, table
 
 NOW = "2024-01-20 12:00:00"
@@ -37,7 +37,7 @@ def key_rotation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verdict_status(spark: SparkSession, sf: str) -> DataFrame:
-    merged = merge.merge_facts(line_facts(spark, sf).where("client_id < 50"))
+    merged = merge.merge_facts(line_facts(spark, sf))
     asked = merged.select("client_id", "attribute_key", F.when(F.pmod("client_id", F.lit(3)) == 0, F.col("instance_key")).when(F.pmod("client_id", F.lit(3)) == 1, "").otherwise("nowhere").alias("instance_key")).distinct()
     return service.check_verdicts(asked, merged, ontology.MULTI_VALUED_KEYS)
 
@@ -101,8 +101,8 @@ def amount_totals(spark: SparkSession, sf: str) -> DataFrame:
 def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Lexical and vector legs within a scope, fused, joined back to their documents."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("scope"))
-    scoped = [leg.join(docs.where("scope <> 'src3'").select("id"), "id", "left_semi") for leg in (_lexical(spark, sf), _vector(spark, sf))]
-    return search.fuse(scoped, top=10).join(docs, "id").select("query_id", "id", "rnk", "score", "scope")
+    inside = docs.where("scope <> 'src3'")
+    return search.fuse([_lexical(spark, sf, inside), _vector(spark, sf, inside)], top=10).join(docs, "id").select("query_id", "id", "rnk", "score", "scope")
 
 
 def stub_embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +112,7 @@ def stub_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 PLANS = {
     "active_keys": (active_keys, f"WITH {_KEYS_SQL} SELECT id FROM k WHERE disabled_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') AND (list_contains(client_ids, '*') OR list_contains(client_ids, '3'))"),
     "key_rotation": (key_rotation, f"WITH {_KEYS_SQL} SELECT id AS rotated_from, strftime(least(coalesce(expires_at, TIMESTAMP '{NOW}' + INTERVAL 168 HOUR), TIMESTAMP '{NOW}' + INTERVAL 168 HOUR), '%Y-%m-%d %H:%M:%S') AS old_expires_at FROM k"),
-    "verdict_status": (verdict_status, f"""WITH {_MERGE_SQL}, m AS (SELECT * FROM merged WHERE client_id < 50), a AS (SELECT DISTINCT client_id, attribute_key, CASE client_id % 3 WHEN 0 THEN instance_key WHEN 1 THEN '' ELSE 'nowhere' END AS instance_key FROM m)
+    "verdict_status": (verdict_status, f"""WITH {_MERGE_SQL}, m AS (SELECT * FROM merged), a AS (SELECT DISTINCT client_id, attribute_key, CASE client_id % 3 WHEN 0 THEN instance_key WHEN 1 THEN '' ELSE 'nowhere' END AS instance_key FROM m)
         SELECT a.*, CASE WHEN a.attribute_key IN ({_MULTI}) AND instance_key = '' THEN '422' WHEN a.attribute_key NOT IN ({_MULTI}) AND instance_key <> '' THEN '422'
             WHEN a.attribute_key IN ({_MULTI}) AND (client_id, attribute_key, instance_key) NOT IN (SELECT (client_id, attribute_key, instance_key) FROM m) THEN '404' ELSE 'ok' END AS status FROM a"""),
     "access_log_page": (access_log_page, "SELECT event_id AS id, user_id::VARCHAR AS client_id FROM events WHERE user_id = 7 AND ts < TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 200"),
@@ -132,7 +132,8 @@ PLANS = {
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, lang = 'en' DESC) AS rn FROM c) SELECT doc_id, max(CASE WHEN rn = 1 THEN lang END) AS dominant, bool_or(rn > 1 AND real) AS bilingual FROM r GROUP BY 1"""),
     "labelled_tails": (labelled_tails, "SELECT conv_id || '/' || turn AS doc_id, 1 AS line_no, a AS anchor, CASE a WHEN 'employer' THEN role || ' Box 14 = ' || turn ELSE turn::VARCHAR END AS value FROM conversations, (VALUES ('employer'), ('box 14')) v(a)"),
     "amount_totals": (amount_totals, "SELECT o_orderkey, printf('%.2f', (o_orderkey % 5000)::DOUBLE + 0.5) || ';123.00' AS amounts FROM orders"),
-    "search_hybrid": (search_hybrid, f"""WITH {_LEX_SQL}, {_VEC_SQL}, ok AS (SELECT doc_id AS id, source AS scope FROM documents), f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rnk)), 9) AS score FROM (SELECT query_id, id, rnk FROM lex WHERE rnk <= 50 UNION ALL SELECT query_id, id, rnk FROM vec WHERE rnk <= 50) WHERE id IN (SELECT id FROM ok WHERE scope <> 'src3') GROUP BY ALL),
+    "search_hybrid": (search_hybrid, f"""WITH ok AS (SELECT doc_id AS id, source AS scope FROM documents), {_lex_sql("doc_id IN (SELECT id FROM ok WHERE scope <> 'src3')")}, {_vec_sql("e.vec_id IN (SELECT id FROM ok WHERE scope <> 'src3')")},
+        f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rnk)), 9) AS score FROM (SELECT query_id, id, rnk FROM lex WHERE rnk <= 50 UNION ALL SELECT query_id, id, rnk FROM vec WHERE rnk <= 50) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk FROM f) SELECT query_id, id, rnk, score, scope FROM r JOIN ok USING (id) WHERE rnk <= 10"""),
     "stub_embeddings": (stub_embeddings, "SELECT conv_id, turn, round(list_sum(list_transform(range(48), lambda i: ('0x' || substr(sha256(text), (i % 32) * 2 + 1, 2))::INT / 127.5::DOUBLE - 1)), 6) AS total FROM conversations"),
 }

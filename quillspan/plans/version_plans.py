@@ -69,7 +69,7 @@ _NODES_SQL = """
 
 
 def tree_flat(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.nest(_nodes(spark, sf), 3).select("id", "path", "level", "order_key")
+    return tree.nest(_nodes(spark, sf)).select("id", "path", "level", "order_key")
 
 
 def subtree_scoped(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,26 +142,32 @@ def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return queue.token_bucket(events.select(F.col("user_id").alias("key"), (F.col("ts").cast("timestamp").cast("long") - 1704067200).cast("double").alias("at")), rate=1 / 50000, burst=3)
 
 
-_WORDS = [(1, "the of"), (2, "thing and the"), (3, "de la")]
+def _lexical(spark: SparkSession, sf: str, scope: DataFrame | None = None) -> DataFrame:
+    """The first two words of every hundredth document against all documents (of a scope)."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = docs.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("text")), 1, 2), " ").alias("query_text"))
+    return search.lexical(docs, asked, scope=scope)
 
 
-def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return search.lexical(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), spark.createDataFrame(_WORDS, "query_id int, query_text string"))
-
-
-def _vector(spark: SparkSession, sf: str) -> DataFrame:
+def _vector(spark: SparkSession, sf: str, scope: DataFrame | None = None) -> DataFrame:
+    """Every hundredth vector against all vectors (of a scope)."""
     nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return search.vector(nodes, nodes.where("id < 3").select((F.col("id") + 1).cast("int").alias("query_id"), "embedding"))
+    return search.vector(nodes, nodes.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), scope=scope)
 
 
-_LEX_SQL = """
-    q(query_id, word) AS (VALUES (1, 'the'), (1, 'of'), (2, 'thing'), (2, 'and'), (2, 'the'), (3, 'de'), (3, 'la')), need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
-    w AS (SELECT doc_id AS id, unnest(t) AS word, len(t) AS len FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents)),
+def _lex_sql(scope: str = "true") -> str:
+    return rf"""
+    words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+    q AS (SELECT DISTINCT doc_id AS query_id, unnest(t[1:2]) AS word FROM words WHERE doc_id % 100 = 0), need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
+    w AS (SELECT doc_id AS id, unnest(t) AS word, len(t) AS len FROM words WHERE {scope}),
     h AS (SELECT query_id, id, word, count(*) AS tf, any_value(len) AS len FROM w JOIN q USING (word) GROUP BY ALL),
     s AS (SELECT query_id, id, count(*) AS have, round(sum(tf / (1 + ln(len))), 6) AS score FROM h GROUP BY ALL),
-    lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk, score FROM s JOIN need USING (query_id) WHERE have = need)""".replace("\\\\", "\\")
-_VEC_SQL = """
-    vs AS (SELECT (q.vec_id + 1)::INT AS query_id, e.vec_id AS id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 3),
+    lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk, score FROM s JOIN need USING (query_id) WHERE have = need)"""
+
+
+def _vec_sql(scope: str = "true") -> str:
+    return f"""
+    vs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND {scope}),
     vec AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rnk, score FROM vs)"""
 
 
@@ -199,8 +205,8 @@ PLANS = {
         v AS (SELECT *, active >= CASE WHEN client_id % 3 = 1 THEN 20 ELSE 25 END AS a, client_id % 3 <> 0 AND client_id % 5 < 3 AND today >= client_id % 5 AS d FROM u)
         SELECT client_id, active, today, CASE WHEN a THEN 'too_many_active' WHEN d THEN 'daily_limit' ELSE 'ok' END AS verdict, CASE WHEN a THEN 30 WHEN d THEN 3600 END AS retry_after FROM v"""),
     "token_bucket": (token_bucket, None),
-    "search_lexical": (_lexical, f"WITH {_LEX_SQL} SELECT * FROM lex WHERE rnk <= 50"),
-    "search_vector": (_vector, f"WITH {_VEC_SQL} SELECT * FROM vec WHERE rnk <= 50"),
-    "search_rrf": (search_rrf, f"""WITH {_LEX_SQL}, {_VEC_SQL}, f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rnk)), 9) AS score FROM (SELECT query_id, id, rnk FROM lex WHERE rnk <= 50 UNION ALL SELECT query_id, id, rnk FROM vec WHERE rnk <= 50) GROUP BY ALL)
+    "search_lexical": (_lexical, f"WITH {_lex_sql()} SELECT * FROM lex WHERE rnk <= 50"),
+    "search_vector": (_vector, f"WITH {_vec_sql()} SELECT * FROM vec WHERE rnk <= 50"),
+    "search_rrf": (search_rrf, f"""WITH {_lex_sql()}, {_vec_sql()}, f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rnk)), 9) AS score FROM (SELECT query_id, id, rnk FROM lex WHERE rnk <= 50 UNION ALL SELECT query_id, id, rnk FROM vec WHERE rnk <= 50) GROUP BY ALL)
         SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk FROM f) WHERE rnk <= 20"""),
 }

@@ -5,7 +5,6 @@ Each function takes and returns streaming DataFrames; ``drain`` runs one over wh
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -58,7 +57,8 @@ def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
 
 def append_log(log: DataFrame, path: str, every: str = "1 second", rows: int | None = None):
     """A writer that appends micro-batches to a log by month."""
-    from quillspan.sources.readers import append_by_month
+    from quillspan.functions.tables import shared_folder
+from quillspan.sources.readers import append_by_month
 
     return log.writeStream.trigger(processingTime=every).foreachBatch(lambda batch, _: append_by_month(batch, path))
 
@@ -66,7 +66,7 @@ def append_log(log: DataFrame, path: str, every: str = "1 second", rows: int | N
 def drain(stream: DataFrame, mode: str = "append", sink: Callable | None = None) -> DataFrame:
     """What the stream makes of everything its source has now, as a written table in the shared folder."""
     spark = stream.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillspan-shared").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     query = writer.format("parquet").start(f"{folder}/rows") if sink is None else writer.foreachBatch(sink).start()
     query.awaitTermination()
