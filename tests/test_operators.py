@@ -137,3 +137,48 @@ def test_narrow_gate_has_no_shuffle_and_no_python(spark, sf):
 
     plan = gate.run_gate(kyc_documents(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_chunks_add_estimates_and_fold_slivers(spark):
+    from quillspan.operators import tree
+
+    def chunked(text, **sizes):
+        return spark.createDataFrame([(text,)], "t string").select(tree.chunks(F.col("t"), **sizes).alias("c")).first().c
+
+    estimates = ["a" * 1967, "b" * 84]
+    assert chunked("\n\n".join(estimates)) == ["\n\n".join(estimates)]
+    full, tiny = "c" * 2040, "d" * 40
+    assert chunked(f"{full}\n\n{tiny}") == [full, tiny]
+    assert chunked(f"{tiny}\n\n{full}") == [tiny, full]
+    middle = "e" * 2000
+    assert chunked(f"{middle}\n\n{'f' * 60}\n\n{full}") == [middle, "f" * 60, full]
+    words = [f"w{i:04d}" for i in range(400)]
+    parts = chunked(" ".join(words), max_tokens=40, overlap_tokens=10)
+    assert len(parts) > 2 and all(len(p) <= 160 for p in parts)
+    for one, other in zip(parts, parts[1:], strict=False):
+        shared = [w for w in other.split() if w in one.split()]
+        assert shared and other.split()[: len(shared)] == shared == one.split()[-len(shared) :] and len(" ".join(shared)) <= 40
+    assert chunked(" \n\n\t ") == [] and all(len(p) <= 80 for p in chunked(" ".join(words), max_tokens=20, overlap_tokens=999))
+
+
+def test_findings_hide_each_other_and_are_all_counted(spark, sf):
+    import re
+
+    from quillspan.operators import gate
+    from quillspan.plans import gate_plans
+    from quillspan.sources.tables import kyc_documents
+
+    row = gate.add_findings(spark.createDataFrame([("536-90-4399@x.com",), ("a@b.org 536-90-4399",)], "text string")).select("pii_types").collect()
+    assert [r.pii_types for r in row] == [["US_SSN"], ["EMAIL_ADDRESS", "US_SSN"]]
+    plain = {k: p for k, p in gate.SWEEP if k not in ("MX_CURP", "MX_RFC")}
+    want = {(r.doc_id, k, n) for r in kyc_documents(spark, sf).collect() for k, p in plain.items() if (n := len(re.findall(p, r.text or "", re.ASCII)))}
+    got = {(r.doc_id, r.entity_type, r.n) for r in gate_plans.pii_counts(spark, sf).collect()}
+    assert {x for x in got if x[1] in plain} == want and any(k == "MX_CURP" for _, k, _ in got)
+
+
+def test_trees_of_any_depth_nest(spark):
+    from quillspan.operators import tree
+
+    chain = [(str(i), str(i - 1) if i else None, ".".join(map(str, range(i + 1))), i) for i in range(7)]
+    got = tree.nest(spark.createDataFrame(chain, "id string, parent_id string, path string, seq int")).collect()
+    assert sorted(r.level for r in got) == list(range(7))
