@@ -448,3 +448,21 @@ def test_every_repeated_passage_of_over_50_words_is_cut(spark, sf):
     cut = {r.doc_id: r.text for r in pipeline.cut_passages(spark, docs, sf).collect()}
     # The blanks around a passage repeat as well.
     assert cut == {10 * length + i: chr(65 + i) * 40 + chr(75 + i) * 40 for length in (1, 2, 3) for i in range(2)}
+
+
+def test_stages_on_repeated_ids_nulls_and_copies(spark, sf):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    prose = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for _ in range(6)]
+    both = f"{prose[0]}\n{prose[1]}"
+    rows = [(1, both), (2, both), (3, f"{prose[0]}\n{prose[2]}"), (4, prose[3]), (4, prose[4]), (4, prose[4]), (5, None), (6, ""), (None, prose[5]), (None, prose[5])]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = Counter((r.doc_id, r.text) for r in pipeline.drop_lines(spark, docs, sf).collect())
+    # 2 would be emptied and goes whole to the join; 3 loses the line that 1 has.
+    assert lines[2, both] == 1 and lines[3, prose[2]] == 1 and lines[5, None] == 1 and lines[6, ""] == 1 and sum(lines.values()) == len(rows)
+    kept = Counter((r.doc_id, r.text) for r in pipeline.drop_copies(spark, docs, sf).collect())
+    assert kept == Counter({(1, both): 1, (3, rows[2][1]): 1, (4, prose[3]): 1, (4, prose[4]): 1, (5, None): 1, (6, ""): 1, (None, prose[5]): 2})
+    for name, stage in pipeline.STAGES[1:4]:
+        empty = stage(spark, docs.where("false"), sf)
+        assert empty.columns == docs.columns and empty.count() == 0, name
