@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import datetime
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def once(value: Column, use) -> Column:
@@ -51,9 +57,25 @@ _MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩ
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 
 
+@F.pandas_udf(StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    """NFKD without combining marks, case folded; rows that need none of it come as nulls."""
+
+    def fold(value: str) -> str:
+        bare = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
+        return " ".join(bare.casefold().split())
+
+    return text.map(fold, na_action="ignore")
+
+
 def identity_form(text: Column) -> Column:
-    """Lower case without diacritics of Latin letters, white space squeezed; for telling people and companies apart."""
-    return F.nullif(squeeze(F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{M}", "")), F.lit(""))
+    """NFKD without combining marks, case folded, white space squeezed; for telling people and companies apart.
+
+    Texts of ASCII and marked Latin letters are folded by columns; only others travel to Python.
+    """
+    latin = F.translate(F.lower(text), _MARKED, _PLAIN)
+    other = F.rlike(latin, F.lit(r"[^\x00-\x1b\x20-\x7f]"))
+    return F.nullif(F.coalesce(_folded(F.when(other, text)), squeeze(latin)), F.lit(""))
 
 
 def fingerprint(text: Column) -> Column:
@@ -87,3 +109,15 @@ def cursor(at: Column, key: Column) -> Column:
     """Url-safe base 64, unpadded, of ``timestamp|id``."""
     raw = F.base64(F.encode(F.concat_ws("|", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), key.cast("string")), "utf-8"))
     return F.rtrim(F.translate(raw, "+/", "-_"), F.lit("="))
+
+
+def read_cursor(value: str) -> tuple[datetime.datetime, str]:
+    """Timestamp and id of a cursor; anything else than what ``cursor`` makes is a ValueError."""
+    try:
+        raw = base64.b64decode(value + "=" * (-len(value) % 4), altchars=b"-_", validate=True).decode()
+        at, bar, key = raw.partition("|")
+        if not bar or not key:
+            raise ValueError("no id")
+        return datetime.datetime.fromisoformat(at), key
+    except Exception as problem:
+        raise ValueError(f"malformed cursor: {value!r}") from problem

@@ -9,17 +9,28 @@ from quillspan import ontology
 from quillspan.functions.text import comparable, fingerprint, identity_form
 
 
+#: How identity forms are made; stored beside each instance.
+IDENTITY_RULE = "nfkd-casefold-ws-v1"
+KEYS = ["client_id", "attribute_key", "instance_key"]
+
+
 def identity_basis() -> Column:
-    """What tells instances of a multi-valued attribute apart: the text's identity form, else the date, else the number."""
+    """What tells instances of a multi-valued attribute apart: the text's identity form, else the date, else the number.
+
+    A text of white space alone has no identity, whatever date or number stands beside it.
+    """
     digits = F.format_string("%.10g", F.col("value_num"))
     short = F.when(F.contains(digits, F.lit(".")) & ~F.contains(digits, F.lit("e")), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
-    return F.coalesce(identity_form(F.col("value_text")), F.col("value_date").cast("string"), F.when(F.col("value_num").isNotNull(), short))
+    other = F.coalesce(F.col("value_date").cast("string"), F.when(F.col("value_num").isNotNull(), short))
+    return F.when(F.length("value_text") > 0, F.col("_form")).otherwise(other)
 
 
-def _distinct(key: Column) -> Column:
-    parts = [F.coalesce(key, F.lit("\0")), F.coalesce(F.col("value_date").cast("string"), F.lit("\0")), F.coalesce(F.col("value_num"), F.lit(float("nan")))]
-    some = key.isNotNull() | F.col("value_date").isNotNull() | F.col("value_num").isNotNull()
-    return F.count_distinct(F.when(some, F.struct(*parts)))
+def keyed(facts: DataFrame, multi: list[str] | None = None) -> DataFrame:
+    """``facts`` with instance_key and identity_basis, without multi-valued ones that have no identity; a narrow step."""
+    many = F.col("attribute_key").isin(ontology.MULTI_VALUED_KEYS if multi is None else multi)
+    formed = facts.withColumn("_form", F.when(many, identity_form(F.when(many, F.col("value_text")))))
+    based = formed.withColumn("identity_basis", F.when(many, identity_basis())).where(~many | F.col("identity_basis").isNotNull())
+    return based.withColumn("instance_key", F.when(many, fingerprint(F.col("identity_basis"))).otherwise("")).withColumn("_value", F.when(many, F.col("_form")).otherwise(comparable(F.col("value_text")))).drop("_form")
 
 
 def merge_facts(facts: DataFrame, multi: list[str] | None = None) -> DataFrame:
@@ -28,23 +39,49 @@ def merge_facts(facts: DataFrame, multi: list[str] | None = None) -> DataFrame:
     ``facts``: client_id, fact_id, attribute_key, value_text, value_date, value_num, confidence,
     verification_status. The most confident candidate wins, the smallest fact_id on ties;
     differing non-empty values are a conflict that needs review. Multi-valued attributes are
-    grouped by a fingerprint of their identity and lose candidates without any. One shuffle:
-    distinct values, winner and count all combine before it.
+    grouped by a fingerprint of their identity and lose candidates without any. Two shuffles:
+    facts combine by key and value first, so a key that holds most facts is spread over its
+    values and over map-side partial sums; the second moves one row for each distinct value.
     """
-    multi = ontology.MULTI_VALUED_KEYS if multi is None else multi
-    many = F.col("attribute_key").isin(multi)
-    keyed = facts.withColumn("_basis", F.when(many, identity_basis())).where(~many | F.col("_basis").isNotNull())
-    keyed = keyed.withColumn("instance_key", F.when(many, fingerprint(F.col("_basis"))).otherwise(""))
-    key = F.when(many, identity_form(F.col("value_text"))).otherwise(comparable(F.col("value_text")))
-    winner = F.max_by(F.struct("fact_id", "value_text", "value_date", "value_num", "confidence", "verification_status"), F.struct(F.col("confidence"), -F.col("fact_id")))
-    merged = keyed.groupBy("client_id", "attribute_key", "instance_key").agg(winner.alias("w"), _distinct(key).alias("distinct_values"), F.count("*").alias("n_sources"))
+    alike = ["_value", "value_date", "value_num"]
+    winner = F.max_by(F.struct("fact_id", "value_text", "confidence", "verification_status"), F.struct(F.col("confidence"), -F.col("fact_id")))
+    values = keyed(facts, multi).groupBy(*KEYS, *alike).agg(winner.alias("_w"), F.count("*").alias("_n"), F.first("identity_basis").alias("identity_basis"))
+    best = F.max_by(F.struct("_w", "value_date", "value_num"), F.struct(F.col("_w.confidence"), -F.col("_w.fact_id")))
+    some = F.coalesce(*[F.col(c).cast("string") for c in alike]).isNotNull()
+    merged = values.groupBy(*KEYS).agg(best.alias("b"), F.count_if(some).alias("distinct_values"), F.sum("_n").alias("n_sources"), F.first("identity_basis").alias("identity_basis"))
     conflict = F.col("distinct_values") > 1
+    w = F.col("b._w")
     return merged.select(
-        "client_id", "attribute_key", "instance_key", F.col("w.value_text").alias("resolved_value"), F.col("w.value_date").alias("value_date"), F.col("w.value_num").alias("value_num"),
-        F.col("w.confidence").alias("confidence"), F.col("w.verification_status").alias("verification_status"), conflict.alias("conflict"), conflict.alias("needs_review"), "n_sources", "distinct_values", F.col("w.fact_id").alias("winning_fact_id"),
+        *KEYS, w["value_text"].alias("resolved_value"), F.col("b.value_date").alias("value_date"), F.col("b.value_num").alias("value_num"), w["confidence"].alias("confidence"),
+        w["verification_status"].alias("verification_status"), conflict.alias("conflict"), conflict.alias("needs_review"), "n_sources", "distinct_values", w["fact_id"].alias("winning_fact_id"), "identity_basis",
+    )
+
+
+def rationale() -> Column:
+    """Why a merged row holds what it holds, as a struct of its columns; identity parts are null for single-valued ones."""
+    known = F.col("identity_basis").isNotNull()
+    return F.struct(
+        F.lit("max_confidence").alias("rule"), F.col("n_sources").alias("candidates"), F.col("confidence").alias("winner_confidence"), "distinct_values",
+        F.when(known, F.col("instance_key")).alias("instance_key"), "identity_basis", F.when(known, F.lit(IDENTITY_RULE)).alias("identity_algo"),
     )
 
 
+def sources(facts: DataFrame, multi: list[str] | None = None) -> DataFrame:
+    """(client_id, attribute_key, instance_key, fact_id): the facts behind each merged row, as rows since a key may have any number."""
+    return keyed(facts, multi).select(*KEYS, "fact_id")
+
+
+def replace_set(old: DataFrame, new: DataFrame, clients: DataFrame) -> DataFrame:
+    """The merged table after the named clients' rows became exactly ``new``; without new rows a client has none left."""
+    return old.join(clients.select("client_id").distinct(), "client_id", "left_anti").unionByName(new.join(clients.select("client_id").distinct(), "client_id", "left_semi"))
+
+
+def remerge(old: DataFrame, facts: DataFrame, clients: DataFrame, verdicts: DataFrame | None = None, multi: list[str] | None = None) -> DataFrame:
+    """``old`` with the named clients merged anew from the facts that are left, their verdicts laid over; others untouched."""
+    new = merge_facts(facts.join(clients.select("client_id").distinct(), "client_id", "left_semi"), multi)
+    return replace_set(old, new if verdicts is None else adjudicate(new, verdicts, multi).drop("adjudicated"), clients)
+
+
 def adjudicate(merged: DataFrame, verdicts: DataFrame, multi: list[str] | None = None) -> DataFrame:
     """Human verdicts over merged facts: override, accept and reject; a rejected instance of a multi-valued one goes.
 

@@ -40,13 +40,15 @@ def verified(status: Column, confidence: Column, conflict: Column) -> Column:
 
 
 def fact_view(merged: DataFrame, mask: bool = True, verified_only: bool = False) -> DataFrame:
-    """Facts as served: instances counted before the filter, then values of sensitive keys masked."""
+    """Facts as served: instances counted before the filter, then values and identities of sensitive keys masked."""
     counted = merged.withColumn("instance_count", F.count("*").over(Window.partitionBy("client_id", "attribute_key")))
     seen = counted.withColumn("verified", verified(F.col("verification_status"), F.col("confidence"), F.col("conflict")))
     if verified_only:
         seen = seen.where("verified")
     level = key_sensitivity(F.col("attribute_key"))
     hidden = level.isin("HIGH", "CRITICAL") if mask else F.lit(False)
+    if "identity_basis" in merged.columns:
+        seen = seen.withColumn("identity_basis", F.when(hidden & F.col("identity_basis").isNotNull(), "***").otherwise(F.col("identity_basis")))
     return seen.withColumns({
         "sensitivity": level, "masked": hidden,
         "resolved_value": F.when(hidden, redact(F.col("resolved_value"))).otherwise(F.col("resolved_value")),

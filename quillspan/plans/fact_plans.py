@@ -15,14 +15,14 @@ _FORM = "nullif(" + _SQUEEZE.format("strip_accents(lower(value_text))") + ", '')
 _MERGE_SQL = f"""
     facts AS ({line_facts_sql()}),
     based AS (SELECT *, attribute_key IN ({_MULTI}) AS many, {_FORM} AS form,
-        coalesce({_FORM}, value_date::VARCHAR, printf('%.10g', value_num)) AS basis FROM facts),
+        CASE WHEN length(value_text) > 0 THEN {_FORM} ELSE coalesce(value_date::VARCHAR, printf('%.10g', value_num)) END AS basis FROM facts),
     keyed AS (SELECT *, CASE WHEN many THEN left(sha256(basis), 16) ELSE '' END AS instance_key,
         CASE WHEN many THEN form ELSE nullif(lower({_SQUEEZE.format('value_text')}), '') END AS cmp FROM based WHERE NOT many OR basis IS NOT NULL),
     grouped AS (SELECT client_id, attribute_key, instance_key, arg_max({{'f': fact_id, 't': value_text, 'd': value_date, 'n': value_num, 'c': confidence, 's': verification_status}}, {{'c': confidence, 'i': -fact_id}}) AS w,
-        count(DISTINCT {{'a': coalesce(cmp, '#'), 'b': coalesce(value_date::VARCHAR, '#'), 'c': coalesce(value_num, -1)}}) FILTER (cmp IS NOT NULL OR value_date IS NOT NULL OR value_num IS NOT NULL) AS distinct_values, count(*) AS n_sources
-        FROM keyed GROUP BY ALL),
+        count(DISTINCT {{'a': coalesce(cmp, '#'), 'b': coalesce(value_date::VARCHAR, '#'), 'c': coalesce(value_num, -1)}}) FILTER (cmp IS NOT NULL OR value_date IS NOT NULL OR value_num IS NOT NULL) AS distinct_values, count(*) AS n_sources,
+        any_value(CASE WHEN many THEN basis END) AS identity_basis FROM keyed GROUP BY ALL),
     merged AS (SELECT client_id, attribute_key, instance_key, w.t AS resolved_value, w.d AS value_date, w.n AS value_num, w.c AS confidence, w.s AS verification_status,
-        distinct_values > 1 AS conflict, distinct_values > 1 AS needs_review, n_sources, distinct_values, w.f AS winning_fact_id FROM grouped)"""
+        distinct_values > 1 AS conflict, distinct_values > 1 AS needs_review, n_sources, distinct_values, w.f AS winning_fact_id, identity_basis FROM grouped)"""
 _OUT = "client_id, attribute_key, instance_key, resolved_value, value_date::VARCHAR AS value_date, value_num, confidence, verification_status, conflict, n_sources, winning_fact_id"
 
 
@@ -93,6 +93,24 @@ def facts_view_verified(spark: SparkSession, sf: str) -> DataFrame:
     return _view(spark, sf, True)
 
 
+def facts_rationale(spark: SparkSession, sf: str) -> DataFrame:
+    """Why each merged fact holds what it holds, as readers see it: identities of sensitive keys hidden."""
+    seen = serving.fact_view(_merged(spark, sf))
+    return seen.select("client_id", "attribute_key", F.col("instance_key").alias("ikey"), merge.rationale().alias("r"), "instance_count").select("client_id", "attribute_key", "ikey", "r.*", "instance_count")
+
+
+def fact_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.sources(line_facts(spark, sf))
+
+
+def facts_remerged(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of finished orders are deleted, and the clients that had any are merged anew."""
+    facts, merged = line_facts(spark, sf), _merged(spark, sf)
+    gone = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
+    clients = facts.join(gone, "doc_id", "left_semi").select("client_id").distinct()
+    return _shown(merge.remerge(merged, facts.join(gone, "doc_id", "left_anti"), clients), "n_sources", "winning_fact_id")
+
+
 def merged_stale_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Keys that go when the facts of the second half of the documents are deleted."""
     facts = line_facts(spark, sf)
@@ -141,6 +159,11 @@ PLANS = {
     "facts_merge_adjudicated": (facts_merge_adjudicated, f"WITH {_MERGE_SQL}, {_ADJ_SQL} SELECT client_id, attribute_key, instance_key, resolved_value, value_date::VARCHAR AS value_date, value_num, confidence, verification_status, conflict, needs_review, adjudicated FROM settled"),
     "facts_view_masked": (facts_view_masked, f"WITH {_MERGE_SQL}, {_VIEW_SQL} {_view_out('TRUE')}"),
     "facts_view_verified": (facts_view_verified, f"WITH {_MERGE_SQL}, {_VIEW_SQL} {_view_out('verified')}"),
+    "facts_rationale": (facts_rationale, f"""WITH {_MERGE_SQL}, v AS (SELECT *, count(*) OVER (PARTITION BY client_id, attribute_key) AS instance_count, {_SENS_SQL} AS s FROM merged)
+        SELECT client_id, attribute_key, instance_key AS ikey, 'max_confidence' AS rule, n_sources AS candidates, confidence AS winner_confidence, distinct_values, CASE WHEN identity_basis IS NOT NULL THEN instance_key END AS instance_key,
+            CASE WHEN identity_basis IS NOT NULL AND s <> 'LOW' THEN '***' ELSE identity_basis END AS identity_basis, CASE WHEN identity_basis IS NOT NULL THEN 'nfkd-casefold-ws-v1' END AS identity_algo, instance_count FROM v"""),
+    "fact_sources": (fact_sources, f"WITH {_MERGE_SQL} SELECT client_id, attribute_key, instance_key, fact_id FROM keyed"),
+    "facts_remerged": (facts_remerged, f"WITH {_MERGE_SQL.replace('FROM lineitem', 'FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = ' + quoted('F') + ')')} SELECT {_OUT} FROM merged"),
     "merged_stale_keys": (merged_stale_keys, f"WITH {_MERGE_SQL} SELECT client_id, attribute_key, instance_key FROM merged EXCEPT SELECT DISTINCT client_id, attribute_key, instance_key FROM keyed WHERE doc_id % 2 = 0"),
     "verdicts_live": (verdicts_live, """
         WITH e AS (SELECT user_id % 40 AS client_id, 'k' || (event_id % 9) AS attribute_key, '' AS instance_key, event_id,

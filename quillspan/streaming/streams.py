@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,21 +41,28 @@ def first_of_key(events: DataFrame, keys: list[str], late: str) -> DataFrame:
 
 
 def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """(key, at, allowed) of requests (key, at in seconds): the bucket of each key is state, and starts full at time 0."""
+    """(key, at, allowed) of requests (key of any type, at in seconds): the bucket of each key is state, and starts full at time 0.
+
+    A trigger's requests of a key are decided in order of time, however many Arrow batches they
+    come in; only their times are held. A request older than one decided by an earlier trigger
+    finds the bucket as it is and leaves its clock alone.
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (float(burst), 0.0)
-        for x in batches:
-            times, passed = sorted(x["at"]), []
-            for at in times:
-                tokens = min(float(burst), tokens + max(0.0, at - last) * rate)
-                last = at
-                passed.append(tokens >= 1)
-                tokens -= passed[-1]
-            yield pd.DataFrame({"key": key[0], "at": times, "allowed": passed})
-        state.update((tokens, last))
-
-    return requests.groupBy("key").applyInPandasWithState(step, "key long, at double, allowed boolean", "tokens double, last double", "append", "NoTimeout")
+        times = np.sort(np.concatenate([x["at"].to_numpy(dtype=float) for x in batches]))
+        passed = np.empty(len(times), dtype=bool)
+        for i, at in enumerate(times.tolist()):
+            tokens = min(float(burst), tokens + max(0.0, at - last) * rate)
+            last = max(last, at)
+            passed[i] = tokens >= 1
+            tokens -= bool(passed[i])
+        state.update((float(tokens), float(last)))
+        for i in range(0, len(times), 10_000):
+            yield pd.DataFrame({"key": key[0], "at": times[i : i + 10_000], "allowed": passed[i : i + 10_000]})
+
+    kind = requests.schema["key"].dataType.simpleString()
+    return requests.groupBy("key").applyInPandasWithState(step, f"key {kind}, at double, allowed boolean", "tokens double, last double", "append", "NoTimeout")
 
 
 def append_log(log: DataFrame, path: str, every: str = "1 second", rows: int | None = None):

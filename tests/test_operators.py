@@ -182,3 +182,44 @@ def test_trees_of_any_depth_nest(spark):
     chain = [(str(i), str(i - 1) if i else None, ".".join(map(str, range(i + 1))), i) for i in range(7)]
     got = tree.nest(spark.createDataFrame(chain, "id string, parent_id string, path string, seq int")).collect()
     assert sorted(r.level for r in got) == list(range(7))
+
+
+def test_identity_forms_fold_every_script(spark):
+    import unicodedata
+
+    def plain(v):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
+        return " ".join(bare.casefold().split()) or None
+
+    rows = ["José  PÉREZ", "Straße", "ＡＢＣ　Ltd", "ﬁnal ﬂow", "ΆΛΦΑ Σίσυφος", "Ёлкин Й", "İstanbul ıI", "Łódź", "a b\x1fc", "Kelvin", "", "   ", None, "plain\tASCII\n x"]
+    got = [r[0] for r in values(spark, [(r,) for r in rows], "v string", text.identity_form(F.col("v")))]
+    assert got == [None if r is None else plain(r) for r in rows]
+
+
+def test_cursors_come_back(spark):
+    at = datetime.datetime(2024, 1, 15, 1, 2, 3, 4)
+    made = spark.createDataFrame([(at, "id|7")], "t timestamp_ntz, k string").select(text.cursor(F.col("t"), F.col("k"))).first()[0]
+    assert text.read_cursor(made) == (at, "id|7")
+    for bad in ("", "%%%", "YWJj", made[:-6] + "!", "bm90IGEgZGF0ZXx4"):
+        with pytest.raises(ValueError):
+            text.read_cursor(bad)
+
+
+def test_blank_texts_have_no_identity_and_identities_are_hidden(spark):
+    rows = [
+        (1, 1, "ownership.director", " ", datetime.date(2020, 1, 1), None, 0.9, None), (1, 2, "ownership.director", "", datetime.date(2020, 1, 1), None, 0.9, None),
+        (1, 3, "ownership.director", "Łukasz", None, 1.0, 0.9, None), (1, 4, "ownership.director", "łukasz", None, 2.0, 0.8, None),
+    ]
+    merged = merge.merge_facts(spark.createDataFrame(rows, FACT))
+    got = {r.identity_basis: r for r in merged.collect()}
+    assert set(got) == {"2020-01-01", "łukasz"} and got["łukasz"].conflict and got["łukasz"].distinct_values == 2 and got["łukasz"].winning_fact_id == 3
+    assert {r.identity_basis for r in serving.fact_view(merged).collect()} == {"***"}
+    assert sorted(r.fact_id for r in merge.sources(spark.createDataFrame(rows, FACT)).collect()) == [2, 3, 4]
+
+
+def test_replacing_a_set_leaves_other_clients(spark):
+    rows = [(c, c * 10 + i, "doc.issue_date", f"v{i}", None, None, 0.5 + i / 10, None) for c in (1, 2, 3) for i in (0, 1)]
+    facts = spark.createDataFrame(rows, FACT)
+    clients = spark.createDataFrame([(1,), (2,), (2,)], "client_id long")
+    got = merge.remerge(merge.merge_facts(facts), facts.where("fact_id in (10, 30)"), clients).collect()
+    assert sorted((r.client_id, r.resolved_value, r.n_sources) for r in got) == [(1, "v0", 1), (3, "v1", 2)]

@@ -63,3 +63,15 @@ def test_stream_of_requests_equals_the_batch(spark, tmp_path, files):
 def test_amounts_end_after_three_digits_without_groups(spark):
     got = spark.createDataFrame([("$54,321.00 and 12345.67",)], "t string").select(service.amounts(F.col("t"))).first()[0]
     assert got == [54321.0, 123.0]
+
+
+def test_stream_bucket_takes_a_trigger_in_order_of_time_with_any_key(spark, tmp_path):
+    rows = [("k", float(t)) for t in (10, 0, 5, 30)] + [("other", 1.0)]
+    spark.createDataFrame(rows, "key string, at double").coalesce(1).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = streams.drain(streams.token_bucket(streams.source(spark, f"{tmp_path}/in"), 0.1, 1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.key, r.at, r.allowed) for r in got) == [("k", 0.0, True), ("k", 5.0, False), ("k", 10.0, True), ("k", 30.0, True), ("other", 1.0, True)]
