@@ -65,3 +65,50 @@ def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
 
     times = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.col("at").cast("double"))).alias("t"))
     return times.select("key", F.size("t").cast("long").alias("n"), F.aggregate("t", start, step, lambda acc: acc["allowed"]).alias("allowed"))
+
+
+def enqueue(jobs: DataFrame, requests: DataFrame, now: Column, max_attempts: int = 3) -> DataFrame:
+    """``jobs`` with one queued job for each new request; a tenant's idempotency key that exists already makes none.
+
+    requests: id, client_id, kind, priority, idempotency_key. Of new requests with one key the
+    smallest id stands; requests without a key all do. Nulls in jobs stand for what a new job has not.
+    """
+    key = ["client_id", "idempotency_key"]
+    keyed = requests.where("idempotency_key is not null").groupBy(*key).agg(F.min_by(F.struct("id", "kind", "priority"), "id").alias("r")).select("r.*", *key)
+    fresh = keyed.join(jobs.select(*key).distinct(), key, "left_anti").unionByName(requests.where("idempotency_key is null").select("id", "kind", "priority", *key))
+    made = fresh.withColumns({"status": F.lit("queued"), "attempts": F.lit(0), "max_attempts": F.lit(max_attempts), "created_at": now, "updated_at": now, "run_after": now})
+    return jobs.unionByName(made.select(*[made[f.name].cast(f.dataType) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in jobs.schema]))
+
+
+def transition(jobs: DataFrame, calls: DataFrame, now: Column, lease_seconds: int = 300, base: float = 30, cap: float = 3600, jitter: Column | None = None) -> DataFrame:
+    """``jobs`` after one call for each job, with ``applied``: whether a call was made and took effect.
+
+    calls: call_no, id, action, worker, client_id, status, error. Workers' actions take effect
+    only on a running job that the worker holds: ``heartbeat`` renews the lease, ``complete``
+    ends with ``status``, ``release`` gives the job back uncharged, ``retry_later`` waits with
+    backoff. Tenants' actions take effect on their own jobs: ``retry`` of a dead one,
+    ``cancel`` of a queued one. Of several calls for a job the first is taken. One shuffle by id.
+    """
+    first = calls.groupBy("id").agg(F.min_by(F.struct("action", "worker", F.col("client_id").alias("caller"), F.col("status").alias("to"), F.col("error").alias("why")), "call_no").alias("_c"))
+    both = jobs.join(first, "id", "left")
+    held = (F.col("status") == "running") & (F.col("locked_by") == F.col("_c.worker"))
+    own = F.col("client_id") == F.col("_c.caller")
+    action = F.col("_c.action")
+    on = lambda name, where: F.coalesce((action == name) & where, F.lit(False))
+    beat, done, back, later = (on(a, held) for a in ("heartbeat", "complete", "release", "retry_later"))
+    again, cancel = on("retry", own & (F.col("status") == "dead")), on("cancel", own & (F.col("status") == "queued"))
+    wait = F.make_dt_interval(secs=backoff(F.col("attempts"), base, cap, jitter).cast("decimal(18,6)"))
+    freed = done | back | later | again
+    keep = lambda c: F.col(c)
+    changed = {
+        "status": F.when(done, F.col("_c.to")).when(back | later | again, "queued").when(cancel, "canceled").otherwise(keep("status")),
+        "locked_by": F.when(freed, F.lit(None)).otherwise(keep("locked_by")),
+        "lease_expires_at": F.when(beat, now + F.make_dt_interval(secs=F.lit(lease_seconds))).when(~freed, keep("lease_expires_at")),
+        "run_after": F.when(back | again, now).when(later, now + wait).otherwise(keep("run_after")),
+        "attempts": F.when(back, F.greatest(keep("attempts") - 1, F.lit(0))).when(again, F.lit(0)).otherwise(keep("attempts")),
+        "error": F.when(done, F.coalesce("_c.why", "error")).when(later, F.col("_c.why")).when(~again, keep("error")),
+        "finished_at": F.when(done | cancel, now).when(~again, keep("finished_at")),
+        "updated_at": F.when(freed | cancel, now).otherwise(keep("updated_at")),
+        "applied": beat | freed | cancel,
+    }
+    return both.select(*[changed.pop(c).cast(jobs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in jobs.columns], changed["applied"].alias("applied"))

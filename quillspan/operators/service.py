@@ -110,3 +110,26 @@ def amounts(text: Column) -> Column:
 def context_prefix(content: Column, document: Column) -> Column:
     """The stub model's answer: the first 120 characters of the prompt, which is the content within its document."""
     return F.when(F.trim(content) != "", F.concat(F.lit("[stub:contextual] "), F.substring(F.concat_ws("\n", F.substring(content, 1, 4000), F.substring(document, 1, 12000)), 1, 120)))
+
+
+def next_page(rows: DataFrame, at: str, key: str, limit: int, after: str | None = None) -> tuple[DataFrame, str | None]:
+    """Newest first: the rows behind a cursor, at most ``limit``, and the cursor of the next page if there is one."""
+    from quillspan.functions.text import cursor, read_cursor
+
+    if after is not None:
+        when, last = read_cursor(after)
+        kinds = rows.schema[at].dataType, rows.schema[key].dataType
+        rows = rows.where(F.struct(at, key) < F.struct(F.lit(when).cast(kinds[0]), F.lit(last).cast(kinds[1])))
+    page = rows.orderBy(F.desc(at), F.desc(key)).limit(limit)
+    ends = rows.orderBy(F.desc(at), F.desc(key)).limit(limit + 1).select(cursor(F.col(at), F.col(key)).alias("c")).collect()
+    return page, ends[limit - 1].c if len(ends) > limit else None
+
+
+def document_list(documents: DataFrame, client_id: str, limit: int = 50, after: str | None = None) -> tuple[DataFrame, str | None]:
+    """A tenant's documents that are not deleted, newest first, page by page; see ``next_page``."""
+    return next_page(documents.where((F.col("client_id") == client_id) & F.col("deleted_at").isNull()), "created_at", "id", limit, after)
+
+
+def answerable_questions(representations: DataFrame) -> DataFrame:
+    """(path, question): the hypothetical questions among a document's representations."""
+    return representations.where("rep_type = 'hypothetical_q'").select("path", F.col("rep_text").alias("question"))

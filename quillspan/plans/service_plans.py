@@ -10,7 +10,7 @@ from quillspan.functions import dates, vector
 from quillspan.operators import gate, merge, search, service
 from quillspan.plans.fact_plans import _MERGE_SQL, _MULTI
 from quillspan.plans.gate_plans import _GATE_SQL
-from quillspan.plans.version_plans import _lex_sql, _lexical, _vec_sql, _vector
+from quillspan.plans.version_plans import _lex_sql, _lexical, _vec_sql, _vector, areps_plan
 from quillspan.sources.tables import kyc_documents, line_facts, table
 
 NOW = "2024-01-20 12:00:00"
@@ -105,6 +105,17 @@ def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return search.fuse([_lexical(spark, sf, inside), _vector(spark, sf, inside)], top=10).join(docs, "id").select("query_id", "id", "rnk", "score", "scope")
 
 
+def document_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of one tenant's list, behind the cursor that the first page hands on."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("client_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate")).alias("deleted_at"))
+    _, after = service.document_list(o, "O", 40)
+    return service.document_list(o, "O", 40, after)[0].select("id")
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return service.answerable_questions(areps_plan(spark, sf))
+
+
 def stub_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.round(F.aggregate(vector.stub_vector(F.col("text"), 48), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
@@ -135,5 +146,7 @@ PLANS = {
     "search_hybrid": (search_hybrid, f"""WITH ok AS (SELECT doc_id AS id, source AS scope FROM documents), {_lex_sql("doc_id IN (SELECT id FROM ok WHERE scope <> 'src3')")}, {_vec_sql("e.vec_id IN (SELECT id FROM ok WHERE scope <> 'src3')")},
         f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rnk)), 9) AS score FROM (SELECT query_id, id, rnk FROM lex WHERE rnk <= 50 UNION ALL SELECT query_id, id, rnk FROM vec WHERE rnk <= 50) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk FROM f) SELECT query_id, id, rnk, score, scope FROM r JOIN ok USING (id) WHERE rnk <= 10"""),
+    "document_page": (document_page, "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 7 <> 0 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 40 OFFSET 40"),
+    "questions": (questions, "SELECT conv_id || '.' || turn AS path, '[stub:hypothetical_q] ' || substr(text, 1, 120) AS question FROM conversations WHERE trim(text) <> ''"),
     "stub_embeddings": (stub_embeddings, "SELECT conv_id, turn, round(list_sum(list_transform(range(48), lambda i: ('0x' || substr(sha256(text), (i % 32) * 2 + 1, 2))::INT / 127.5::DOUBLE - 1)), 6) AS total FROM conversations"),
 }

@@ -118,6 +118,34 @@ def _now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
+def queue_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    """A call for most jobs, some by others than those who may make it, some twice."""
+    i = F.col("id")
+    jobs = _jobs(spark, sf).withColumns({"locked_by": F.when(F.col("status") == "running", F.concat(F.lit("w"), F.pmod(i, F.lit(3)).cast("string"))), "error": F.when(F.col("status") == "dead", "lost"), "finished_at": F.when(F.col("status").isin("dead", "succeeded"), F.col("created_at"))})
+    actions = F.get(F.array(*[F.lit(x) for x in ("heartbeat", "complete", "release", "retry_later", "retry", "cancel")]), F.pmod(i, F.lit(6)).cast("int"))
+    call = jobs.where("id % 13 > 0").select("id", F.lit(1).alias("call_no"), actions.alias("action"), F.concat(F.lit("w"), F.pmod(i, F.lit(3)) - F.pmod(i, F.lit(2))).alias("worker"), F.when(i % 4 > 0, F.col("client_id")).alias("client_id"), F.lit("succeeded").alias("status"), F.lit("why").alias("error"))
+    calls = call.unionByName(call.where("id % 5 = 0").withColumns({"call_no": F.lit(2), "action": F.lit("cancel")}))
+    out = queue.transition(jobs, calls, _now())
+    return out.where("applied").select("id", "status", "locked_by", F.date_format("lease_expires_at", "yyyy-MM-dd HH:mm:ss").alias("lease"), F.date_format("run_after", "yyyy-MM-dd HH:mm:ss").alias("run_after"), F.col("attempts").cast("long").alias("attempts"), "error", F.col("finished_at").isNotNull().alias("finished"))
+
+
+_ACTED_SQL = f"""
+    j AS (SELECT *, CASE WHEN status = 'running' THEN 'w' || id % 3 END AS locked_by, ['heartbeat', 'complete', 'release', 'retry_later', 'retry', 'cancel'][id % 6 + 1] AS a, id % 4 > 0 AS mine FROM jobs WHERE id % 13 > 0),
+    x AS (SELECT *, CASE WHEN a IN ('retry', 'cancel') THEN mine AND status = CASE a WHEN 'retry' THEN 'dead' ELSE 'queued' END ELSE coalesce(locked_by = 'w' || (id % 3 - id % 2), FALSE) END AS ok FROM j)
+    SELECT id, CASE a WHEN 'heartbeat' THEN 'running' WHEN 'complete' THEN 'succeeded' WHEN 'cancel' THEN 'canceled' ELSE 'queued' END AS status, CASE WHEN a = 'heartbeat' THEN locked_by END AS locked_by,
+        strftime(CASE a WHEN 'heartbeat' THEN TIMESTAMP '{NOW}' + INTERVAL 300 SECOND WHEN 'cancel' THEN lease_expires_at END, '%Y-%m-%d %H:%M:%S') AS lease,
+        strftime(CASE WHEN a IN ('release', 'retry') THEN TIMESTAMP '{NOW}' WHEN a = 'retry_later' THEN TIMESTAMP '{NOW}' + to_seconds(least(3600, 30 * pow(2, attempts))::INT) ELSE created_at END, '%Y-%m-%d %H:%M:%S') AS run_after,
+        CASE a WHEN 'release' THEN greatest(attempts - 1, 0) WHEN 'retry' THEN 0 ELSE attempts END AS attempts, CASE WHEN a IN ('complete', 'retry_later') THEN 'why' END AS error, a IN ('complete', 'cancel') AS finished FROM x WHERE ok"""
+
+
+def queue_enqueue(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of every event's successor: some keys exist, some come twice, some have none."""
+    key = F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.floor(F.col("id") / 4).cast("string")))
+    jobs = _jobs(spark, sf).withColumn("idempotency_key", F.when(F.col("id") % 2 == 0, key))
+    asked = jobs.select((F.col("id") + 10**9).alias("id"), "client_id", "kind", "priority", key.alias("idempotency_key"))
+    return queue.enqueue(jobs, asked, _now()).where(F.col("id") >= 10**9).select("id", "client_id", "idempotency_key", "status", F.col("attempts").cast("long").alias("attempts"))
+
+
 def queue_stats(spark: SparkSession, sf: str) -> DataFrame:
     return queue.stats(_jobs(spark, sf), _now())
 
@@ -196,6 +224,11 @@ PLANS = {
     "tree_nodes": (tree_nodes, None),
     "areps_plan": (areps_plan, "SELECT conv_id || '.' || turn AS path, r AS rep_type, '[stub:' || r || '] ' || substr(text, 1, 120) AS rep_text FROM conversations, (SELECT unnest(['hypothetical_q', 'proposition', 'summary', 'alt_phrasing']) AS r) WHERE trim(text) <> ''"),
     "queue_stats": (queue_stats, f"WITH {_JOBS_SQL} SELECT kind, status, count(*) AS n, max(epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(created_at))::BIGINT) AS oldest_seconds FROM jobs GROUP BY ALL"),
+    "queue_transitions": (queue_transitions, f"WITH {_JOBS_SQL}, {_ACTED_SQL.strip()}"),
+    "queue_enqueue": (queue_enqueue, """
+        WITH e AS (SELECT event_id AS id, user_id AS client_id, CASE WHEN event_id % 3 > 0 THEN 'k' || (event_id // 4) END AS key FROM events), had AS (SELECT client_id, key FROM e WHERE id % 2 = 0 AND key IS NOT NULL),
+        r AS (SELECT min(id) AS id, client_id, key FROM e WHERE key IS NOT NULL AND (client_id, key) NOT IN (SELECT (client_id, key) FROM had) GROUP BY client_id, key UNION ALL SELECT id, client_id, key FROM e WHERE key IS NULL)
+        SELECT id + 1000000000 AS id, client_id, key AS idempotency_key, 'queued' AS status, 0 AS attempts FROM r"""),
     "queue_claim": (queue_claim, f"""WITH {_JOBS_SQL}, j AS (SELECT * REPLACE (CASE WHEN status = 'running' AND id % 40 > 0 THEN 'succeeded' ELSE status END AS status) FROM jobs), r AS (SELECT client_id, count(*) AS running FROM j WHERE status = 'running' GROUP BY 1),
         d AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY priority, created_at, id) AS rn FROM j WHERE status = 'queued' AND created_at <= TIMESTAMP '{NOW}')
         SELECT id, client_id, priority FROM d LEFT JOIN r USING (client_id) WHERE rn <= greatest(4 - coalesce(running, 0), 0) ORDER BY priority, created_at, id LIMIT 40"""),
