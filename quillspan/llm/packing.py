@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import written
 from quillspan.llm.tokens import crc32, encoder, with_end
 
-#: Bins with at most this share of the capacity free are emitted at once.
-NEARLY_FULL = 1 / 512
-#: Groups whose open bins are packed together in one task, and the bins over half full that one carries on.
+#: Groups whose open bins are packed together in one task, and the bins over half full that one carries on;
+#: the second must be FAN_IN times the rounds at least, which 2048 is for any number of partitions.
 FAN_IN, CARRIED = 8, 2048
 
 
@@ -77,16 +76,19 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool
     return docs.select("doc_id", "text").mapInPandas(cut, schema)
 
 
-def still_open(fill: np.ndarray, capacity: int) -> np.ndarray:
+def still_open(fill: np.ndarray, capacity: int, carried: int = CARRIED) -> np.ndarray:
     """Which bins of one packed group may still gain from another group's bins.
 
     Any two bins of a group that is packed best-fit overfill one bin, so at most one of them is
-    up to half full, and only such a bin can join another. One merge sees FAN_IN groups, so of
-    the fuller bins only the emptiest can be joined by them; CARRIED of those go on, the rest are done.
+    up to half full, and only such a bin can join another. A round brings at most FAN_IN of them
+    together, so all rounds use up at most FAN_IN bins each of what a group carries. A joining
+    bin takes the fullest that holds it: one that is carried and not the emptiest, unless no
+    other bin of the group, carried or not, would hold it. So the emptiest ones decide how many
+    join, and leaving out the nearly full ones behind them never costs a sequence.
     """
-    out = fill < capacity - int(capacity * NEARLY_FULL)
+    out = fill < capacity
     fuller = np.flatnonzero(out & (2 * fill > capacity))
-    out[fuller[np.argsort(fill[fuller], kind="stable")[CARRIED:]]] = False
+    out[fuller[np.argsort(fill[fuller], kind="stable")[carried:]]] = False
     return out
 
 
@@ -108,8 +110,8 @@ def _merge(level: int, capacity: int):
 def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """``pieces`` with sequence_id and offset: every piece in one sequence, gapless from 0.
 
-    Every input partition packs its pieces best-fit decreasing. Bins that are nearly full are
-    done. The others are items of the next round, which packs those of FAN_IN groups together,
+    Every input partition packs its pieces best-fit decreasing. Full bins and the fullest of the
+    rest are done. The others are items of the next round, which packs those of FAN_IN groups together,
     until one group is left. What moves between rounds is a few numbers for each bin that may
     still be joined, and a group carries a bounded number of them. Rows keep their columns, but
     columns named sequence_id and offset are replaced. Pieces must have 1 to ``capacity`` ids.

@@ -466,3 +466,25 @@ def test_stages_on_repeated_ids_nulls_and_copies(spark, sf):
     for name, stage in pipeline.STAGES[1:4]:
         empty = stage(spark, docs.where("false"), sf)
         assert empty.columns == docs.columns and empty.count() == 0, name
+
+
+def test_bins_left_behind_never_cost_a_sequence():
+    """Rounds that carry FAN_IN bins a round make as many sequences as rounds that carry every bin that is not full."""
+    rng, capacity = np.random.default_rng(7), 64
+
+    def sequences(groups, carried):
+        count, level = 0, [np.bincount(b := packing.best_fit(g, capacity)[0], weights=g).astype(int) for g in groups]
+        while True:
+            opened = [packing.still_open(x, capacity, carried) for x in level]
+            count += sum(int((~o).sum()) for o in opened)
+            left = [x[o] for x, o in zip(level, opened, strict=True)]
+            if len(left) == 1:
+                return count + len(left[0])
+            joined = [np.concatenate(left[i : i + 2]) for i in range(0, len(left), 2)]
+            level = [np.bincount(packing.best_fit(f, capacity)[0], weights=f).astype(int) if len(f) else f for f in joined]
+
+    for case in range(400):
+        # Sizes over half, sizes of a few ids and sizes just under the gaps, which best fit has to hold apart.
+        pools = [np.arange(33, 65), np.arange(1, 8), np.arange(20, 33), np.arange(1, 65)]
+        groups = [rng.choice(pools[int(rng.integers(4)) if case % 2 else case // 2 % 4], int(rng.integers(1, 60))) for _ in range(8)]
+        assert sequences(groups, 2 * 3) == sequences(groups, 10**6)
