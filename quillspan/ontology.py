@@ -23,34 +23,38 @@ DOCUMENT_TYPES = [
 ]
 
 # Stopwords of the language heuristic.
-ENGLISH_WORDS = (
-    "the and of to in is was for with this that are be by on as at from or an name date birth address number issued "
-    "expiry expires statement account passport license social security driver income tax"
-).split()
-SPANISH_WORDS = (
-    "el la los las de del y en es un una con por para que se su como fecha nacimiento nombre domicilio numero número "
-    "credencial registro federal contribuyentes estado cuenta constancia situación situacion fiscal clave población "
-    "poblacion nacional electoral"
-).split()
+ENGLISH_WORDS = [
+    "the", "and", "of", "to", "in", "is", "was", "for", "with", "this", "that", "are", "be", "by", "on", "as", "at",
+    "from", "or", "an", "name", "date", "birth", "address", "number", "issued", "expiry", "expires", "statement",
+    "account", "passport", "license", "social", "security", "driver", "income", "tax",
+]
+SPANISH_WORDS = [
+    "el", "la", "los", "las", "de", "del", "y", "en", "es", "un", "una", "con", "por", "para", "que", "se", "su",
+    "como", "fecha", "nacimiento", "nombre", "domicilio", "numero", "número", "credencial", "registro", "federal",
+    "contribuyentes", "estado", "cuenta", "constancia", "situación", "situacion", "fiscal", "clave", "población",
+    "poblacion", "nacional", "electoral",
+]
 
 # Canonical attribute keys.
-ATTRIBUTE_KEYS = (
-    "identity.full_name identity.given_names identity.surname identity.date_of_birth identity.sex identity.nationality "
-    "identity.place_of_birth id.passport_number id.ssn id.itin id.sin id.curp id.rfc id.ine_clave_elector "
-    "id.driver_license id.ein id.business_number address.residential address.mailing address.registered "
-    "address.postal_code income.employer income.amount account.number account.balance entity.legal_name "
-    "entity.incorporation_date ownership.beneficial_owner ownership.director ownership.authorized_signer "
-    "doc.issue_date doc.expiry_date"
-).split()
+ATTRIBUTE_KEYS = [
+    "identity.full_name", "identity.given_names", "identity.surname", "identity.date_of_birth", "identity.sex",
+    "identity.nationality", "identity.place_of_birth", "id.passport_number", "id.ssn", "id.itin", "id.sin", "id.curp",
+    "id.rfc", "id.ine_clave_elector", "id.driver_license", "id.ein", "id.business_number", "address.residential",
+    "address.mailing", "address.registered", "address.postal_code", "income.employer", "income.amount",
+    "account.number", "account.balance", "entity.legal_name", "entity.incorporation_date",
+    "ownership.beneficial_owner", "ownership.director", "ownership.authorized_signer", "doc.issue_date",
+    "doc.expiry_date",
+]
 MULTI_VALUED_KEYS = ["ownership.director", "ownership.beneficial_owner", "ownership.authorized_signer", "account.number"]
 
 #: From harmless to most sensitive.
 SENSITIVITY = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
 # Findings that make a document CRITICAL by themselves.
-NATIONAL_IDS = (
-    "US_SSN SSN US_ITIN CA_SIN SIN MX_CURP CURP MX_RFC RFC MX_INE_CLAVE_ELECTOR INE_CLAVE_ELECTOR PASSPORT US_PASSPORT US_EIN EIN"
-).split()
+NATIONAL_IDS = [
+    "US_SSN", "SSN", "US_ITIN", "CA_SIN", "SIN", "MX_CURP", "CURP", "MX_RFC", "RFC", "MX_INE_CLAVE_ELECTOR",
+    "INE_CLAVE_ELECTOR", "PASSPORT", "US_PASSPORT", "US_EIN", "EIN",
+]
 
 #: Representations made for every content node.
 REPRESENTATIONS = ["hypothetical_q", "proposition", "summary", "alt_phrasing"]
@@ -59,9 +63,10 @@ REPRESENTATIONS = ["hypothetical_q", "proposition", "summary", "alt_phrasing"]
 def specificity(anchor: str) -> float:
     """How much one hit of an anchor tells: by its words and length."""
     words, length = len(anchor.split()), len(anchor.strip())
-    for least_words, least_length, weight in ((3, 18, 1.0), (2, 10, 0.6)):
-        if words >= least_words or length >= least_length:
-            return weight
+    if words >= 3 or length >= 18:
+        return 1.0
+    if words >= 2 or length >= 10:
+        return 0.6
     return 0.35 if length >= 5 else 0.15
 
 

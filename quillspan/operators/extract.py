@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quillspan.functions import ids
 from quillspan.functions.text import once
@@ -131,3 +133,100 @@ def attributes(replies: DataFrame) -> DataFrame:
     """(id, key, value): the attributes of JSON replies (id, reply), without their confidence."""
     maps = replies.select("id", F.from_json(first_object(F.col("reply")), "map<string,string>").alias("m")).where("m is not null")
     return maps.select("id", F.explode("m").alias("key", "value")).where("key <> 'confidence'")
+
+
+#: Which finder reads which classes; classes that none reads yield nothing.
+FINDERS = [
+    (us_ids, ["US_SSN_CARD", "US_EIN_LETTER"]),
+    (canada_ids, ["CA_SIN", "CA_BUSINESS_NUMBER"]),
+    (mexico_ids, ["MX_INE", "MX_CURP", "MX_RFC_CSF"]),
+]
+
+
+def extract_by_type(docs: DataFrame, finders: list | None = None) -> DataFrame:
+    """Facts of (doc_id, doc_type, text) by the finder of each document's class, in one narrow pass."""
+    found = None
+    for finder, classes in FINDERS if finders is None else finders:
+        hit = F.col("doc_type").isin(classes)
+        found = F.when(hit, finder(F.col("text"))) if found is None else found.when(hit, finder(F.col("text")))
+    return docs.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
+
+
+def indel(a: str, b: str) -> int:
+    """Insertions and deletions that turn one text into the other, by the longest common subsequence in one integer."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = full
+    for c in b:
+        kept = rows & where.get(c, 0)
+        rows = ((rows + kept) | (rows - kept)) & full
+    return len(a) + len(b) - 2 * (len(a) - rows.bit_count())
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """0 to 100: how alike two texts are as sets of words, 100 if one's words are all in the other."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    shared, only_a, only_b = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if shared and not (only_a and only_b):
+        return 100.0
+    gap = len(shared) + bool(shared)
+    out = [100 - 100 * indel(only_a, only_b) / (2 * gap + len(only_a) + len(only_b))]
+    if shared:
+        out += [100 - 100 * (1 + len(rest)) / (len(shared) + gap + len(rest)) for rest in (only_a, only_b)]
+    return max(out)
+
+
+def _scores(labels: list[str]):
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def scores(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [token_set_ratio(label, t) for label in labels], na_action="ignore")
+
+    return scores
+
+
+def _tail(text: Column, label: Column) -> Column:
+    """What stands behind a label in a line, without separators; null if nothing does."""
+    at = F.call_function("locate", F.lower(label), F.lower(text))
+    rest = F.regexp_replace(F.substr(text, at + F.length(label), F.length(text)), r"^[ :\t\-=–—]+", "")
+    return F.when(at > 0, F.nullif(F.trim(rest), F.lit("")))
+
+
+def anchor_extract(lines: DataFrame, labels: list[str], threshold: float = 85) -> DataFrame:
+    """(doc_id, label, value): for each label of a document the value bound to the line most like it.
+
+    ``lines``: doc_id, line_no, text, page, x0, y0, x1, y1; boxes may be null. The best line by
+    token set ratio, the first on ties, takes the nearest line to its right on its page, else
+    the nearest below, else what stands behind the label in it. In a document without any box
+    the first line that has something behind the label gives it; if no label finds such a line,
+    the line most like any label is the value itself, the earliest line and label on ties.
+    Null and blank texts are no lines. The labels travel as a literal; a document's lines meet
+    only the few lines chosen for its labels.
+    """
+    some = lines.where(F.length(F.trim("text")) > 0)
+    boxed = F.col("x0").isNotNull()
+    asked = F.array(*[F.lit(x) for x in labels])
+    each = some.withColumn("_s", _scores(labels)(F.col("text"))).select("*", F.posexplode(F.arrays_zip(asked.alias("label"), F.col("_s").alias("score"))).alias("label_no", "_l")).select("*", "_l.label", "_l.score").drop("_s", "_l")
+    place = F.struct("page", "x0", "y0", "x1", "y1")
+    fits = F.col("score") >= threshold
+    chosen = each.withColumn("_tail", _tail(F.col("text"), F.col("label"))).groupBy("doc_id", "label_no", "label").agg(
+        F.min_by(F.when(fits, F.struct("line_no", "text", "score", place.alias("box"))), F.when(fits, F.struct(-F.col("score"), F.col("line_no")))).alias("best"),
+        F.min_by("_tail", F.when(F.col("_tail").isNotNull(), F.col("line_no"))).alias("tail"), F.bool_or(boxed).alias("has_boxes"),
+    )
+    at = chosen.where("has_boxes and best is not null").alias("c")
+    l_, r = (lambda c: F.col(f"c.best.box.{c}")), (lambda c: F.col(f"r.{c}"))
+    both = at.join(some.where(boxed).alias("r"), (F.col("c.doc_id") == r("doc_id")) & (l_("page") == r("page")) & (F.col("c.best.line_no") != r("line_no")), "left")
+    right = (r("x0") >= l_("x1") - 1e-9) & (F.least(l_("y1"), r("y1")) > F.greatest(l_("y0"), r("y0")))
+    below = (r("y0") >= l_("y1") - 1e-9) & (F.least(l_("x1"), r("x1")) > F.greatest(l_("x0"), r("x0")))
+    order = F.when(right, F.struct(F.lit(0).alias("side"), (r("x0") - l_("x1")).cast("double").alias("gap"), r("line_no"))).when(below, F.struct(F.lit(1).alias("side"), (r("y0") - l_("y1")).cast("double").alias("gap"), r("line_no")))
+    bound = both.groupBy("c.doc_id", "c.label").agg(F.min_by(F.when(order.isNotNull(), r("text")), order).alias("near"), F.first("c.best.text").alias("own"))
+    boxes = bound.select("doc_id", "label", F.coalesce("near", _tail(F.col("own"), F.col("label"))).alias("value")).where("value is not null")
+    plain = chosen.where("not has_boxes")
+    whole = plain.groupBy("doc_id").agg(F.max(F.col("tail").isNotNull()).alias("any_tail"), F.min_by(F.struct("label", F.col("best.text").alias("value")), F.when(F.col("best").isNotNull(), F.struct(-F.col("best.score"), F.col("best.line_no"), F.col("label_no")))).alias("w"))
+    return (
+        boxes.unionByName(plain.where("tail is not null").select("doc_id", "label", F.col("tail").alias("value")))
+        .unionByName(whole.where("not any_tail and w.value is not null").select("doc_id", "w.label", "w.value"))
+    )

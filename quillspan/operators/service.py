@@ -133,3 +133,18 @@ def document_list(documents: DataFrame, client_id: str, limit: int = 50, after:
 def answerable_questions(representations: DataFrame) -> DataFrame:
     """(path, question): the hypothetical questions among a document's representations."""
     return representations.where("rep_type = 'hypothetical_q'").select("path", F.col("rep_text").alias("question"))
+
+
+def remove(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What is left of each table without the rows of the given keys, and (table_name, removed, kept).
+
+    For a document the key is doc_id, for a whole tenant client_id; pass the tables that go with
+    it, and leave audit logs and histories of verdicts out. Merged facts are merged anew after it.
+    """
+    keys = gone.select(key).distinct().withColumn("_gone", F.lit(True))
+    marked = {name: df.join(keys, key, "left") for name, df in tables.items()}
+    counts = [df.agg(F.count("_gone").alias("removed"), F.count_if(F.col("_gone").isNull()).alias("kept")).select(F.lit(name).alias("table_name"), "removed", "kept") for name, df in marked.items()]
+    total = counts[0]
+    for c in counts[1:]:
+        total = total.unionByName(c)
+    return {name: df.join(keys, key, "left_anti") for name, df in tables.items()}, total

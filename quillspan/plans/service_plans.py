@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan import ontology
 from quillspan.functions import dates, vector
-from quillspan.operators import gate, merge, search, service
+from quillspan.operators import extract, gate, merge, search, service
 from quillspan.plans.fact_plans import _MERGE_SQL, _MULTI
 from quillspan.plans.gate_plans import _GATE_SQL
 from quillspan.plans.version_plans import _lex_sql, _lexical, _vec_sql, _vector, areps_plan
@@ -112,6 +112,39 @@ def document_page(spark: SparkSession, sf: str) -> DataFrame:
     return service.document_list(o, "O", 40, after)[0].select("id")
 
 
+def document_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that go and stay when the documents of finished orders are deleted."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus")
+    return service.remove({"documents": orders, "facts": line_facts(spark, sf)}, orders.where("o_orderstatus = 'F'"), "doc_id")[1]
+
+
+def tenant_purge(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that go and stay when the tenants without an urgent order are purged."""
+    o = table(spark, sf, "orders")
+    jobs = table(spark, sf, "events").select(F.col("user_id").alias("client_id"))
+    gone = table(spark, sf, "customer").select(F.col("c_custkey").alias("client_id")).join(o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("client_id")), "client_id", "left_anti")
+    return service.remove({"documents": o.select(F.col("o_custkey").alias("client_id")), "jobs": jobs}, gone, "client_id")[1]
+
+
+def extract_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document behind an identifier, read by the finder of its class; a class without one yields nothing."""
+    kinds = F.array(*[F.lit(x) for x in ("US_SSN_CARD", "CA_SIN", "US_EIN_LETTER", "MX_CURP", "UTILITY_BILL")])
+    numbers = F.array(*[F.lit(x) for x in ("SSN 536-90-4399", "SIN 130-692-544", "EIN 12-3456789", "CURP BOXW310820HNERMN07", "SSN 536-90-4399")])
+    at = F.pmod("o_orderkey", F.lit(5)).cast("int")
+    docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.get(kinds, at).alias("doc_type"), F.concat(F.get(numbers, at), F.lit(" "), "o_orderpriority").alias("text"))
+    return extract.extract_by_type(docs).select("doc_id", "attribute_key", "value")
+
+
+def anchored_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels within the turns of conversations; every third conversation has no boxes."""
+    c = table(spark, sf, "conversations")
+    t = F.col("turn")
+    head = F.get(F.array(*[F.lit(x) for x in ("Full Name: ", "Date of Birth ", "", "of Birth Date ", "Adress - ")]), F.pmod(F.col("conv_id") + t, F.lit(5)).cast("int"))
+    box = lambda v: F.when(F.col("conv_id") % 3 > 0, v.cast("double"))
+    lines = c.select(F.col("conv_id").alias("doc_id"), t.alias("line_no"), F.concat(head, F.substring("text", 1, 12)).alias("text"), F.floor(t / 6).alias("page"), box(t % 2 * 50).alias("x0"), box(F.floor(t / 2) * 10).alias("y0"), box(t % 2 * 50 + 40).alias("x1"), box(F.floor(t / 2) * 10 + 8).alias("y1"))
+    return extract.anchor_extract(lines, ["Full Name", "Date of Birth", "Address"], 60)
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return service.answerable_questions(areps_plan(spark, sf))
 
@@ -147,6 +180,14 @@ PLANS = {
         f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rnk)), 9) AS score FROM (SELECT query_id, id, rnk FROM lex WHERE rnk <= 50 UNION ALL SELECT query_id, id, rnk FROM vec WHERE rnk <= 50) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk FROM f) SELECT query_id, id, rnk, score, scope FROM r JOIN ok USING (id) WHERE rnk <= 10"""),
     "document_page": (document_page, "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 7 <> 0 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 40 OFFSET 40"),
+    "document_delete": (document_delete, """WITH g AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT 'documents' AS table_name, count(*) FILTER (o_orderstatus = 'F') AS removed, count(*) FILTER (o_orderstatus <> 'F') AS kept FROM orders
+        UNION ALL SELECT 'facts', count(*) FILTER (l_orderkey IN (SELECT o_orderkey FROM g)), count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM g)) FROM lineitem"""),
+    "tenant_purge": (tenant_purge, """WITH g AS (SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))
+        SELECT 'documents' AS table_name, count(*) FILTER (o_custkey IN (SELECT c_custkey FROM g)) AS removed, count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM g)) AS kept FROM orders
+        UNION ALL SELECT 'jobs', count(*) FILTER (user_id IN (SELECT c_custkey FROM g)), count(*) FILTER (user_id NOT IN (SELECT c_custkey FROM g)) FROM events"""),
+    "extract_dispatch": (extract_dispatch, """SELECT o_orderkey AS doc_id, k AS attribute_key, v AS value FROM orders JOIN (VALUES (0, 'id.ssn', '536-90-4399'), (1, 'id.sin', '130-692-544'), (2, 'id.ein', '12-3456789'),
+        (3, 'id.curp', 'BOXW310820HNERMN07'), (3, 'identity.date_of_birth', '1931-08-20'), (3, 'identity.sex', 'M')) t(i, k, v) ON o_orderkey % 5 = i"""),
+    "anchored_values": (anchored_values, None),
     "questions": (questions, "SELECT conv_id || '.' || turn AS path, '[stub:hypothetical_q] ' || substr(text, 1, 120) AS question FROM conversations WHERE trim(text) <> ''"),
     "stub_embeddings": (stub_embeddings, "SELECT conv_id, turn, round(list_sum(list_transform(range(48), lambda i: ('0x' || substr(sha256(text), (i % 32) * 2 + 1, 2))::INT / 127.5::DOUBLE - 1)), 6) AS total FROM conversations"),
 }

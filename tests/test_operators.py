@@ -223,3 +223,78 @@ def test_replacing_a_set_leaves_other_clients(spark):
     clients = spark.createDataFrame([(1,), (2,), (2,)], "client_id long")
     got = merge.remerge(merge.merge_facts(facts), facts.where("fact_id in (10, 30)"), clients).collect()
     assert sorted((r.client_id, r.resolved_value, r.n_sources) for r in got) == [(1, "v0", 1), (3, "v1", 2)]
+
+
+def test_token_set_ratio_is_exact():
+    from functools import cache
+
+    from quillspan.operators import extract
+
+    def longest(a, b):
+        @cache
+        def go(i, j):
+            return 0 if i == len(a) or j == len(b) else 1 + go(i + 1, j + 1) if a[i] == b[j] else max(go(i + 1, j), go(i, j + 1))
+
+        return go(0, 0)
+
+    for a, b in [("", ""), ("abc", ""), ("date of birth", "dale of bith 1990"), ("kitten", "sitting"), ("aaaa", "aa")]:
+        assert extract.indel(a, b) == len(a) + len(b) - 2 * longest(a, b)
+    assert extract.token_set_ratio("Date of Birth", "Birth of Date 1990") == 100 and extract.token_set_ratio("x", " ") == 0
+    # No shared word: 2 of 12 letters differ by indel; one shared word: the better of three comparisons.
+    assert extract.token_set_ratio("abcdef", "abcdxf") == pytest.approx(100 - 100 * 2 / 12)
+    assert extract.token_set_ratio("name ab", "name cd") == pytest.approx(max(100 - 100 * 4 / 14, 100 - 100 * 3 / 11))
+
+
+def test_anchored_values_equal_loops_over_lines(spark, sf):
+    from quillspan.operators import extract
+    from quillspan.plans import service_plans
+
+    seen = {}
+
+    def spy(lines, labels, threshold):
+        seen.update(lines=lines, labels=labels, threshold=threshold)
+        return real(lines, labels, threshold)
+
+    real, extract.anchor_extract = extract.anchor_extract, spy
+    try:
+        got = sorted(map(tuple, service_plans.anchored_values(spark, sf).collect()))
+    finally:
+        extract.anchor_extract = real
+
+    def tail(text, label):
+        at = text.lower().find(label.lower())
+        return "" if at < 0 else text[at + len(label) :].lstrip(" :\t-=–—").strip(" ")
+
+    def likeliest(lines, labels):
+        best = None
+        for x in lines:
+            for label in labels:
+                score = extract.token_set_ratio(label, x.text)
+                if score >= seen["threshold"] and (best is None or score > best[0]):
+                    best = (score, label, x)
+        return best
+
+    docs, want = {}, []
+    for x in sorted(seen["lines"].collect(), key=lambda x: (x.doc_id, x.line_no)):
+        if x.text and x.text.strip():
+            docs.setdefault(x.doc_id, []).append(x)
+    for doc, lines in docs.items():
+        if any(x.x0 is not None for x in lines):
+            for label in seen["labels"]:
+                if best := likeliest(lines, [label]):
+                    a, near = best[2], []
+                    for x in lines:
+                        if x.line_no != a.line_no and x.page == a.page:
+                            if x.x0 >= a.x1 and min(x.y1, a.y1) > max(x.y0, a.y0):
+                                near.append((0, x.x0 - a.x1, x.line_no, x.text))
+                            elif x.y0 >= a.y1 and min(x.x1, a.x1) > max(x.x0, a.x0):
+                                near.append((1, x.y0 - a.y1, x.line_no, x.text))
+                    if value := min(near)[3] if near else tail(a.text, label):
+                        want.append((doc, label, value))
+        else:
+            tails = [(doc, label, next((t for x in lines if (t := tail(x.text, label))), None)) for label in seen["labels"]]
+            found = [t for t in tails if t[2]]
+            if not found and (best := likeliest(lines, seen["labels"])):
+                found = [(doc, best[1], best[2].text)]
+            want += found
+    assert got == sorted(want) and len(want) > 20
