@@ -137,7 +137,7 @@ def attributes(replies: DataFrame) -> DataFrame:
 
 #: Which finder reads which classes; classes that none reads yield nothing.
 FINDERS = [
-    (us_ids, ["US_SSN_CARD", "US_EIN_LETTER"]),
+    (us_ids, ["US_SSN_CARD", "US_EIN_LETTER", "US_W2", "US_1099", "US_DRIVER_LICENSE"]),
     (canada_ids, ["CA_SIN", "CA_BUSINESS_NUMBER"]),
     (mexico_ids, ["MX_INE", "MX_CURP", "MX_RFC_CSF"]),
 ]
@@ -180,12 +180,9 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(out)
 
 
-def _scores(labels: list[str]):
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def scores(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [token_set_ratio(label, t) for label in labels], na_action="ignore")
-
-    return scores
+@F.pandas_udf(ArrayType(DoubleType()))
+def _scores(text: pd.Series, labels: pd.Series) -> pd.Series:
+    return pd.Series([[token_set_ratio(x, t) for x in some] for t, some in zip(text, labels, strict=True)], dtype=object)
 
 
 def _tail(text: Column, label: Column) -> Column:
@@ -195,7 +192,7 @@ def _tail(text: Column, label: Column) -> Column:
     return F.when(at > 0, F.nullif(F.trim(rest), F.lit("")))
 
 
-def anchor_extract(lines: DataFrame, labels: list[str], threshold: float = 85) -> DataFrame:
+def anchor_extract(lines: DataFrame, labels: list[str] | str, threshold: float = 85) -> DataFrame:
     """(doc_id, label, value): for each label of a document the value bound to the line most like it.
 
     ``lines``: doc_id, line_no, text, page, x0, y0, x1, y1; boxes may be null. The best line by
@@ -203,13 +200,13 @@ def anchor_extract(lines: DataFrame, labels: list[str], threshold: float = 85) -
     the nearest below, else what stands behind the label in it. In a document without any box
     the first line that has something behind the label gives it; if no label finds such a line,
     the line most like any label is the value itself, the earliest line and label on ties.
-    Null and blank texts are no lines. The labels travel as a literal; a document's lines meet
-    only the few lines chosen for its labels.
+    Null and blank texts are no lines. The labels are one list for all, or a column of arrays
+    that is alike on all lines of a document; a document's lines meet only those chosen for its labels.
     """
-    some = lines.where(F.length(F.trim("text")) > 0)
+    asked = F.col(labels) if isinstance(labels, str) else F.array(*[F.lit(x) for x in labels])
+    some = lines.where((F.length(F.trim("text")) > 0) & (F.size(asked) > 0))
     boxed = F.col("x0").isNotNull()
-    asked = F.array(*[F.lit(x) for x in labels])
-    each = some.withColumn("_s", _scores(labels)(F.col("text"))).select("*", F.posexplode(F.arrays_zip(asked.alias("label"), F.col("_s").alias("score"))).alias("label_no", "_l")).select("*", "_l.label", "_l.score").drop("_s", "_l")
+    each = some.withColumn("_s", _scores(F.col("text"), asked)).select("*", F.posexplode(F.arrays_zip(asked.alias("label"), F.col("_s").alias("score"))).alias("label_no", "_l")).select("*", "_l.label", "_l.score").drop("_s", "_l")
     place = F.struct("page", "x0", "y0", "x1", "y1")
     fits = F.col("score") >= threshold
     chosen = each.withColumn("_tail", _tail(F.col("text"), F.col("label"))).groupBy("doc_id", "label_no", "label").agg(
@@ -230,3 +227,31 @@ def anchor_extract(lines: DataFrame, labels: list[str], threshold: float = 85) -
         boxes.unionByName(plain.where("tail is not null").select("doc_id", "label", F.col("tail").alias("value")))
         .unionByName(whole.where("not any_tail and w.value is not null").select("doc_id", "w.label", "w.value"))
     )
+
+
+# The labels beside which fields of a class stand, (class, attribute key, labels).
+SOFT_LABELS = [
+    ("US_DRIVER_LICENSE", "identity.full_name", ["Name", "LN", "FN"]),
+    ("US_DRIVER_LICENSE", "identity.date_of_birth", ["DOB", "Date of Birth"]),
+    ("US_DRIVER_LICENSE", "address.residential", ["Address", "ADDR"]),
+    ("US_DRIVER_LICENSE", "doc.expiry_date", ["EXP", "Expires", "Expiration"]),
+    ("US_DRIVER_LICENSE", "id.driver_license", ["DL", "License", "License No", "DL No"]),
+    ("US_EIN_LETTER", "entity.legal_name", ["Legal name", "Name", "Business name"]),
+    ("US_W2", "income.employer", ["Employer", "Employer's name", "Employer name"]),
+    ("US_W2", "income.amount", ["Wages", "Wages, tips", "Box 1"]),
+    ("US_1099", "income.amount", ["Nonemployee compensation", "Box 1", "Amount"]),
+    ("US_SSN_CARD", "identity.full_name", ["Name"]),
+]
+
+
+def soft_fields(lines: DataFrame) -> DataFrame:
+    """(doc_id, doc_type, attribute_key, value, confidence, sensitivity) bound to the labels of each document's class.
+
+    ``lines`` as for ``anchor_extract``, with doc_type; classes without labels yield nothing.
+    """
+    known = F.array(*[F.struct(F.lit(c).alias("doc_type"), F.lit(k).alias("key"), F.lit(x).alias("label")) for c, k, group in SOFT_LABELS for x in group])
+    mine = F.filter(known, lambda e: e["doc_type"] == F.col("doc_type"))
+    found = anchor_extract(lines.withColumn("_labels", F.transform(mine, lambda e: e["label"])), "_labels")
+    typed = found.join(lines.groupBy("doc_id").agg(F.first("doc_type").alias("doc_type")), "doc_id")
+    key = F.filter(known, lambda e: (e["doc_type"] == F.col("doc_type")) & (e["label"] == F.col("label")))[0]["key"]
+    return typed.select("doc_id", "doc_type", key.alias("attribute_key"), "value", F.lit(0.6).alias("confidence"), F.lit("MEDIUM").alias("sensitivity"))

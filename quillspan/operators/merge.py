@@ -115,3 +115,10 @@ def live_verdicts(events: DataFrame) -> DataFrame:
     keys = ["client_id", "attribute_key", "instance_key"]
     latest = events.groupBy(*keys).agg(F.max_by(F.struct("verdict", "override_text"), "event_id").alias("v"))
     return latest.where("v.verdict <> 'cleared'").select(*keys, "v.verdict", "v.override_text")
+
+
+def verdict_history(events: DataFrame, client_id, attribute_key: str | None = None, instance_key: str | None = None) -> DataFrame:
+    """Every verdict ever recorded for a client, or for one of its keys, newest first; nothing is ever taken out of it."""
+    for column, value in (("client_id", client_id), ("attribute_key", attribute_key), ("instance_key", instance_key)):
+        events = events if value is None else events.where(F.col(column) == value)
+    return events.orderBy(F.desc("created_at"), F.desc("event_id"))

@@ -79,3 +79,10 @@ def manifest(nodes: DataFrame) -> DataFrame:
     by = lambda kind, column, some=F.lit(True): nodes.where(some).groupBy("doc_id", F.col(column).alias("name")).agg(F.count("*").alias("n")).select("doc_id", F.lit(kind).alias("kind"), "name", "n")
     fact = F.col("node_type") == "fact"
     return by("node_type", "node_type").unionByName(by("verification_status", "verification_status", fact)).unionByName(by("attribute_key", "attribute_key", fact))
+
+
+def containing(facts: DataFrame, letters: str) -> DataFrame:
+    """Facts whose key or value holds the letters, whatever their case; blank letters keep all."""
+    wanted = letters.strip().lower()
+    holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(wanted)), F.lit(False))
+    return facts.where(holds("attribute_key") | holds("resolved_value")) if wanted else facts

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan import ontology
 from quillspan.functions import dates, vector
-from quillspan.operators import extract, gate, merge, search, service
+from quillspan.operators import extract, gate, merge, search, service, serving
 from quillspan.plans.fact_plans import _MERGE_SQL, _MULTI
 from quillspan.plans.gate_plans import _GATE_SQL
 from quillspan.plans.version_plans import _lex_sql, _lexical, _vec_sql, _vector, areps_plan
@@ -145,6 +145,26 @@ def anchored_values(spark: SparkSession, sf: str) -> DataFrame:
     return extract.anchor_extract(lines, ["Full Name", "Date of Birth", "Address"], 60)
 
 
+def soft_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as forms of three lines; the labels are those of the forms' classes."""
+    k = F.col("c_custkey")
+    at = F.pmod(k, F.lit(4)).cast("int")
+    kinds, heads = (F.array(*[F.lit(x) for x in v]) for v in (("US_W2", "US_EIN_LETTER", "US_SSN_CARD", "UTILITY_BILL"), ("Employer: ", "Business name: ", "Name: ", "Name: ")))
+    text = F.array(F.lit("Form"), F.concat(F.get(heads, at), F.lit("c"), k.cast("string")), F.concat(F.lit("Box 1 = "), k.cast("string")))
+    forms = table(spark, sf, "customer").select(k.alias("doc_id"), F.get(kinds, at).alias("doc_type"), F.posexplode(text).alias("line_no", "text"))
+    return extract.soft_fields(forms.select("*", *[F.lit(None).cast("double").alias(c) for c in ("page", "x0", "y0", "x1", "y1")])).select("doc_id", "attribute_key", "value", "confidence")
+
+
+def facts_console(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged facts whose key or value holds some letters, whatever their case."""
+    return serving.containing(merge.merge_facts(line_facts(spark, sf)), " NÉV a").select("client_id", "attribute_key", "instance_key")
+
+
+def verdict_history(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", F.pmod("user_id", F.lit(40)).alias("client_id"), F.concat(F.lit("k"), F.pmod("event_id", F.lit(9)).cast("string")).alias("attribute_key"), F.lit("").alias("instance_key"), F.col("event_type").alias("verdict"), F.col("ts").alias("created_at"))
+    return merge.verdict_history(e, 7, "k3").select("event_id", "verdict")
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return service.answerable_questions(areps_plan(spark, sf))
 
@@ -188,6 +208,10 @@ PLANS = {
     "extract_dispatch": (extract_dispatch, """SELECT o_orderkey AS doc_id, k AS attribute_key, v AS value FROM orders JOIN (VALUES (0, 'id.ssn', '536-90-4399'), (1, 'id.sin', '130-692-544'), (2, 'id.ein', '12-3456789'),
         (3, 'id.curp', 'BOXW310820HNERMN07'), (3, 'identity.date_of_birth', '1931-08-20'), (3, 'identity.sex', 'M')) t(i, k, v) ON o_orderkey % 5 = i"""),
     "anchored_values": (anchored_values, None),
+    "soft_fields": (soft_fields, """SELECT c_custkey AS doc_id, k AS attribute_key, CASE WHEN n THEN 'c' || c_custkey ELSE c_custkey::VARCHAR END AS value, 0.6::DOUBLE AS confidence FROM customer
+        JOIN (VALUES (0, 'income.employer', TRUE), (0, 'income.amount', FALSE), (1, 'entity.legal_name', TRUE), (1, 'entity.legal_name', TRUE), (2, 'identity.full_name', TRUE)) t(i, k, n) ON c_custkey % 4 = i"""),
+    "facts_console": (facts_console, f"WITH {_MERGE_SQL} SELECT client_id, attribute_key, instance_key FROM merged WHERE contains(lower(attribute_key), 'név a') OR contains(lower(resolved_value), 'név a')"),
+    "verdict_history": (verdict_history, "SELECT event_id, event_type AS verdict FROM events WHERE user_id % 40 = 7 AND event_id % 9 = 3"),
     "questions": (questions, "SELECT conv_id || '.' || turn AS path, '[stub:hypothetical_q] ' || substr(text, 1, 120) AS question FROM conversations WHERE trim(text) <> ''"),
     "stub_embeddings": (stub_embeddings, "SELECT conv_id, turn, round(list_sum(list_transform(range(48), lambda i: ('0x' || substr(sha256(text), (i % 32) * 2 + 1, 2))::INT / 127.5::DOUBLE - 1)), 6) AS total FROM conversations"),
 }
