@@ -18,8 +18,8 @@ ORDERED_COMMON = 200_000
 SKETCH_BITS = 2048
 #: Shingles that one worker counts at a time, and partners of a set that are verified in one group.
 COUNTED_AT_ONCE, PARTNERS = 4_000_000, 256
-#: Sets whose ids may be broadcast to keep other texts from being shuffled; beyond it both sides are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Visits of sets, 16 bytes each, that may be broadcast to keep other texts from being shuffled; beyond it both sides are.
+BROADCAST_VISITS = 1_000_000
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,25 +165,29 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets.
 
-    The sets of all b travel to their a, PARTNERS of them to a task's group at most, so a set
-    with very many partners is dealt over many groups; a group is streamed and holds one set.
+    The sets of all b travel to their a, some PARTNERS of them to a task's group, so a set with
+    very many partners is dealt over many groups; a group is streamed and holds one set. A set's
+    own journeys are dealt over rows of some PARTNERS as well, and are never gathered whole.
     """
     spark = docs.sparkSession
     pairs = written(pairs, "pairs")
-    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("groups"))
-    placed = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
-    visits = placed.select(F.col("b").alias("rep"), F.struct("a", "salt", F.lit(1).alias("kind")).alias("v")).unionByName(
-        placed.select(F.col("a").alias("rep"), F.struct("a", "salt", F.lit(0).alias("kind")).alias("v")).distinct()
+    fan = lambda c: pairs.groupBy(c).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias(f"fan_{c}"))
+    dealt = lambda c, by: F.pmod(F.xxhash64(c), F.col(by)).cast("int")
+    placed = pairs.join(fan("a"), "a").join(fan("b"), "b").select("a", "b", dealt("b", "fan_a").alias("salt"), dealt("a", "fan_b").alias("part"))
+    visits = placed.select(F.col("b").alias("rep"), "part", F.struct("a", "salt", F.lit(1).alias("kind")).alias("v")).unionByName(
+        placed.select(F.col("a").alias("rep"), (-1 - F.floor(F.col("salt") / PARTNERS)).cast("int").alias("part"), F.struct("a", "salt", F.lit(0).alias("kind")).alias("v")).distinct()
     )
-    ends = written(visits.groupBy("rep").agg(F.collect_list("v").alias("v")).select("rep", *[F.col(f"v.{c}").alias(c) for c in ("a", "salt", "kind")]), "ends")
-    few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    ends = visits.groupBy("rep", "part").agg(F.collect_list("v").alias("v")).select("rep", *[F.col(f"v.{c}").alias(c) for c in ("a", "salt", "kind")])
+    ends = written(ends, "ends")
+    held = ends.agg(F.sum(F.size("a") + 1)).first()[0] or 0
+    few = F.broadcast(ends) if held <= BROADCAST_VISITS else ends
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(few, "rep")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for rep, text, a, salt, kind in zip(x["rep"].tolist(), x["text"], x["a"], x["salt"], x["kind"], strict=True):
-                s = _short(shingle_set((text or "").encode(), words))
+                s = shingle_set((text or "").encode(), words).tobytes()
                 out.extend((*v, rep, s) for v in zip(a, salt, kind, strict=True))
             yield pd.DataFrame(out, columns=["a", "salt", "kind", "b", "s"])
 
@@ -195,8 +199,8 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
                 if (a, salt) != now:
                     now, own = (a, salt), []
                 if kind == 0:
-                    own.append(_long(s))
-                elif any(similar(p, q, percent) for q in (_long(s),) for p in own):
+                    own.append(np.frombuffer(s, dtype=np.uint64))
+                elif any(similar(p, q, percent) for q in (np.frombuffer(s, dtype=np.uint64),) for p in own):
                     out.append((a, b))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
@@ -208,17 +212,6 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     return found
 
 
-def _short(s: np.ndarray) -> bytes:
-    """A set for travelling: the upper 48 bits of its hashes, in order."""
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return np.unique(out.view(">u8").ravel().astype(np.uint64))
-
-
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -233,7 +226,8 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     Sets are joined in two rounds over an index of leading shingles. In the first each list is
     compared with one set of it only, which gathers groups of highly similar sets at once; in
     the second what those answers decide is skipped, and only pairs that may join two groups are
-    verified. So a group of many near copies costs about one comparison for each copy.
+    verified. So a group of many near copies costs about one comparison for each copy. A shingle
+    is 64 bits everywhere.
     """
     rows = shingle_rows(docs, words, percent)
     members = rows.where("doc_id is not null and n > 0")
