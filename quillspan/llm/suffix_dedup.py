@@ -8,7 +8,9 @@ steps, each exact:
   one anchor form a run, and its context holds all their strings. An anchor whose next bytes are
   unique ends here, and so does one whose contexts are all equal: every start in it repeats.
 * Starts of the other contexts (one context of each kind) become suffix records of their leading
-  eight bytes and a 64-bit key of the whole LENGTH bytes. Splitters sampled from the records
+  eight bytes and a key of the whole LENGTH bytes, two independent sums of 64 bits. Contexts are
+  told apart by 128 bits as well, of which 64 are those of the bytes that follow the anchor, so
+  equality is never judged by 64 bits alone. Splitters sampled from the records
   range-partition them by leading bytes, then key, so equal suffixes meet in one bucket however
   many begin alike, and no bucket holds an unbounded group.
 * A bucket sorts its records and compares neighbours.
@@ -37,7 +39,8 @@ RUNS_IN_ROW = 8192
 #: Records that a task deals out at a time.
 RECORDS_AT_ONCE = 400_000
 _GRAM_1, _GRAM_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_VALUE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: Values of bytes in the two sums of a suffix key; the second sum has the square of the first one's base.
+_VALUES = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
 
 
 class Scheme:
@@ -69,16 +72,18 @@ class Scheme:
             found.append(np.stack([own[first], first, end], axis=1) + at)
         return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
 
-    def suffixes(self, text: bytes, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """(leading eight bytes in their order, key of the whole string) of the starts first .. last."""
+    def suffixes(self, text: bytes, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leading eight bytes in their order, two halves of the whole string's key) of the starts first .. last."""
         part = np.frombuffer(text, dtype=np.uint8, count=last - first + self.length, offset=first)
         up, down = _powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[part] * up[: len(part)], out=total[1:])
         n = last - first + 1
-        key = mix((total[self.length : self.length + n] - total[:n]) * down[:n])
+        keys = []
+        for value, up, down in ((_VALUES[0], up[: len(part)], down[:n]), (_VALUES[1], up[: len(part)] ** 2, down[:n] ** 2)):
+            total = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(value[part] * up, out=total[1:])
+            keys.append(mix((total[self.length : self.length + n] - total[:n]) * down))
         lead = np.ndarray((n,), dtype=">u8", buffer=text, offset=first, strides=(1,)).astype(np.uint64)
-        return lead, key
+        return lead, *keys
 
 
 def _raw(text: str | None) -> bytes:
@@ -157,13 +162,13 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
     few = _texts_of(docs, lists.select("doc").distinct()).mapInPandas(packed, "doc long, tid long, z binary")
     texts = written(lists.select("doc", "tid", "at").join(few, ["doc", "tid"]).dropDuplicates(["doc", "tid"]), "context-texts")
 
-    def records(z: bytes, at: np.ndarray, unpack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(context number, distance from its anchor, leading bytes, key) of all starts of a document's contexts."""
+    def records(z: bytes, at: np.ndarray, unpack) -> tuple[np.ndarray, ...]:
+        """(context number, distance from its anchor, leading bytes, key's halves) of all starts of a document's contexts."""
         raw, parts = unpack.decompress(z), []
         for i, packed_at in enumerate(at.tolist()):
             p, low, high = packed_at >> 24, packed_at >> 12 & 4095, packed_at & 4095
-            lead, key = scheme.suffixes(raw, p - low, p - high)
-            parts.append((np.full(len(key), i, dtype=np.int32), np.arange(low, high - 1, -1, dtype=np.int16), lead, key))
+            lead, key, second = scheme.suffixes(raw, p - low, p - high)
+            parts.append((np.full(len(key), i, dtype=np.int32), np.arange(low, high - 1, -1, dtype=np.int16), lead, key, second))
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
     rows = texts.count()
@@ -173,7 +178,7 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
         unpack = zstandard.ZstdDecompressor()
         for x in batches:
             for z, at in zip(x["z"], x["at"], strict=True):
-                _, _, lead, key = records(z, np.asarray(at), unpack)
+                _, _, lead, key, _ = records(z, np.asarray(at), unpack)
                 step = max(1, len(key) // (SAMPLED // 400))
                 yield pd.DataFrame({"lead": lead[::step].view(np.int64), "key": key[::step].view(np.int64)})
 
@@ -198,7 +203,7 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
 
         def out() -> pd.DataFrame:
             size = np.array([len(g[0]) for g in got])
-            number, distance, lead, key = (np.concatenate(c) for c in zip(*got, strict=True))
+            number, distance, lead, key, second = (np.concatenate(c) for c in zip(*got, strict=True))
             doc, tid = np.array(docs, dtype=np.int64).T
             row = np.repeat(np.arange(len(got)), size)
             bucket = bucket_of(lead, key)
@@ -208,8 +213,8 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 o = order[a:b]
                 r, times = np.unique(row[o], return_counts=True)
-                rows.append((int(bucket[o[0]]), doc[r], tid[r], times.astype(np.int32), number[o], distance[o], key[o].view(np.int64)))
-            return pd.DataFrame(rows, columns=["bucket", "doc", "tid", "times", "number", "distance", "key"])
+                rows.append((int(bucket[o[0]]), doc[r], tid[r], times.astype(np.int32), number[o], distance[o], key[o].view(np.int64), second[o].view(np.int64)))
+            return pd.DataFrame(rows, columns=["bucket", "doc", "tid", "times", "number", "distance", "key", "second"])
 
         for x in batches:
             for k, t, z, at in zip(x["doc"].tolist(), x["tid"].tolist(), x["z"], x["at"], strict=True):
@@ -226,9 +231,12 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
         now, held = None, []
 
         def finish() -> pd.DataFrame:
-            key = np.concatenate([h[5] for h in held])
+            key, second = (np.concatenate([h[i] for h in held]) for i in (5, 6))
             order = np.argsort(key)
             same = np.diff(key[order]) == 0
+            if (np.diff(second[order])[same] != 0).any():
+                order = np.lexsort((second, key))
+                same = (np.diff(key[order]) == 0) & (np.diff(second[order]) == 0)
             again = np.zeros(len(key), dtype=bool)
             again[order[1:][same]] = True
             again[order[:-1][same]] = True
@@ -247,7 +255,7 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
             return pd.DataFrame([[c[i : i + RUNS_IN_ROW] for c in runs] for i in cuts], columns=["doc", "tid", "number", "low", "high"])
 
         for x in batches:
-            for r in zip(x["bucket"].tolist(), x["doc"], x["tid"], x["times"], x["number"], x["distance"], x["key"], strict=True):
+            for r in zip(x["bucket"].tolist(), x["doc"], x["tid"], x["times"], x["number"], x["distance"], x["key"], x["second"], strict=True):
                 if r[0] != now:
                     if held:
                         yield finish()
@@ -256,7 +264,7 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
         if held:
             yield finish()
 
-    dealt = texts.select("doc", "tid", "at", "z").mapInPandas(deal, "bucket int, doc array<long>, tid array<long>, times array<int>, number array<int>, distance array<short>, key array<long>")
+    dealt = texts.select("doc", "tid", "at", "z").mapInPandas(deal, "bucket int, doc array<long>, tid array<long>, times array<int>, number array<int>, distance array<short>, key array<long>, second array<long>")
     sorted_buckets = dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
     found = sorted_buckets.mapInPandas(compare, "doc array<long>, tid array<long>, number array<int>, low array<int>, high array<int>")
     runs = found.select(F.explode(F.arrays_zip("doc", "tid", "number", "low", "high")).alias("r")).select("r.*")
