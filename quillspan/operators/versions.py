@@ -40,6 +40,11 @@ def change_feed(versions: DataFrame, documents: DataFrame, after_seq: int | None
     return joined.orderBy(F.desc("created_at"), F.desc("change_seq")).limit(limit)
 
 
+def with_next_seq(page: DataFrame) -> DataFrame:
+    """A page of changes, which its limit bounds, with the highest sequence number in it, which the next page follows."""
+    return page.withColumn("next_seq", F.max("change_seq").over(Window.partitionBy()))
+
+
 def current_only(rows: DataFrame, versions: DataFrame) -> DataFrame:
     """Rows of versions that are current."""
     keys = ["client_id", "doc_key", "version_no"]
