@@ -156,7 +156,7 @@ PLANS = {
     "context_prefixes": (context_prefixes, "SELECT conv_id, turn, CASE WHEN trim(text) <> '' THEN '[stub:contextual] ' || substr(substr(text, 1, 4000) || chr(10) || role, 1, 120) END AS prefix FROM conversations"),
     "titled_sections": (titled_sections, r"SELECT conv_id, turn, CASE WHEN turn % 4 > 0 AND trim(text) <> '' THEN role || chr(10) || chr(10) || regexp_replace(trim(text), '\s+', ' ', 'g') ELSE role END AS chunks FROM conversations"),
     "queue_oldest": (queue_oldest, f"WITH {_JOBS_SQL} SELECT kind, max(date_diff('second', date_trunc('second', created_at), TIMESTAMP '{NOW}')) AS oldest_seconds FROM jobs WHERE status = 'queued' GROUP BY 1"),
-    "job_events": (job_events, f"""WITH {_JOBS_SQL} SELECT id, 0 AS no, 'queued' AS stage, 0 AS attempt FROM jobs
+    "job_events": (job_events, f"""WITH {_JOBS_SQL} SELECT id, 0::BIGINT AS no, 'queued' AS stage, 0::BIGINT AS attempt FROM jobs
         UNION ALL SELECT id, k, s, attempts FROM jobs, (VALUES (1, 'ocr'), (2, 'gate')) v(k, s) WHERE status = 'running' AND id % 2 = 0 AND id % 5 > 0"""),
     "change_since": (change_since, f"""WITH {_CHAIN_SQL}, p AS (SELECT client_id, doc_key, upload_id AS change_seq FROM chain WHERE created_at >= TIMESTAMP '1997-06-01 00:00:00' ORDER BY created_at DESC, upload_id DESC LIMIT 200)
         SELECT *, (SELECT max(change_seq) FROM p) AS next_seq FROM p"""),
