@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import embedding_dedup, fingerprints, line_dedup, ngram_join, packing, piece_encoding, suffix_dedup, token_files, toxicity, url_filters
+from quillspan.llm import embedding_dedup, filter_audit, fingerprints, importance, line_dedup, ngram_join, packing, personal_data, piece_encoding, suffix_dedup, token_files, toxicity, url_filters
 from quillspan.llm.tokens import vocabulary_path
 
 #: The rules that op1 judges by.
@@ -78,6 +78,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind))
+    counts = [of(kind).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10000, percent=10, least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -89,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_personal_data": op11_personal_data,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -162,4 +182,68 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
         FROM v LEFT JOIN least_of ON vec_id = least_of.a LEFT JOIN counts ON vec_id = counts.a
     """,
+    "op12_filter_audit": r"""
+        WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        worded AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts),
+        firsts AS (SELECT t, min(doc_id) AS least_id FROM texts GROUP BY t),
+        failing AS (
+            SELECT part,
+                   CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+                   + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END
+                   + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                   + CASE WHEN doc_id > least_id THEN 16 ELSE 0 END AS bad,
+                   CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS good,
+                   CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END AS toxic
+            FROM worded JOIN firsts USING (t)),
+        cells AS (SELECT part, bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, bad),
+        letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (
+            SELECT filter_order, step, substr(filter_order, step, 1) AS letter, (1 << (ascii(substr(filter_order, step, 1)) - 65))::BIGINT AS own,
+                   coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))), 0)::BIGINT AS earlier
+            FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)),
+        counted AS (
+            SELECT part, filter_order, step, letter,
+                   sum(CASE WHEN bad & (own + earlier) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN bad & earlier = 0 AND bad & own > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN bad & earlier > 0 AND bad & own > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN bad = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN bad & earlier = 0 AND bad & own > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN bad & earlier = 0 AND bad & own > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM cells, steps GROUP BY part, filter_order, step, letter)
+        SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM counted
+    """,
+    "op13_importance_resampling": r"""
+        WITH bytes AS (
+            SELECT list(list_reduce([b, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS steps
+            FROM (SELECT unnest(range(256)) AS b)),
+        words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        target AS (
+            SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+        features AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM words) GROUP BY doc_id, word),
+        hexed AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM features UNION SELECT word FROM target)),
+        spelled AS (SELECT word, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS b FROM hexed),
+        codes AS (
+            SELECT word, xor(list_reduce(list_concat([4294967295], b), lambda c, k: xor(steps[xor(c & 255, k) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+            FROM spelled, bytes),
+        raw AS (SELECT bucket, sum(n) AS s FROM features JOIN codes USING (word) GROUP BY bucket),
+        aim AS (SELECT bucket, count(*) AS t FROM target JOIN codes USING (word) GROUP BY bucket),
+        sums AS (SELECT (SELECT sum(s) FROM raw)::DOUBLE AS all_s, coalesce((SELECT sum(t) FROM aim), 0)::DOUBLE AS all_t),
+        gains AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000)))) AS gain
+            FROM raw LEFT JOIN aim USING (bucket), sums),
+        weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM features JOIN codes USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                   (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+            FROM words LEFT JOIN weights USING (doc_id)),
+        fit AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN fit USING (doc_id)
+    """,
 }
