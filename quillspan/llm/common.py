@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,10 +120,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 # --- numpy helpers for batches of texts ---------------------------------------------------------
 
-_WORD_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
-_BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,56 +134,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Words, of so many bytes at most, whose hashes a worker remembers.
+REMEMBERED_WORDS, REMEMBERED_BYTES = 300_000, 40
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 2**64)
+class _Hashes(dict):
+    """64 bits of XXH3 of each word's bytes."""
 
-
-_POWER_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED_WORDS:
+                self.clear()
+            self[word] = h
+        return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n."""
-    size = 1 << max(12, int(n - 1).bit_length())
-    if size not in _POWER_CACHE:
-        _POWER_CACHE.clear()
-        up = np.full(size, _WORD_MULTIPLIER, dtype=np.uint64)
-        down = np.full(size, np.uint64(_inverse(int(_WORD_MULTIPLIER))), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _POWER_CACHE[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWER_CACHE[size]
+_HASHES = _Hashes()
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every word ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8, A-Z lower-cased."""
-    if not text:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty.astype(np.uint64), empty, empty
-    b = np.frombuffer(text.translate(_LOWER), dtype=np.uint8)
-    space = _SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    up, down = _powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[b] * up[: len(b)], out=total[1:])
-    value = (total[end] - total[start]) * down[start]
-    return mix(value + (end - start).astype(np.uint64) * _MIX_2), start, end
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of every word ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8, as it is written."""
+    words = text.split()
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles of so many words.
+    """The sorted distinct hashes of a text's shingles of so many words, A-Z lower-cased.
 
     With fewer words the whole sequence is the one shingle; without words the set is empty.
     """
-    h, _, _ = word_hashes(text)
+    h = word_hashes(text.translate(_LOWER))
     if not len(h):
         return h
     n = min(words, len(h))
     out = np.zeros(len(h) - n + 1, dtype=np.uint64)
     for i in range(n):
-        out = mix(out * _WORD_MULTIPLIER + h[i : len(h) - n + 1 + i] + np.uint64(i + 1))
+        out = mix(out * _STEP + h[i : len(h) - n + 1 + i] + np.uint64(i + 1))
     return np.unique(out)

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import partitions, written
+from quillspan.llm.common import written
+from quillspan.llm.ordered import numbered
 
 #: Memory of the database that each Python worker holds; it spills nowhere.
 DATABASE_MEMORY = "700MB"
@@ -92,25 +93,6 @@ def noise(doc_id: Column, seed: int) -> Column:
     return F.floor(-1000 * F.ln(-F.ln((h + 0.5) / F.lit(4294967296.0))))
 
 
-def ranked(rows: DataFrame, order: list[Column], drawn: int) -> DataFrame:
-    """``rows`` with rank 1, 2, 3 ... in an order, null behind the first ``drawn``.
-
-    Rows are range-partitioned and sorted in their ranges; a row's rank is its place in its
-    range behind the sizes of the ranges before, of which the driver holds one number each.
-    """
-    spark = rows.sparkSession
-    n = partitions(spark)
-    place = F.monotonically_increasing_id()
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.shiftright(place, 33).cast("int").alias("_range"), place.bitwiseAND((1 << 33) - 1).alias("_at"))
-    placed = written(placed, "ranges")
-    before, total = {}, 0
-    for r in sorted(placed.groupBy("_range").count().collect()):
-        before[r["_range"]], total = total, total + r["count"]
-    start = F.get(F.split(F.lit(",".join(str(before.get(i, 0)) for i in range(max(before, default=0) + 1))), ",").cast("array<bigint>"), F.col("_range"))
-    rank = start + F.col("_at") + 1
-    return placed.withColumn("rank", F.when(rank <= drawn, rank)).drop("_range", "_at")
-
-
 def resample(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = 10000, percent: int = 10, least_words: int = 20, seed: int = 2024) -> DataFrame:
     """(doc_id, n_words, n_features, weight, score, rank) of every row of ``docs`` (doc_id, text); other columns are left out.
 
@@ -128,5 +110,6 @@ def resample(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int
     scored = raw.select("doc_id", "n_words", "n_features", weight.alias("weight")).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     fit = F.col("n_words") >= least_words
     drawn = percent * raw.where(fit).count() // 100
-    best = ranked(scored.where(fit), [F.desc("score"), F.asc_nulls_first("doc_id"), F.col("n_features"), F.col("weight")], drawn)
+    best = numbered(scored.where(fit), [F.desc("score"), F.asc_nulls_first("doc_id"), F.col("n_features"), F.col("weight")], "rank")
+    best = best.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
     return best.unionByName(scored.where(~fit).withColumn("rank", F.lit(None).cast("long")))

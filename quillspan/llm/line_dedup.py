@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import forget, written
+from quillspan.llm.ordered import numbered
 
 #: Shingle buckets counted for rarity (a power of two, so many that the first aggregate keeps them in
 #: its fast map), and the commonest of them that the order knows. Any order gives the same matches.
@@ -18,8 +19,12 @@ IN_ONE_LIST = 4096
 CLOSEST = 4
 NULL_KEY = -(2**63)
 _SPACES = " \t\n\x0b\x0c\r"
-_PLACE = ["doc", "line_no"]
-_PAIR = ["doc_x", "line_no_x", "doc_y", "line_no_y"]
+#: A line's place: the key of its doc_id, the number of its row among rows of that doc_id, its number in the text.
+_PLACE = ["doc", "row", "line_no"]
+_X, _Y = ([f"{c}_{side}" for c in _PLACE] for side in "xy")
+_PAIR = [*_X, *_Y]
+#: Repeated doc_ids that may be broadcast to find their rows; beyond it all rows are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def _bare(line: Column) -> Column:
@@ -73,9 +78,27 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _doc and _row, which name a text: rows share both only if doc_id and text are equal.
+
+    ``_row`` is 0 for a doc_id of one row. Different texts of one doc_id, or of the null one, get
+    different numbers in the order of their SHA-256. Only rows of repeated doc_ids are written anew.
+    """
+    keyed = docs.withColumn("_doc", _key())
+    repeated = written(keyed.groupBy("_doc").count().where("count > 1").select("_doc"), "repeated-ids")
+    n = repeated.count()
+    if not n:
+        return keyed.withColumn("_row", F.lit(0).cast("long"))
+    few = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    some = keyed.join(few, "_doc", "left_semi").withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    numbers = numbered(some.select("_doc", "_sha").distinct(), [F.col("_doc"), F.col("_sha")], "_row")
+    some = written(some.join(numbers, ["_doc", "_sha"]).drop("_sha"), "repeated-rows")
+    return keyed.join(few, "_doc", "left_anti").withColumn("_row", F.lit(0).cast("long")).unionByName(some)
+
+
 def _lines(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, line_no, s1, s2, n, tokens, sketch) of every line that has a word; s1 and s2 are 128 bits of its bare text."""
-    parts = docs.select(_key().alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """(doc, row, line_no, s1, s2, n, tokens, sketch) of every line that has a word; s1 and s2 are 128 bits of its bare text."""
+    parts = docs.select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     some = parts.where(F.ltrim("line", F.lit(_SPACES)) != "")
     row = _once(_bare(F.col("line")), lambda b: F.struct(F.xxhash64(b).alias("s1"), F.xxhash64(F.lit(1), b).alias("s2"), _tokens(b, size).alias("t")))
     return written(some.select(*_PLACE, row.alias("r")).select(*_PLACE, "r.s1", "r.s2", "r.t.n", "r.t.tokens", "r.t.sketch"), "lines", dictionary=False)
@@ -99,7 +122,7 @@ def _near_enough(far: Column, n_x: str, n_y: str, percent: int) -> Column:
 
 
 def _first_lines(lines: DataFrame, percent: int) -> DataFrame:
-    """(s1, s2, doc, line_no, n, sketch, lead, lines): of equal lines the earliest, its leading tokens, and how many there are."""
+    """(s1, s2, doc, row, line_no, n, sketch, lead, lines): of equal lines the earliest, its leading tokens, and how many there are."""
     # Rarity: buckets of tokens by how often they occur in all lines.
     buckets = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(COUNTED_BUCKETS - 1).alias("bucket")).count()
     counted = written(buckets, "token-buckets")
@@ -118,18 +141,18 @@ def _first_lines(lines: DataFrame, percent: int) -> DataFrame:
 
 
 def _index(firsts: DataFrame) -> DataFrame:
-    """(t, m, doc, line_no, n, i, before, sketch): entries of the lists of m > 1 leading tokens t, the place and the token before it.
+    """(t, m, doc, row, line_no, n, i, before, sketch): entries of the lists of m > 1 leading tokens t, the place and the token before it.
 
     Numbers travel packed in pairs. Lists of one entry, which are most, end at this shuffle.
     """
     low = (1 << 32) - 1
     steps = firsts.select(*_PLACE, "n", "sketch", "lead", F.posexplode("lead").alias("i", "t"))
     before = F.when(F.col("i") > 0, F.get("lead", F.col("i") - 1)).otherwise(0).bitwiseAND(low)
-    packed = steps.select("t", "doc", (F.col("line_no").cast("long") * (1 << 32) + before).alias("p"), (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("q"), "sketch")
+    packed = steps.select("t", "doc", "row", (F.col("line_no").cast("long") * (1 << 32) + before).alias("p"), (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("q"), "sketch")
     lists = packed.withColumn("m", F.count("*").over(Window.partitionBy("t"))).where("m > 1")
     high = lambda c: F.shiftright(c, 32).cast("int")
     part = lambda c: F.col(c).bitwiseAND(low)
-    return written(lists.select("t", "m", "doc", high("p").alias("line_no"), high("q").alias("n"), part("q").cast("int").alias("i"), part("p").alias("before"), "sketch"), "line-lists")
+    return written(lists.select("t", "m", "doc", "row", high("p").alias("line_no"), high("q").alias("n"), part("q").cast("int").alias("i"), part("p").alias("before"), "sketch"), "line-lists")
 
 
 def _led(lists: DataFrame, percent: int) -> DataFrame:
@@ -139,10 +162,10 @@ def _led(lists: DataFrame, percent: int) -> DataFrame:
     leaders = long.groupBy("t", share.alias("share")).agg(F.min(F.struct(*_PLACE, "n", "sketch")).alias("l"))
     leaders = leaders.groupBy("t").agg(F.collect_list("l").alias("leaders"))
     met = long.select("t", *_PLACE, "n", "sketch").join(leaders, "t").select(*_PLACE, "n", "sketch", F.explode("leaders").alias("l"))
-    met = met.select(F.col("l.doc").alias("doc_x"), F.col("l.line_no").alias("line_no_x"), F.col("doc").alias("doc_y"), F.col("line_no").alias("line_no_y"), F.col("n").alias("n_y"), F.col("l.n").alias("n_x"), _far("sketch", "l.sketch").alias("far"))
-    near = met.where((F.struct("doc_x", "line_no_x") < F.struct("doc_y", "line_no_y")) & _sizes_fit("n_x", "n_y", percent) & _near_enough(F.col("far"), "n_x", "n_y", percent))
-    best = near.groupBy("doc_y", "line_no_y").agg(F.min(F.struct("far", "doc_x", "line_no_x")).alias("l"))
-    return written(best.select("l.doc_x", "l.line_no_x", "doc_y", "line_no_y"), "leader-pairs")
+    met = met.select(*[F.col(f"l.{c}").alias(f"{c}_x") for c in _PLACE], *[F.col(c).alias(f"{c}_y") for c in _PLACE], F.col("n").alias("n_y"), F.col("l.n").alias("n_x"), _far("sketch", "l.sketch").alias("far"))
+    near = met.where((F.struct(*_X) < F.struct(*_Y)) & _sizes_fit("n_x", "n_y", percent) & _near_enough(F.col("far"), "n_x", "n_y", percent))
+    best = near.groupBy(*_Y).agg(F.min(F.struct("far", *_X)).alias("l"))
+    return written(best.select(*[f"l.{c}" for c in _X], *_Y), "leader-pairs")
 
 
 def _candidates(lists: DataFrame, open_lines: DataFrame, percent: int) -> DataFrame:
@@ -160,14 +183,14 @@ def _candidates(lists: DataFrame, open_lines: DataFrame, percent: int) -> DataFr
     reach = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
     far = _far("sketch_x", "sketch_y")
     close = (
-        (F.struct("doc_x", "line_no_x") < F.struct("doc_y", "line_no_y"))
+        (F.struct(*_X) < F.struct(*_Y))
         & _sizes_fit("n_x", "n_y", percent)
         & ((100 + percent) * reach >= percent * (F.col("n_x") + F.col("n_y")))
         & ~((F.col("i_x") > 0) & (F.col("i_y") > 0) & (F.col("before_x") == F.col("before_y")))
         & _near_enough(far, "n_x", "n_y", percent)
     )
     pairs = x.join(y, [x["t"] == y["t"], x["salt"] == y["salt"], close]).select(*_PAIR, far.alias("far")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_y", "line_no_y").orderBy("far", "doc_x", "line_no_x"))
+    nth = F.row_number().over(Window.partitionBy(*_Y).orderBy("far", *_X))
     return written(pairs.withColumn("nth", nth), "line-pairs")
 
 
@@ -179,23 +202,23 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets (doc, line_no, n, s) are similar enough, were all elements that share a token with another equal."""
     side = lambda c: sets.select(*[F.col(x).alias(f"{x}_{c}") for x in (*_PLACE, "n", "s")])
-    both = pairs.select(*_PAIR).join(side("x"), ["doc_x", "line_no_x"]).join(side("y"), ["doc_y", "line_no_y"])
+    both = pairs.select(*_PAIR).join(side("x"), _X).join(side("y"), _Y)
     hidden = F.least(F.col("n_x") - F.size("s_x"), F.col("n_y") - F.size("s_y"))
     shared = F.size(F.array_intersect("s_x", "s_y")) + hidden
     return both.where(100 * shared >= percent * (F.col("n_x") + F.col("n_y") - shared)).select(*_PAIR)
 
 
 def _later(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("doc_y").alias("doc"), F.col("line_no_y").alias("line_no")).distinct()
+    return pairs.select(*[F.col(f"{c}_y").alias(c) for c in _PLACE]).distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The later lines of pairs that hold on 64-bit shingles, made anew from the texts of their lines alone."""
     ends = _ends(pairs)
-    by_doc = ends.groupBy("doc").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers"))
-    some = docs.select(_key().alias("doc"), "text").join(by_doc, "doc")
-    lines = some.select("doc", F.explode(_once(F.split("text", "\n", -1), lambda all_: F.transform("numbers", lambda i: F.struct(i.alias("line_no"), F.get(all_, i).alias("line"))))).alias("l"))
-    sets = lines.select("doc", "l.line_no", _once(_word_digests(_bare(F.col("l.line"))), lambda w: _shingles(w, size, F.xxhash64)).alias("s"))
+    by_doc = ends.groupBy("doc", "row").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers"))
+    some = docs.select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), "text").join(by_doc, ["doc", "row"])
+    lines = some.select("doc", "row", F.explode(_once(F.split("text", "\n", -1), lambda all_: F.transform("numbers", lambda i: F.struct(i.alias("line_no"), F.get(all_, i).alias("line"))))).alias("l"))
+    sets = lines.select("doc", "row", "l.line_no", _once(_word_digests(_bare(F.col("l.line"))), lambda w: _shingles(w, size, F.xxhash64)).alias("s"))
     sets = written(sets.select(*_PLACE, F.size("s").alias("n"), "s").dropDuplicates(_PLACE), "line-sets")
     out = written(_later(_similar(pairs, sets, percent)), "later-lines")
     forget(docs.sparkSession, ends, sets)
@@ -207,22 +230,22 @@ def _matched(docs: DataFrame, lists: DataFrame, open_lines: DataFrame, also: Dat
     pairs = _candidates(lists, open_lines, percent)
     closest = pairs.where(F.col("nth") <= CLOSEST).select(*_PAIR)
     found = _verified(docs, closest if also is None else closest.unionByName(also), size, percent)
-    rest = pairs.where(F.col("nth") > CLOSEST).join(found.toDF("doc_y", "line_no_y"), ["doc_y", "line_no_y"], "left_anti")
+    rest = pairs.where(F.col("nth") > CLOSEST).join(found.toDF(*_Y), _Y, "left_anti")
     if rest.limit(1).count():
         found = found.unionByName(_verified(docs, written(rest.select(*_PAIR), "line-pairs"), size, percent))
     return found
 
 
 def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc, line_no) of every line that equals an earlier one or whose first copy is similar to an earlier one.
+    """(doc, row, line_no) of every line of ``_keyed`` rows that equals an earlier one or whose first copy is similar to an earlier one.
 
     A line whose first copy goes goes anyway, as its first copy is earlier.
     """
     spark = docs.sparkSession
     lines = _lines(docs, size)
     firsts = _first_lines(lines, percent)
-    repeated = firsts.where("lines > 1").select("s1", "s2", F.col("doc").alias("_d"), F.col("line_no").alias("_l"))
-    equal = written(lines.select(*_PLACE, "s1", "s2").join(repeated, ["s1", "s2"]).where("doc <> _d or line_no <> _l").select(*_PLACE), "equal-lines")
+    repeated = firsts.where("lines > 1").select("s1", "s2", F.col("doc").alias("_d"), F.col("row").alias("_r"), F.col("line_no").alias("_l"))
+    equal = written(lines.select(*_PLACE, "s1", "s2").join(repeated, ["s1", "s2"]).where("doc <> _d or row <> _r or line_no <> _l").select(*_PLACE), "equal-lines")
     lists = _index(firsts)
     # A line that a leader closes is decided by that pair and needs no others.
     led = _led(lists, percent)
@@ -248,9 +271,11 @@ def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     goes if an earlier line in ascending (doc_id, line number) has the same text or a set with
     100 * intersection >= percent * union. The text becomes the other lines in their order.
 
-    Lines without words stay and match nothing. Null texts stay null, with no lines. Rows of one
-    doc_id are read as one document, so repeated rows lose the same lines; a null doc_id sorts
-    first. An empty table gives no rows. Other columns pass through, n_lines and n_removed are replaced.
+    Lines without words stay and match nothing. Null texts stay null, with no lines. A null doc_id
+    sorts first. Different texts of one doc_id, null included, are documents of their own in the
+    order of their SHA-256, so a line goes by its own text alone; rows of one doc_id and one text
+    are one document, so repeated rows lose the same lines. An empty table gives no rows. Other
+    columns pass through, n_lines and n_removed are replaced.
 
     Equal lines (by 128 bits) are joined once. Tokens are ordered by rarity: the commonest buckets
     of them last, the rest by hash. Leading tokens are indexed; index entries meet on the token
@@ -258,14 +283,15 @@ def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     64-bit shingles. The index has 32 bits of a shingle, but lengths count 64-bit shingles, so
     two shingles of a line that agree on 32 bits lose no match.
     """
-    gone = removed_lines(docs, size, percent)
-    by_doc = gone.groupBy("doc").agg(F.collect_set("line_no").alias("_gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = _keyed(docs.select(*own))
+    gone = removed_lines(keyed, size, percent)
+    by_doc = gone.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     all_lines = F.split("text", "\n", -1)
-    kept = F.filter(all_lines, lambda line, i: ~F.array_contains("_gone", i))
-    joined = docs.select(*own, _key().alias("_key")).join(by_doc.withColumnRenamed("doc", "_key"), "_key", "left")
+    left = _once(all_lines, lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i)))
+    joined = keyed.join(by_doc, ["_doc", "_row"], "left")
     n = F.coalesce(F.size(all_lines), F.lit(0))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in own],
         F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),

@@ -8,15 +8,31 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import partitions
+from quillspan.llm.common import partitions, written
 
 #: Stands for a null key, so that it sorts first.
 NULL_KEY = -(2**63)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their places 1, 2, 3 ... in an order as a column.
+
+    Rows are range-partitioned and sorted in their ranges; a place is that in the range behind
+    the sizes of the ranges before, of which the driver holds one number each.
+    """
+    at = F.monotonically_increasing_id()
+    ranges = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    placed = written(ranges.select("*", F.shiftright(at, 33).cast("int").alias("_range"), at.bitwiseAND((1 << 33) - 1).alias("_at")), "numbered")
+    before, total = {}, 0
+    for r in sorted(placed.groupBy("_range").count().collect()):
+        before[r["_range"]], total = total, total + r["count"]
+    starts = F.split(F.lit(",".join(str(before.get(i, 0)) for i in range(max(before, default=0) + 1))), ",").cast("array<bigint>")
+    return placed.withColumn(name, F.get(starts, F.col("_range")) + F.col("_at") + 1).drop("_range", "_at")
+
+
 def in_ranges(docs: DataFrame, fan: int = 4, guests: bool = False) -> tuple[DataFrame, list[int]]:
     """(b, guest, k, h, z) of (key, text) rows, dealt by range and sorted in it; the ranges in order.
 

@@ -8,9 +8,10 @@ steps, each exact:
   one anchor form a run, and its context holds all their strings. An anchor whose next bytes are
   unique ends here, and so does one whose contexts are all equal: every start in it repeats.
 * Starts of the other contexts (one context of each kind) become suffix records of their leading
-  eight bytes and a key of the whole LENGTH bytes, two independent sums of 64 bits. Contexts are
-  told apart by 128 bits as well, of which 64 are those of the bytes that follow the anchor, so
-  equality is never judged by 64 bits alone. Splitters sampled from the records
+  eight bytes and a key of the whole LENGTH bytes: two hashes of 64 bits, built of the hashes of
+  halves by a mixer that is not linear. Contexts are told apart by 128 bits as well, of which 64
+  are those of the bytes that follow the anchor, so equality is never judged by 64 bits alone.
+  Splitters sampled from the records
   range-partition them by leading bytes, then key, so equal suffixes meet in one bucket however
   many begin alike, and no bucket holds an unbounded group.
 * A bucket sorts its records and compares neighbours.
@@ -18,6 +19,7 @@ steps, each exact:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import _powers, forget, mix, partitions, written
+from quillspan.llm.common import forget, mix, partitions, word_hashes, written
 from quillspan.llm.ordered import NULL_KEY
 
 #: Texts whose ids may be broadcast to keep the others from being shuffled; beyond it all are shuffled.
@@ -39,55 +41,78 @@ RUNS_IN_ROW = 8192
 #: Records that a task deals out at a time.
 RECORDS_AT_ONCE = 400_000
 _GRAM_1, _GRAM_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Values of bytes in the two sums of a suffix key; the second sum has the square of the first one's base.
-_VALUES = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
+
+
+def _joined_hashes(left: np.ndarray, right: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """Hashes of two strings made those of the strings in a row; not a linear map, so that no structure of texts collides."""
+    return mix(mix(left + seed) * _GRAM_1 + right)
 
 
 class Scheme:
-    """Sizes for strings of ``length`` bytes: starts per window (a power of two) and bytes sure to follow an anchor."""
+    """Sizes for strings of ``length`` units (bytes, or words of eight): starts per window (a power of two) and units sure to follow an anchor."""
 
-    def __init__(self, length: int):
+    def __init__(self, length: int, width: int = 1):
         if not 32 <= length <= 4096:
-            raise ValueError("length must be 32 to 4096 bytes")
-        self.length = length
+            raise ValueError("length must be 32 to 4096 units")
+        self.length, self.width = length, width
         self.window = 1 << (2 * length // 3).bit_length() - 1
         self.core = length - self.window + 1
+        # Bytes whose hash chooses an anchor.
+        self.gram = 16 if width == 1 else 2
+
+    def units(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, dtype=np.uint8 if self.width == 1 else "<u8")
+
+    def cut(self, raw: bytes, start: int, end: int) -> bytes:
+        return raw[start * self.width : end * self.width]
 
-    def anchors(self, text: bytes) -> np.ndarray:
+    def anchors(self, raw: bytes) -> np.ndarray:
         """(anchor, first start, last start) of every run of starts that share an anchor."""
         found = []
-        last = len(text) - self.length
+        n = len(raw) // self.width
+        last = n - self.length
         for at in range(0, last + 1, BLOCK):
-            part = text[at : min(len(text), at + BLOCK + self.length - 1)]
-            words = np.ndarray((len(part) - 7,), dtype="<u8", buffer=part, strides=(1,))
-            h = mix(words[:-8] * _GRAM_1 + words[8:] * _GRAM_2)
+            part = self.cut(raw, at, min(n, at + BLOCK + self.length - 1))
+            size = len(part) // self.width
+            words = np.ndarray((size - 7,), dtype="<u8", buffer=part, strides=(1,)) if self.width == 1 else self.units(part)
+            half = self.gram // 2
+            h = mix(words[:-half] * _GRAM_1 + words[half:] * _GRAM_2)
             least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
             reach = 1
             while reach < self.window:
                 least = np.minimum(least[:-reach], least[reach:])
                 reach *= 2
-            own = (least[: len(part) - self.length + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            own = (least[: size - self.length + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             cut = np.flatnonzero(np.diff(own)) + 1
             first, end = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(own) - 1]))
             found.append(np.stack([own[first], first, end], axis=1) + at)
         return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
 
-    def suffixes(self, text: bytes, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(leading eight bytes in their order, two halves of the whole string's key) of the starts first .. last."""
-        part = np.frombuffer(text, dtype=np.uint8, count=last - first + self.length, offset=first)
-        up, down = _powers(len(part) + 1)
-        n = last - first + 1
+    def suffixes(self, raw: bytes, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leading units in their order, two halves of the whole string's key) of the starts first .. last.
+
+        A key is made of those of its string's parts, whose lengths are the powers of two in ``length``.
+        """
+        n, part = last - first + 1, self.cut(raw, first, last + self.length)
         keys = []
-        for value, up, down in ((_VALUES[0], up[: len(part)], down[:n]), (_VALUES[1], up[: len(part)] ** 2, down[:n] ** 2)):
-            total = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(value[part] * up, out=total[1:])
-            keys.append(mix((total[self.length : self.length + n] - total[:n]) * down))
-        lead = np.ndarray((n,), dtype=">u8", buffer=text, offset=first, strides=(1,)).astype(np.uint64)
+        for seed in _SEEDS:
+            size, now, out, used = 1, mix((self.units(part).astype(np.uint64) + np.uint64(1)) * seed), None, 0
+            while size <= self.length:
+                if self.length & size:
+                    piece = now[used : used + n]
+                    out = piece if out is None else _joined_hashes(out, piece, seed)
+                    used += size
+                if 2 * size <= self.length:
+                    now = _joined_hashes(now[:-size], now[size:], seed)
+                size *= 2
+            keys.append(out)
+        lead = np.ndarray((n,), dtype=">u8", buffer=part, strides=(self.width,)).astype(np.uint64) if self.width == 1 else self.units(part)[:n]
         return lead, *keys
 
 
-def _raw(text: str | None) -> bytes:
-    return (text or "").encode()
+def _raw(text: str | bytes | None) -> bytes:
+    return bytes(text) if isinstance(text, (bytes, bytearray)) else (text or "").encode()
 
 
 def _i64(x: int) -> int:
@@ -109,11 +134,11 @@ def _anchor_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
             out = []
             for k, text in zip(x["k"].tolist(), x["text"].tolist(), strict=True):
                 raw = _raw(text)
-                if len(raw) < scheme.length:
+                if len(raw) < scheme.length * scheme.width:
                     continue
                 tid, kinds = _digest(raw), {}
                 for p, a, b in scheme.anchors(raw).tolist():
-                    kinds.setdefault((_digest(raw[p : p + scheme.core]), _digest(raw[a : b + scheme.length])), []).append(p << 24 | p - a << 12 | p - b)
+                    kinds.setdefault((_digest(scheme.cut(raw, p, p + scheme.core)), _digest(scheme.cut(raw, a, b + scheme.length))), []).append(p << 24 | p - a << 12 | p - b)
                 out.extend((k, tid, f, c, ats) for (f, c), ats in kinds.items())
             if out:
                 yield pd.DataFrame(out, columns=["doc", "tid", "f", "c", "ats"])
@@ -275,10 +300,13 @@ def _repeated_starts(docs: DataFrame, mixed: DataFrame, scheme: Scheme) -> DataF
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc, tid, starts, ends): sorted byte ranges of repeated starts' strings, by document key and text digest."""
+def repeated_spans(docs: DataFrame, length: int = 400, width: int = 1) -> DataFrame:
+    """(doc, tid, starts, ends): sorted ranges of repeated starts' strings, by document key and text digest.
+
+    Units are bytes; with a ``width`` of 8 they are the eights of bytes that ``text`` then consists of.
+    """
     spark = docs.sparkSession
-    scheme = Scheme(length)
+    scheme = Scheme(length, width)
     anchors = written(_anchor_rows(docs, scheme), "anchors")
     seen = anchors.groupBy("f").agg(F.sum(F.size("ats")).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("f", (F.col("c1") != F.col("c2")).alias("mixed"))
     flagged = written(anchors.join(seen, "f"), "repeated-anchors")
@@ -355,3 +383,54 @@ def cut_repeats(docs: DataFrame, length: int = 400, as_text: bool = False) -> Da
     moved = few.mapInPandas(packed, f"_doc long{tail}, _tid long, _z binary").join(named, ["_doc", "_tid"], "left")
     both = moved.mapInPandas(cut, schema).unionByName(rest.mapInPandas(whole, schema))
     return both.withColumn("doc_id", F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")))
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_passages(docs: DataFrame, words: int = 51) -> DataFrame:
+    """``docs`` without the words of passages of so many that occur more than once; n_words and n_cut are added.
+
+    Suffixes are those of a text's words, white space apart: a word is 64 bits of it as it is
+    written. Every word covered by a string of ``words`` words that also starts anywhere else, in
+    the same text or another row's, is removed with the white space up to the next of them; a
+    passage is judged whole, never by pieces of it. Null texts stay null; texts of fewer words
+    stay whole. Repeated rows count as documents of their own. All rows and other columns stay.
+    """
+
+    @F.pandas_udf("binary")
+    def coded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: word_hashes(_raw(t)).tobytes())
+
+    own = [c for c in docs.columns if c not in ("n_words", "n_cut")]
+    keyed = docs.select(*own).withColumns({"_doc": _key(), "_code": coded(F.coalesce("text", F.lit("")))})
+    spans = repeated_spans(docs.select("doc_id", coded(F.coalesce("text", F.lit(""))).alias("text")), words, width=8)
+    marks = spans.select(F.col("doc").alias("_doc"), F.col("tid").alias("_tid"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+
+    @F.pandas_udf("long")
+    def digest(codes: pd.Series) -> pd.Series:
+        return codes.map(lambda c: _digest(bytes(c))).astype("int64")
+
+    @F.pandas_udf("text string, n_words long, n_cut long")
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, first, end in zip(texts, starts, ends, strict=True):
+            raw = _raw(text)
+            places = [m.span() for m in _WORD.finditer(raw)]
+            at, kept, n = 0, [], 0
+            for a, b in zip(*_merged(np.asarray(first), np.asarray(end)), strict=True):
+                kept.append(raw[at : places[a][0]])
+                at, n = places[b - 1][1], n + int(b - a)
+            out.append(("".join(x.decode() for x in (*kept, raw[at:])), len(places), n))
+        return pd.DataFrame(out, columns=["text", "n_words", "n_cut"])
+
+    # Only texts of keys with a span are handed over to be cut.
+    ids = written(spans.select(F.col("doc").alias("_doc")).distinct(), "passage-documents")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    plain = keyed.select(*own, "_doc")
+    n_words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
+    some = keyed.join(few, "_doc", "left_semi").withColumn("_tid", digest("_code")).drop("_code").join(marks, ["_doc", "_tid"], "left")
+    hit = some.where("_starts is not null").withColumn("_cut", cut("text", "_starts", "_ends"))
+    hit = hit.select(*["_cut.text" if c == "text" else c for c in own], "_cut.n_words", "_cut.n_cut")
+    rest = plain.join(few, "_doc", "left_anti").select(*own).unionByName(some.where("_starts is null").select(*own))
+    return hit.unionByName(rest.select(*own, n_words.alias("n_words"), F.lit(0).cast("long").alias("n_cut")))

@@ -91,6 +91,50 @@ def test_repeated_bytes(documents, nothing, length):
     assert suffix_dedup.cut_repeats(nothing, length).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("length", [400, 4096])
+def test_texts_of_regular_structure_are_told_apart(spark, length):
+    """Sums of powers modulo 2**64 can't tell such a text from its complement; neither repeats a long string."""
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(2)
+    noise = ["".join(rng.choice("ab") for _ in range(n)) for n in (3072, 200)]
+    rows = [(0, noise[0] + one + noise[1]), (1, noise[0] + two + noise[1])]
+    want = {k: int(covered.sum()) for (k, _), (_, covered) in zip(rows, brute_spans([t for _, t in rows], length), strict=True)}
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
+    assert got == want and (length == 400 or want == {0: 0, 1: 0})
+
+
+def brute_passages(texts, words):
+    """(text left, words, words cut) of each text, from the runs of words of all texts."""
+    found = [list(WORD.finditer(t or "")) for t in texts]
+    seen = Counter(tuple(m.group() for m in w[i : i + words]) for w in found for i in range(len(w) - words + 1))
+    for text, w in zip(texts, found, strict=True):
+        cut = [False] * len(w)
+        for i in range(len(w) - words + 1):
+            if seen[tuple(m.group() for m in w[i : i + words])] > 1:
+                cut[i : i + words] = [True] * words
+        out, at = "", 0
+        for i, m in enumerate(w):
+            if cut[i]:
+                if not (i and cut[i - 1]):
+                    out += text[at : m.start()]
+                at = m.end()
+        yield None if text is None else out + text[at:], len(w), sum(cut)
+
+
+@pytest.mark.parametrize("words", [32, 51])
+def test_repeated_passages(documents, nothing, words):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    want = Counter((k, *x) for (k, _), x in zip(rows, brute_passages([t for _, t in rows], words), strict=True))
+    got = suffix_dedup.cut_passages(documents, words)
+    assert Counter((r.doc_id, r.text, r.n_words, r.n_cut) for r in got.collect()) == want and sum(x[3] > 0 for x in want) > 5
+    assert set(got.columns) == {*documents.columns, "n_words", "n_cut"} and suffix_dedup.cut_passages(nothing, words).count() == 0
+
+
 # --- 3, 8
 
 
@@ -185,6 +229,13 @@ def test_jaccard_components(documents, nothing, words, percent):
     assert ngram_join.similar_documents(nothing, words, percent).count() == 0
 
 
+def test_words_of_regular_structure_are_told_apart(spark):
+    one = thue_morse(1024)
+    rows = [(0, one), (1, one.translate(str.maketrans("ab", "ba"))), (2, one)]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
 # --- 5
 
 
@@ -268,6 +319,66 @@ def test_edit_distance_by_bits():
         assert fingerprints.edit_distance(a, b) == slow(a, b)
 
 
+def plain_fingerprint(data):
+    """The fingerprint as its docstring says, byte by byte."""
+    mask, digits = 2**64 - 1, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def stir(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    rolled = [stir(sum(data[i - back] << 7 * back for back in range(7) if back <= i) & mask) >> 32 for i in range(len(data))]
+
+    def pieces(size):
+        out, start = [], 0
+        for i, r in enumerate(rolled):
+            if r % size == size - 1:
+                out.append(data[start : i + 1])
+                start = i + 1
+        return out, data[start:]
+
+    size = 3
+    while size * 64 < len(data):
+        size *= 2
+    while size > 3 and len(pieces(size)[0]) < 32:
+        size //= 2
+    signs = ["".join(digits[zlib.crc32(x) >> 26] for x in [*done, *([rest] if rest else [])]) for done, rest in (pieces(size), pieces(2 * size))]
+    return f"{size}:{signs[0]}:{signs[1]}"
+
+
+def plain_likeness(left, right):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    if left == right:
+        return 1.0
+    (a, *sa), (b, *sb) = left.split(":"), right.split(":")
+    sizes_a, sizes_b = {int(a): sa[0], 2 * int(a): sa[1]}, {int(b): sb[0], 2 * int(b): sb[1]}
+    both = [(sizes_a[k], sizes_b[k]) for k in sizes_a.keys() & sizes_b.keys()]
+    return max([0.0, *(1 - distance(x, y) / max(len(x), len(y)) for x, y in both if x or y)])
+
+
+def test_fingerprints_and_likeness_byte_by_byte():
+    rng = random.Random(12)
+    samples = [b"", b"a", b"aaaa" * 500, bytes(range(256)) * 20, "日本語 é".encode() * 60]
+    samples += [bytes(rng.choice(b"abcdefgh \n") for _ in range(rng.choice([5, 100, 700, 4000]))) for _ in range(20)]
+    for x in list(samples[5:]):
+        edit = bytearray(x)
+        for _ in range(3):
+            edit[rng.randrange(len(edit))] = rng.randrange(256)
+        samples += [bytes(edit), x[: len(x) // 2] + samples[-1][: len(x) // 3]]
+    prints = [fingerprints.fingerprint(x) for x in samples]
+    assert prints == [plain_fingerprint(x) for x in samples]
+    scores = [(fingerprints.likeness(x, y), plain_likeness(x, y)) for x in prints[:30] for y in prints[20:60]]
+    assert all(a == b for a, b in scores) and len({a for a, _ in scores}) > 30
+
+
 def test_fingerprints_of_edited_texts(documents, texts, nothing):
     got = fingerprints.compare_with_edits(documents).collect()
     order = sorted(((k is not None, k or 0), t or "") for k, t in ((r.doc_id, r.text) for r in documents.collect()))
@@ -321,6 +432,39 @@ def test_lines(documents, nothing):
     assert got.count() == documents.count() and line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_lines_go_by_their_own_row_only(spark):
+    """Rows that share a doc_id, or have none, are documents of their own unless their texts are equal as well."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [line(12) for _ in range(6)]
+    rows = [(None, "alpha one\nbeta two\ngamma three"), (7, "keep me zero\nkeep me one"), (1, "alpha one\nother words"), (None, "alpha one\nnew one\nsecond\nalpha one"), (7, "alpha one\nalpha one"), (7, None), (7, ""), (None, None)]
+    for k in (None, 3, 3, 7, 8, 8, None):
+        rows.append((k, "\n".join(rng.choice([rng.choice(shared), line(10), rng.choice(shared).replace(" ", "  ", 1), f"{rng.choice(shared)} end"]) for _ in range(5))))
+    rows += [rows[3], rows[9], rows[9]]
+    order = {x: i for i, x in enumerate(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest())))}
+    lines, seen = [], {}
+    for (k, t), at in order.items():
+        for i, x in enumerate(t.split("\n") if t is not None else []):
+            if bare := x.lower().strip(" \t\n\x0b\x0c\r"):
+                lines.append((at, i, bare))
+    shingles = lambda b: set(zip(*(WORD.findall(b)[i:] for i in range(5)), strict=False)) if len(WORD.findall(b)) > 4 else {tuple(WORD.findall(b))}
+    firsts = {}
+    for at, i, bare in lines:
+        firsts.setdefault(bare, (at, i))
+    gone = set()
+    for at, i, bare in lines:
+        first = firsts[bare]
+        near = any(firsts[other] < first and 5 * len(shingles(bare) & shingles(other)) >= 4 * len(shingles(bare) | shingles(other)) for other in firsts)
+        if (at, i) != first or near:
+            gone.add((at, i))
+    want = Counter((k, t, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (order[k, t], i) not in gone)) for k, t in rows)
+    docs = spark.createDataFrame([(k, t, t) for k, t in rows], "doc_id long, text string, whole string").repartition(3)
+    assert Counter((r.doc_id, r.whole, r.text) for r in line_dedup.dedup_lines(docs).collect()) == want
+    left = {(r.doc_id, r.whole): r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert "gamma three" in left[rows[0]] and left[rows[1]] == rows[1][1]
+
+
 def test_near_lines_go_in_crowded_lists(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
@@ -428,11 +572,10 @@ def test_pipeline_stages(spark, sf):
     kept = pipeline.drop_copies(spark, docs, sf)
     want = ngram_join.similar_documents(docs, 5, 80).where("component_id = doc_id").count()
     assert kept.count() == want and kept.columns == docs.columns
-    cut = pipeline.cut_passages(spark, kept, sf).toPandas().set_index("doc_id")
+    cut = {r.doc_id: (r.text, r.n_chars) for r in pipeline.cut_passages(spark, kept, sf).collect()}
     rows = kept.select("doc_id", "text").collect()
-    for r, (raw, covered) in zip(rows, brute_spans([r.text for r in rows], pipeline.REPEATED_BYTES), strict=True):
-        assert cut.text[r.doc_id] == bytes(np.frombuffer(raw, dtype=np.uint8)[~covered]).decode(errors="ignore")
-        assert cut.n_chars[r.doc_id] == len(cut.text[r.doc_id])
+    left = {r.doc_id: (text, len(text)) for r, (text, n, gone) in zip(rows, brute_passages([r.text for r in rows], pipeline.PASSAGE_WORDS), strict=True) if not gone or gone < n}
+    assert cut == left and len(left) <= len(rows)
     assert isinstance(pipeline.run(spark, sf).toPandas(), pd.DataFrame)
 
 
@@ -446,8 +589,9 @@ def test_every_repeated_passage_of_over_50_words_is_cut(spark, sf):
         rows += [(10 * length + i, f"{chr(65 + i) * 40} {passage} {chr(75 + i) * 40}", "en", "x", 1) for i in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     cut = {r.doc_id: r.text for r in pipeline.cut_passages(spark, docs, sf).collect()}
-    # The blanks around a passage repeat as well.
-    assert cut == {10 * length + i: chr(65 + i) * 40 + chr(75 + i) * 40 for length in (1, 2, 3) for i in range(2)}
+    assert cut == {10 * length + i: f"{chr(65 + i) * 40}  {chr(75 + i) * 40}" for length in (1, 2, 3) for i in range(2)}
+    alone = spark.createDataFrame([(1, passage, "en", "x", 1), (2, f"{passage} more", "en", "x", 1), (3, " ", "en", "x", 1), (4, None, "en", "x", 1)], docs.schema)
+    assert {r.doc_id: r.text for r in pipeline.cut_passages(spark, alone, sf).collect()} == {2: " more", 3: " ", 4: None}
 
 
 def test_stages_on_repeated_ids_nulls_and_copies(spark, sf):
