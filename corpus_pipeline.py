@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 read back as the next one's docs. All but the last return the columns of ``documents``; other
 columns of the input are left out. An empty table passes through all stages as an empty table.
 Null, empty and blank texts are kept by the four filtering stages, as nothing speaks against
-them, and are packed as an end token alone.
+them, and are packed as an end token alone; a text that passage cutting empties is dropped.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from quillspan.llm.tokens import vocabulary_path
 
 #: Words of a shingle and least Jaccard similarity, in percent, of near copies.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-#: Bytes of a string that repeats: the fewest a passage of over 50 words can have, 51 letters and 50 gaps.
-REPEATED_BYTES = 101
+#: Words of a passage that repeats.
+PASSAGE_WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -62,13 +62,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once are cut from every document that has them; every document stays.
+    """Passages of 51 words and more that occur more than once are cut from every document that has them.
 
-    Characters that a cut would split go as a whole. Repeated rows count as documents of their own.
+    A document that has no word left behind its cuts goes; one that was blank before stays, and
+    so does every other. Repeated rows count as documents of their own.
     """
     table(spark, sf_dir, "documents")
-    cut = suffix_dedup.cut_repeats(docs.select(*COLUMNS), REPEATED_BYTES, as_text=True)
-    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
+    cut = suffix_dedup.cut_passages(docs.select(*COLUMNS), PASSAGE_WORDS)
+    left = cut.where("n_cut = 0 or n_cut < n_words").withColumn("n_chars", F.length("text").cast("long"))
+    return left.select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
