@@ -23,8 +23,8 @@ _SPACES = " \t\n\x0b\x0c\r"
 _PLACE = ["doc", "row", "line_no"]
 _X, _Y = ([f"{c}_{side}" for c in _PLACE] for side in "xy")
 _PAIR = [*_X, *_Y]
-#: Repeated doc_ids that may be broadcast to find their rows; beyond it all rows are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Places of lines, and repeated doc_ids, that may be broadcast to keep texts from being shuffled; beyond it all are.
+BROADCAST_ROWS = 1_000_000
 
 
 def _bare(line: Column) -> Column:
@@ -89,7 +89,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     n = repeated.count()
     if not n:
         return keyed.withColumn("_row", F.lit(0).cast("long"))
-    few = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    few = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
     some = keyed.join(few, "_doc", "left_semi").withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     numbers = numbered(some.select("_doc", "_sha").distinct(), [F.col("_doc"), F.col("_sha")], "_row")
     some = written(some.join(numbers, ["_doc", "_sha"]).drop("_sha"), "repeated-rows")
@@ -199,6 +199,12 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return written(x.unionByName(y).distinct(), "line-ends")
 
 
+def _by_text(places: DataFrame, numbers: Column) -> DataFrame:
+    """(doc, row, numbers): the places of a written table by text, to be broadcast if they are few."""
+    grouped = places.groupBy("doc", "row").agg(numbers)
+    return F.broadcast(grouped) if places.count() <= BROADCAST_ROWS else grouped
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets (doc, line_no, n, s) are similar enough, were all elements that share a token with another equal."""
     side = lambda c: sets.select(*[F.col(x).alias(f"{x}_{c}") for x in (*_PLACE, "n", "s")])
@@ -215,7 +221,7 @@ def _later(pairs: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The later lines of pairs that hold on 64-bit shingles, made anew from the texts of their lines alone."""
     ends = _ends(pairs)
-    by_doc = ends.groupBy("doc", "row").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers"))
+    by_doc = _by_text(ends, F.array_distinct(F.collect_list("line_no")).alias("numbers"))
     some = docs.select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), "text").join(by_doc, ["doc", "row"])
     lines = some.select("doc", "row", F.explode(_once(F.split("text", "\n", -1), lambda all_: F.transform("numbers", lambda i: F.struct(i.alias("line_no"), F.get(all_, i).alias("line"))))).alias("l"))
     sets = lines.select("doc", "row", "l.line_no", _once(_word_digests(_bare(F.col("l.line"))), lambda w: _shingles(w, size, F.xxhash64)).alias("s"))
@@ -286,7 +292,7 @@ def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = _keyed(docs.select(*own))
     gone = removed_lines(keyed, size, percent)
-    by_doc = gone.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+    by_doc = _by_text(gone, F.collect_set("line_no").alias("_gone")).withColumnsRenamed({"doc": "_doc", "row": "_row"})
     all_lines = F.split("text", "\n", -1)
     left = _once(all_lines, lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i)))
     joined = keyed.join(by_doc, ["_doc", "_row"], "left")
