@@ -57,6 +57,14 @@ def itin_valid(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^9\d{2}-\d{2}-\d{4}$") & (group.between(70, 88) | group.between(90, 92) | group.between(94, 99)), F.lit(False))
 
 
+def ein_valid(value: Column) -> Column:
+    """dd-ddddddd with a prefix that has been given out."""
+    prefix = F.substring(value, 1, 2).cast("int")
+    given = prefix.between(1, 6) | prefix.between(10, 16) | prefix.between(20, 27) | prefix.between(30, 48) | prefix.between(50, 68)
+    given = given | prefix.between(71, 77) | prefix.between(80, 88) | prefix.between(90, 95) | prefix.isin(98, 99)
+    return F.coalesce(value.rlike(r"^\d{2}-\d{7}$") & given, F.lit(False))
+
+
 def sin_valid(value: Column) -> Column:
     """Luhn, and no number that starts with 0 or 8."""
     digits = F.regexp_replace(value, r"[ \-]", "")

@@ -130,9 +130,16 @@ def first_object(reply: Column) -> Column:
 
 
 def attributes(replies: DataFrame) -> DataFrame:
-    """(id, key, value): the attributes of JSON replies (id, reply), without their confidence."""
+    """(id, key, value): the attributes of JSON replies (id, reply).
+
+    They are those of an object under ``attributes``, else all of the reply but its confidence;
+    values that are lists or objects stay JSON.
+    """
     maps = replies.select("id", F.from_json(first_object(F.col("reply")), "map<string,string>").alias("m")).where("m is not null")
-    return maps.select("id", F.explode("m").alias("key", "value")).where("key <> 'confidence'")
+    inner = F.try_element_at("m", F.lit("attributes"))
+    nested = F.when(F.ltrim(inner).startswith("{"), F.from_json(inner, "map<string,string>"))
+    flat = F.map_filter("m", lambda k, _: k != "confidence")
+    return maps.select("id", F.explode(F.coalesce(nested, flat)).alias("key", "value"))
 
 
 #: Which finder reads which classes; classes that none reads yield nothing.

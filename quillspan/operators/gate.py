@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan import ontology
-from quillspan.functions.ids import curp_valid, rfc_structure
+from quillspan.functions.ids import curp_valid, ein_valid, rfc_structure, sin_valid, ssn_valid
 from quillspan.functions.text import once
 
 CEILING, FLOOR = 0.97, 0.55
 
-# Patterns of the personal-data sweep, in order of precedence, with the score of an
-# unvalidated hit.
+# Patterns of the personal-data sweep, in order of precedence.
 SWEEP = [
     ("MX_CURP", r"\b([A-Z][AEIOUX][A-Z]{2}\d{6}[HM][A-Z]{5}[0-9A-Z]\d)\b"),
     ("MX_INE_CLAVE_ELECTOR", r"\b([A-Z]{6}\d{8}[HM]\d{3})\b"),
@@ -24,24 +23,33 @@ SWEEP = [
     ("PHONE_NUMBER", r"(?<![\w-])((?:\+?\d{1,3}[\s.\-]?)?(?:\(?\d{3}\)?[\s.\-])\d{3}[\s.\-]\d{4})(?![\w-])"),
 ]
 
+# Fixed values: (score of a value that holds up, score of another, language of the finding, null for the document's).
+SCORES = {
+    "MX_CURP": (0.95, 0.95, "es"), "MX_INE_CLAVE_ELECTOR": (0.85, 0.45, "es"), "MX_RFC": (0.9, 0.9, "es"), "US_SSN": (0.95, 0.5, "en"),
+    "CA_SIN": (0.9, 0.45, "en"), "US_EIN": (0.85, 0.4, "en"), "EMAIL_ADDRESS": (0.8, 0.8, None), "PHONE_NUMBER": (0.6, 0.6, None),
+}
+# What stands in the 60 characters before an electoral key that is surely one.
+ELECTORAL_CONTEXT = ["clave de elector", "credencial para votar", "instituto nacional electoral"]
 
-def language_scores(text: Column) -> tuple[Column, Column]:
-    """(English, Spanish): stopword hits, and for Spanish 1.5 for each of its own characters."""
+
+def language_scores(text: Column) -> Column:
+    """(en, es): stopword hits, and for Spanish 1.5 for each of its own characters."""
     words = F.transform(F.regexp_extract_all(text, F.lit("[a-zA-ZñáéíóúüÑÁÉÍÓÚÜ]+"), F.lit(0)), F.lower)
-    hits = once(words, lambda w: F.struct(F.size(F.filter(w, lambda x: x.isin(ontology.ENGLISH_WORDS))).alias("en"), F.size(F.filter(w, lambda x: x.isin(ontology.SPANISH_WORDS))).alias("es")))
-    return hits["en"].cast("double"), hits["es"] + 1.5 * F.regexp_count(text, F.lit("[ñáéíóúüÑÁÉÍÓÚÜ¿¡]"))
+    own = 1.5 * F.regexp_count(text, F.lit("[ñáéíóúüÑÁÉÍÓÚÜ¿¡]"))
+    hits = lambda w, known: F.size(F.filter(w, lambda x: x.isin(known))).cast("double")
+    return once(words, lambda w: F.struct(hits(w, ontology.ENGLISH_WORDS).alias("en"), (hits(w, ontology.SPANISH_WORDS) + own).alias("es")))
 
 
 def add_language(docs: DataFrame, text: str = "text") -> DataFrame:
     """lang (Spanish only if it scores strictly more) and lang_confidence, the winner's share or 0.5."""
-    en, es = language_scores(F.col(text))
-    scored = docs.withColumn("_s", F.struct(en.alias("en"), es.alias("es")))
-    total = F.col("_s.en") + F.col("_s.es")
-    spanish = F.col("_s.es") > F.col("_s.en")
-    return scored.withColumns({
-        "lang": F.when(spanish, "es").otherwise("en"),
-        "lang_confidence": F.when(total > 0, F.greatest("_s.en", "_s.es") / total).otherwise(0.5),
-    }).drop("_s")
+
+    def judged(s: Column) -> Column:
+        total = s["en"] + s["es"]
+        share = F.when(total > 0, F.greatest(s["en"], s["es"]) / total).otherwise(0.5)
+        return F.struct(F.when(s["es"] > s["en"], "es").otherwise("en").alias("lang"), share.alias("confidence"))
+
+    scored = docs.withColumn("_s", once(language_scores(F.col(text)), judged))
+    return scored.withColumns({"lang": F.col("_s.lang"), "lang_confidence": F.col("_s.confidence")}).drop("_s")
 
 
 def class_scores(text: Column) -> Column:
@@ -66,13 +74,18 @@ def class_scores(text: Column) -> Column:
     return once(F.lower(text), lambda low: once(F.array(*[F.contains(low, F.lit(a.lower())) for a in anchors]), classes))
 
 
+def _swept(text: str) -> Column:
+    """The classes of a document beside its language, so that neither is computed again for each class."""
+    return F.struct(class_scores(F.col(text)).alias("all"), F.col("lang").alias("lang"))
+
+
 def add_class(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_type and doc_confidence of the best class, UNKNOWN and 0 without any, and its jurisdiction.
 
     Anchors count as case-insensitive substrings, in both languages. Ties go to more signals,
     then to the class met first when the document's own language is swept first.
     """
-    ranked = once(class_scores(F.col(text)), lambda all_: F.array_max(F.transform(all_, lambda c: F.struct(c["confidence"], c["signals"], F.when(F.col("lang") == "es", c["es"]).otherwise(c["en"]).alias("order"), c["spanish"], c["code"]))))
+    ranked = once(_swept(text), lambda s: F.array_max(F.transform(s["all"], lambda c: F.struct(c["confidence"], c["signals"], F.when(s["lang"] == "es", c["es"]).otherwise(c["en"]).alias("order"), c["spanish"], c["code"]))))
     nations = F.create_map(*[F.lit(x) for code, _, where, _, _ in ontology.DOCUMENT_TYPES for x in (code, where[0])])
     several = [code for code, _, where, _, _ in ontology.DOCUMENT_TYPES if len(where) > 1 and "MX" in where]
     return docs.withColumn("_best", ranked).withColumns({
@@ -84,8 +97,11 @@ def add_class(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def anchor_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, doc_type, rnk, confidence, n_signals): all classes of a document in their order."""
-    ordered = docs.withColumn("_all", F.array_sort(F.transform(class_scores(F.col(text)), lambda c: F.struct((-c["confidence"]).alias("c"), (-c["signals"]).alias("n"), (-F.when(F.col("lang") == "es", c["es"]).otherwise(c["en"])).alias("o"), c["code"].alias("code")))))
-    return ordered.select("doc_id", F.posexplode("_all").alias("at", "x")).select("doc_id", F.col("x.code").alias("doc_type"), (F.col("at") + 1).cast("long").alias("rnk"), (-F.col("x.c")).alias("confidence"), (-F.col("x.n")).cast("long").alias("n_signals"))
+    row = lambda s: lambda c: F.struct((-c["confidence"]).alias("c"), (-c["signals"]).alias("n"), (-F.when(s["lang"] == "es", c["es"]).otherwise(c["en"])).alias("o"), c["code"].alias("code"))
+    ordered = docs.withColumn("_all", once(_swept(text), lambda s: F.array_sort(F.transform(s["all"], row(s)))))
+    # The outer form keeps the planner from asking for the array's size first, which computes it twice more.
+    each = ordered.select("doc_id", F.posexplode_outer("_all").alias("at", "x")).where("at is not null")
+    return each.select("doc_id", F.col("x.code").alias("doc_type"), (F.col("at") + 1).cast("long").alias("rnk"), (-F.col("x.c")).alias("confidence"), (-F.col("x.n")).cast("long").alias("n_signals"))
 
 
 def found(text: Column, kind: str) -> Column:
@@ -97,11 +113,10 @@ def found(text: Column, kind: str) -> Column:
 def add_findings(docs: DataFrame, text: str = "text") -> DataFrame:
     """pii_types (sorted) and sensitivity: CRITICAL with any national identifier, else LOW.
 
-    A kind counts if one of its spans stays (see ``finding_spans``); only several kinds can hide each other.
+    A kind counts if one of its spans stays (see ``finding_spans``).
     """
-    kinds = F.array_compact(F.array(*[F.when(F.size(found(F.col(text), kind)) > 0, F.lit(kind)) for kind, _ in SWEEP]))
-    stay = F.array_distinct(F.transform(finding_spans(F.col(text)), lambda s: s["kind"]))
-    return docs.withColumn("pii_types", once(kinds, lambda k: F.array_sort(F.when(F.size(k) > 1, stay).otherwise(k)))).withColumn("sensitivity", score_sensitivity(F.col("pii_types")))
+    kinds = once(finding_spans(F.col(text)), lambda spans: F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["kind"]))))
+    return docs.withColumn("pii_types", kinds).withColumn("sensitivity", score_sensitivity(F.col("pii_types")))
 
 
 def score_sensitivity(kinds: Column) -> Column:
@@ -111,27 +126,49 @@ def score_sensitivity(kinds: Column) -> Column:
     return F.when(has(*ontology.NATIONAL_IDS), "CRITICAL").when(person & born & address, "HIGH").when(person & (born | address), "MEDIUM").when(address, "MEDIUM").otherwise("LOW")
 
 
-_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+_SPANS = "array<struct<kind:string,start:int,end:int,value:string,score:double,lang:string>>"
+
+
+def _located(text: Column, kind: str, lang: Column) -> Column:
+    """The values of one kind where its pattern matches: behind all pieces between matches, and all matches, before."""
+    pattern = dict(SWEEP)[kind]
+    sure, other, own = SCORES[kind]
 
+    def place(both: Column) -> Column:
+        start = F.struct(F.lit(0).alias("next"), F.array().cast(_SPANS).alias("out"))
 
-def _located(text: Column, values: Column, kind: str) -> Column:
-    """Values in the order of the text with their places; each search starts behind the hit before."""
-    start = F.struct(F.lit(1).alias("next"), F.array().cast(_SPANS).alias("out"))
+        def step(acc: Column, x: Column) -> Column:
+            at = acc["next"] + F.length(x["piece"])
+            value = x["value"]
+            if kind == "MX_INE_CLAVE_ELECTOR":
+                before = F.lower(F.substr(text, F.greatest(at - 59, F.lit(1)), F.least(at, F.lit(60))))
+                holds = F.exists(F.array(*[F.lit(c) for c in ELECTORAL_CONTEXT]), lambda c: F.contains(before, c))
+            else:
+                check = {"US_SSN": ssn_valid, "CA_SIN": sin_valid, "US_EIN": ein_valid}.get(kind)
+                holds = check(value) if check else F.lit(True)
+            score = F.when(holds, sure).otherwise(other)
+            span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value"), score.alias("score"), (lang if own is None else F.lit(own)).alias("lang"))
+            return F.struct((at + F.length(value)).alias("next"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    def step(acc: Column, value: Column) -> Column:
-        at = F.call_function("locate", value, text, acc["next"])
-        return once(at, lambda p: F.struct((p + F.length(value)).alias("next"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (p - 1).alias("start"), (p - 1 + F.length(value)).alias("end"), value.alias("value")))).alias("out")))
+        return F.aggregate(F.filter(F.arrays_zip(both["pieces"].alias("piece"), both["values"].alias("value")), lambda x: x["value"].isNotNull()), start, step)["out"]
 
-    return F.aggregate(values, start, step)["out"]
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("values"))
+    placed = once(both, lambda b: place(b))
+    valid = {"MX_CURP": curp_valid, "MX_RFC": rfc_structure}.get(kind)
+    placed = F.filter(placed, lambda s: valid(s["value"])) if valid else placed
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(_SPANS))
 
 
-def finding_spans(text: Column) -> Column:
-    """(kind, start, end, value) of the findings that stay, by start.
+def finding_spans(text: Column, lang: Column | None = None) -> Column:
+    """(kind, start, end, value, score, lang) of the findings that stay, by start.
 
-    A span that overlaps one of an earlier kind, or an earlier one of its own, is dropped.
+    A span that overlaps one of an earlier kind, or an earlier one of its own, is dropped. The
+    language of mail and phone findings is that of the document, ``lang``, English if not given.
+    A null text has none.
     """
+    lang = F.lit("en") if lang is None else lang
     kept = F.aggregate(
-        F.concat(*[_located(text, found(text, kind), kind) for kind, _ in SWEEP]),
+        F.concat(*[_located(F.coalesce(text, F.lit("")), kind, lang) for kind, _ in SWEEP]),
         F.array().cast(_SPANS),
         lambda acc, s: F.when(F.exists(acc, lambda k: (s["start"] < k["end"]) & (s["end"] > k["start"])), acc).otherwise(F.concat(acc, F.array(s))),
     )

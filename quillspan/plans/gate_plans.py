@@ -81,8 +81,10 @@ def pii_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pii_spans(spark: SparkSession, sf: str) -> DataFrame:
-    docs = kyc_documents(spark, sf)
-    return docs.select("doc_id", F.explode(gate.finding_spans(F.col("text"))).alias("s")).select("doc_id", F.col("s.kind").alias("entity_type"), F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.value").alias("value"))
+    """Every finding with its place, score and language."""
+    docs = gate.add_language(kyc_documents(spark, sf))
+    each = docs.select("doc_id", F.explode(gate.finding_spans(F.col("text"), F.col("lang"))).alias("s"))
+    return each.select("doc_id", F.col("s.kind").alias("entity_type"), F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.value").alias("value"), "s.score", "s.lang")
 
 
 def sensitivity_score(spark: SparkSession, sf: str) -> DataFrame:

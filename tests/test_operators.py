@@ -298,3 +298,47 @@ def test_anchored_values_equal_loops_over_lines(spark, sf):
                 found = [(doc, best[1], best[2].text)]
             want += found
     assert got == sorted(want) and len(want) > 20
+
+
+def test_findings_stand_where_their_patterns_match(spark, sf):
+    import re
+
+    from quillspan.functions import ids
+    from quillspan.operators import gate
+    from quillspan.sources.tables import kyc_documents
+
+    texts = ["ref X536-90-4399 then 536-90-4399", "000-12-3456 046-454-286 046-454-287 07-1234567 12-1234567", "clave de elector ABCDEF12345678H123", "ABCDEF12345678H123", "call +1 555-123-4567 or (555) 123-4567", "é 😀 a@b.org,a@b.org", "536-90-4399@x.com", "", None]
+    rows = [(-1 - i, t) for i, t in enumerate(texts)] + [(r.doc_id, r.text) for r in kyc_documents(spark, sf).select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    candidates = {(k, m.group(1)) for k, p in gate.SWEEP for _, t in rows for m in re.finditer(p, t or "", re.ASCII)}
+    frame = spark.createDataFrame(sorted(candidates), "kind string, value string")
+    checks = {"MX_CURP": ids.curp_valid, "MX_RFC": ids.rfc_structure, "US_SSN": ids.ssn_valid, "CA_SIN": ids.sin_valid, "US_EIN": ids.ein_valid}
+    holds = {(k, r.value): r.ok for k, check in checks.items() for r in frame.where(F.col("kind") == k).select("value", check(F.col("value")).alias("ok")).collect()}
+    want = {}
+    for k, text in rows:
+        kept = []
+        for kind, pattern in gate.SWEEP:
+            for m in re.finditer(pattern, text or "", re.ASCII):
+                ok = holds.get((kind, m.group(1)), True)
+                if kind == "MX_INE_CLAVE_ELECTOR":
+                    ok = any(c in text[max(0, m.start(1) - 60) : m.start(1)].lower() for c in gate.ELECTORAL_CONTEXT)
+                if (ok or kind not in ("MX_CURP", "MX_RFC")) and not any(m.start(1) < e and m.end(1) > s for _, s, e, _, _ in kept):
+                    kept.append((kind, m.start(1), m.end(1), m.group(1), gate.SCORES[kind][0 if ok else 1]))
+        want[k] = sorted(kept, key=lambda x: x[1])
+    got = {r.doc_id: [tuple(x)[:5] for x in r.s] for r in docs.select("doc_id", gate.finding_spans(F.col("text")).alias("s")).collect()}
+    assert got == want and [x[1:3] for x in got[-1]] == [(22, 33)] and sum(map(len, want.values())) > 50
+
+
+def test_language_is_found_once(spark, sf):
+    from quillspan.plans import gate_plans
+
+    plan = gate_plans.anchor_scores(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[a-zA-Z") == 1
+
+
+def test_nested_attributes_are_unwrapped(spark):
+    from quillspan.operators import extract
+
+    replies = ['{"attributes": {"a": "x", "b": [1,2]}, "confidence": 0.5}', '{"a": "y", "confidence": 1}', 'text {"attributes": "none", "c": {"d": 1}}', '{"attributes": {}}', "no", None]
+    got = {(r.id, r.key): r.value for r in extract.attributes(spark.createDataFrame(list(enumerate(replies)), "id int, reply string")).collect()}
+    assert got == {(0, "a"): "x", (0, "b"): "[1,2]", (1, "a"): "y", (2, "attributes"): "none", (2, "c"): '{"d":1}'}
