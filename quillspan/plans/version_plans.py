@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.operators import queue, search, tree, versions
+from quillspan.functions.tables import kept
+from quillspan.operators import nearest, querying, queue, search, tree, versions
 from quillspan.sources.tables import kyc_documents, table
 
 NOW = "2024-01-20 12:00:00"
@@ -199,6 +202,43 @@ def _vec_sql(scope: str = "true") -> str:
     vec AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rnk, score FROM vs)"""
 
 
+#: Four forms of a query over the words w1, w2 and w3 with which a document begins.
+FORMS = ["w1 w2", "w1 OR w2 -w3", 'w1 -w3', '"w1 w2"']
+
+
+def search_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth document asks all forms of its first words of all documents."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = docs.where("id % 100 = 0").select("id", F.slice(search.tokens(F.col("text")), 1, 3).alias("w")).where("size(w) = 3")
+    form = lambda f: F.concat(*[F.get("w", F.lit(int(x[1]) - 1)) if x in ("w1", "w2", "w3") else F.lit(x) for x in re.split("(w[123])", f) if x])
+    asked = words.select("id", F.posexplode(F.array(*[form(f) for f in FORMS])).alias("form", "query_text"))
+    return querying.search(docs, asked.select((F.col("id") * 10 + F.col("form")).alias("query_id"), "query_text"), kept, pool=50)
+
+
+def search_approximate(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of every hundredth vector, through an inverted file of all vectors."""
+    nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = nearest.build(nodes, kept, lists=64)
+    return nearest.search(index, nodes.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), pool=10)
+
+
+_LANGUAGE_SQL = r"""
+    WITH t AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+    q AS (SELECT id AS asker, t[1] AS w1, t[2] AS w2, t[3] AS w3 FROM t WHERE id % 100 = 0 AND len(t) >= 3),
+    pairs AS (SELECT asker, id, w1, w2, w3, len(t) AS n, len(list_filter(t, lambda x: x = w1)) AS c1, len(list_filter(t, lambda x: x = w2)) AS c2, list_contains(t, w3) AS has3,
+            len(list_filter(range(1, len(t)), lambda i: t[i] = w1 AND t[i + 1] = w2)) > 0 AS follows
+        FROM q JOIN t ON list_contains(t, w1) OR list_contains(t, w2)),
+    clauses AS (
+        SELECT asker * 10 AS query_id, id, CASE WHEN w1 = w2 THEN c1 ELSE c1 + c2 END AS tf, n FROM pairs WHERE c1 > 0 AND c2 > 0
+        UNION ALL SELECT asker * 10 + 1, id, c1, n FROM pairs WHERE c1 > 0 AND w1 <> 'or'
+        UNION ALL SELECT asker * 10 + 1, id, c2, n FROM pairs WHERE c2 > 0 AND NOT has3
+        UNION ALL SELECT asker * 10 + 2, id, c1, n FROM pairs WHERE c1 > 0 AND NOT has3
+        UNION ALL SELECT asker * 10 + 3, id, CASE WHEN w1 = w2 THEN c1 ELSE c1 + c2 END, n FROM pairs WHERE follows),
+    scored AS (SELECT query_id, id, round(max(tf / (1 + ln(n))), 6) AS score FROM clauses GROUP BY ALL)
+    SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk, score FROM scored) WHERE rnk <= 50
+"""
+
+
 def search_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return search.fuse([_lexical(spark, sf), _vector(spark, sf)], top=20)
 
@@ -239,6 +279,8 @@ PLANS = {
         SELECT client_id, active, today, CASE WHEN a THEN 'too_many_active' WHEN d THEN 'daily_limit' ELSE 'ok' END AS verdict, CASE WHEN a THEN 30 WHEN d THEN 3600 END AS retry_after FROM v"""),
     "token_bucket": (token_bucket, None),
     "search_lexical": (_lexical, f"WITH {_lex_sql()} SELECT * FROM lex WHERE rnk <= 50"),
+    "search_language": (search_language, _LANGUAGE_SQL),
+    "search_approximate": (search_approximate, None),
     "search_vector": (_vector, f"WITH {_vec_sql()} SELECT * FROM vec WHERE rnk <= 50"),
     "search_rrf": (search_rrf, f"""WITH {_lex_sql()}, {_vec_sql()}, f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rnk)), 9) AS score FROM (SELECT query_id, id, rnk FROM lex WHERE rnk <= 50 UNION ALL SELECT query_id, id, rnk FROM vec WHERE rnk <= 50) GROUP BY ALL)
         SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rnk FROM f) WHERE rnk <= 20"""),
