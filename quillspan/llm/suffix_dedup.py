@@ -45,8 +45,8 @@ _SEEDS = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
 def _joined_hashes(left: np.ndarray, right: np.ndarray, seed: np.uint64) -> np.ndarray:
-    """Hashes of two strings made those of the strings in a row; not a linear map, so that no structure of texts collides."""
-    return mix(mix(left + seed) * _GRAM_1 + right)
+    """Hashes of two strings made those of the strings in a row; both are mixed already, so that no structure of texts collides."""
+    return mix(left * _GRAM_1 + right * seed)
 
 
 class Scheme:
