@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspan import ontology
 from quillspan.functions import tabular
 from quillspan.functions.tables import kept, shared_folder
-from quillspan.operators import classifier, sketches
+from quillspan.operators import classifier, gateway, sketches
 from quillspan.sources import versions_store
 from quillspan.sources.tables import kyc_documents, kyc_sql, quoted, table
 
@@ -102,6 +102,22 @@ def state_runs(spark: SparkSession, sf: str) -> DataFrame:
         FROM state_runs(TABLE(user_events) PARTITION BY user_id ORDER BY (ts, event_id), key => 'user_id', at => 'ts', state => 'event_type')""")
 
 
+def _sizes(texts: list[str]) -> list[str]:
+    """A model of the query below: it knows a text's length, and refuses texts whose length 7 divides."""
+    if any(len(t) % 7 == 0 for t in texts):
+        raise RuntimeError("refused")
+    return [f'Here it is: {{"attributes": {{"size": "{len(t)}"}}, "confidence": {len(t) % 3}}}' for t in texts]
+
+
+def gateway_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a model says about every document, beside the documents that it refuses."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = kept(gateway.ask(docs, "text", _sizes, limits=gateway.Limits(attempts=2, wait=0.0)).select("id", "reply", "problem"))
+    told = gateway.facts(asked).select(F.col("id").alias("doc_id"), "attribute_key", "value", "confidence", "verification_status")
+    failed = asked.where("problem is not null").select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("attribute_key"), F.col("problem").alias("value"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("verification_status"))
+    return told.unionByName(failed)
+
+
 _GROWTH = math.log((1 + sketches.ERROR) / (1 - sketches.ERROR))
 _QUANTILE_SQL = f"""
     WITH e AS (SELECT event_type, strftime(ts, '%Y-%m') AS month, value, row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m') ORDER BY value) - 1 AS before,
@@ -121,6 +137,10 @@ PLANS = {
     "facts_in_sql": (facts_in_sql, f"""
         WITH docs AS ({kyc_sql()}), lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs WHERE doc_id % {len(_TYPES) + 1} IN ({_EVEN}))
         SELECT doc_id, key AS attribute_key, regexp_extract(line, '^[A-Z]+ (\\S+)$', 1) AS value FROM lines JOIN (VALUES {_KEYS}) k(label, key) ON regexp_matches(line, '^' || label || ' \\S+$')"""),
+    "gateway_facts": (gateway_facts, """
+        SELECT doc_id, CASE WHEN length(text) % 7 > 0 THEN 'size' END AS attribute_key, CASE WHEN length(text) % 7 > 0 THEN length(text)::VARCHAR ELSE 'RuntimeError: refused' END AS value,
+            CASE WHEN length(text) % 7 > 0 THEN least(length(text) % 3, 1)::DOUBLE END AS confidence, CASE WHEN length(text) % 7 > 0 THEN 'llm_unverified' END AS verification_status
+        FROM documents WHERE text IS NOT NULL"""),
     "state_runs": (state_runs, """
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM events)
         SELECT user_id, event_type, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended FROM r GROUP BY user_id, event_type, run"""),
