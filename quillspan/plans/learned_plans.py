@@ -13,7 +13,7 @@ from quillspan import ontology
 from quillspan.functions import tabular
 from quillspan.functions.tables import kept, shared_folder
 from quillspan.operators import classifier, gateway, sketches
-from quillspan.sources import versions_store
+from quillspan.sources import blobs, versions_store
 from quillspan.sources.tables import kyc_documents, kyc_sql, quoted, table
 
 _TYPES = [t[0] for t in ontology.DOCUMENT_TYPES]
@@ -102,6 +102,21 @@ def state_runs(spark: SparkSession, sf: str) -> DataFrame:
         FROM state_runs(TABLE(user_events) PARTITION BY user_id ORDER BY (ts, event_id), key => 'user_id', at => 'ts', state => 'event_type')""")
 
 
+def blob_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as blobs of five tenants: put, partly put again, partly deleted, one tenant's all deleted; then each is asked for, some by another tenant."""
+    folder = f"{shared_folder(spark)}/blobs-{uuid.uuid4().hex}"
+    client = F.pmod("page_id", F.lit(5)).cast("string")
+    pages = table(spark, sf, "pages").select("page_id", client.alias("client_id"), F.concat(F.lit("p/"), "page_id").alias("key"), F.lit("text/html").alias("content_type"), F.encode("html", "utf-8").alias("data"))
+    blobs.put(pages, folder, 0)
+    blobs.put(pages.where("page_id % 3 = 0").withColumn("data", F.encode(F.col("key"), "utf-8")), folder, 1)
+    blobs.delete(pages.where("page_id % 4 = 0"), folder, 2)
+    blobs.delete(pages.where("client_id = '4'").select("client_id", F.lit(None).cast("string").alias("key")).distinct(), folder, 3)
+    blobs.put(pages.where("page_id % 8 = 0"), folder, 4)
+    asker = F.when(F.col("page_id") % 7 == 0, "other").otherwise(F.col("client_id"))
+    asked = pages.select("page_id", F.concat(F.lit("pg://"), "client_id", F.lit("/"), "key").alias("uri"), asker.alias("client_id"))
+    return blobs.get(asked, folder).select("page_id", "sha256", "problem")
+
+
 def _sizes(texts: list[str]) -> list[str]:
     """A model of the query below: it knows a text's length, and refuses texts whose length 7 divides."""
     if any(len(t) % 7 == 0 for t in texts):
@@ -137,6 +152,10 @@ PLANS = {
     "facts_in_sql": (facts_in_sql, f"""
         WITH docs AS ({kyc_sql()}), lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs WHERE doc_id % {len(_TYPES) + 1} IN ({_EVEN}))
         SELECT doc_id, key AS attribute_key, regexp_extract(line, '^[A-Z]+ (\\S+)$', 1) AS value FROM lines JOIN (VALUES {_KEYS}) k(label, key) ON regexp_matches(line, '^' || label || ' \\S+$')"""),
+    "blob_requests": (blob_requests, """
+        WITH b AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'foreign' WHEN html IS NULL AND page_id % 3 > 0 THEN 'missing' WHEN page_id % 8 = 0 AND html IS NOT NULL THEN 'first'
+                WHEN page_id % 4 = 0 OR page_id % 5 = 4 THEN 'missing' WHEN page_id % 3 = 0 THEN 'second' ELSE 'first' END AS state, html FROM pages)
+        SELECT page_id, CASE state WHEN 'first' THEN sha256(html) WHEN 'second' THEN sha256('p/' || page_id) END AS sha256, CASE WHEN state IN ('missing', 'foreign') THEN state END AS problem FROM b"""),
     "gateway_facts": (gateway_facts, """
         SELECT doc_id, CASE WHEN length(text) % 7 > 0 THEN 'size' END AS attribute_key, CASE WHEN length(text) % 7 > 0 THEN length(text)::VARCHAR ELSE 'RuntimeError: refused' END AS value,
             CASE WHEN length(text) % 7 > 0 THEN least(length(text) % 3, 1)::DOUBLE END AS confidence, CASE WHEN length(text) % 7 > 0 THEN 'llm_unverified' END AS verification_status
