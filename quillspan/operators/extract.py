@@ -88,6 +88,33 @@ def passport_zone(docs: DataFrame) -> DataFrame:
     )
 
 
+def zone_date(yymmdd: Column, birth: bool, year: int) -> Column:
+    """The date of six digits: births lie up to the end of ``year``'s century part, other dates up to 50 years ahead; null if there is none."""
+    yy = F.substring(yymmdd, 1, 2).try_cast("int")
+    century = F.when(yy > year % 100 + (0 if birth else 50), 1900).otherwise(2000)
+    parts = [(century + yy).cast("string"), F.substring(yymmdd, 3, 2), F.substring(yymmdd, 5, 2)]
+    return F.when(yymmdd.rlike("^[0-9]{6}$"), F.concat_ws("-", *parts).try_cast("date"))
+
+
+def passport_facts(docs: DataFrame, year: int) -> DataFrame:
+    """(doc_id, attribute_key, value, value_date, confidence, checksum_ok, verification_status, sensitivity) of passports' zones.
+
+    Dates are written as dates, or as they stand where there is no such date; ``year`` is the
+    clock that decides their century. Fields that are empty have a null value.
+    """
+    birth, expiry = zone_date(F.col("birth"), True, year), zone_date(F.col("expiry"), False, year)
+    dated = lambda at, raw: F.coalesce(at.cast("string"), F.col(raw))
+    fields = [
+        ("identity.surname", F.col("surname"), None, "HIGH"), ("identity.given_names", F.col("given_names"), None, "HIGH"), ("id.passport_number", F.col("number"), None, "HIGH"),
+        ("identity.nationality", F.col("nationality"), None, "MEDIUM"), ("identity.date_of_birth", dated(birth, "birth"), birth, "HIGH"), ("identity.sex", F.col("sex"), None, "MEDIUM"),
+        ("doc.expiry_date", dated(expiry, "expiry"), expiry, "LOW"),
+    ]
+    facts = F.array(*[F.struct(F.lit(k).alias("attribute_key"), F.nullif(v, F.lit("")).alias("value"), (F.lit(None).cast("date") if at is None else at).alias("value_date"), F.lit(s).alias("sensitivity")) for k, v, at, s in fields])
+    each = passport_zone(docs).select("doc_id", "confidence", "checks", F.explode(facts).alias("f"))
+    status = F.when(F.col("checks"), "checksum_verified").otherwise("unverified")
+    return each.select("doc_id", "f.attribute_key", "f.value", "f.value_date", "confidence", F.col("checks").alias("checksum_ok"), status.alias("verification_status"), "f.sensitivity")
+
+
 def bind_values(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, value): for each label line the nearest line to its right, else the nearest below, on one page.
 

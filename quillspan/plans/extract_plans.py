@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions import ids
 from quillspan.functions import text as tx
+from quillspan.functions.tables import kept
 from quillspan.operators import extract
 from quillspan.sources.tables import table
 
@@ -49,6 +51,24 @@ def ids_mrz(spark: SparkSession, sf: str) -> DataFrame:
     return extract.passport_zone(docs)
 
 
+def passport_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of a passport of each customer, every third with a wrong check digit, every fifth without such a birth date."""
+    k, pad = F.col("c_custkey"), lambda c, n: F.lpad(c.cast("string"), n, "0")
+    check = lambda c: ids.mrz_check(c).cast("string")
+    number = F.rpad(F.concat(F.lit("K"), pad(k, 7)), 9, "<")
+    birth = F.concat(pad(F.pmod(k, F.lit(100)), 2), F.when(k % 5 == 0, "13").otherwise(pad(F.pmod(k, F.lit(12)) + 1, 2)), F.lit("15"))
+    expiry = F.concat(pad(F.pmod(k * 3, F.lit(100)), 2), F.lit("0630"))
+    sex = F.when(k % 3 == 1, "M").when(k % 3 == 2, "F").otherwise("<")
+    first = F.concat(number, check(number), F.lit("UTO"), birth, check(birth))
+    second = F.concat(expiry, check(expiry), F.lit("<" * 14), F.lit("0"))
+    whole = check(F.concat(number, check(number), birth, check(birth), second))
+    last = F.when(k % 3 == 0, F.translate(whole, "0123456789", "1234567890")).otherwise(whole)
+    names = F.rpad(F.concat(F.lit("P<UTOOF"), F.translate("c_mktsegment", " ", "<"), F.lit("<<ANNA<"), F.chr(F.pmod(k, F.lit(26)) + 65)), 44, "<")
+    text = F.concat(F.lit("PASSPORT\n"), names, F.lit("\n"), first, sex, second, last, F.lit("\nend"))
+    # Written, as the texts' check digits would else be computed again for each field that is read from them.
+    return extract.passport_facts(kept(table(spark, sf, "customer").select(k.alias("doc_id"), text.alias("text"))), 2024).withColumn("value_date", F.col("value_date").cast("string"))
+
+
 def bbox_bind(spark: SparkSession, sf: str) -> DataFrame:
     """Labels are every fifth order; boxes come from its numbers."""
     o = F.col("o_orderkey")
@@ -104,6 +124,14 @@ PLANS = {
     "ids_mrz": (ids_mrz, """
         SELECT c_custkey AS doc_id, 'L898902C3' AS number, 'ERIKSSON' AS surname, 'ANNA MARIA' AS given_names, 'UTO' AS nationality, '740812' AS birth, '120415' AS expiry, 'F' AS sex, c_custkey % 3 = 0 AS checks, CASE WHEN c_custkey % 3 = 0 THEN 0.99 ELSE 0.40 END AS confidence
         FROM customer WHERE c_custkey % 3 < 2"""),
+    "passport_facts": (passport_facts, """
+        WITH c AS (SELECT c_custkey AS k, c_mktsegment AS m, lpad((c_custkey % 100)::VARCHAR, 2, '0') AS b, lpad((c_custkey * 3 % 100)::VARCHAR, 2, '0') AS e, lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') AS mm FROM customer),
+        d AS (SELECT *, CASE WHEN k % 5 > 0 THEN (CASE WHEN k % 100 > 24 THEN '19' ELSE '20' END || b || '-' || mm || '-15')::DATE END AS born, (CASE WHEN k * 3 % 100 > 74 THEN '19' ELSE '20' END || e || '-06-30')::DATE AS ends FROM c),
+        f AS (SELECT k, unnest([{'a': 'identity.surname', 'v': 'OF' || m, 'd': NULL::DATE, 's': 'HIGH'}, {'a': 'identity.given_names', 'v': 'ANNA ' || chr((k % 26 + 65)::INTEGER), 'd': NULL, 's': 'HIGH'},
+            {'a': 'id.passport_number', 'v': 'K' || lpad(k::VARCHAR, 7, '0'), 'd': NULL, 's': 'HIGH'}, {'a': 'identity.nationality', 'v': 'UTO', 'd': NULL, 's': 'MEDIUM'},
+            {'a': 'identity.date_of_birth', 'v': coalesce(born::VARCHAR, b || '1315'), 'd': born, 's': 'HIGH'}, {'a': 'identity.sex', 'v': CASE k % 3 WHEN 1 THEN 'M' WHEN 2 THEN 'F' END, 'd': NULL, 's': 'MEDIUM'},
+            {'a': 'doc.expiry_date', 'v': ends::VARCHAR, 'd': ends, 's': 'LOW'}]) AS x FROM d)
+        SELECT k AS doc_id, x.a AS attribute_key, x.v AS value, x.d::VARCHAR AS value_date, CASE WHEN k % 3 > 0 THEN 0.99 ELSE 0.40 END::DOUBLE AS confidence, k % 3 > 0 AS checksum_ok, CASE WHEN k % 3 > 0 THEN 'checksum_verified' ELSE 'unverified' END AS verification_status, x.s AS sensitivity FROM f"""),
     "bbox_bind": (bbox_bind, """
         WITH l AS (SELECT o_orderkey AS id, o_orderkey::VARCHAR AS text, floor(o_orderkey / 50) AS page, o_orderkey % 5 * 20 AS x0, o_orderkey % 5 * 20 + 15 AS x1, floor(o_orderkey % 50 / 5) * 10 AS y0, floor(o_orderkey % 50 / 5) * 10 + 8 AS y1 FROM orders),
         c AS (SELECT a.id, a.text AS label, b.text AS value, b.id AS rid, CASE WHEN b.x0 >= a.x1 AND least(a.y1, b.y1) > greatest(a.y0, b.y0) THEN 0 ELSE 1 END AS side, CASE WHEN b.x0 >= a.x1 AND least(a.y1, b.y1) > greatest(a.y0, b.y0) THEN b.x0 - a.x1 ELSE b.y0 - a.y1 END AS gap
