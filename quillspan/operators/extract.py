@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quillspan.functions import ids
+from quillspan.functions import dates, ids
 from quillspan.functions.text import once
+from quillspan.operators.service import AMOUNT
 
 # The patterns that identifiers and machine-readable lines have in texts.
 SSN = r"(?<!\d)(\d{3}-\d{2}-\d{4})(?!\d)"
@@ -18,16 +19,28 @@ BUSINESS_NUMBER = r"\b(\d{9}\s?(?:RC|RM|RP|RT)\s?\d{4}|\d{9})\b"
 CURP = r"\b([A-Z]{4}\d{6}[HMX][A-Z]{5}[0-9A-Z]\d)\b"
 RFC = r"\b([A-ZÑ&]{3,4}\d{6}[0-9A-Z]{2,3})\b"
 ELECTORAL_KEY = r"\b([A-Z]{6}\d{8}[HM]\d{3})\b"
+ELECTORAL_ZONE = r"IDMEX(\d{9})\d{12,13}"
 ZONE_LINE, ZONE_FIRST = "^[A-Z0-9<]{44}$", "^P[A-Z<][A-Z<]{3}"
 
+# The labels behind which fields of Canadian forms stand in a line.
+EMPLOYER = ["employer's name", "employer name", "employer", "nom de l'employeur"]
+INCOME = ["employment income", "box 14", "total income", "net income", "taxable income", "revenu d'emploi", "revenu total"]
+ASSESSED = ["total income", "net income", "taxable income", "balance", "refund", "amount owing", "revenu total", "solde"]
+HOLDER = ["name", "surname", "given name", "last name", "first name", "nom", "prénom"]
+MAILING = ["mailing address", "address", "adresse"]
+
 
 def _found(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
 
-def _fact(key, value: Column, confidence, ok: Column, sensitivity: str) -> Column:
+def _fact(key, value: Column, confidence, ok: Column, sensitivity: str, number: Column | None = None) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(lit(key).alias("attribute_key"), value.alias("value"), lit(confidence).cast("double").alias("confidence"), ok.alias("checksum_ok"), F.lit(sensitivity).alias("sensitivity"))
+    number = F.lit(None).cast("double") if number is None else number
+    return F.struct(
+        lit(key).alias("attribute_key"), value.cast("string").alias("value"), lit(confidence).cast("double").alias("confidence"), ok.cast("boolean").alias("checksum_ok"),
+        F.lit(sensitivity).alias("sensitivity"), number.alias("value_num"),
+    )
 
 
 def us_ids(text: Column) -> Column:
@@ -38,27 +51,95 @@ def us_ids(text: Column) -> Column:
     return F.concat(F.transform(ein, lambda v: _fact("id.ein", v, 0.95, F.lit(True), "HIGH")), people)
 
 
-def canada_ids(text: Column) -> Column:
-    """SIN as ddd-ddd-ddd and business numbers, both by their check digits; others are dropped."""
+def sin_ids(text: Column) -> Column:
+    """SIN as ddd-ddd-ddd by their check digits; others are dropped."""
     digits = lambda v: F.regexp_replace(v, r"[ \-]", "")
     dashed = lambda v: F.concat_ws("-", F.substring(digits(v), 1, 3), F.substring(digits(v), 4, 3), F.substring(digits(v), 7, 3))
     sins = F.filter(_found(text, SIN), ids.sin_valid)
+    return F.array_distinct(F.transform(sins, lambda v: _fact("id.sin", dashed(v), 0.95, F.lit(True), "CRITICAL")))
+
+
+def business_ids(text: Column) -> Column:
+    """Business numbers by their check digits, without blanks; others are dropped."""
     bns = F.filter(_found(text, BUSINESS_NUMBER), ids.bn_valid)
-    return F.concat(
-        F.array_distinct(F.transform(sins, lambda v: _fact("id.sin", dashed(v), 0.95, F.lit(True), "CRITICAL"))),
-        F.transform(bns, lambda v: _fact("id.business_number", F.regexp_replace(v, r"\s", ""), 0.95, F.lit(True), "HIGH")),
-    )
+    return F.array_distinct(F.transform(bns, lambda v: _fact("id.business_number", F.regexp_replace(v, r"\s", ""), 0.95, F.lit(True), "HIGH")))
+
+
+def canada_ids(text: Column) -> Column:
+    return F.concat(sin_ids(text), business_ids(text))
+
+
+def behind_labels(text: Column, labels: list[str]) -> Column:
+    """What stands behind labels in the lines of a text, line by line and in the labels' order; empty rests are left out."""
+    wanted = F.array(*[F.lit(x) for x in labels])
+
+    def of_line(line: Column) -> Column:
+        def rest(low: Column, label: Column) -> Column:
+            at = F.call_function("locate", label, low)
+            behind = F.ltrim(F.substr(line, at + F.length(label), F.length(line)), F.lit(" \t:;.-="))
+            return F.when(at > 0, F.nullif(F.trim(behind, F.lit(" \t")), F.lit("")))
+
+        return once(F.lower(line), lambda low: F.transform(wanted, lambda label: rest(low, label)))
+
+    lines = F.split(text, r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]")
+    return F.filter(F.flatten(F.transform(lines, of_line)), lambda v: v.isNotNull())
+
+
+def _is_number(value: Column) -> Column:
+    """Whether a value is an amount alone, with or without its currency."""
+    bare = F.trim(F.regexp_replace(value, r"CAD|[$,]", ""))
+    return bare.rlike(r"(?i)^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|nan|inf|infinity)$")
+
+
+def _first_of(values: Column, key: str, confidence: float, sensitivity: str) -> Column:
+    """A fact of the first value, none if there is no value."""
+    return F.transform(F.slice(values, 1, 1), lambda v: _fact(key, v, confidence, F.lit(None), sensitivity))
+
+
+def _amount_facts(text: Column, labels: list[str]) -> Column:
+    """Different amounts behind labels, as numbers."""
+    found = F.transform(behind_labels(text, labels), lambda v: F.regexp_replace(F.regexp_extract(v, AMOUNT, 1), ",", "").try_cast("double"))
+    return F.transform(F.array_distinct(F.filter(found, lambda v: v.isNotNull())), lambda v: _fact("income.amount", F.lit(None), 0.6, F.lit(None), "MEDIUM", v))
+
+
+def t4_fields(text: Column) -> Column:
+    """Statement of remuneration: the first employer that is no amount, different amounts of income, valid SIN."""
+    employers = F.filter(behind_labels(text, EMPLOYER), lambda v: ~_is_number(v))
+    return F.concat(_first_of(employers, "income.employer", 0.5, "LOW"), _amount_facts(text, INCOME), sin_ids(text))
+
+
+def assessment_fields(text: Column) -> Column:
+    """Notice of assessment: different amounts, and the first address longer than three characters."""
+    addresses = F.filter(behind_labels(text, MAILING), lambda v: F.length(v) > 3)
+    return F.concat(_amount_facts(text, ASSESSED), _first_of(addresses, "address.mailing", 0.4, "MEDIUM"))
+
+
+def licence_fields(text: Column) -> Column:
+    """Canadian driver's licence: the first name that is not digits alone, and the first date of the text."""
+    names = F.filter(behind_labels(text, HOLDER), lambda v: ~v.rlike(r"^\d+$"))
+    born = F.filter(F.array(dates.first_date(text)), lambda d: d.isNotNull())
+    return F.concat(_first_of(names, "identity.full_name", 0.5, "MEDIUM"), _first_of(born, "identity.date_of_birth", 0.4, "MEDIUM"))
 
 
 def mexico_ids(text: Column) -> Column:
-    """CURP with its date of birth and sex, RFC graded by its check digit, and electoral keys, unverified."""
-    curps = F.filter(_found(text, CURP), ids.curp_valid)
+    """CURP with date of birth and sex, RFC graded by check digit, electoral keys and zones, unverified, in any case of letters.
+
+    A key whose sex is not that of the text's first CURP is less sure.
+    """
+    text = F.upper(F.regexp_replace(text, r"[ \t]+", " "))
     rfcs = F.filter(_found(text, RFC), ids.rfc_structure)
-    sex = lambda v: F.translate(F.substring(v, 11, 1), "HM", "MF")
-    of_curp = lambda v: F.array(_fact("id.curp", v, 0.97, F.lit(True), "CRITICAL"), _fact("identity.date_of_birth", ids.curp_birth(v).cast("string"), 0.95, F.lit(True), "HIGH"), _fact("identity.sex", sex(v), 0.95, F.lit(True), "LOW"))
+    sex = lambda code: F.translate(code, "HM", "MF")
+    of_curp = lambda v: F.array(_fact("id.curp", v, 0.97, F.lit(True), "CRITICAL"), _fact("identity.date_of_birth", ids.curp_birth(v), 0.95, F.lit(True), "HIGH"), _fact("identity.sex", sex(F.substring(v, 11, 1)), 0.95, F.lit(True), "LOW"))
     graded = F.transform(rfcs, lambda v: _fact("id.rfc", v, F.when(ids.rfc_check(v), 0.95).otherwise(0.6), ids.rfc_check(v), "CRITICAL"))
-    keys = F.transform(_found(text, ELECTORAL_KEY), lambda v: _fact("id.ine_clave_elector", v, 0.8, F.lit(None).cast("boolean"), "CRITICAL"))
-    return F.concat(F.flatten(F.transform(curps, of_curp)), graded, keys)
+    zones = F.transform(F.regexp_extract_all(text, F.lit(ELECTORAL_ZONE), F.lit(1)), lambda v: _fact("id.ine_clave_elector", F.concat(F.lit("IDMEX"), v), 0.75, F.lit(None), "CRITICAL"))
+
+    def all_of(curps: Column) -> Column:
+        holder = F.substring(F.get(curps, F.lit(0)), 11, 1)
+        surety = lambda v: F.when(holder != F.substring(v, 15, 1), 0.7).otherwise(0.8)
+        keys = F.transform(_found(text, ELECTORAL_KEY), lambda v: _fact("id.ine_clave_elector", v, surety(v), F.lit(None), "CRITICAL"))
+        return F.concat(F.flatten(F.transform(curps, of_curp)), graded, keys, zones)
+
+    return once(F.filter(_found(text, CURP), ids.curp_valid), all_of)
 
 
 def extract(docs: DataFrame, finder) -> DataFrame:
@@ -66,29 +147,36 @@ def extract(docs: DataFrame, finder) -> DataFrame:
     return docs.select("doc_id", F.explode(finder(F.col("text"))).alias("f")).select("doc_id", "f.*")
 
 
+def zone_of(text: Column) -> Column:
+    """The two lines (a, b) of a text's first machine-readable zone of a passport, null if there is none."""
+    lines = F.filter(F.transform(F.split(text, r"\n"), lambda x: F.upper(F.regexp_replace(x, r"\s", ""))), lambda x: x.rlike(ZONE_LINE))
+    pairs = once(lines, lambda all_: F.transform(all_, lambda x, i: F.struct(x.alias("a"), F.get(all_, i + 1).alias("b"))))
+    return F.get(F.filter(pairs, lambda p: p["a"].rlike(ZONE_FIRST) & p["b"].isNotNull()), F.lit(0))
+
+
+def _zone_fields(a: Column, b: Column) -> dict[str, Column]:
+    part = lambda start, n: F.substring(b, start, n)
+    same = lambda text, at: ids.mrz_check(text).cast("string") == part(at, 1)
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<", " "), " +", " "))
+    names, sex = F.substring(a, 6, 39), part(21, 1)
+    return {
+        "number": F.rtrim(part(1, 9), F.lit("<")), "surname": clean(F.split(names, "<<")[0]), "given_names": clean(F.get(F.split(names, "<<", 2), F.lit(1))), "nationality": F.rtrim(part(11, 3), F.lit("<")),
+        "birth": part(14, 6), "expiry": part(22, 6), "sex": F.when(sex.isin("M", "F"), sex),
+        "checks": same(part(1, 9), 10) & same(part(14, 6), 20) & same(part(22, 6), 28) & same(F.concat(part(1, 10), part(14, 7), part(22, 22)), 44),
+    }
+
+
 def passport_zone(docs: DataFrame) -> DataFrame:
     """Fields of the first two-line machine-readable zone of a passport in (doc_id, text).
 
     Confidence is .99 if number, birth, expiry and the whole line check, else .40.
     """
-    lines = F.filter(F.transform(F.split("text", r"\n"), lambda x: F.upper(F.regexp_replace(x, r"\s", ""))), lambda x: x.rlike(ZONE_LINE))
-    start = F.filter(F.sequence(F.lit(0), F.size("l") - 2), lambda i: F.get(F.col("l"), i).rlike(ZONE_FIRST))
-    zones = docs.select("doc_id", lines.alias("l")).where("size(l) >= 2").select("doc_id", "l", F.get(start, F.lit(0)).alias("at")).where("at is not null")
-    pair = zones.select("doc_id", F.get("l", F.col("at")).alias("a"), F.get("l", F.col("at") + 1).alias("b"))
-    part = lambda start, n: F.substring("b", start, n)
-    digit = lambda start: F.substring("b", start, 1)
-    same = lambda text, at: ids.mrz_check(text).cast("string") == digit(at)
-    whole = F.concat(part(1, 10), part(14, 7), part(22, 22))
-    ok = same(part(1, 9), 10) & same(part(14, 6), 20) & same(part(22, 6), 28) & same(whole, 44)
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<", " "), " +", " "))
-    names = F.substring("a", 6, 39)
-    return pair.select(
-        "doc_id", F.rtrim(part(1, 9), F.lit("<")).alias("number"), clean(F.split(names, "<<")[0]).alias("surname"), clean(F.get(F.split(names, "<<", 2), F.lit(1))).alias("given_names"),
-        F.rtrim(part(11, 3), F.lit("<")).alias("nationality"), part(14, 6).alias("birth"), part(22, 6).alias("expiry"), F.when(digit(21).isin("M", "F"), digit(21)).alias("sex"), ok.alias("checks"), F.when(ok, 0.99).otherwise(0.40).alias("confidence"),
-    )
+    zones = docs.select("doc_id", zone_of(F.col("text")).alias("z")).where("z is not null")
+    fields = _zone_fields(F.col("z.a"), F.col("z.b"))
+    return zones.select("doc_id", *[c.alias(name) for name, c in fields.items()]).withColumn("confidence", F.when(F.col("checks"), 0.99).otherwise(0.40))
 
 
-def zone_date(yymmdd: Column, birth: bool, year: int) -> Column:
+def zone_date(yymmdd: Column, birth: bool, year: int | Column) -> Column:
     """The date of six digits: births lie up to the end of ``year``'s century part, other dates up to 50 years ahead; null if there is none."""
     yy = F.substring(yymmdd, 1, 2).try_cast("int")
     century = F.when(yy > year % 100 + (0 if birth else 50), 1900).otherwise(2000)
@@ -96,25 +184,47 @@ def zone_date(yymmdd: Column, birth: bool, year: int) -> Column:
     return F.when(yymmdd.rlike("^[0-9]{6}$"), F.concat_ws("-", *parts).try_cast("date"))
 
 
-def passport_facts(docs: DataFrame, year: int) -> DataFrame:
+# The fields of a passport by attribute key: (key, field, sensitivity).
+_PASSPORT = [
+    ("identity.surname", "surname", "HIGH"), ("identity.given_names", "given_names", "HIGH"), ("id.passport_number", "number", "HIGH"), ("identity.nationality", "nationality", "MEDIUM"),
+    ("identity.date_of_birth", "birth", "HIGH"), ("identity.sex", "sex", "MEDIUM"), ("doc.expiry_date", "expiry", "LOW"),
+]
+
+
+def passport_facts(docs: DataFrame, year: int | Column) -> DataFrame:
     """(doc_id, attribute_key, value, value_date, confidence, checksum_ok, verification_status, sensitivity) of passports' zones.
 
     Dates are written as dates, or as they stand where there is no such date; ``year`` is the
     clock that decides their century. Fields that are empty have a null value.
     """
-    birth, expiry = zone_date(F.col("birth"), True, year), zone_date(F.col("expiry"), False, year)
-    dated = lambda at, raw: F.coalesce(at.cast("string"), F.col(raw))
-    fields = [
-        ("identity.surname", F.col("surname"), None, "HIGH"), ("identity.given_names", F.col("given_names"), None, "HIGH"), ("id.passport_number", F.col("number"), None, "HIGH"),
-        ("identity.nationality", F.col("nationality"), None, "MEDIUM"), ("identity.date_of_birth", dated(birth, "birth"), birth, "HIGH"), ("identity.sex", F.col("sex"), None, "MEDIUM"),
-        ("doc.expiry_date", dated(expiry, "expiry"), expiry, "LOW"),
-    ]
-    facts = F.array(*[F.struct(F.lit(k).alias("attribute_key"), F.nullif(v, F.lit("")).alias("value"), (F.lit(None).cast("date") if at is None else at).alias("value_date"), F.lit(s).alias("sensitivity")) for k, v, at, s in fields])
+    at = {"birth": zone_date(F.col("birth"), True, year), "expiry": zone_date(F.col("expiry"), False, year)}
+    value = lambda f: F.coalesce(at[f].cast("string"), F.col(f)) if f in at else F.col(f)
+    facts = F.array(*[F.struct(F.lit(k).alias("attribute_key"), F.nullif(value(f), F.lit("")).alias("value"), (at[f] if f in at else F.lit(None).cast("date")).alias("value_date"), F.lit(s).alias("sensitivity")) for k, f, s in _PASSPORT])
     each = passport_zone(docs).select("doc_id", "confidence", "checks", F.explode(facts).alias("f"))
     status = F.when(F.col("checks"), "checksum_verified").otherwise("unverified")
     return each.select("doc_id", "f.attribute_key", "f.value", "f.value_date", "confidence", F.col("checks").alias("checksum_ok"), status.alias("verification_status"), "f.sensitivity")
 
 
+def passport_fields(text: Column, year: int | Column) -> Column:
+    """The same facts as one column, which a dispatch by class can choose; dates are their values."""
+
+    def facts(z: Column) -> Column:
+        fields = _zone_fields(z["a"], z["b"])
+
+        def of(checks: Column) -> Column:
+            def fact(key: str, name: str, level: str) -> Column:
+                value = fields[name]
+                if name in ("birth", "expiry"):
+                    value = F.coalesce(zone_date(value, name == "birth", year).cast("string"), value)
+                return _fact(key, F.nullif(value, F.lit("")), F.when(checks, 0.99).otherwise(0.40), checks, level)
+
+            return F.array(*[fact(*row) for row in _PASSPORT])
+
+        return F.when(z.isNotNull(), once(fields["checks"], of))
+
+    return once(zone_of(text), facts)
+
+
 def bind_values(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, value): for each label line the nearest line to its right, else the nearest below, on one page.
 
@@ -172,15 +282,26 @@ def attributes(replies: DataFrame) -> DataFrame:
 #: Which finder reads which classes; classes that none reads yield nothing.
 FINDERS = [
     (us_ids, ["US_SSN_CARD", "US_EIN_LETTER", "US_W2", "US_1099", "US_DRIVER_LICENSE"]),
-    (canada_ids, ["CA_SIN", "CA_BUSINESS_NUMBER"]),
+    (sin_ids, ["CA_SIN"]),
+    (business_ids, ["CA_BUSINESS_NUMBER"]),
+    (t4_fields, ["CA_T4"]),
+    (assessment_fields, ["CA_NOA"]),
+    (licence_fields, ["CA_DRIVER_LICENSE"]),
     (mexico_ids, ["MX_INE", "MX_CURP", "MX_RFC_CSF"]),
 ]
 
 
-def extract_by_type(docs: DataFrame, finders: list | None = None) -> DataFrame:
-    """Facts of (doc_id, doc_type, text) by the finder of each document's class, in one narrow pass."""
+def extract_by_type(docs: DataFrame, finders: list | None = None, year: int | Column | None = None) -> DataFrame:
+    """Facts of (doc_id, doc_type, text) by the finder of each document's class, in one narrow pass.
+
+    Without ``finders`` those of ``FINDERS`` and that of passports, for whose centuries ``year``
+    is the clock, by default this year. Null texts and classes yield nothing.
+    """
+    if finders is None:
+        clock = F.year(F.current_date()) if year is None else year
+        finders = [*FINDERS, (lambda text: passport_fields(text, clock), ["PASSPORT"])]
     found = None
-    for finder, classes in FINDERS if finders is None else finders:
+    for finder, classes in finders:
         hit = F.col("doc_type").isin(classes)
         found = F.when(hit, finder(F.col("text"))) if found is None else found.when(hit, finder(F.col("text")))
     return docs.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")

@@ -51,8 +51,8 @@ def ids_mrz(spark: SparkSession, sf: str) -> DataFrame:
     return extract.passport_zone(docs)
 
 
-def passport_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts of a passport of each customer, every third with a wrong check digit, every fifth without such a birth date."""
+def passport_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """A passport of each customer, every third with a wrong check digit, every fifth without such a birth date."""
     k, pad = F.col("c_custkey"), lambda c, n: F.lpad(c.cast("string"), n, "0")
     check = lambda c: ids.mrz_check(c).cast("string")
     number = F.rpad(F.concat(F.lit("K"), pad(k, 7)), 9, "<")
@@ -65,8 +65,12 @@ def passport_facts(spark: SparkSession, sf: str) -> DataFrame:
     last = F.when(k % 3 == 0, F.translate(whole, "0123456789", "1234567890")).otherwise(whole)
     names = F.rpad(F.concat(F.lit("P<UTOOF"), F.translate("c_mktsegment", " ", "<"), F.lit("<<ANNA<"), F.chr(F.pmod(k, F.lit(26)) + 65)), 44, "<")
     text = F.concat(F.lit("PASSPORT\n"), names, F.lit("\n"), first, sex, second, last, F.lit("\nend"))
-    # Written, as the texts' check digits would else be computed again for each field that is read from them.
-    return extract.passport_facts(kept(table(spark, sf, "customer").select(k.alias("doc_id"), text.alias("text"))), 2024).withColumn("value_date", F.col("value_date").cast("string"))
+    return table(spark, sf, "customer").select(k.alias("doc_id"), text.alias("text"))
+
+
+def passport_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of the passports; texts are written, as their check digits would else be computed again for each field that is read."""
+    return extract.passport_facts(kept(passport_texts(spark, sf)), 2024).withColumn("value_date", F.col("value_date").cast("string"))
 
 
 def bbox_bind(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +122,7 @@ PLANS = {
         WITH t(at_, k, v, c, ok) AS (VALUES
             (0, 'id.curp', 'BOXW310820HNERMN07', 0.97, TRUE), (0, 'identity.date_of_birth', '1931-08-20', 0.95, TRUE), (0, 'identity.sex', 'M', 0.95, TRUE), (0, 'id.rfc', 'VACE860307JN1', 0.95, TRUE),
             (1, 'id.curp', 'BOXW310820XNERMN01', 0.97, TRUE), (1, 'identity.date_of_birth', '1931-08-20', 0.95, TRUE), (1, 'identity.sex', 'X', 0.95, TRUE), (1, 'id.rfc', 'VACE860307JNA', 0.6, FALSE),
-            (2, 'id.curp', 'SABC560626MDFLRN01', 0.97, TRUE), (2, 'identity.date_of_birth', '1956-06-26', 0.95, TRUE), (2, 'identity.sex', 'F', 0.95, TRUE), (2, 'id.ine_clave_elector', 'GMRRJL85031509H123', 0.8, NULL),
+            (2, 'id.curp', 'SABC560626MDFLRN01', 0.97, TRUE), (2, 'identity.date_of_birth', '1956-06-26', 0.95, TRUE), (2, 'identity.sex', 'F', 0.95, TRUE), (2, 'id.ine_clave_elector', 'GMRRJL85031509H123', 0.7, NULL),
             (3, 'id.rfc', 'GODE561231GR8', 0.95, TRUE))
         SELECT c_custkey AS doc_id, k AS attribute_key, v AS value, c AS confidence, ok AS checksum_ok FROM customer JOIN t ON c_custkey % 4 = at_"""),
     "ids_mrz": (ids_mrz, """
