@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan import ontology
@@ -122,3 +122,31 @@ def verdict_history(events: DataFrame, client_id, attribute_key: str | None = No
     for column, value in (("client_id", client_id), ("attribute_key", attribute_key), ("instance_key", instance_key)):
         events = events if value is None else events.where(F.col(column) == value)
     return events.orderBy(F.desc("created_at"), F.desc("event_id"))
+
+
+def listed(merged: DataFrame, client_id, attribute_key: str | None = None) -> DataFrame:
+    """A client's merged facts, or one attribute's, by key and instance."""
+    mine = merged.where(F.col("client_id") == client_id)
+    return (mine if attribute_key is None else mine.where(F.col("attribute_key") == attribute_key)).orderBy("attribute_key", "instance_key")
+
+
+def record_verdicts(live: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The live verdicts after a batch of requests, and the events that the batch adds to the history.
+
+    live: client_id, attribute_key, instance_key, verdict, override_text, created_at, updated_at,
+    one row for each key. requests: the same keys, no (their order), verdict, override_text, at.
+    The last verdict of a key is live; created_at is that of the first since the key had none.
+    The verdict ``cleared`` takes a live one back; where none is live it changes nothing and is
+    no event. One shuffle by key, whose rows are the verdicts that people gave on one value.
+    """
+    old = live.select(*KEYS, F.lit(False).alias("_new"), F.lit(None).cast(requests.schema["no"].dataType).alias("no"), "verdict", "override_text", F.col("created_at").alias("_since"), F.col("updated_at").alias("at"))
+    both = old.unionByName(requests.select(*KEYS, F.lit(True).alias("_new"), "no", "verdict", "override_text", F.col("at").alias("_since"), "at"))
+    order = F.struct("_new", "no")
+    told = both.withColumn("_before", F.lag("verdict").over(Window.partitionBy(*KEYS).orderBy(order)))
+    idle = F.coalesce(F.col("_before") == "cleared", F.lit(True))
+    events = told.where(F.col("_new") & ~((F.col("verdict") == "cleared") & idle)).select(*KEYS, "no", "verdict", "override_text", "at")
+    last = told.groupBy(*KEYS).agg(
+        F.max_by(F.struct("verdict", "override_text", F.col("at").alias("updated_at")), order).alias("v"),
+        F.max_by("_since", F.when(idle & (F.col("verdict") != "cleared"), order)).alias("created_at"),
+    )
+    return last.where("v.verdict <> 'cleared'").select(*KEYS, "v.verdict", "v.override_text", "created_at", "v.updated_at"), events

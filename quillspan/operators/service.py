@@ -135,6 +135,11 @@ def answerable_questions(representations: DataFrame) -> DataFrame:
     return representations.where("rep_type = 'hypothetical_q'").select("path", F.col("rep_text").alias("question"))
 
 
+#: The tables that go with a document, and those that go with a tenant; audit logs and histories of verdicts stay.
+DOCUMENT_TABLES = ["representations", "nodes", "traces", "versions", "documents"]
+TENANT_TABLES = [*DOCUMENT_TABLES, "merged_facts", "verdicts", "entities", "jobs", "blobs"]
+
+
 def remove(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """What is left of each table without the rows of the given keys, and (table_name, removed, kept).
 
@@ -148,3 +153,23 @@ def remove(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> tuple[dic
     for c in counts[1:]:
         total = total.unionByName(c)
     return {name: df.join(keys, key, "left_anti") for name, df in tables.items()}, total
+
+
+def purge(tables: dict[str, DataFrame], clients: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables, those of ``TENANT_TABLES`` without the rows of the named clients, and how many rows went and stay."""
+    left, counts = remove({name: tables[name] for name in TENANT_TABLES}, clients, "client_id")
+    return tables | left, counts
+
+
+def delete_documents(tables: dict[str, DataFrame], gone: DataFrame, multi: list[str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables after documents (doc_id) are deleted with all that was made of them, and how many rows went and stay.
+
+    Facts among the nodes that are left are merged anew for the clients that lost a document,
+    with their live verdicts laid over; other clients' merged facts stay as they are.
+    """
+    from quillspan.operators import merge
+
+    left, counts = remove({name: tables[name] for name in DOCUMENT_TABLES}, gone, "doc_id")
+    clients = tables["documents"].join(gone.select("doc_id"), "doc_id", "left_semi").select("client_id").distinct()
+    facts = left["nodes"].where("node_type = 'fact' and attribute_key is not null")
+    return tables | left | {"merged_facts": merge.remerge(tables["merged_facts"], facts, clients, tables["verdicts"], multi)}, counts

@@ -86,3 +86,17 @@ def containing(facts: DataFrame, letters: str) -> DataFrame:
     wanted = letters.strip().lower()
     holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(wanted)), F.lit(False))
     return facts.where(holds("attribute_key") | holds("resolved_value")) if wanted else facts
+
+
+#: What a node's provenance says beside its keys.
+TRACED = ["doc_id", "version_id", "node_type", "attribute_key", "verification_status", "confidence", "provenance"]
+
+
+def provenance(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (node_id, client_id and more) with where each node comes from.
+
+    ``problem`` is 'not found' for a node that is not there or is another tenant's.
+    """
+    known = nodes.select(F.col("id").alias("node_id"), "client_id", *TRACED, F.lit(True).alias("_known"))
+    found = asked.join(known, ["node_id", "client_id"], "left")
+    return found.withColumn("problem", F.when(F.col("_known").isNull(), "not found")).drop("_known")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan import ontology
@@ -128,6 +128,39 @@ def build(docs: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     return out.withColumn("depth", path_depth(F.col("path")))
 
 
+def build_pages(docs: DataFrame, lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """The whole tree of each document: (doc_id, path, node_type, seq, depth, title, content, attribute_key, value_text, sensitivity).
+
+    docs: doc_id, client_id, doc_type, sensitivity, text. A root; a section for each page of its
+    lines (doc_id, page, line_no, text) that has text, or one for the body of a document
+    without lines; their chunks; and behind them a section of its facts (doc_id, fact_no,
+    attribute_key, value_text, sensitivity), if it has any. Facts keep their own sensitivity, the
+    section above them is LOW, all other nodes have the document's. Null and blank texts are no sections.
+    """
+    base = base_path(F.col("client_id"), F.col("doc_type"), F.lit(1))
+    made = docs.select("doc_id", F.concat_ws(".", base, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("base"), "doc_type", "sensitivity", F.trim("text", F.lit(" \t\r\n")).alias("body"))
+    none = F.lit(None).cast("string")
+
+    def node(rows: DataFrame, path: Column, kind: str, seq: Column, title=none, content=none, key=none, value=none, level=F.col("sensitivity")) -> DataFrame:
+        return rows.select("doc_id", path.alias("path"), F.lit(kind).alias("node_type"), seq.cast("long").alias("seq"), path_depth(path).alias("depth"), title.alias("title"), content.alias("content"), key.alias("attribute_key"), value.alias("value_text"), level.alias("sensitivity"))
+
+    by = Window.partitionBy("doc_id")
+    paged = sections(lines).where("body <> ''").withColumn("at", F.row_number().over(by.orderBy("page")) - 1).withColumn("title", F.concat(F.lit("page "), F.col("page").cast("string")))
+    alone = made.join(lines.select("doc_id").distinct(), "doc_id", "left_anti").where("body <> ''").select("doc_id", F.lit("body").alias("title"), F.lit(0).alias("at"), "body")
+    # Written, as sections are read for themselves, their chunks and their number.
+    bodies = kept(paged.select("doc_id", "title", "at", "body").unionByName(alone))
+    placed = bodies.join(made.drop("body"), "doc_id").withColumn("own", F.concat("base", F.lit(".s"), F.col("at").cast("string")))
+    parts = placed.select("doc_id", "own", "sensitivity", F.posexplode(chunks(F.col("body"))).alias("k", "chunk"))
+    told = facts.join(bodies.groupBy("doc_id").agg(F.count("*").alias("at")), "doc_id", "left").join(made.select("doc_id", "base"), "doc_id")
+    told = told.withColumn("own", F.concat("base", F.lit(".s"), F.coalesce("at", F.lit(0)).cast("string"))).withColumn("k", F.row_number().over(by.orderBy("fact_no")) - 1)
+    below = lambda letter: F.concat("own", F.lit("." + letter), F.col("k").cast("string"))
+    out = node(made, F.col("base"), "document", F.lit(0), F.col("doc_type"))
+    out = out.unionByName(node(placed, F.col("own"), "section", F.col("at"), F.col("title"), F.col("body")))
+    out = out.unionByName(node(parts, below("c"), "chunk", F.col("k"), content=F.col("chunk")))
+    out = out.unionByName(node(told.where("k = 0"), F.col("own"), "section", F.coalesce("at", F.lit(0)), F.lit("facts"), level=F.lit("LOW")))
+    return out.unionByName(node(told, below("f"), "fact", F.col("k"), F.col("attribute_key"), key=F.col("attribute_key"), value=F.col("value_text")))
+
+
 def representations(nodes: DataFrame) -> DataFrame:
     """(path, rep_type, rep_text) for content nodes with text, by the deterministic stub of the model."""
     content = nodes.where(F.col("content").isNotNull() & (F.trim("content") != ""))

@@ -67,6 +67,11 @@ def renumber(versions: DataFrame) -> DataFrame:
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, change) between two sets of (path, hash): added, removed or modified."""
+    """(path, change) between two sets of (path, hash): added, removed or modified.
+
+    Of rows with one path the last counts, in the order of ``seq`` if a set has that column.
+    """
+    last = lambda rows: rows.groupBy("path").agg(F.max_by("hash", "seq").alias("hash")) if "seq" in rows.columns else rows
+    old, new = last(old), last(new)
     both = old.select("path", F.col("hash").alias("o")).join(new.select("path", F.col("hash").alias("n")), "path", "full_outer")
     return both.select("path", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o") != F.col("n"), "modified").alias("change")).where("change is not null")

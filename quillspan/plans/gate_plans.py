@@ -88,15 +88,15 @@ def pii_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sensitivity_score(spark: SparkSession, sf: str) -> DataFrame:
-    """The bucket of every combination of four findings."""
+    """The bucket of each event, whose number chooses among four findings."""
     kinds = ["PERSON", "DATE_OF_BIRTH", "ADDRESS", "US_SSN"]
-    rows = spark.range(16).withColumn("kinds", F.array_compact(F.array(*[F.when(F.expr(f"(id & {1 << i}) <> 0"), F.lit(k)) for i, k in enumerate(kinds)])))
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id")).withColumn("kinds", F.array_compact(F.array(*[F.when(F.expr(f"(id & {1 << i}) <> 0"), F.lit(k)) for i, k in enumerate(kinds)])))
     return rows.select("id", gate.score_sensitivity(F.col("kinds")).alias("bucket"))
 
 
 def route_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The decision for every bucket, certainty and switch."""
-    rows = spark.range(64).select("id", F.element_at(F.array(*[F.lit(x) for x in ontology.SENSITIVITY]), (F.col("id") % 4 + 1).cast("int")).alias("sensitivity"), F.expr("(id & 4) <> 0").alias("gate_open"), F.expr("(id & 8) <> 0").alias("redacting"), F.when(F.expr("(id & 16) <> 0"), "PASSPORT").otherwise(" Unknown ").alias("doc_type"), F.when(F.expr("(id & 32) <> 0"), 0.55).otherwise(0.54).alias("confidence"))
+    """The decision for each event, whose number chooses bucket, certainty and switches."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id")).select("id", F.element_at(F.array(*[F.lit(x) for x in ontology.SENSITIVITY]), (F.col("id") % 4 + 1).cast("int")).alias("sensitivity"), F.expr("(id & 4) <> 0").alias("gate_open"), F.expr("(id & 8) <> 0").alias("redacting"), F.when(F.expr("(id & 16) <> 0"), "PASSPORT").otherwise(" Unknown ").alias("doc_type"), F.when(F.expr("(id & 32) <> 0"), 0.55).otherwise(0.54).alias("confidence"))
     return rows.select("id", gate.route(F.col("doc_type"), F.col("confidence"), F.col("sensitivity"), F.col("gate_open"), F.col("redacting")).alias("decision"))
 
 
@@ -107,8 +107,8 @@ PLANS = {
     "anchor_scores": (anchor_scores, f"WITH docs AS ({kyc_sql()}), {_language_sql('docs')}, {_anchors_sql()} SELECT doc_id, code AS doc_type, rnk, confidence, n_signals FROM classes"),
     "pii_counts": (pii_counts, None),
     "pii_spans": (pii_spans, None),
-    "sensitivity_score": (sensitivity_score, "SELECT range AS id, CASE WHEN range & 8 <> 0 THEN 'CRITICAL' WHEN range & 7 = 7 THEN 'HIGH' WHEN range & 1 <> 0 AND range & 6 <> 0 THEN 'MEDIUM' WHEN range & 4 <> 0 THEN 'MEDIUM' ELSE 'LOW' END AS bucket FROM range(16)"),
+    "sensitivity_score": (sensitivity_score, "SELECT event_id AS id, CASE WHEN event_id & 8 <> 0 THEN 'CRITICAL' WHEN event_id & 7 = 7 THEN 'HIGH' WHEN event_id & 1 <> 0 AND event_id & 6 <> 0 THEN 'MEDIUM' WHEN event_id & 4 <> 0 THEN 'MEDIUM' ELSE 'LOW' END AS bucket FROM events"),
     "route_table": (route_table, """
-        WITH r AS (SELECT range AS id, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][range % 4 + 1] AS s, range & 4 <> 0 AS o, range & 8 <> 0 AS red, (range & 16 = 0 OR range & 32 = 0) AS unsure FROM range(64))
+        WITH r AS (SELECT event_id AS id, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][event_id % 4 + 1] AS s, event_id & 4 <> 0 AS o, event_id & 8 <> 0 AS red, (event_id & 16 = 0 OR event_id & 32 = 0) AS unsure FROM events)
         SELECT id, CASE WHEN unsure AND s <> 'LOW' THEN 'DETERMINISTIC_ONLY' WHEN s <> 'LOW' AND red THEN 'REDACT_THEN_SEND' WHEN s <> 'LOW' THEN 'DETERMINISTIC_ONLY' WHEN NOT unsure AND o THEN 'SEND_TO_LLM' ELSE 'DETERMINISTIC_ONLY' END AS decision FROM r"""),
 }

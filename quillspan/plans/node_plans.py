@@ -115,10 +115,11 @@ def range_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents found by their texts and by two representations each; every document with an id of hundreds asks."""
+    """Documents found by their texts and by two representations each, the halves of the text; every document with an id of hundreds asks."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring_index("text", " ", 3).alias("query_text"))
-    parts = F.explode(F.array(*[F.struct((F.col("doc_id") * 2 + i).alias("id"), F.substring("text", 1 + 200 * i, 200).alias("text")) for i in (0, 1)]))
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.explode(F.array(*[F.struct((F.col("doc_id") * 2 + i).alias("id"), (F.substr("text", F.lit(1), half) if i == 0 else F.substr("text", half + 1)).alias("text")) for i in (0, 1)]))
     reps = docs.select(F.col("doc_id").alias("node_id"), parts.alias("r")).select("node_id", "r.*")
     pool = nodes.pool_of(10)
     whole = search.lexical(docs.withColumnRenamed("doc_id", "id"), asked, pool)
@@ -136,7 +137,7 @@ def search_reranked(spark: SparkSession, sf: str) -> DataFrame:
 _FUSED_SQL = r"""
     q AS (SELECT doc_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS word FROM documents WHERE doc_id % 100 = 0),
     need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
-    held AS (SELECT 'whole' AS leg, doc_id AS id, doc_id AS node_id, text FROM documents UNION ALL SELECT 'rep', doc_id * 2 + i, doc_id, substr(text, (1 + 200 * i)::INT, 200) FROM documents, (VALUES (0), (1)) v(i)),
+    held AS (SELECT 'whole' AS leg, doc_id AS id, doc_id AS node_id, text FROM documents UNION ALL SELECT 'rep', doc_id * 2 + i, doc_id, CASE WHEN i = 0 THEN left(text, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END FROM documents, (VALUES (0), (1)) v(i)),
     bags AS (SELECT leg, id, node_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM held),
     counted AS (SELECT leg, id, node_id, n, word, count(*) AS tf FROM (SELECT leg, id, node_id, len(w) AS n, unnest(w) AS word FROM bags) GROUP BY ALL),
     scored AS (SELECT leg, query_id, id, node_id, count(*) AS have, round(sum(tf / (1 + ln(n))), 6) AS score FROM counted JOIN q USING (word) GROUP BY leg, query_id, id, node_id),

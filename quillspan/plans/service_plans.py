@@ -141,7 +141,7 @@ def anchored_values(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("turn")
     head = F.get(F.array(*[F.lit(x) for x in ("Full Name: ", "Date of Birth ", "", "of Birth Date ", "Adress - ")]), F.pmod(F.col("conv_id") + t, F.lit(5)).cast("int"))
     box = lambda v: F.when(F.col("conv_id") % 3 > 0, v.cast("double"))
-    lines = c.select(F.col("conv_id").alias("doc_id"), t.alias("line_no"), F.concat(head, F.substring("text", 1, 12)).alias("text"), F.floor(t / 6).alias("page"), box(t % 2 * 50).alias("x0"), box(F.floor(t / 2) * 10).alias("y0"), box(t % 2 * 50 + 40).alias("x1"), box(F.floor(t / 2) * 10 + 8).alias("y1"))
+    lines = c.select(F.col("conv_id").alias("doc_id"), t.alias("line_no"), F.concat(head, "text").alias("text"), F.floor(t / 6).alias("page"), box(t % 2 * 50).alias("x0"), box(F.floor(t / 2) * 10).alias("y0"), box(t % 2 * 50 + 40).alias("x1"), box(F.floor(t / 2) * 10 + 8).alias("y1"))
     return extract.anchor_extract(lines, ["Full Name", "Date of Birth", "Address"], 60)
 
 
