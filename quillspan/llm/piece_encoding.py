@@ -246,9 +246,17 @@ def _split() -> F.Column:
     return F.xxhash64(F.input_file_name(), F.expr("input_file_block_start()"))
 
 
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether rows come straight from one scan of files, so that each knows its split: nothing but columns and filters above it."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and bool(docs.inputFiles())
+
+
 def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
     spark: SparkSession = docs.sparkSession
-    if not docs.inputFiles():
+    if not _plain_scan(docs):
         docs = written(docs, "piece-docs")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), _split().alias("g"))
     folders = partitions(spark)
@@ -353,8 +361,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of every (doc_id, text) row, as the library encodes the text; null and empty texts have no ids.
 
     The documents themselves are not shuffled: their words are, once for each input split that
-    has them, and each split reads back the paths of its own words. Documents that don't come
-    from files are written down first. Repeated rows keep their rows; an empty table gives none.
+    has them, and each split reads back the paths of its own words. Documents that aren't a plain
+    scan of files, but joined, shuffled or made, are written down first. Repeated rows keep their rows; an empty table gives none.
     """
     return _encoded(docs, path, lambda k, ids, _: (k, ids.astype(np.int32)), "doc_id long, ids array<int>")
 

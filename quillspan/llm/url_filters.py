@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import ascii_lower
+from quillspan.llm.common import ascii_lower, written
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -15,6 +15,10 @@ Rule = tuple[str, str, str]
 #: Hex digits of a digest that the equi-join compares: 32 bits.
 PREFIX_DIGITS = 8
 
+#: Rows of a url from which on they are dealt over SALTS tasks; fewer are at home in one.
+HOT_ROWS = 1 << 16
+SALTS = 64
+
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; null or no ``://``: empty."""
@@ -55,7 +59,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
     A rule fits its host and all subdomains if the url's path starts with the rule's path; the
     rule with the longest string wins. Where none fits, rule is null and the verdict ``default``.
 
-    Distinct urls are expanded, so a url that holds a third of all rows is expanded once. The
+    Distinct urls are expanded, so a url that holds a third of all rows is expanded once. Its
+    rows are dealt over salts by the partition they come in before they meet its verdict; urls
+    so frequent are at most one for each HOT_ROWS rows. The
     expressions meet the rules on the first 32 bits of their SHA-256 digests; equal full digests
     then confirm. The rule side is small in any real list and its size is known to the optimizer,
     which broadcasts it below the threshold and shuffles both sides beyond it.
@@ -69,12 +75,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
         return pages.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = max(host.count(".") + 1 for _, host, _ in rules)
     lengths = sorted({len(path) for _, _, path in rules})
-    urls = pages.select(F.col(url).alias("_url")).where(F.col("_url").isNotNull()).distinct()
+    urls = written(pages.select(F.col(url).alias("_url")).where(F.col("_url").isNotNull()).groupBy("_url").agg(F.count("*").alias("_n")), "urls")
     wanted = urls.select("_url", F.explode(expressions(host_of(F.col("_url")), path_of(F.col("_url")), labels, lengths)).alias("expression"))
     hashed = wanted.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     fits = hashed.join(rule_table(spark, rules), "prefix").where(F.col("digest") == F.col("rule_digest"))
     best = fits.groupBy("_url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.col("rule"))).alias("_best"))
-    return (
-        pages.join(best, pages[url] == best["_url"], "left")
-        .select(*[pages[c] for c in own], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
-    )
+    hot = written(urls.where(F.col("_n") > HOT_ROWS).select("_url"), "hot-urls")
+    found = best.select("_url", F.lit(0).alias("_salt"), "_best").unionByName(
+        best.join(hot, "_url", "left_semi").select("_url", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1))).alias("_salt"), "_best")
+    )
+    rows = pages.select(F.struct(*own).alias("_row"), F.col(url).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_part"))
+    dealt = rows.join(hot.withColumnRenamed("_url", "_hot"), F.col("_key") == F.col("_hot"), "left").withColumn("_dealt", F.when(F.col("_hot").isNotNull() | F.col("_key").isNull(), F.col("_part")).otherwise(0))
+    judged = dealt.join(found, (F.col("_key") == F.col("_url")) & (F.col("_dealt") == F.col("_salt")), "left")
+    return judged.select("_row.*", host_of(F.col("_key")).alias("host"), path_of(F.col("_key")).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))

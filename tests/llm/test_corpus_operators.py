@@ -45,10 +45,14 @@ def test_components_of_a_path_and_a_star(spark):
 # --- 1
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("hot", [0, 2, 1 << 16])
+def test_url_rules(spark, monkeypatch, hot):
+    """Whatever number of rows makes a url hot: repeated urls and nulls keep their rows and verdicts."""
+    monkeypatch.setattr(url_filters, "HOT_ROWS", hot)
     urls = [None, "", "no scheme", "http://COM/a", "https://www.Example.com/en/x?q#f", "http://example.com/en/", "http://a.example.com/en", "http://x.net/es/1", "x://net/fr/", "http://.com/", "http://a.com", "http://b.org/en/", "http://notexample.com/en/z", "http://a.com/?x://b.net/es/"]
-    rows = [(i, u, "old", "old") for i, u in enumerate(urls)] + [(3, urls[3], "old", "old")]
-    got = url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string, verdict string, rule string"), queries.URL_RULES).collect()
+    rows = [(i, u, "old", "old") for i, u in enumerate(urls)] + [(n, urls[n], "old", "old") for n in [3] * 40 + [0] * 20]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string, rule string").repartition(5)
+    got = url_filters.judge_urls(pages, queries.URL_RULES).collect()
     assert len(got) == len(rows)
 
     def brute(url):
@@ -251,6 +255,22 @@ def test_pieces_as_the_library_has_them(documents, nothing):
     assert piece_encoding.encode_documents(nothing, piece_encoding.model_path()).count() == 0
 
 
+def test_pieces_of_joined_and_shuffled_files(spark, texts, tmp_path):
+    """Rows whose split can't be told are written down: files that are joined, shuffled, united or limited."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_encoding.model_path())
+    rows = [(i, t) for i, t in texts.items() if i < 20 or i > 57]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(i,) for i, _ in rows], "doc_id long").write.parquet(f"{tmp_path}/ids")
+    docs, ids = spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/ids")
+    want = {i: library.encode(t or "") for i, t in rows}
+    assert piece_encoding._plain_scan(docs.where("doc_id >= 0").select("doc_id", "text"))
+    for made in (docs.join(ids, "doc_id"), docs.repartition(3), docs.where("doc_id < 9").union(docs.where("doc_id >= 9"))):
+        assert not piece_encoding._plain_scan(made)
+        assert {r.doc_id: r.ids for r in piece_encoding.encode_documents(made, piece_encoding.model_path()).collect()} == want
+
+
 def test_long_words_go_through_the_lattice(spark):
     import sentencepiece
 
@@ -520,6 +540,33 @@ def test_disguised_words_are_restored():
         assert word in toxicity.Restorer(model).words(f"You {token} there"), token
 
 
+def test_restored_letters_are_the_best_of_all_paths():
+    """Viterbi against every path of the lattice, scored one by one."""
+    rng = random.Random(3)
+    plain = "idiot moron stupid loser scum the and of thing".split()
+    counts = toxicity.trigram_counts(" ".join(rng.choice(plain) for _ in range(50)) for _ in range(100)).reshape((toxicity.SYMBOLS,) * 3) + 0.5
+    model = np.log(counts / counts.sum(axis=2, keepdims=True))
+
+    def paths(edges, at, spelled, score):
+        if at == len(edges):
+            yield spelled, score
+        else:
+            for symbol, cost, used in edges[at]:
+                if at + used <= len(edges):
+                    yield from paths(edges, at + used, [*spelled, symbol], score + cost)
+
+    for _ in range(150):
+        token = "".join(rng.choice("aeilost013457$@!l") * rng.choice([1, 1, 1, 2, 3, 4]) for _ in range(rng.randint(1, 4)))
+        scores = {}
+        for spelled, cost in paths(toxicity.lattice(token), 0, [], 0.0):
+            known = [toxicity.BOUNDARY, toxicity.BOUNDARY, *spelled, toxicity.BOUNDARY]
+            total = cost + sum(float(model[a][b][c]) for a, b, c in zip(known, known[1:], known[2:]))
+            word = "".join(chr(97 + s) for s in spelled)
+            scores[word] = max(total, scores.get(word, -math.inf))
+        (found,) = toxicity.restore(token, model)
+        assert scores[found] >= max(scores.values()) - 1e-9, token
+
+
 def test_disguised_words_of_any_length_are_restored():
     rng = random.Random(1)
     plain = "idiot idiots moron stupid worthless asshole shit ass loser a an the and of thing with".split()
