@@ -120,9 +120,11 @@ def next_page(rows: DataFrame, at: str, key: str, limit: int, after: str | None
         when, last = read_cursor(after)
         kinds = rows.schema[at].dataType, rows.schema[key].dataType
         rows = rows.where(F.struct(at, key) < F.struct(F.lit(when).cast(kinds[0]), F.lit(last).cast(kinds[1])))
-    page = rows.orderBy(F.desc(at), F.desc(key)).limit(limit)
-    ends = rows.orderBy(F.desc(at), F.desc(key)).limit(limit + 1).select(cursor(F.col(at), F.col(key)).alias("c")).collect()
-    return page, ends[limit - 1].c if len(ends) > limit else None
+    # One sort for both; what comes to the driver is a page and one row.
+    found = rows.orderBy(F.desc(at), F.desc(key)).limit(limit + 1).withColumn("_cursor", cursor(F.col(at), F.col(key)))
+    ends = found.collect()
+    page = rows.sparkSession.createDataFrame(ends[:limit], found.schema).drop("_cursor")
+    return page, ends[limit - 1]["_cursor"] if len(ends) > limit else None
 
 
 def document_list(documents: DataFrame, client_id: str, limit: int = 50, after: str | None = None) -> tuple[DataFrame, str | None]:
