@@ -206,12 +206,11 @@ def _by_text(places: DataFrame, numbers: Column) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets (doc, line_no, n, s) are similar enough, were all elements that share a token with another equal."""
-    side = lambda c: sets.select(*[F.col(x).alias(f"{x}_{c}") for x in (*_PLACE, "n", "s")])
+    """The pairs whose sets (doc, row, line_no, s) are similar enough."""
+    side = lambda c: sets.select(*[F.col(x).alias(f"{x}_{c}") for x in (*_PLACE, "s")])
     both = pairs.select(*_PAIR).join(side("x"), _X).join(side("y"), _Y)
-    hidden = F.least(F.col("n_x") - F.size("s_x"), F.col("n_y") - F.size("s_y"))
-    shared = F.size(F.array_intersect("s_x", "s_y")) + hidden
-    return both.where(100 * shared >= percent * (F.col("n_x") + F.col("n_y") - shared)).select(*_PAIR)
+    shared = F.size(F.array_intersect("s_x", "s_y"))
+    return both.where(100 * shared >= percent * (F.size("s_x") + F.size("s_y") - shared)).select(*_PAIR)
 
 
 def _later(pairs: DataFrame) -> DataFrame:
@@ -225,17 +224,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     some = docs.select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), "text").join(by_doc, ["doc", "row"])
     lines = some.select("doc", "row", F.explode(_once(F.split("text", "\n", -1), lambda all_: F.transform("numbers", lambda i: F.struct(i.alias("line_no"), F.get(all_, i).alias("line"))))).alias("l"))
     sets = lines.select("doc", "row", "l.line_no", _once(_word_digests(_bare(F.col("l.line"))), lambda w: _shingles(w, size, F.xxhash64)).alias("s"))
-    sets = written(sets.select(*_PLACE, F.size("s").alias("n"), "s").dropDuplicates(_PLACE), "line-sets")
+    sets = written(sets.dropDuplicates(_PLACE), "line-sets", dictionary=False)
     out = written(_later(_similar(pairs, sets, percent)), "later-lines")
     forget(docs.sparkSession, ends, sets)
     return out
 
 
-def _matched(docs: DataFrame, lists: DataFrame, open_lines: DataFrame, also: DataFrame | None, size: int, percent: int) -> DataFrame:
-    """Open lines that an earlier line is similar to, and later lines of the pairs ``also`` that hold."""
+def _matched(docs: DataFrame, lists: DataFrame, open_lines: DataFrame, size: int, percent: int) -> DataFrame:
+    """Open lines that an earlier line is similar to."""
     pairs = _candidates(lists, open_lines, percent)
-    closest = pairs.where(F.col("nth") <= CLOSEST).select(*_PAIR)
-    found = _verified(docs, closest if also is None else closest.unionByName(also), size, percent)
+    found = _verified(docs, pairs.where(F.col("nth") <= CLOSEST).select(*_PAIR), size, percent)
     rest = pairs.where(F.col("nth") > CLOSEST).join(found.toDF(*_Y), _Y, "left_anti")
     if rest.limit(1).count():
         found = found.unionByName(_verified(docs, written(rest.select(*_PAIR), "line-pairs"), size, percent))
@@ -245,28 +243,24 @@ def _matched(docs: DataFrame, lists: DataFrame, open_lines: DataFrame, also: Dat
 def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc, row, line_no) of every line of ``_keyed`` rows that equals an earlier one or whose first copy is similar to an earlier one.
 
-    A line whose first copy goes goes anyway, as its first copy is earlier.
+    A line whose first copy goes goes anyway, as its first copy is earlier. Tables of all lines
+    go as soon as the index has what it needs of them.
     """
     spark = docs.sparkSession
     lines = _lines(docs, size)
     firsts = _first_lines(lines, percent)
     repeated = firsts.where("lines > 1").select("s1", "s2", F.col("doc").alias("_d"), F.col("row").alias("_r"), F.col("line_no").alias("_l"))
     equal = written(lines.select(*_PLACE, "s1", "s2").join(repeated, ["s1", "s2"]).where("doc <> _d or row <> _r or line_no <> _l").select(*_PLACE), "equal-lines")
+    forget(spark, lines)
     lists = _index(firsts)
-    # A line that a leader closes is decided by that pair and needs no others.
+    forget(spark, firsts)
+    # A line that its leader closes on whole sets needs no other pairs.
     led = _led(lists, percent)
-    tokens = lines.join(_ends(led), _PLACE).select(*_PLACE, "n", F.col("tokens").alias("s")).dropDuplicates(_PLACE)
-    decided = written(_similar(led, written(tokens, "leader-tokens"), percent), "leader-links")
-    closed = written(_later(decided), "closed-lines")
-    forget(spark, lines)
+    closed = _verified(docs, led, size, percent)
     open_lines = written(lists.select(*_PLACE).distinct().join(closed, _PLACE, "left_anti"), "open-lines")
-    later = _matched(docs, lists, open_lines, decided, size, percent)
-    # The index has 32 bits of a shingle: a line whose leader fails on 64 bits is compared with all others.
-    failed = written(closed.join(later, _PLACE, "left_anti"), "failed-lines")
-    if failed.limit(1).count():
-        later = later.unionByName(_matched(docs, lists, failed, None, size, percent))
-    forget(spark, firsts, led, decided, closed, open_lines, failed)
-    return equal.unionByName(later)
+    later = _matched(docs, lists, open_lines, size, percent)
+    forget(spark, led, lists, open_lines)
+    return equal.unionByName(closed).unionByName(later)
 
 
 def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

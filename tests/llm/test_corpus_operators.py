@@ -528,6 +528,19 @@ def test_line_dedup_is_native(documents):
     assert "Python" not in line_dedup.dedup_lines(documents)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tables_of_all_lines_go_with_the_index(spark, documents, monkeypatch):
+    """Once lines are indexed, neither they nor their leading tokens take room, and no tokens of all lines are shuffled."""
+    from pathlib import Path
+
+    from quillspan.llm.common import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    held = lambda: {p.name for p in shared.glob("*") if p.name.startswith(("lines-", "first-lines-"))}
+    before, seen, led = held(), [], line_dedup._led
+    monkeypatch.setattr(line_dedup, "_led", lambda *a: seen.append(held() - before) or led(*a))
+    assert line_dedup.dedup_lines(documents).count() == documents.count() and seen == [set()]
+
+
 # --- 10
 
 
