@@ -76,7 +76,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of packed sequences; those longer than a sequence are cut, repeated rows are packed each."""
     table(spark, sf_dir, "documents")
-    return packing.pack(packing.token_pieces(docs, vocabulary_path(), SEQUENCE), SEQUENCE)
+    return packing.pack(docs.select("doc_id", "text"), SEQUENCE, make=packing.piece_cutter(vocabulary_path(), SEQUENCE))
 
 
 STAGES = [

@@ -144,7 +144,9 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, far): the pairs whose sketches don't rule out a link.
 
     Sets whose sketches differ in ``far`` bits differ in at least as many elements, and linked
-    sets differ in (size + size) * (100 - percent) / (100 + percent) at most.
+    sets differ in (size + size) * (100 - percent) / (100 + percent) at most. The distance is
+    marked as not deterministic, so that a filter on it doesn't compute it a second time in
+    another Python worker.
     """
 
     @F.pandas_udf("int")
@@ -153,7 +155,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         return pd.Series(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int32))
 
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    far = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("far", distance("s_a", "s_b"))
+    far = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("far", distance.asNondeterministic()("s_a", "s_b"))
     return far.where((100 + percent) * F.col("far") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "far")
 
 

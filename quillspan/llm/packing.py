@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,11 +53,8 @@ def pieces_of(length: int, capacity: int) -> list[int]:
     return [first] * bool(first) + [capacity] * (length // capacity)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every (doc_id, text) row, in one narrow pass.
-
-    A document's ids end with id 0, so a null or empty text is one piece of one id.
-    """
+def piece_cutter(vocabulary: str, capacity: int, with_ids: bool = False) -> tuple[Callable, str]:
+    """What makes pieces of batches of (doc_id, text), and the columns that it makes."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +70,15 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return cut, schema
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of every (doc_id, text) row, in one narrow pass.
+
+    A document's ids end with id 0, so a null or empty text is one piece of one id.
+    """
+    return docs.select("doc_id", "text").mapInPandas(*piece_cutter(vocabulary, capacity, with_ids))
 
 
 def still_open(fill: np.ndarray, capacity: int, carried: int = CARRIED) -> np.ndarray:
@@ -107,7 +112,7 @@ def _merge(level: int, capacity: int):
     return merge
 
 
-def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, length: str = "length", make: tuple[Callable, str] | None = None) -> DataFrame:
     """``pieces`` with sequence_id and offset: every piece in one sequence, gapless from 0.
 
     Every input partition packs its pieces best-fit decreasing. Full bins and the fullest of the
@@ -116,24 +121,31 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     still be joined, and a group carries a bounded number of them. Rows keep their columns, but
     columns named sequence_id and offset are replaced. Pieces must have 1 to ``capacity`` ids.
     An empty table gives no rows; the first round is written down, so later ones see the same bins.
+    With ``make``, as of ``piece_cutter``, the pieces are made of the given rows where they are
+    packed, so that a task needs one Python worker and not two in a row.
     """
-    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    if make:
+        rows, (cut, schema) = pieces, make
+        own = [c.split()[0] for c in schema.split(", ")]
+    else:
+        own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+        rows, cut = pieces.select(*own), iter
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        rows = [x for x in batches if len(x)]
-        if not rows:
+        some = [x for x in cut(batches) if len(x)]
+        if not some:
             return
-        x = pd.concat(rows, ignore_index=True)
+        x = pd.concat(some, ignore_index=True)
         sizes = x[length].to_numpy(dtype=np.int64)
         bins, offsets = best_fit(sizes, capacity)
         fill = np.bincount(bins, weights=sizes).astype(np.int64)
         yield x.assign(_bin=(np.int64(part) << 32) + bins, offset=offsets, _fill=np.where(still_open(fill, capacity), fill, 0)[bins], _part=part)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*own).schema)
-    placed = written(pieces.select(*own).mapInPandas(first, f"{schema}, _bin long, offset long, _fill long, _part int"), "packed")
+    placed = written(rows.mapInPandas(first, f"{schema}, _bin long, offset long, _fill long, _part int"), "packed")
     open_bins = placed.where("_fill > 0").groupBy("_bin").agg(F.first("_fill").alias("fill"), F.first("_part").alias("part"))
     # origin: a bin of the first round; now: the bin that holds it, at shift.
     where = written(open_bins.select(F.col("_bin").alias("origin"), F.col("_bin").alias("now"), F.lit(0).cast("long").alias("shift"), "fill", "part"), "packed-open")

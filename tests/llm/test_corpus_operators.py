@@ -639,6 +639,28 @@ def test_pipeline_stages(spark, sf):
     assert isinstance(pipeline.run(spark, sf).toPandas(), pd.DataFrame)
 
 
+def test_no_stage_pipes_python_into_python(spark, sf, monkeypatch):
+    """A task of the pipeline needs one Python worker: two in a row double the workers that an executor holds from then on."""
+    import corpus_pipeline as pipeline
+    from quillspan.llm import common
+
+    plans = []
+
+    def kept(df, *args, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.written(df, *args, **more)
+
+    for module in (ngram_join, packing, suffix_dedup):
+        monkeypatch.setattr(module, "written", kept)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in (pipeline.drop_copies, pipeline.cut_passages, pipeline.pack_sequences):
+        plans.append(stage(spark, docs, sf)._jdf.queryExecution().executedPlan().toString())
+    chained = re.compile(r"(?:ArrowEvalPython|MapInPandas)(?:(?!Exchange|Join|Union)[\s\S])*?(?:ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas) ")
+    nodes = [[re.sub(r"^[\s:+*()0-9-]+", "", line).split(" ")[0] for line in p.split("\n")] for p in plans]
+    assert sum("MapInPandas" in n or "ArrowEvalPython" in n for n in nodes) > 5
+    assert not [n for n in nodes if chained.search(" ".join(n) + " ")]
+
+
 def test_every_repeated_passage_of_over_50_words_is_cut(spark, sf):
     import corpus_pipeline as pipeline
 
