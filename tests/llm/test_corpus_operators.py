@@ -112,6 +112,27 @@ def test_texts_of_regular_structure_are_told_apart(spark, length):
     assert got == want and (length == 400 or want == {0: 0, 1: 0})
 
 
+@pytest.mark.parametrize(("length", "width"), [(400, 1), (403, 1), (51, 8)])
+def test_overlapping_contexts_are_hashed_once(monkeypatch, length, width):
+    """Keys are equal as the strings are, and stretches of a text that contexts share aren't hashed for each of them."""
+    rng = random.Random(4)
+    scheme = suffix_dedup.Scheme(length, width)
+    some = [" ".join(rng.choices(["ab", "c", "dde", "f"], k=700)) for _ in range(3)]
+    raw = scheme.raw(" ".join([*some, some[0], "x " * 900, some[1]]))
+    at = np.array([p << 24 | p - a << 12 | p - b for p, a, b in scheme.anchors(raw).tolist()])[rng.randrange(2) :: 2]
+    rng.shuffle(at)
+    hashed, plain = [], suffix_dedup.Scheme.suffixes
+    monkeypatch.setattr(suffix_dedup.Scheme, "suffixes", lambda own, raw, first, last: hashed.append((first, last)) or plain(own, raw, first, last))
+    number, distance, lead, key, second = scheme.records(raw, at)
+    starts = (at >> 24)[number] - distance
+    assert Counter(number.tolist()) == {i: (x >> 12 & 4095) - (x & 4095) + 1 for i, x in enumerate(at.tolist())}
+    strings = [scheme.cut(raw, s, s + length) for s in starts.tolist()]
+    assert len(set(zip(key.tolist(), second.tolist(), strict=True))) == len({(*x, y) for *x, y in zip(key.tolist(), second.tolist(), strings, strict=True)}) == len(set(strings)) < len(strings)
+    assert lead.tolist() == [int.from_bytes(x[:8], "big" if width == 1 else "little") for x in strings]
+    ordered = sorted(hashed)
+    assert all(b >= a + length for (_, a), (b, _) in zip(ordered, ordered[1:], strict=False)) and len(hashed) < len(at)
+
+
 def brute_passages(texts, words):
     """(text left, words, words cut) of each text, from the runs of words of all texts."""
     found = [list(WORD.finditer(t or "")) for t in texts]
