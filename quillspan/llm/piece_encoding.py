@@ -19,6 +19,8 @@ from hashlib import md5, sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +63,9 @@ class Pieces:
         self.longest = max(len(piece) for piece, _, _ in self.rows)
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.pattern = re.compile(self._words())
-        self.strings = {i: piece.replace(SPACE, " ").encode() for piece, i, _ in self.rows} | {i: bytes([b]) for b, i in enumerate(self.byte)}
+        strings = {i: piece.replace(SPACE, " ").encode() for piece, i, _ in self.rows} | {i: bytes([b]) for b, i in enumerate(self.byte)}
+        self.table, self.numbers = pa.array([p for p, _, _ in self.rows], pa.string()), np.array([i for _, i, _ in self.rows], dtype="<u4")
+        self.strings = pa.array([strings.get(i) for i in range(n)], pa.binary())
 
     def _words(self) -> str:
         """A pattern of words that no piece crosses.
@@ -122,6 +126,21 @@ class Pieces:
             rest ^= low
         return self.symbols(word, cuts)
 
+    def spell(self, words: list[str], masks: np.ndarray) -> list[bytes]:
+        """``word`` of many words at once: the symbols of all of them, one behind the other, are looked up together."""
+        text, sizes = "".join(words).encode(), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        places = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) & 0xC0 != 0x80)
+        row, at = np.nonzero(np.unpackbits(masks.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        begins = at < sizes[row]
+        row, at = row[begins], at[begins]
+        starts = np.append(places[(np.cumsum(sizes) - sizes)[row] + at], len(text)).astype(np.int32)
+        found = pc.index_in(pa.StringArray.from_buffers(len(row), pa.py_buffer(starts), pa.py_buffer(text)), value_set=self.table).fill_null(-1).to_numpy()
+        ids, ends = self.numbers[found].tobytes(), 4 * np.cumsum(np.bincount(row, minlength=len(words)))
+        out = [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+        for i in np.unique(row[found < 0]).tolist():
+            out[i] = self.word(words[i], int(masks[i]))
+        return out
+
     def symbols(self, word: str, stops: list[int]) -> bytes:
         """Ids of a word whose symbols end at ``stops``; a symbol without a piece becomes bytes."""
         out, start = array("I"), 0
@@ -212,19 +231,21 @@ def paths(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = spark.createDataFrame(_ranks(pieces), "piece string, rank int")
     # A substring is made only where a piece begins with its first three, and then four characters.
     begin = {k: ", ".join(_quoted(x) for x in sorted({p[:k] for p, _, _ in pieces.rows if len(p) >= k})) for k in (3, 4)}
-    longest = f"case when substring(word, i + 1, 3) not in ({begin[3]}) then 2 when substring(word, i + 1, 4) not in ({begin[4]}) then 3 else {pieces.longest} end"
+    longest = " ".join(["case", *[f"when substring(word, i + 1, {k}) not in ({begin[k]}) then {k - 1}" for k in begin if begin[k]], f"else {pieces.longest} end"])
     starts = words.where(F.length("word") > 1).select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 2)).alias("i"))
     spans = starts.select("word", "n", "i", F.explode(F.expr(f"sequence(2, least(length(word) - i, {longest}))")).alias("size"))
     edges = spans.select("word", "n", (F.col("i") * 64 + F.col("size")).alias("at"), F.substring("word", F.col("i") + 1, F.col("size")).alias("piece"))
     # The vocabulary is bounded, so its table is broadcast.
     hit = edges.join(F.broadcast(table), "piece").select("word", "n", (F.col("rank").cast("long") * 4096 + F.col("at")).alias("edge"))
     grouped = hit.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
-    one = F.lit(1).cast("long")
-    bit = lambda i: F.call_function("shiftleft", one, i)
+    # The bits of an edge's ends, and those inside it, are looked up by its start and length.
+    spans = [(min(i >> 6, LONGEST), min((i >> 6) + (i & 63), LONGEST)) for i in range(4096)]
+    constant = lambda bits: F.expr(f"array({', '.join(f'{x}L' for x in bits)})")
+    both, within = constant(1 << a | 1 << b for a, b in spans), constant(max(0, (1 << b) - (2 << a)) for a, b in spans)
 
     def ends(edge):
-        start, stop = F.shiftright(edge, 6).bitwiseAND(63).cast("int"), (F.shiftright(edge, 6).bitwiseAND(63) + edge.bitwiseAND(63)).cast("int")
-        return F.struct(bit(start).bitwiseOR(bit(stop)).alias("ends"), (bit(stop) - bit(start + 1)).alias("inside"))
+        at = edge.bitwiseAND(4095).cast("int")
+        return F.struct(F.get(both, at).alias("ends"), F.get(within, at).alias("inside"))
 
     def merge(path, _):
         """Drop the edges one of whose ends is no boundary any more, then merge the first edge with one boundary inside."""
@@ -236,7 +257,7 @@ def paths(words: DataFrame, pieces: Pieces) -> DataFrame:
         alive = F.filter(path["edges"], lambda e: path["mask"].bitwiseAND(e["ends"]) == e["ends"])
         return F.get(F.transform(F.array(alive), first), F.lit(0))
 
-    every = bit(F.length("word") + 1) - 1
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.length("word") + 1) - 1
     begun = F.struct(every.alias("mask"), F.transform("edges", ends).alias("edges"))
     return grouped.select("word", "n", F.aggregate(F.sequence(F.lit(1), F.length("word") - 1), begun, merge)["mask"].alias("mask"))
 
@@ -254,7 +275,8 @@ def _plain_scan(docs: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" and bool(docs.inputFiles())
 
 
-def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, shown, schema: str) -> DataFrame:
+    """The doc_id of every row with the columns that ``shown`` makes of the ids of some texts."""
     spark: SparkSession = docs.sparkSession
     if not _plain_scan(docs):
         docs = written(docs, "piece-docs")
@@ -262,25 +284,24 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
     folders = partitions(spark)
     pieces = Pieces(path)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, now, seen = Pieces(path), None, set()
 
-        def out() -> pd.DataFrame:
-            words = {w for chunk in seen for w in own.words(chunk)}
-            return pd.DataFrame({"word": list(words)}).assign(g=now)[["g", "word"]]
+        def out() -> pa.RecordBatch:
+            words = pa.array({w for chunk in seen for w in own.words(chunk)}, pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), now, dtype=np.int64)), words], names=["g", "word"])
 
         for x in batches:
-            for g, texts in x.groupby("g", sort=False)["text"]:
+            for g, text in zip(x.column("g").to_pylist(), x.column("text").to_pylist(), strict=True):
                 if seen and (g != now or len(seen) > COUNTED_AT_ONCE):
                     yield out()
                     seen = set()
                 now = g
-                for text in texts:
-                    seen.update(own.chunks(text))
+                seen.update(own.chunks(text))
         if seen:
             yield out()
 
-    found = written(source.select("g", "text").mapInPandas(count, "g long, word string"), "split-words")
+    found = written(source.select("g", "text").mapInArrow(count, "g long, word string"), "split-words")
     # So few words for each partition that their edges are gathered in memory, by hash.
     parts = max(partitions(spark), -(-found.count() // WORDS_IN_PART))
     known = found.repartition(parts, "word").groupBy("word").agg(F.count("*").alias("n"))
@@ -296,65 +317,63 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
     common = written(short.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "mask"), "common-paths")
     folder = fresh_path(spark, "split-paths")
     rare = found.join(F.broadcast(common.select("word")), "word", "left_anti").join(masked, "word").select("g", F.pmod("g", F.lit(folders)).cast("int").alias("p"), "word", "mask", "cuts")
-    # A task finds a split's paths in one folder of a few by its row groups.
-    rare.distinct().repartition(folders, "p").sortWithinPartitions("p", "g").write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("p").parquet(folder)
+    # A task finds a split's paths in one folder of a few by its row groups. A word that a split has twice is there twice.
+    rare.repartition(folders, "p").sortWithinPartitions("p", "g").write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("p").parquet(folder)
     forget(spark, found, short, long)
     files = sorted({f.rsplit("/", 1)[0] for f in common.inputFiles()})
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         own = Pieces(path)
 
-        def load(place: str, split: int | None = None) -> dict:
+        def load(place: str, split: int | None = None) -> dict[str, bytes]:
             store, inner = filesystem(place)
             listed = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
             out: dict = {}
             for f in listed:
                 if f.path.endswith(".parquet"):
                     with store.open_input_file(f.path) as opened:
-                        if split is None:
-                            t = pq.read_table(opened, columns=["word", "mask"])
-                            out.update(zip(t["word"].to_pylist(), t["mask"].to_pylist(), strict=True))
-                        else:
-                            t = pq.read_table(opened, columns=["g", "word", "mask", "cuts"], filters=[("g", "==", split)])
-                            out.update((w, m if c is None else c) for w, m, c in zip(t["word"].to_pylist(), t["mask"].to_pylist(), t["cuts"].to_pylist(), strict=True))
+                        t = pq.read_table(opened, columns=["word", "mask"] if split is None else ["word", "mask", "cuts"], filters=None if split is None else [("g", "==", split)])
+                        short = t.filter(t["mask"].is_valid())
+                        words = short["word"].to_pylist()
+                        out.update(zip(words, own.spell(words, short["mask"].to_numpy()), strict=True))
+                        if len(short) < len(t):
+                            long = t.filter(t["mask"].is_null())
+                            out.update((w, own.symbols(w, [*c, *range((c[-1] if c else 0) + 1, len(w) + 1)])) for w, c in zip(long["word"].to_pylist(), long["cuts"].to_pylist(), strict=True))
             return out
 
         def ids_of(word: str) -> bytes:
             """Without an edge each symbol stands alone."""
-            way = here.get(word) or everywhere.get(word)
-            if isinstance(way, int):
-                return own.word(word, way)
-            way = way or []
-            return own.symbols(word, [*way, *range((way[-1] if way else 0) + 1, len(word) + 1)])
+            return here.get(word) or everywhere.get(word) or own.symbols(word, [*range(1, len(word) + 1)])
 
         class Known(dict):
-            """Ids of chunks met, made from their words' paths at the first time."""
+            """Ids of chunks met, made from their words' ids at the first time."""
 
             def __missing__(self, chunk: str) -> bytes:
                 if len(self) > REMEMBERED:
                     self.clear()
-                done = self[chunk] = b"".join(map(ids_of, own.words(chunk)))
+                words = own.words(chunk)
+                done = self[chunk] = ids_of(words[0]) if len(words) == 1 else b"".join(map(ids_of, words))
                 return done
 
-        everywhere: dict[str, int] = {}
+        everywhere: dict[str, bytes] = {}
         for place in files:
             everywhere.update(load(place))
         now, here, known = None, {}, Known()
 
         for x in batches:
-            out = []
-            for k, text, g in zip(x["doc_id"].astype(object).tolist(), x["text"].tolist(), x["g"].tolist(), strict=True):
+            encoded = []
+            for text, g in zip(x.column("text").to_pylist(), x.column("g").to_pylist(), strict=True):
                 if g != now:
                     now, here = g, load(f"{folder}/p={g % folders}", g)
                     known.clear()
-                encoded = np.frombuffer(b"".join(map(known.__getitem__, own.chunks(text))), dtype="<u4")
-                out.append(rows(None if k is None or k != k else int(k), encoded, own))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+                encoded.append(np.frombuffer(b"".join(map(known.__getitem__, own.chunks(text))), dtype="<u4"))
+            columns = [x.column("doc_id"), *shown(encoded, own)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    return source.select("doc_id", "text", "g").mapInPandas(encode, schema)
+    return source.select("doc_id", "text", "g").mapInArrow(encode, schema)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -364,19 +383,24 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     has them, and each split reads back the paths of its own words. Documents that aren't a plain
     scan of files, but joined, shuffled or made, are written down first. Repeated rows keep their rows; an empty table gives none.
     """
-    return _encoded(docs, path, lambda k, ids, _: (k, ids.astype(np.int32)), "doc_id long, ids array<int>")
+    return _encoded(docs, path, lambda encoded, _: [pa.array([ids.astype(np.int32) for ids in encoded], pa.list_(pa.int32()))], "doc_id long, ids array<int>")
 
 
-def decode(ids: np.ndarray, pieces: Pieces) -> str:
-    """The text of ids: their pieces with blanks, bytes put together, without the blank that encoding put before it."""
-    raw = b"".join(map(pieces.strings.__getitem__, ids.tolist()))
-    return raw.decode(errors="replace")[1:] if raw else ""
+def decode(encoded: list[np.ndarray], pieces: Pieces) -> list[str]:
+    """The texts of lists of ids: their pieces with blanks, bytes put together, without the blank that encoding put before a text."""
+    if not any(map(len, encoded)):
+        return [""] * len(encoded)
+    taken = pieces.strings.take(pa.array(np.concatenate(encoded)))
+    ends = np.cumsum([0, *map(len, encoded)])
+    at, raw = np.frombuffer(taken.buffers()[1], dtype="<i4")[ends].tolist(), memoryview(taken.buffers()[2])
+    return [str(raw[a:b], "utf-8", "replace")[1:] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, decoded_sha256) of every row: the ids' number and checksum, and the text decoded from them."""
 
-    def rows(k: int | None, ids: np.ndarray, pieces: Pieces) -> tuple:
-        return k, len(ids), zlib.crc32(ids.tobytes()), sha256(decode(ids, pieces).encode()).hexdigest()
+    def shown(encoded: list[np.ndarray], pieces: Pieces) -> list[pa.Array]:
+        shas = [sha256(text.encode()).hexdigest() for text in decode(encoded, pieces)]
+        return [pa.array([len(ids) for ids in encoded], pa.int64()), pa.array([zlib.crc32(ids.tobytes()) for ids in encoded], pa.int64()), pa.array(shas, pa.string())]
 
-    return _encoded(docs, path, rows, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return _encoded(docs, path, shown, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")

@@ -264,6 +264,25 @@ def test_words_of_regular_structure_are_told_apart(spark):
 # --- 5
 
 
+def test_words_are_spelled_together_and_keys_stay_whole(spark):
+    """The ids of many words at once are those of each, and of the library; large doc_ids beside a null one stay as they are."""
+    import sentencepiece
+
+    path = piece_encoding.model_path()
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=path), piece_encoding.Pieces(path)
+    words = ["\u2581document", "\u2581zzyqvx", "\u2581na\u00efve\u4e00\U0001f600"]
+    found = piece_encoding.paths(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), pieces).collect()
+    ids = pieces.spell([r.word for r in found], np.array([r.mask for r in found]))
+    assert {r.word: np.frombuffer(x, dtype="<u4").tolist() for r, x in zip(found, ids, strict=True)} == {w: library.encode(w[1:]) for w in words}
+    assert ids == [pieces.word(r.word, r.mask) for r in found] and pieces.spell([], np.zeros(0, dtype=np.int64)) == []
+    texts = ["naïve \U0001f600 words", "", "one  two\n"]
+    encoded = [np.array(library.encode(t), dtype="<u4") for t in texts]
+    assert piece_encoding.decode(encoded, pieces) == texts and piece_encoding.decode([], pieces) == [] and piece_encoding.decode(encoded[1:2], pieces) == [""]
+    rows = [(2**53 + 1, "one"), (None, "two"), (2**53 + 3, "three")]
+    keyed = piece_encoding.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path)
+    assert {r.doc_id: r.ids for r in keyed.collect()} == {k: library.encode(t) for k, t in rows}
+
+
 def test_pieces_as_the_library_has_them(documents, nothing):
     import sentencepiece
 
