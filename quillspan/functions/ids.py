@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import once
+
 CURP_ALPHABET = "0123456789ABCDEFGHIJKLMNÑOPQRSTUVWXYZ"
 RFC_ALPHABET = "0123456789ABCDEFGHIJKLMN&OPQRSTUVWXYZ Ñ"
 
@@ -79,5 +81,17 @@ def mrz_check(text: Column, weights: tuple[int, int, int] = (7, 3, 1)) -> Column
     """The check digit of a machine-readable field: weights 7, 3, 1 over digits, letters from 10 and fillers."""
     alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     cycle = F.array(*[F.lit(w) for w in weights])
-    value = lambda i: F.when(F.substr(text, i + 1, F.lit(1)) == "<", 0).otherwise(_place(alphabet, text, i))
-    return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), F.lit(0), lambda a, i: a + value(i) * F.get(cycle, i % 3)) % 10
+
+    def by_character(values: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.length(values) - 1), F.lit(0), lambda a, i: a + _place(alphabet, values, i) * F.get(cycle, i % 3)) % 10
+
+    def total(values: Column) -> Column:
+        # Only the last digit of a value counts: characters become digits, and three go into each step.
+        def by_three(digits: Column) -> Column:
+            part = lambda i, k: F.substr(digits, i + k, F.lit(1)).cast("int") * weights[k - 1]
+            return F.aggregate(F.sequence(F.lit(1), F.length(digits) - 2, F.lit(3)), F.lit(0), lambda a, i: a + part(i - 1, 1) + part(i - 1, 2) + part(i - 1, 3)) % 10
+
+        digits = F.concat(F.translate(values, alphabet, "0123456789" * 3 + "012345"), F.lit("00"))
+        return F.when(values.rlike(r"^[0-9A-Z]+\z"), once(digits, by_three)).otherwise(by_character(values))
+
+    return once(F.translate(text, "<", "0"), total)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import ids
 from quillspan.functions import text as tx
 from quillspan.functions.tables import kept
-from quillspan.operators import extract
+from quillspan.operators import extract, ranking
 from quillspan.sources.tables import table
 
 
@@ -53,6 +53,8 @@ def ids_mrz(spark: SparkSession, sf: str) -> DataFrame:
 
 def passport_texts(spark: SparkSession, sf: str) -> DataFrame:
     """A passport of each customer, every third with a wrong check digit, every fifth without such a birth date."""
+    # The table is one small file, so its rows are dealt out before the work on them.
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").repartition(ranking.TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     k, pad = F.col("c_custkey"), lambda c, n: F.lpad(c.cast("string"), n, "0")
     check = lambda c: ids.mrz_check(c).cast("string")
     number = F.rpad(F.concat(F.lit("K"), pad(k, 7)), 9, "<")
@@ -65,7 +67,7 @@ def passport_texts(spark: SparkSession, sf: str) -> DataFrame:
     last = F.when(k % 3 == 0, F.translate(whole, "0123456789", "1234567890")).otherwise(whole)
     names = F.rpad(F.concat(F.lit("P<UTOOF"), F.translate("c_mktsegment", " ", "<"), F.lit("<<ANNA<"), F.chr(F.pmod(k, F.lit(26)) + 65)), 44, "<")
     text = F.concat(F.lit("PASSPORT\n"), names, F.lit("\n"), first, sex, second, last, F.lit("\nend"))
-    return table(spark, sf, "customer").select(k.alias("doc_id"), text.alias("text"))
+    return rows.select(k.alias("doc_id"), text.alias("text"))
 
 
 def passport_facts(spark: SparkSession, sf: str) -> DataFrame:
